@@ -1,8 +1,8 @@
 """Sharding by minimax contiguous partition.
 
 Groups of equal texts are atomic and stand in the order of a 64-bit hash of the text. The smallest
-capacity that lets a greedy scan cut the order into `n_shards` runs is found by binary search.
-The scan runs on the driver over sums of ranges of the hash, at most a few hundred thousand of them; ranges in
+capacity that lets a greedy scan cut the order into `n_shards` runs is found by binary search. The cuts then go
+as near to even shares as that capacity allows, as the greedy scan alone would leave the last shard short. The scan runs on the driver over sums of ranges of the hash, at most a few hundred thousand of them; ranges in
 which a cut may still fall are split finer, and the search repeats, until the capacity and every cut are
 exact. No group, hot or not, meets in one task: only sums of sizes by range are gathered.
 
@@ -61,6 +61,35 @@ def _chains(edges: np.ndarray, single: np.ndarray, capacity: int, n: int) -> tup
     return lows, highs
 
 
+def _even_cuts(edges: np.ndarray, single: np.ndarray, capacity: int, n: int) -> tuple[list[int], set[int]]:
+    """Indices of the n - 1 cuts nearest to even shares that keep every shard within the capacity; the ranges that must be split first.
+
+    A cut lies between the greedy scan from the left and the one from the right, so what is left always fits.
+    """
+    total, unsure, least = int(edges[-1]), set(), [0] * n
+    right = total
+    for j in range(n - 1, 0, -1):
+        i = int(np.searchsorted(edges, max(0, right - capacity), side="left"))
+        if i and edges[i] != right - capacity and not single[i - 1]:
+            unsure.add(i - 1)
+        right = least[j] = int(edges[i])
+    cuts, at = [], 0
+    for j in range(1, n):
+        i = int(np.searchsorted(edges, at + capacity, side="right")) - 1
+        if i < len(edges) - 1 and not single[i]:
+            unsure.add(i)
+        share = at + (total - at) // (n - j + 1)
+        k = int(np.searchsorted(edges, share, side="right")) - 1
+        if k < len(edges) - 1 and not single[k]:
+            unsure.add(k)
+        if k < len(edges) - 1 and edges[k + 1] - share < share - edges[k]:
+            k += 1
+        k = min(max(k, int(np.searchsorted(edges, least[j], side="left"))), i)
+        cuts.append(k)
+        at = int(edges[k])
+    return cuts, unsure
+
+
 def _least(holds, low: int, high: int) -> int:
     while low < high:
         mid = (low + high) // 2
@@ -100,19 +129,20 @@ def plan_cuts(sums, n_shards: int) -> tuple[list[tuple[int, int]], list[int]]:
             for low, high in zip(lows[:-1], highs[:-1], strict=True):
                 i, j = (int(np.searchsorted(edges, x, side="right")) - 1 for x in (low, high))
                 unsure |= {kept[k] for k in range(i, min(j, len(kept) - 1) + 1) if not single[k]}
-                cuts.append(i)
+            if least == most and not unsure:
+                cuts, more = _even_cuts(edges, single, least, left)
+                unsure = {kept[k] for k in more}
         if not unsure:
             shards = [(info[k][3], s) for s, k in enumerate(heavy)]
             # a cut at the end of the order starts no shard
             return shards, [firsts[kept[i]] for i in cuts if i < len(kept)]
-        wide = bits
         bits = min(64, bits + MORE_BITS)
-        parents = {firsts[k] >> (64 - info[k][0]) for k in unsure if info[k][0] == wide}
+        for width in {info[k][0] for k in unsure}:  # ranges of several widths may be left
+            parents = {firsts[k] >> (64 - width) for k in unsure if info[k][0] == width}
+            ranges.put(bits, sums(bits, parents, width))
         for k in unsure:
-            if info[k][0] != wide:
-                raise AssertionError("a range that was certain became uncertain")
-            ranges.drop(firsts[k])
-        ranges.put(bits, sums(bits, parents, wide))
+            if firsts[k] in ranges.at and ranges.at[firsts[k]][0] != bits:
+                ranges.drop(firsts[k])
 
 
 def _signed(x: int) -> int:
