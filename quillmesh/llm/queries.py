@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import media, packing, sharding
+from quillmesh.llm import media, packing, sharding, simhash
 
 N_SHARDS = 40
 
@@ -35,8 +35,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op6_packing, op8_media)}
+    return {f.__name__: f for f in (op3_sharding, op6_packing, op8_media, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
