@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import media, packing, sharding, simhash
+from quillmesh.llm import media, packing, quality, sharding, simhash
+from quillmesh.llm.common import fold
 
 N_SHARDS = 40
 
@@ -16,6 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(spark, docs, _table(spark, sf_dir, "labels"))
+    rated = quality.scores(spark, docs, model)
+    return rated.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(spark, _table(spark, sf_dir, "documents"), N_SHARDS)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,7 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op6_packing, op8_media, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_sharding, op6_packing, op8_media, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
