@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import media, packing, quality, sharding, simhash
+from quillmesh.llm import media, packing, pii, quality, sharding, simhash
 from quillmesh.llm.common import fold
 
 N_SHARDS = 40
@@ -33,6 +33,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.spans(spark, docs, pii.fit(spark, docs))
+    base = F.filter("spans", lambda s: s["by_pattern"])
+    joined = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of_kind = lambda kind: F.filter("spans", lambda s: s["by_pattern"] & (s["kind"] == kind))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_columns(spark, _table(spark, sf_dir, "documents"))
     n_codes = F.size("codes")
@@ -49,7 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_sharding, op6_packing, op8_media, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_sharding, op6_packing, op7_pii, op8_media, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
