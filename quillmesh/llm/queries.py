@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import media, packing, pii, quality, sharding, simhash
+from quillmesh.llm import decontam, media, packing, pii, quality, sharding, simhash
 from quillmesh.llm.common import fold
 
 N_SHARDS = 40
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaked(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(spark, docs, _table(spark, sf_dir, "labels"))
@@ -59,7 +63,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_sharding, op6_packing, op7_pii, op8_media, op9_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op6_packing, op7_pii, op8_media, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

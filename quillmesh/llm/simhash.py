@@ -261,7 +261,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, k:
     found = near_duplicates(spark, docs, distance, k, doc_id=doc_id, text=text, scratch=scratch)
     first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     first = scratch.write(first.select(F.col("doc_id").alias("_kept_id"), F.col("n").alias("_kept_n")), "first")
-    kept = docs.join(first, F.col(doc_id) == F.col("_kept_id"))
+    kept = docs.join(first.hint("shuffle_hash"), F.col(doc_id) == F.col("_kept_id"))
     names = docs.columns
     out = kept.filter("_kept_n = 1").select(*names)
     if first.filter("_kept_n > 1").limit(1).count():  # repeated ids: one row each
