@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import decontam, media, packing, pii, quality, sharding, simhash, suffix
+from quillmesh.llm import decontam, lm, media, packing, pii, quality, sharding, simhash, suffix
 from quillmesh.llm.common import fold
 
 N_SHARDS = 40
@@ -37,6 +37,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op6_packing, op7_pii, op8_media, op9_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
