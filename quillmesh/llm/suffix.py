@@ -6,14 +6,14 @@ Every byte that a repeating string covers is removed; strings are judged on the
 1. Each window of LENGTH bytes has an anchor, the K bytes in it with the least hash (the leftmost of equals), so equal windows have equal
    anchors. Anchors are counted over the whole corpus; those seen once cannot lie in a repeat. A bitmap of the others,
    of at most MOST_BITS bits, goes to every task; a chance hit costs work, never exactness.
-2. The stretch of bytes that the windows of a repeated anchor cover is a segment. Equal segments are combined where they are read: all but
-   the first are repeats in full. What is left meets by anchor.
+2. The stretch of bytes that the windows of a repeated anchor cover is a segment. Segments meet by anchor as hashes of their bytes: all but
+   the first of equal ones are repeats in full. A segment that is alone at its anchor then is no repeat, and the bytes of the others are fetched.
 3. Segments with the same anchor but different bytes are cut into shards. Each shard's suffixes are sorted once, over symbols of STEP
    bytes, which gives its Burrows-Wheeler transform. The shards' transforms are merged by refining their interleave: every round
    reads the transforms in the present order, and deals their entries, stably, by symbol. After LENGTH / STEP rounds
    the order is that of the first LENGTH bytes. The boundaries between different prefixes are kept through the rounds,
    so intervals of equal windows come out without sorting the suffixes again. Bytes are compared at the end.
-4. An anchor with more than HOT segments is taken apart by window instead: the first of each window's hash is found by aggregation.
+4. An anchor seen more than 8 * HOT times is taken apart by window instead: the first of each window's hash is found by aggregation.
 
 Defined results: a null text is empty; rows with the same id and text are the same document, and those with the
 same id and different texts stand in the order of a hash; a missing id counts as the smallest; an empty table gives
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import Scratch, body, tune
 
 LENGTH, K, STEP = 100, 32, 20
-CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 20, 1 << 18, 1 << 20, 4096
+CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 19, 1 << 16, 1 << 18, 4096
 LEAST_BITS, MOST_BITS = 20, 31
 PLACE = 24  # bits of a key that hold the place in a chunk
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -218,15 +218,30 @@ def cover(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + LENGTH).tolist(), strict=True))
 
 
-#: A document: its id and a hash of its text.
-INTERVALS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-ROWS = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())])
+INTERVALS = pa.schema([("id", pa.int64()), ("version", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+#: A segment by its anchor and hash, or, without an anchor, an interval to remove.
+MET = pa.schema([("route", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64()), *INTERVALS])
+JUDGED = pa.schema([*INTERVALS, ("mark", pa.int64())])
+ROWS = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("version", pa.int32()), ("start", pa.int64()), ("data", pa.binary())])
 
 
 def _table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
+
+
+def _mark(anchor: int, hashed: int, version: int, start: int) -> int:
+    """A 64-bit name of one segment of one document."""
+    x = (anchor * 0x9E3779B97F4A7C15 ^ hashed * 0xC2B2AE3D27D4EB4F ^ (version * 0x165667B19E3779F9 + start) * 0xD6E8FEB86659FD93) & (1 << 64) - 1
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for the leading `bits` bits of every hash; at most 2^bits bits come to the driver."""
     place = F.shiftrightunsigned(column, 64 - bits) + 1  # place p has bit p % 32768 of bucket p // 32768 + 1
@@ -255,38 +270,103 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["anchor"])
 
 
-def _segment_rows(shared, bits: int):
-    """Rows of what is repeated: first segments of this task with their bytes, others without."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _repeated(shared, b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list]]:
+    """For each text of (id, version, bytes): its segments of repeated anchors, as anchor, start, end, hash."""
+    from xxhash import xxh3_64_intdigest
+
+    ids, versions, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+    for i, anchors, starts, ends in segments(texts):
+        some = np.flatnonzero(_has(*shared.value[:2], anchors))
+        text = texts[i]
+        yield ids[i], versions[i], text, [(a, s, e, _signed(xxh3_64_intdigest(text[s:e]))) for a, s, e in zip(anchors.view(np.int64)[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True)]
+
+
+def _meet(shared):
+    """A row for each first segment of this task, by hash; intervals for segments that repeat one of this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        first: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         rows: list[tuple] = []
+        hot = shared.value[2]
+
+        def firsts() -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            held = list(first.items())
+            first = {}
+            for i in range(0, len(held), 20_000):
+                # a hot anchor's segments are dealt by their own hashes
+                yield _table_of([(_signed((a * 31 + h) & (1 << 64) - 1) if a in hot else a, a, h, *at) for (a, h), at in held[i : i + 20_000]], MET)
+
         for b in batches:
-            ids, versions = b.column(0).to_pylist(), b.column(1).to_pylist()
-            texts = [t.as_py() for t in b.column(2)]
-            for i, anchors, starts, ends in segments(texts):
-                some = np.flatnonzero(_has(shared.value, bits, anchors))
-                text, d, v = texts[i], ids[i], versions[i]
-                for a, s, e in zip(anchors.view(np.int64)[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True):
-                    key, at = (a, text[s:e]), (d, v, s)
-                    held = first.setdefault(key, at)
-                    if held != at:
-                        if at < held:
-                            first[key], at = at, held
-                        last = rows[-1] if rows else None
-                        if last and last[0] is None and last[1:3] == at[:2] and last[3] <= at[2] <= last[4]:
-                            rows[-1] = (None, *last[1:4], max(last[4], at[2] + e - s), None)
-                        else:
-                            rows.append((None, *at, at[2] + e - s, None))
+            for d, v, _, found in _repeated(shared, b):
+                for a, s, e, h in found:
+                    at = (d, v, s, e)
+                    held = first.setdefault((a, h), at)
+                    if held == at:
+                        continue
+                    if at < held:
+                        first[a, h], at = at, held
+                    last = rows[-1] if rows else None
+                    if last and last[3:5] == at[:2] and last[5] <= at[2] <= last[6]:
+                        rows[-1] = (*last[:6], max(last[6], at[3]))
+                    else:
+                        rows.append((at[2] * 0x9E3779B1 + at[0] & (1 << 62) - 1, None, None, *at))
                 if len(rows) >= 20_000:
-                    yield _table_of(rows, ROWS)
+                    yield _table_of(rows, MET)
                     rows = []
-            if len(first) >= 100_000:
-                yield _table_of(rows + [(k[0], *at, at[2] + len(k[1]), k[1]) for k, at in first.items()], ROWS)
-                first, rows = {}, []
-        rows += [(k[0], *at, at[2] + len(k[1]), k[1]) for k, at in first.items()]
-        for i in range(0, len(rows), 20_000):
-            yield _table_of(rows[i : i + 20_000], ROWS)
+            if len(first) >= 150_000:
+                yield from firsts()
+        if rows:
+            yield _table_of(rows, MET)
+        yield from firsts()
+
+    return run
+
+
+def _judge(shared):
+    """Rows of MET sorted by anchor, hash and place: intervals for all but the first of equal segments, marks for those with others at their anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, anchor, hashed, lone, first = shared.value[2], None, None, None, None
+        for b in batches:
+            out = []
+            for _, a, h, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if a is None:
+                    out.append((*at, None))
+                elif (a, h) == (anchor, hashed):
+                    if at[:3] != first:  # else a repeated row of the same document
+                        out.append((*at, None))
+                else:
+                    marked = (*at, _mark(a, h, at[1], at[2]))
+                    if a != anchor and a not in hot:
+                        lone = marked  # needs no comparison as long as it is the only one
+                    else:
+                        if lone:
+                            out.append(lone)
+                            lone = None
+                        out.append(marked)
+                    anchor, hashed, first = a, h, at[:3]
+            yield _table_of(out, JUDGED)
+
+    return run
+
+
+def _fetch(shared, marks, bits: int):
+    """The bytes of marked segments; a chance mark gives a row that is compared in vain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, v, text, found in _repeated(shared, b):
+                if found:
+                    own = np.array([_mark(a, h, v, s) for a, s, _, h in found], np.int64)
+                    rows += [(a, d, v, s, text[s:e]) for (a, s, e, _), on in zip(found, _has(marks.value, bits, own).tolist(), strict=True) if on]
+            for i in range(0, len(rows), 10_000):
+                yield _table_of(rows[i : i + 10_000], ROWS)
 
     return run
 
@@ -343,36 +423,37 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, versions, starts, data = (b.column(i).to_pylist() for i in range(1, 5))
         rows = [(xxh3_128_digest(x[q : q + LENGTH]), d, v, s + q) for d, v, s, x in zip(ids, versions, starts, data, strict=True) for q in range(len(x) - LENGTH + 1)]
         for i in range(0, len(rows), 20_000):
-            yield _table_of(rows[i : i + 20_000], pa.schema([("w", pa.binary()), ("id", pa.int64()), ("version", pa.int64()), ("start", pa.int64())]))
+            yield _table_of(rows[i : i + 20_000], pa.schema([("w", pa.binary()), *list(INTERVALS)[:3]]))
 
 
-def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """id, version, start, end of stretches of repeating strings. docs: id, version and bytes."""
+def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT) -> list[DataFrame]:
+    """Tables of id, version, start, end of stretches of repeating strings. docs: id, version and bytes."""
     tune(spark)
-    texts = docs.filter(F.octet_length("bytes") >= LENGTH)
-    counted = texts.select("bytes").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    texts = docs.filter(F.octet_length("bytes") >= LENGTH).select("id", "version", "bytes")
+    counted = texts.select("bytes").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = scratch.write(counted, "anchors")
+    # at most one anchor for every `hot` segments
+    busy = frozenset(r["anchor"] for r in repeated.filter(F.col("n") > hot * 8).select("anchor").collect())
     bits = _bits_for(repeated.count())
-    shared = spark.sparkContext.broadcast(_bitmap(repeated, "anchor", bits))  # at most 2^MOST_BITS bits
+    shared = spark.sparkContext.broadcast((_bitmap(repeated, "anchor", bits), bits, busy))  # at most 2^MOST_BITS bits
     scratch.drop("anchors")
-    rows = scratch.write(texts.select("id", "version", "bytes").mapInArrow(_segment_rows(shared, bits), "anchor long, id long, version long, start long, end long, data binary"), "segments")
-    met = rows.filter("data is not null").select("anchor", "id", "version", "start", "data")
-    # one row for every `hot` segments at most
-    busy = scratch.write(met.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "busy")
-    intervals = [rows.filter("data is null").select("id", "version", "start", "end")]
-    calm = met
-    if busy.limit(1).count():
-        calm = met.join(busy, "anchor", "left_anti").select(*met.columns)
-        windows = scratch.write(met.join(busy, "anchor", "left_semi").select(*met.columns).mapInArrow(_windows, "w binary, id long, version long, start long"), "windows")
+    met = texts.mapInArrow(_meet(shared), _ddl(MET)).repartition("route").sortWithinPartitions("anchor", "hash", "id", "version", "start")
+    judged = scratch.write(met.mapInArrow(_judge(shared), _ddl(JUDGED)), "judged")
+    marked = judged.filter("mark is not null").select("mark")
+    mark_bits = _bits_for(marked.count())
+    marks = spark.sparkContext.broadcast(_bitmap(marked, "mark", mark_bits))
+    fetched = texts.mapInArrow(_fetch(shared, marks, mark_bits), _ddl(ROWS))
+    intervals = [judged.filter("mark is null").select("id", "version", "start", "end")]
+    if busy:
+        fetched = scratch.write(fetched, "fetched")
+        is_hot = F.col("anchor").isin(list(busy))
+        windows = scratch.write(fetched.filter(is_hot).mapInArrow(_windows, "w binary, id long, version int, start long"), "windows")
         first = windows.groupBy("w").agg(F.min(F.struct("id", "version", "start")).alias("first"))
         later = windows.join(first, "w").filter(F.struct("id", "version", "start") != F.col("first"))
-        intervals.append(later.select("id", "version", "start", (F.col("start") + LENGTH).alias("end")))
-    merged = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_tasks, "id long, version long, start long, end long")
-    intervals.append(merged)
-    out = intervals[0]
-    for x in intervals[1:]:
-        out = out.union(x)
-    return scratch.write(out, "intervals")
+        intervals.append(scratch.write(later.select("id", "version", "start", (F.col("start") + LENGTH).alias("end")), "later"))
+        fetched = fetched.filter(~is_hot)
+    merged = fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_tasks, _ddl(INTERVALS))
+    return [*intervals, scratch.write(merged, "merged")]
 
 
 def _cut(data: bytes, found: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -395,21 +476,18 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (kept, the bytes that are left) of every row."""
     scratch = Scratch(spark, "suffix")
     least = F.lit(-(1 << 63))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), least).alias("id"), F.xxhash64(body(text)).alias("version"), body(text).cast("binary").alias("bytes"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), least).alias("id"), F.shiftright(F.xxhash64(body(text)), 32).cast("int").alias("version"), body(text).cast("binary").alias("bytes"))
     intervals = removed_intervals(spark, own.select("id", "version", "bytes"), scratch, hot)
-    touched = intervals.groupBy("id", "version").agg(F.collect_list(F.struct("start", "end")).alias("found")).withColumn("mark", F.xxhash64("id", "version"))
+    found = intervals[0]
+    for x in intervals[1:]:
+        found = found.union(x)
+    touched = found.groupBy("id", "version").agg(F.collect_list(F.struct("start", "end")).alias("found")).withColumn("mark", F.xxhash64("id", "version"))
     touched = scratch.write(touched, "touched")
     bits = _bits_for(touched.count())
     shared = spark.sparkContext.broadcast(_bitmap(touched, "mark", bits))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
-    @F.pandas_udf("boolean")
-    def may_be_touched(mark):
-        import pandas as pd
-
-        return pd.Series(_has(shared.value, bits, mark.to_numpy().astype(np.int64)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
@@ -422,9 +500,22 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays][: len(names) - (not with_text)], names=names[: len(names) - (not with_text)])
 
+    def choose(touched: bool):
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                on = _has(shared.value, bits, b.column(b.schema.get_field_index("mark")).to_numpy())
+                yield b.filter(pa.array(on == touched))
+
+        return some
+
     marked = own.withColumn("mark", F.xxhash64("id", "version"))
-    none = F.lit(None).cast("array<struct<start:long,end:long>>")
+    none = pa.nulls(0, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in choose(False)(batches):
+            yield from run([pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows, none.type)], names=["doc_id", "bytes", "found"])])
+
     # only texts that may have lost something are shuffled
-    whole = marked.filter(~may_be_touched("mark")).select("doc_id", "bytes", none.alias("found")).mapInArrow(run, schema)
-    joined = marked.filter(may_be_touched("mark")).join(touched.drop("mark").hint("shuffle_hash"), ["id", "version"], "left").select("doc_id", "bytes", "found").mapInArrow(run, schema)
-    return whole.union(joined)
+    whole = marked.select("doc_id", "bytes", "mark").mapInArrow(run_whole, schema)
+    held = marked.mapInArrow(choose(True), marked.schema).join(touched.drop("mark").hint("shuffle_hash"), ["id", "version"], "left")
+    return whole.union(held.select("doc_id", "bytes", "found").mapInArrow(run, schema))

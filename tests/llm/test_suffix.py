@@ -54,7 +54,7 @@ def test_merge_finds_repeated_windows(monkeypatch):
                 assert got[i].tolist() == want
 
 
-@pytest.mark.parametrize("seed,hot", [(0, 4096), (1, 4096), (2, 2)])
+@pytest.mark.parametrize("seed,hot", [(0, 4096), (1, 4096), (2, 0)])
 def test_dedup_equals_brute_force(spark, seed, hot, monkeypatch):
     r = random.Random(seed)
     texts = _corpus(r, 120)
