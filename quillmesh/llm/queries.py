@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import decontam, lm, media, packing, pii, quality, sharding, simhash, suffix
+from quillmesh.llm import decontam, licenses, lm, media, packing, pii, quality, sharding, simhash, suffix
 from quillmesh.llm.common import fold
 
 N_SHARDS = 40
@@ -70,8 +70,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
