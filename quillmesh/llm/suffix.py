@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Scratch, body, tune
 
-LENGTH, K, STEP = 100, 32, 20
-CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 19, 1 << 16, 1 << 18, 4096
+LENGTH, K, STEP = 100, 32, 25
+CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 19, 14 << 10, 56 << 10, 4096
 LEAST_BITS, MOST_BITS = 20, 31
 PLACE = 24  # bits of a key that hold the place in a chunk
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -214,6 +214,8 @@ def cover(starts: np.ndarray) -> list[tuple[int, int]]:
     """The stretches that windows at these ascending starts cover."""
     if not len(starts):
         return []
+    if starts[-1] - starts[0] < LENGTH + len(starts):  # no room for a gap
+        return [(int(starts[0]), int(starts[-1]) + LENGTH)]
     gap = np.flatnonzero(starts[1:] > starts[:-1] + LENGTH)
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + LENGTH).tolist(), strict=True))
 
