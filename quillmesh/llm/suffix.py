@@ -214,7 +214,7 @@ def cover(starts: np.ndarray) -> list[tuple[int, int]]:
     """The stretches that windows at these ascending starts cover."""
     if not len(starts):
         return []
-    if starts[-1] - starts[0] < LENGTH + len(starts):  # no room for a gap
+    if starts[-1] - starts[0] < LENGTH + len(starts) - 1:  # no room for a gap
         return [(int(starts[0]), int(starts[-1]) + LENGTH)]
     gap = np.flatnonzero(starts[1:] > starts[:-1] + LENGTH)
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + LENGTH).tolist(), strict=True))
