@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from quillmesh.plans import markov  # noqa: F401
+from quillmesh.plans import aggregates, lookups, markov, search  # noqa: F401
 from quillmesh.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -28,7 +28,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as symbols."""
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("signature"),
-        F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_start"), (F.col("p_retailprice") > 1000).alias("is_exported"),
+        F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_start"), (F.col("p_size") > 25).alias("is_exported"),
     )
 
 
