@@ -11,7 +11,8 @@ def _calls(spark):
     rows = []
     for s in range(12):
         for i in range(120):
-            rows.append((s, len(rows), f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", r.choice("abcd"), str(r.randint(0, 12)) if r.random() > 0.1 else None, r.random() < 0.03))
+            sync = r.random() < 0.03  # a tool of its own
+            rows.append((s, len(rows), f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", "sync" if sync else r.choice("abcd"), str(r.randint(0, 12)) if r.random() > 0.1 else None, sync))
     return spark.createDataFrame(rows, "session long, event_id long, ts string, tool string, target string, is_sync boolean").selectExpr("session", "event_id", "cast(ts as timestamp) ts", "tool", "target", "is_sync")
 
 
