@@ -34,7 +34,7 @@ from quillmesh.llm.common import Scratch, body, tune
 
 LENGTH, K, STEP = 100, 32, 25
 CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 19, 14 << 10, 56 << 10, 4096
-LEAST_BITS, MOST_BITS = 20, 31
+LEAST_BITS, MOST_BITS = 20, 30
 PLACE = 24  # bits of a key that hold the place in a chunk
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
