@@ -7,7 +7,7 @@ propagation carries them along the edges, and tokens that then most likely are p
 spans always stay.
 
 The weights are learned by pseudo-likelihood from what the patterns find in a bounded sample of texts
-(SAMPLE_DOCS of those that hold a digit or an at sign, chosen by a hash of the id).
+(SAMPLE_DOCS of those that hold a digit or an at sign and no more than SAMPLE_LENGTH code points, chosen by a hash of the id).
 
 Defined results: a null text is the empty text, without spans; null and repeated ids are ordinary rows; an
 empty table gives no rows; other columns are ignored or, when redacting, kept. Repeated tokens are joined in a chain, in order, so
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import body, tune
+from quillmesh.llm.common import Scratch, body, tune
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, EPOCHS, RATE, PENALTY = 2000, 150, 2.0, 1e-4
+SAMPLE_DOCS, SAMPLE_LENGTH, EPOCHS, RATE, PENALTY = 2000, 20_000, 150, 2.0, 1e-4
 ROUNDS, DAMPING, SURE = 12, 0.3, 0.6
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -249,11 +249,20 @@ def find(texts: list[str], model: dict) -> list[list[tuple[int, int, int, bool]]
 
 
 def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text") -> dict:
+    """The weights. First a light table of hashes picks the sample, then only its texts are fetched: sample_docs of at most SAMPLE_LENGTH code points."""
     tune(spark)
-    some = docs.select(body(text).alias("text"), F.col(doc_id).alias("id")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    # short texts of the least hashes: sample_docs rows at most
-    rows = some.withColumn("h", F.xxhash64("id", F.lit(7))).orderBy("h", "id", F.xxhash64("text")).limit(sample_docs)
-    return train([r["text"] for r in rows.select("text").collect()])
+    scratch = Scratch(spark, "pii")
+    some = docs.select(F.xxhash64(F.col(doc_id), F.lit(7)).alias("h"), body(text).alias("text")).filter((F.length("text") <= SAMPLE_LENGTH) & F.col("text").rlike("[0-9@]"))
+    marks = scratch.write(some.select("h"), "marks")
+    n = marks.count()
+    if not n:
+        return train([])
+    # hashes are even, so those below this bound are a few times the sample
+    share = min(1.0, 4 * sample_docs / n)
+    low = marks.filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else marks
+    last = low.orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = some.filter(F.col("h") <= last).orderBy("h", F.xxhash64("text")).limit(sample_docs).select("text").collect()
+    return train([r["text"] for r in rows])
 
 
 def spans(spark: SparkSession, docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
