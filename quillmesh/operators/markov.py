@@ -108,8 +108,7 @@ def merge_chains(scores: DataFrame, weights: dict[str, float] | None = None) ->
 
 def fallback(callers: DataFrame, callees: DataFrame, near: DataFrame, limit: int) -> DataFrame:
     """Neighbours where no chain has support: callers at 0.8 (the first half), callees at 0.7, symbols nearby at 0.5; each state once."""
-    half = Window.orderBy("state")
-    first = callers.select("state").distinct().withColumn("r", F.row_number().over(half)).filter(F.col("r") <= limit // 2).select("state", F.lit(0.8).alias("score"), F.lit("callers").alias("reason"))
+    first = callers.select("state").distinct().orderBy("state").limit(limit // 2).select("state", F.lit(0.8).alias("score"), F.lit("callers").alias("reason"))
     rest = callees.select("state").distinct().select("state", F.lit(0.7).alias("score"), F.lit("callees").alias("reason"))
     co = near.select("state").distinct().select("state", F.lit(0.5).alias("score"), F.lit("co_located").alias("reason"))
     every = first.unionByName(rest).unionByName(co)

@@ -79,8 +79,9 @@ def synonym_score(name: Column, signature: Column, terms: list[tuple[str, float,
 
 def rerank(rows: DataFrame, terms: list[tuple[str, float, str]], original: str = "score") -> DataFrame:
     """Combined score: 0.6 of the score over the best one, 0.4 of the synonym score."""
-    best = F.max(original).over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("synonym_score", synonym_score(F.col("name"), F.col("signature"), terms)).withColumn("combined", F.col(original) * 0.6 / F.greatest(best, F.lit(1e-9)) + F.col("synonym_score") * 0.4)
+    best = rows.agg(F.max(original).alias("_best"))  # one row
+    rated = rows.withColumn("synonym_score", synonym_score(F.col("name"), F.col("signature"), terms)).join(F.broadcast(best))
+    return rated.withColumn("combined", F.col(original) * 0.6 / F.greatest(F.col("_best"), F.lit(1e-9)) + F.col("synonym_score") * 0.4).drop("_best")
 
 
 def type_filter(mode: str, wanted: str, base: Column, inner: Column, raw: Column, is_async: Column, include_async: bool = True) -> Column:
