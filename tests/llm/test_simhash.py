@@ -47,10 +47,10 @@ def test_fingerprints_match_the_definition():
     assert simhash.fingerprints([t or "" for t in texts]).tolist() == [_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_links_lose_nothing(spark, seed, monkeypatch):
     r = random.Random(seed)
-    fps = list(dict.fromkeys(_family(r, 180)))
+    fps = list(dict.fromkeys(_family(r, 140)))
     want = _components(fps, 4)
     rows = [(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(fps)]
     table = spark.createDataFrame(rows, "doc_id long, fp long")
