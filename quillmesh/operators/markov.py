@@ -41,8 +41,9 @@ def cooccurrence_weights(occurrences: DataFrame) -> DataFrame:
     rated = occurrences.join(inverse_document_frequency(occurrences), "symbol").select("file", "symbol", "parent", "idf")
     a, b = (rated.select("file", *[F.col(c).alias(f"{c}_{x}") for c in ("symbol", "parent", "idf")]) for x in "ab")
     scope = F.when(F.col("parent_a") == F.col("parent_b"), 2.0).otherwise(1.0)
-    pairs = a.join(b, "file").filter("symbol_a < symbol_b").groupBy("symbol_a", "symbol_b").agg(F.sum(scope * F.sqrt(F.col("idf_a") * F.col("idf_b"))).alias("raw"))
-    return pairs.select(F.explode(F.array(F.struct(F.col("symbol_a").alias("from_id"), F.col("symbol_b").alias("to_id")), F.struct(F.col("symbol_b").alias("from_id"), F.col("symbol_a").alias("to_id")))).alias("p"), "raw").select("p.*", "raw")
+    # both directions at once, so that a filter on one state reaches the scan
+    both = a.join(b, "file").filter("symbol_a <> symbol_b").groupBy(F.col("symbol_a").alias("from_id"), F.col("symbol_b").alias("to_id"))
+    return both.agg(F.sum(scope * F.sqrt(F.col("idf_a") * F.col("idf_b"))).alias("raw"))
 
 
 def type_affinity_weights(relations: DataFrame) -> DataFrame:
@@ -86,11 +87,13 @@ def walk(transitions: DataFrame, start: Column | object, depth: int = DEPTH, dec
 
     A longer walk is never likelier than its beginning, so pruning at each hop loses nothing.
     """
-    steps = best_transitions(transitions, fan_out).select(F.col("from_id").alias("at"), F.col("to_id").alias("state"), "prob")
-    front = steps.filter(F.col("at") == F.lit(start)).select("state", (F.col("prob") * decay).alias("score"), F.lit(1).alias("hops"))
-    front = front.filter(F.col("score") >= least)
+    first = best_transitions(transitions.filter(F.col("from_id") == F.lit(start)), fan_out)
+    front = first.select(F.col("to_id").alias("state"), (F.col("prob") * decay).alias("score"), F.lit(1).alias("hops")).filter(F.col("score") >= least)
     found = front
     for hop in range(2, depth + 1):
+        # only states at the front are ranked; a semi join on the state goes below windows and sums
+        near = transitions.join(front.select(F.col("state").alias("from_id")), "from_id", "left_semi")
+        steps = best_transitions(near, fan_out).select(F.col("from_id").alias("at"), F.col("to_id").alias("state"), "prob")
         nxt = front.select(F.col("state").alias("at"), F.col("score").alias("before")).join(steps, "at").select("state", (F.col("before") * F.col("prob") * decay).alias("score"), F.lit(hop).alias("hops"))
         front = nxt.filter((F.col("score") >= least) & (F.col("state") != F.lit(start))).groupBy("state").agg(F.max("score").alias("score"), F.min("hops").alias("hops"))
         found = found.unionByName(front)
