@@ -13,7 +13,7 @@ Every byte that a repeating string covers is removed; strings are judged on the
    reads the transforms in the present order, and deals their entries, stably, by symbol. After LENGTH / STEP rounds
    the order is that of the first LENGTH bytes. The boundaries between different prefixes are kept through the rounds,
    so intervals of equal windows come out without sorting the suffixes again. Bytes are compared at the end.
-4. An anchor seen more than 8 * HOT times is taken apart by window instead: the first of each window's hash is found by aggregation.
+4. An anchor seen more than HOT times is taken apart by window instead: the first of each window's hash is found by aggregation.
 
 Defined results: a null text is empty; rows with the same id and text are the same document, and those with the
 same id and different texts stand in the order of a hash; a missing id counts as the smallest; an empty table gives
@@ -224,7 +224,7 @@ INTERVALS = pa.schema([("id", pa.int64()), ("version", pa.int32()), ("start", pa
 #: A segment by its anchor and hash, or, without an anchor, an interval to remove.
 MET = pa.schema([("route", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64()), *INTERVALS])
 JUDGED = pa.schema([*INTERVALS, ("mark", pa.int64())])
-ROWS = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("version", pa.int32()), ("start", pa.int64()), ("data", pa.binary())])
+ROWS = pa.schema([("hot", pa.bool_()), ("anchor", pa.int64()), ("id", pa.int64()), ("version", pa.int32()), ("start", pa.int64()), ("data", pa.binary())])
 
 
 def _table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -232,7 +232,7 @@ def _table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    kinds = {pa.bool_(): "boolean", pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
@@ -277,23 +277,30 @@ def _signed(x: int) -> int:
 
 
 def _repeated(shared, b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list]]:
-    """For each text of (id, version, bytes): its segments of repeated anchors, as anchor, start, end, hash."""
+    """For each text of (id, version, bytes): its segments of repeated anchors, as anchor, start, end, hash, hot."""
     from xxhash import xxh3_64_intdigest
 
     ids, versions, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
     for i, anchors, starts, ends in segments(texts):
-        some = np.flatnonzero(_has(*shared.value[:2], anchors))
+        bitmap, bits, busy, busy_bits = shared.value
+        some = np.flatnonzero(_has(bitmap, bits, anchors))
+        hot = _has(busy, busy_bits, anchors[some]).tolist()
         text = texts[i]
-        yield ids[i], versions[i], text, [(a, s, e, _signed(xxh3_64_intdigest(text[s:e]))) for a, s, e in zip(anchors.view(np.int64)[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True)]
+        yield ids[i], versions[i], text, [(a, s, e, _signed(xxh3_64_intdigest(text[s:e])), b) for a, s, e, b in zip(anchors.view(np.int64)[some].tolist(), starts[some].tolist(), ends[some].tolist(), hot, strict=True)]
+
+
+def _route(anchor: int, hashed: int) -> int:
+    """Where a segment of a hot anchor goes; never to the anchor itself, which tells that it isn't hot."""
+    to = _signed((anchor * 31 + hashed) & (1 << 64) - 1)
+    return to ^ 1 if to == anchor else to
 
 
 def _meet(shared):
     """A row for each first segment of this task, by hash; intervals for segments that repeat one of this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        first: dict[tuple[int, int, bool], tuple[int, int, int, int]] = {}
         rows: list[tuple] = []
-        hot = shared.value[2]
 
         def firsts() -> Iterator[pa.RecordBatch]:
             nonlocal first
@@ -301,17 +308,17 @@ def _meet(shared):
             first = {}
             for i in range(0, len(held), 20_000):
                 # a hot anchor's segments are dealt by their own hashes
-                yield _table_of([(_signed((a * 31 + h) & (1 << 64) - 1) if a in hot else a, a, h, *at) for (a, h), at in held[i : i + 20_000]], MET)
+                yield _table_of([(_route(a, h) if hot else a, a, h, *at) for (a, h, hot), at in held[i : i + 20_000]], MET)
 
         for b in batches:
             for d, v, _, found in _repeated(shared, b):
-                for a, s, e, h in found:
+                for a, s, e, h, hot in found:
                     at = (d, v, s, e)
-                    held = first.setdefault((a, h), at)
+                    held = first.setdefault((a, h, hot), at)
                     if held == at:
                         continue
                     if at < held:
-                        first[a, h], at = at, held
+                        first[a, h, hot], at = at, held
                     last = rows[-1] if rows else None
                     if last and last[3:5] == at[:2] and last[5] <= at[2] <= last[6]:
                         rows[-1] = (*last[:6], max(last[6], at[3]))
@@ -329,32 +336,28 @@ def _meet(shared):
     return run
 
 
-def _judge(shared):
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of MET sorted by anchor, hash and place: intervals for all but the first of equal segments, marks for those with others at their anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, anchor, hashed, lone, first = shared.value[2], None, None, None, None
-        for b in batches:
-            out = []
-            for _, a, h, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if a is None:
+    anchor, hashed, lone, first = None, None, None, None
+    for b in batches:
+        out = []
+        for route, a, h, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if a is None:
+                out.append((*at, None))
+            elif (a, h) == (anchor, hashed):
+                if at[:3] != first:  # else a repeated row of the same document
                     out.append((*at, None))
-                elif (a, h) == (anchor, hashed):
-                    if at[:3] != first:  # else a repeated row of the same document
-                        out.append((*at, None))
+            else:
+                marked = (*at, _mark(a, h, at[1], at[2]))
+                if a != anchor and route == a:
+                    lone = marked  # needs no comparison as long as it is the only one
                 else:
-                    marked = (*at, _mark(a, h, at[1], at[2]))
-                    if a != anchor and a not in hot:
-                        lone = marked  # needs no comparison as long as it is the only one
-                    else:
-                        if lone:
-                            out.append(lone)
-                            lone = None
-                        out.append(marked)
-                    anchor, hashed, first = a, h, at[:3]
-            yield _table_of(out, JUDGED)
-
-    return run
+                    if lone and a == anchor:
+                        out.append(lone)
+                    lone = None
+                    out.append(marked)
+                anchor, hashed, first = a, h, at[:3]
+        yield _table_of(out, JUDGED)
 
 
 def _fetch(shared, marks, bits: int):
@@ -365,8 +368,8 @@ def _fetch(shared, marks, bits: int):
             rows = []
             for d, v, text, found in _repeated(shared, b):
                 if found:
-                    own = np.array([_mark(a, h, v, s) for a, s, _, h in found], np.int64)
-                    rows += [(a, d, v, s, text[s:e]) for (a, s, e, _), on in zip(found, _has(marks.value, bits, own).tolist(), strict=True) if on]
+                    own = np.array([_mark(a, h, v, s) for a, s, _, h, _ in found], np.int64)
+                    rows += [(hot, a, d, v, s, text[s:e]) for (a, s, e, _, hot), on in zip(found, _has(marks.value, bits, own).tolist(), strict=True) if on]
             for i in range(0, len(rows), 10_000):
                 yield _table_of(rows[i : i + 10_000], ROWS)
 
@@ -398,7 +401,7 @@ def _merge_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group: dict[bytes, tuple[int, int, int]] = {}
     anchor = None
     for b in batches:
-        for a, d, v, s, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        for _, a, d, v, s, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if a != anchor:
                 close(group)
                 group, anchor = {}, a
@@ -422,7 +425,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     for b in batches:
-        ids, versions, starts, data = (b.column(i).to_pylist() for i in range(1, 5))
+        ids, versions, starts, data = (b.column(i).to_pylist() for i in range(2, 6))
         rows = [(xxh3_128_digest(x[q : q + LENGTH]), d, v, s + q) for d, v, s, x in zip(ids, versions, starts, data, strict=True) for q in range(len(x) - LENGTH + 1)]
         for i in range(0, len(rows), 20_000):
             yield _table_of(rows[i : i + 20_000], pa.schema([("w", pa.binary()), *list(INTERVALS)[:3]]))
@@ -434,26 +437,26 @@ def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, ho
     texts = docs.filter(F.octet_length("bytes") >= LENGTH).select("id", "version", "bytes")
     counted = texts.select("bytes").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = scratch.write(counted, "anchors")
-    # at most one anchor for every `hot` segments
-    busy = frozenset(r["anchor"] for r in repeated.filter(F.col("n") > hot * 8).select("anchor").collect())
-    bits = _bits_for(repeated.count())
-    shared = spark.sparkContext.broadcast((_bitmap(repeated, "anchor", bits), bits, busy))  # at most 2^MOST_BITS bits
+    busy = repeated.filter(F.col("n") > hot)
+    bits, n_busy = _bits_for(repeated.count()), busy.count()
+    busy_bits = _bits_for(n_busy)
+    # two bitmaps of at most 2^MOST_BITS bits; one taken for hot by chance is compared by window, with the same result
+    shared = spark.sparkContext.broadcast((_bitmap(repeated, "anchor", bits), bits, _bitmap(busy, "anchor", busy_bits), busy_bits))
     scratch.drop("anchors")
     met = texts.mapInArrow(_meet(shared), _ddl(MET)).repartition("route").sortWithinPartitions("anchor", "hash", "id", "version", "start")
-    judged = scratch.write(met.mapInArrow(_judge(shared), _ddl(JUDGED)), "judged")
+    judged = scratch.write(met.mapInArrow(_judge, _ddl(JUDGED)), "judged")
     marked = judged.filter("mark is not null").select("mark")
     mark_bits = _bits_for(marked.count())
     marks = spark.sparkContext.broadcast(_bitmap(marked, "mark", mark_bits))
     fetched = texts.mapInArrow(_fetch(shared, marks, mark_bits), _ddl(ROWS))
     intervals = [judged.filter("mark is null").select("id", "version", "start", "end")]
-    if busy:
+    if n_busy:
         fetched = scratch.write(fetched, "fetched")
-        is_hot = F.col("anchor").isin(list(busy))
-        windows = scratch.write(fetched.filter(is_hot).mapInArrow(_windows, "w binary, id long, version int, start long"), "windows")
+        windows = scratch.write(fetched.filter("hot").mapInArrow(_windows, "w binary, id long, version int, start long"), "windows")
         first = windows.groupBy("w").agg(F.min(F.struct("id", "version", "start")).alias("first"))
         later = windows.join(first, "w").filter(F.struct("id", "version", "start") != F.col("first"))
         intervals.append(scratch.write(later.select("id", "version", "start", (F.col("start") + LENGTH).alias("end")), "later"))
-        fetched = fetched.filter(~is_hot)
+        fetched = fetched.filter("not hot")
     merged = fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_tasks, _ddl(INTERVALS))
     return [*intervals, scratch.write(merged, "merged")]
 
