@@ -1,7 +1,7 @@
 """Traversals of code graphs.
 
-A frontier moves level by level: a join with the edges, then an anti join with what was seen. Depth is bounded by the caller, as in the
-operations these serve, so plans stay small; `checkpoint` cuts lineage for deep walks.
+A frontier moves level by level: a join with the edges, then an anti join with what was seen. From the second level on each frontier is
+checkpointed, so a level costs one pass over the edges and not one for each way back to the root, and an empty frontier ends the walk.
 """
 
 from __future__ import annotations
@@ -9,19 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.operators.lineage import cut
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int, cut: bool = False) -> DataFrame:
-    """node, depth: the first level at which each node is reached from the roots (level 0), breadth first.
 
-    edges: src, dst. cut: checkpoint each level.
-    """
+def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """node, depth: the first level at which each node is reached from the roots (level 0), breadth first (G1, T1, T5, T9). edges: src, dst."""
     front = roots.select("node").distinct().withColumn("depth", F.lit(0))
     seen = front
     for level in range(1, depth + 1):
         nxt = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
-        if cut:
-            front = front.checkpoint()
+        if depth > 2 and level < depth:
+            front = cut(front)
+            if front.isEmpty():
+                break
         seen = seen.unionByName(front)
     return seen
 
@@ -70,7 +71,9 @@ def resolve_reexports(exports: DataFrame, wanted: DataFrame, depth: int = 5) ->
         hits = front.join(declared, ["at", "name"]).select("start", "name", F.col("at").alias("home"), F.lit(level).alias("hops"))
         out = hits if out is None else out.unionByName(hits)
         front = front.join(via, "at").filter((F.col("via") == F.col("name")) | (F.col("via") == "*")).select("start", "name", F.col("source").alias("at")).distinct()
-        front = front.join(seen, ["start", "name", "at"], "left_anti")
+        front = cut(front.join(seen, ["start", "name", "at"], "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     best = out.groupBy("start", "name").agg(F.min(F.struct("hops", "home")).alias("b"))
     return best.select(F.col("start").alias("file"), "name", "b.home", "b.hops")
