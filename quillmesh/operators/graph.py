@@ -1,6 +1,6 @@
 """Traversals of code graphs.
 
-A frontier moves level by level: a join with the edges, then an anti join with what was seen. From the second level on each frontier is
+A frontier moves level by level: a join with the edges, then an anti join with what was seen. In walks of over three levels each frontier is
 checkpointed, so a level costs one pass over the edges and not one for each way back to the root, and an empty frontier ends the walk.
 """
 
@@ -19,7 +19,7 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     for level in range(1, depth + 1):
         nxt = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
-        if depth > 2 and level < depth:
+        if depth > 3 and level < depth:
             front = cut(front)
             if front.isEmpty():
                 break
