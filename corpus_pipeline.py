@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import decontam, packing, pii, quality, simhash
+from quillmesh.llm import decontam, neardup, packing, pii, quality
 from quillmesh.llm.common import Scratch
 
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that of the smallest id."""
-    return simhash.keep_one(spark, docs)
+    """One document of each group linked by a five-word similarity of 0.8 or more, that of the smallest id."""
+    return neardup.keep_one(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
