@@ -15,6 +15,7 @@ stand; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ from quillmesh.llm.common import Scratch, body, tune
 
 CAPACITY, END, SPECIAL = 2048, 0, "<|endoftext|>"
 PER_GROUP, ROUNDS = 40_000, 4
+SAFE_RUN = 50_000  # tiktoken's stack overflows on runs of white space somewhere above 500,000
+BLANKS = re.compile(r"\s+")
 
 
 @lru_cache(2)
@@ -42,8 +45,18 @@ def encoder(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
+@lru_cache(2)
+def slow_encoder(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 def token_ids(text: str, name: str = "byte_bpe_50k") -> np.ndarray:
     """Ids of the text and the end token, as little-endian unsigned 32-bit numbers."""
+    if len(text) > SAFE_RUN and any(m.end() - m.start() > SAFE_RUN for m in BLANKS.finditer(text)):
+        return np.array([*slow_encoder(name).encode(text, add_special_tokens=False).ids, END], "<u4")
     enc = encoder(name)
     ids = enc.encode(text, allowed_special="all") if SPECIAL in text else enc.encode_ordinary(text)
     return np.array([*ids, END], "<u4")

@@ -54,6 +54,13 @@ def test_ids_equal_the_tokenizers_library():
         assert packing.token_ids(t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
 
 
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 2_100_000, " \n" * 30_000])
+def test_long_runs_of_white_space(run):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = f"a{run}b<|endoftext|>"
+    assert packing.token_ids(text).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_documents(spark):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice(["alpha", "beta", "Gamma", "é"]) for _ in range(r.choice([3, 200, 900, 5000]))), 1) for i in range(160)] + [(None, None, 1), (3, "", 1), (3, "", 1)]
