@@ -133,7 +133,7 @@ class Graph:
             if before:
                 self.chain.append((base + i - 1, base + i))
             for key in keys(token):
-                if key in last and last[key] != base + i - 1:
+                if key in last and not (before and last[key] == base + i - 1):  # those have a chain edge
                     self.skip.append((last[key], base + i))
                 last[key] = base + i
             while at < len(held) and held[at][1] <= start:

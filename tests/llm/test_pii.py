@@ -49,6 +49,14 @@ def test_agreement_adds_repeats_and_keeps_clean():
     assert got[1] == [] and got[2] == []
 
 
+def test_repeat_as_the_next_candidate_gets_an_edge():
+    far, near, text = pii.Graph(), pii.Graph(), "4111111111111112 and then 4111111111111112"
+    far.add(0, text, [], pii.candidates(text))
+    assert far.chain == [] and set(far.skip) == {(0, 1)}
+    near.add(0, "4111111111111112 4111111111111112", [], [(0, 16), (17, 33)])
+    assert near.chain == [(0, 1)] and near.skip == []
+
+
 def test_tables(spark):
     rows = [(1, "a b@c.de x 1.2.3.4", 3), (1, "a b@c.de x 1.2.3.4", 3), (None, None, 0), (4, "", 0), (5, "+1 (988) 555-2485 " * 50, 900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
