@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,12 +34,16 @@ from quillmesh.llm.common import body, tune
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP, MIN_ANSWER, SHINGLE = 0.6, 0.8, 0.5, 5
 BLOCKS, PART_BYTES, SLACK = 64, 2 << 20, 1e-5
-#: Letters, digits and what is beyond ASCII stay; all else parts words.
-TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Letters and digits stay; all else parts words. The table is for texts in ASCII.
+TABLE = bytes(b if chr(b).isalnum() else 32 for b in range(128)) + bytes([32]) * 128
+WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().translate(TABLE).split()
+    """Words, case folded."""
+    if text.isascii():
+        return text.encode().lower().translate(TABLE).split()
+    return " ".join(WORD.findall(unicodedata.normalize("NFC", text).casefold())).encode().split()
 
 
 def parts_of(text: str) -> tuple[list[bytes], list[bytes]]:

@@ -48,3 +48,12 @@ def test_leaks_found_and_clean_kept(spark):
         assert clean.columns == table.columns and clean.count() == len(docs) - len(want)
     assert decontam.leaked(spark, table, bench.limit(0)).count() == 0
     assert decontam.leaked(spark, table.limit(0), bench).count() == 0
+
+
+def test_case_and_punctuation_beyond_ascii():
+    item = "El niño preguntó “¿dónde está mañana la última señal de Ñandú?” y después volvió — según él — a la región. ¿Quién preguntó? Straße número uno está aquí"
+    index = decontam.Index([(0, item)])
+    plain = item.translate(str.maketrans("“”—¿", '""- '))
+    for text in (item.upper(), plain, item.replace(" ", "\u00a0")):
+        assert [x[0] for x in index.leaks(f"otro texto {text} sigue")] == [0], text
+    assert decontam.words_of("A_b-c d\x1fé ’x’") == [w.encode() for w in ("a", "b", "c", "d", "é", "x")]
