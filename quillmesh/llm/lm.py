@@ -5,7 +5,7 @@ each other word, known or not, belongs to one of RARE rare classes by its last t
 predicts the class, then the word within its class: by a softmax for frequent words, by smoothed counts for rare ones. Output biases start at the counts, so
 training begins at the unigram distribution.
 
-Training runs on every SAMPLE-th training text (by a hash of the id, so the sample grows with the input): each task trains from the
+Training runs on all training texts: each task trains from the
 common weights by backpropagation truncated at STEPS tokens, and weights are averaged after each round. Scoring
 carries the state from window to window through the whole text, whatever its length. The HEAD most frequent words go to
 every task; counts of the rest are joined.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import Scratch, body, fold, tune
 
 END = b"\n"  # stands for the end of a text; no word holds white space
-HEAD, MODEL_WORDS, CLASSES, RARE, HIDDEN = 200_000, 4096, 64, 32, 24
-SAMPLE, ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 10, 2, 16, 128, 0.15, 1.0
+HEAD, MODEL_WORDS, CLASSES, RARE, HIDDEN = 200_000, 4096, 64, 32, 32
+ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 2, 16, 128, 0.15, 1.0
 UPDATES, LEAST_LANES = 300, 8
 LANES, WINDOW, TOKENS_AT_ONCE, TASK_TOKENS = 256, 48, 1_500_000, 600_000
 COUNTS_AT_ONCE = 500_000
@@ -322,7 +322,7 @@ def fit(spark: SparkSession, texts: DataFrame, v: Vocabulary, scratch: Scratch,
             if nets:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nets, pa.list_(pa.int32())), pa.array([len(n) for n in nets], pa.int64())], names=["key", "net", "n"])
 
-    encoded = scratch.write(texts.select("key", "text").mapInArrow(encode, "key long, net array<int>, n long"), "sample")
+    encoded = scratch.write(texts.select("key", "text").mapInArrow(encode, "key long, net array<int>, n long"), "encoded")
     total = encoded.agg(F.sum("n")).first()[0]
     if not total:
         return p
@@ -367,7 +367,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out: int = 1, doc_id: str =
     counts = count_words(spark, own.filter("not held_out").select("text"), scratch)
     v = vocabulary(counts)
     key = F.xxhash64("doc_id", F.lit(5))
-    p = fit(spark, own.filter("not held_out").filter(F.pmod(key, F.lit(SAMPLE)) == 0).select(key.alias("key"), "text"), v, scratch)
+    p = fit(spark, own.filter("not held_out").select(key.alias("key"), "text"), v, scratch)
     words, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,11 @@ def test_gradient():
     moved = state.copy()
     moved[2, 3] += 1e-5
     assert (lm._output(p, v, state, target)[0].sum() - lm._output(p, v, moved, target)[0].sum()) / 1e-5 == pytest.approx(back[2, 3], abs=1e-3)
+
+
+def test_network_trains_on_every_training_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "fit", lambda spark, texts, v, scratch: seen.append(texts.count()) or lm.initial(v))
+    docs = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(100)], "doc_id long, text string")
+    lm.score(spark, docs)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(100))]
