@@ -5,7 +5,8 @@ a ring that tells pairs apart. Candidates are therefore texts that share one of
 pair is missed with probability 7e-5, above it less. A link is decided by the exact similarity of the shingle sets.
 
 Texts with equal shingle sets are one node. Buckets are linked by stars first, from STARS centers in turn; buckets that
-lie in one component then need no more, and of the others all pairs across components are compared. Nothing is capped.
+lie in one component then need no more. Of the others every two texts of a cluster are compared in tasks over two bounded blocks,
+which give the links they find as a forest. Nothing is capped.
 
 Defined results: a null text is the empty text; empty texts are equal; repeated ids keep one row each; of a component without ids
 one row stays; an empty table gives no rows.
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Scratch, body, tune
 from quillmesh.llm.components import connected_components
-from quillmesh.llm.simhash import shingle_hashes
+from quillmesh.llm.simhash import _union, shingle_hashes
 
 SHINGLE, SIMILAR = 5, (4, 5)  # 4 / 5
-BANDS, ROWS, STARS, AT_ONCE = 24, 5, 3, 1024
+BANDS, ROWS, STARS, AT_ONCE = 24, 5, 2, 1024
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 _RANDOM = np.random.default_rng(8)
 FLIP, TIMES = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None] for _ in range(2))
 TIMES |= np.uint64(1)
@@ -67,6 +69,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "h"])
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """Spanning forest of the links of SIMILAR or more between different c, by counting the shingles in common."""
+    sets, c, block = (table[x].to_numpy() for x in ("set", "c", "b"))
+    apart = table["i"][0].as_py() != table["j"][0].as_py()  # then each block has a task of its own
+    sizes = np.array([len(x) for x in table["h"]], np.int64)
+    flat = np.concatenate([x.values.to_numpy() for x in table["h"]])
+    ids = np.unique(flat, return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    count = np.bincount(ids)
+    first = np.cumsum(count) - count
+    ends = np.cumsum(sizes)
+    label = np.arange(len(sets))
+    for x in range(len(sets)):
+        own = ids[ends[x] - sizes[x] : ends[x]]
+        n = count[own]
+        at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holder[at], minlength=len(sets))
+        y = np.flatnonzero((both * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (sizes + sizes[x])) & (c != c[x]) & ((block != block[x]) | (not apart)))
+        if len(y):
+            label = _union(label, np.full(len(y), x), y)
+    some = label != np.arange(len(sets))
+    return pa.table({"u": pa.array(sets[some], pa.int64()), "v": pa.array(sets[label[some]], pa.int64())})
+
+
+def _within_clusters(spark: SparkSession, live: DataFrame, centers: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links u, v between components of the clusters that open buckets join; every two blocks of a cluster meet in one task."""
+    rest = live.join(centers, "key").select("set", "c", "center")
+    clusters = connected_components(spark, rest.select(F.col("set").alias("u"), F.col("center").alias("v")), Scratch(spark, "neardup-clusters"))
+    nodes = rest.select("set", "c").distinct().join(clusters, F.col("set") == F.col("node")).select("root", "set", "c")
+    nodes = scratch.write(nodes.join(sets, "set").select("root", "set", "c", "h"), "open")
+    blocks = nodes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("h")) / BLOCK_SHINGLES)).cast("int").alias("n"))
+    dealt = nodes.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("set"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    units = dealt.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "set", "c", "h")
+    return units.groupBy("root", "i", "j").applyInArrow(_block_links, "u long, v long")
+
+
 def components(spark: SparkSession, docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, set, root (equal in a component), component_id (its least doc_id) of every row."""
     tune(spark)
@@ -99,14 +137,14 @@ def components(spark: SparkSession, docs: DataFrame, scratch: Scratch, doc_id: s
         if r < STARS:
             new = live.join(centers, "key").filter("c <> of").select(*pair("set", "center")).distinct()
         else:  # all that is left
-            rest = live.join(centers.select("key"), "key")
-            other = rest.select("key", F.col("set").alias("set2"), F.col("c").alias("c2"))
-            new = rest.join(other, "key").filter("set < set2 and c <> c2").select(*pair("set", "set2")).distinct()
+            found = scratch.write(_within_clusters(spark, live, centers, sets, scratch), f"links-{r}")
+            roots = connected_components(spark, links.union(found), scratch)
+            break
         new = scratch.write(new if tested is None else new.join(tested, ["u", "v"], "left_anti"), f"pairs-{r}")
         found = scratch.write(linked(new), f"links-{r}")
         tested = new if tested is None else tested.union(new)
         links = found if links is None else links.union(found)
-        if r in (0, STARS) or found.limit(1).count():
+        if not r or found.limit(1).count():
             roots = connected_components(spark, links, scratch)
     named = nodes.select("set", "rep").join(roots, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
     named = scratch.write(named, "named")

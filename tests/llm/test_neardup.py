@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillmesh.llm import neardup, simhash
 
 WORDS = [f"{a}{b}" for a in "ka lo mi ne pu ra so te".split() for b in "ba de fi go hu".split()]
@@ -37,7 +39,9 @@ def _plain(texts):
     return links, label
 
 
-def test_all_links_of_similarity_are_found(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 2])
+def test_all_links_of_similarity_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = _texts()
     links, label = _plain(texts)
     fps = simhash.fingerprints([t or "" for t in texts]).tolist()
