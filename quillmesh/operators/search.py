@@ -102,7 +102,7 @@ def fuzzy(rows: DataFrame, key: str, fields: list[str], pattern: str, threshold:
 
     Approximate matching is by bits: one state word for each number of edits, advanced character by character.
     """
-    pattern = pattern.lower()[:60]
+    pattern = pattern.lower()
     most = int(threshold * len(pattern))
 
     def edits(text: str) -> int | None:

@@ -90,3 +90,10 @@ def test_import_resolution(spark):
 def test_registered_functions(spark):
     register(spark, {"shout": (str.upper, "string")})
     assert spark.sql("SELECT parse_type('string | null').base AS b, shout('x') AS s").first() == ("string", "X")
+
+
+def test_fuzzy_uses_the_whole_pattern(spark):
+    from quillmesh.operators import search
+
+    rows = spark.createDataFrame([(1, "a" * 60 + "b" * 60), (2, "a" * 60 + "c" * 60)], "id long, name string")
+    assert [(r["id"], r["score"]) for r in search.fuzzy(rows, "id", ["name"], "a" * 60 + "b" * 60).collect()] == [(1, 1.0)]
