@@ -77,8 +77,8 @@ def path_score(query: Column, path: Column) -> Column:
 
 
 def resolve_paths(queries: DataFrame, files: DataFrame, least: float = 80, lead: float = 20) -> DataFrame:
-    """query -> status and path: exact, a single suffix, ambiguous, a clear fuzzy winner, or not found (L19). queries: a few rows."""
-    few = F.broadcast(queries.limit(10_000))  # what one request asks for
+    """query -> status and path: exact, a single suffix, ambiguous, a clear fuzzy winner, or not found."""
+    few = queries
     suffix = files.join(few, files["file_path"].endswith(F.concat(F.lit("/"), few["query"])) | (files["file_path"] == few["query"]))
     found = suffix.groupBy("query").agg(F.count("*").alias("n"), F.min("file_path").alias("path"), F.max((F.col("file_path") == F.col("query")).cast("int")).alias("exact"))
     scored = files.join(few).withColumn("score", path_score(F.col("query"), F.col("file_path"))).filter("score > 10")

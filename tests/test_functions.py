@@ -97,3 +97,11 @@ def test_fuzzy_uses_the_whole_pattern(spark):
 
     rows = spark.createDataFrame([(1, "a" * 60 + "b" * 60), (2, "a" * 60 + "c" * 60)], "id long, name string")
     assert [(r["id"], r["score"]) for r in search.fuzzy(rows, "id", ["name"], "a" * 60 + "b" * 60).collect()] == [(1, 1.0)]
+
+
+def test_resolve_paths_answers_every_query(spark):
+    from quillmesh.operators import lookups
+
+    queries = spark.range(10_050).selectExpr("concat('f', id, '.py') as query")
+    got = lookups.resolve_paths(queries, spark.createDataFrame([("f3.py",), ("f10049.py",)], "file_path string"))
+    assert got.filter("status = 'exact'").count() == 2
