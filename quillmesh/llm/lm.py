@@ -5,10 +5,10 @@ each other word, known or not, belongs to one of RARE rare classes by its last t
 predicts the class, then the word within its class: by a softmax for frequent words, by smoothed counts for rare ones. Output biases start at the counts, so
 training begins at the unigram distribution.
 
-Training runs on all training texts: each task trains from the
-common weights by backpropagation truncated at STEPS tokens, and weights are averaged after each round. Scoring
-carries the state from window to window through the whole text, whatever its length. The HEAD most frequent words go to
-every task; counts of the rest are joined.
+Training runs on every token of all training texts, ROUNDS times: a share of about SHARE_TOKENS tokens, dealt by a hash of id and text, trains
+from the common weights by backpropagation truncated at STEPS tokens, and the shares' weights are averaged, by tokens. Neither shares nor their
+order depend on how the input is partitioned. Scoring carries the state from window to window through the whole text, whatever its length.
+The HEAD most frequent words go to every task; counts of the rest are joined.
 
 Defined results: a null text is the empty text, which has one token, its end; null and repeated ids are ordinary
 rows; without training texts every count is zero; an empty table gives no rows; other columns are ignored.
@@ -31,11 +31,11 @@ from quillmesh.llm.common import Scratch, body, fold, tune
 
 END = b"\n"  # stands for the end of a text; no word holds white space
 HEAD, MODEL_WORDS, CLASSES, RARE, HIDDEN = 200_000, 4096, 64, 32, 32
-ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 2, 16, 128, 0.15, 1.0
-UPDATES, LEAST_LANES = 300, 8
-LANES, WINDOW, TOKENS_AT_ONCE, TASK_TOKENS = 256, 48, 1_500_000, 600_000
+ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 1, 32, 256, 0.1, 1.0
+UPDATES, LEAST_LANES, SHARE_TOKENS = 400, 16, 3_000_000
+LANES, WINDOW, TOKENS_AT_ONCE = 256, 48, 1_500_000
 COUNTS_AT_ONCE = 500_000
-START = MODEL_WORDS + RARE
+START, COLUMNS = MODEL_WORDS + RARE, 1024
 
 
 def tokens(text: str) -> list[bytes]:
@@ -61,7 +61,7 @@ class Vocabulary:
         # all training words of each rare class, less those that the network has itself
         own_n = np.bincount(self.buckets[: self.n_model], self.counts[: self.n_model], RARE) if rows else np.zeros(RARE)
         own_v = np.bincount(self.buckets[: self.n_model], minlength=RARE) if rows else np.zeros(RARE)
-        self.rare_n = np.array([rare.get(b, (0, 0))[0] for b in range(RARE)]) - own_n
+        self.rare_n = np.maximum(0, np.array([rare.get(b, (0, 0))[0] for b in range(RARE)]) - own_n)
         self.rare_total = np.log10(self.rare_n + 0.5 * (np.array([rare.get(b, (0, 0))[1] for b in range(RARE)]) - own_v + 1))
         share = np.cumsum(self.counts[: self.n_model])
         at = np.minimum(CLASSES - 1, ((share - self.counts[: self.n_model] / 2) / max(1, share[-1] if len(share) else 1) * CLASSES).astype(int))
@@ -109,16 +109,17 @@ def _step(p: Weights, token: np.ndarray, state: np.ndarray) -> tuple[np.ndarray,
     return n + z * (state - n), z, r, n, inner
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def _log_prob(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax of each row at one place; x is used up."""
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(at)), at]
-    return own - np.log(np.exp(x, out=x).sum(1))
+def _log_prob(x: np.ndarray, at: np.ndarray, off: bool) -> np.ndarray:
+    """The log softmax of each column at one row; x becomes the gradient of its negative if off is set, else it is used up."""
+    x -= x.max(0)
+    columns = np.arange(x.shape[1])
+    own = x[at, columns]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    if off:
+        x /= total
+        x[at, columns] -= 1
+    return own - np.log(total)
 
 
 class Lanes:
@@ -151,38 +152,38 @@ def _output(p: Weights, v: Vocabulary, state: np.ndarray, target: np.ndarray, gr
     rare = target >= MODEL_WORDS
     word = np.where(rare, 0, target)
     cls = np.where(rare, CLASSES + target - MODEL_WORDS, v.word_class[word] if v.n_model else 0)
-    logits = state @ p["c"]
-    logits += p["cb"]
-    back = None
-    if grad is None:
-        out = _log_prob(logits, cls).astype(np.float64)
-    else:
-        rows, logp = np.arange(len(target)), _log_softmax(logits)
-        out = logp[rows, cls].astype(np.float64)
-        off = np.exp(logp)
-        off[rows, cls] -= 1
-        grad["c"] += state.T @ off
-        grad["cb"] += off.sum(0)
-        back = off @ p["c"].T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        a, b = v.first[k], v.first[k + 1]
-        if b - a < 2:
+    order = np.argsort(cls.astype(np.uint8), kind="stable")  # 8 bits sort by radix
+    cls, target, across = cls[order], target[order], np.ascontiguousarray(state[order].T)
+    logp, back = np.empty(len(cls)), None if grad is None else np.empty_like(across)
+    for i in range(0, len(cls), COLUMNS):  # a block that caches hold
+        own = across[:, i : i + COLUMNS]
+        logits = p["c"].T @ own  # a column for each token, tokens of one class side by side
+        logits += p["cb"][:, None]
+        logp[i : i + COLUMNS] = _log_prob(logits, cls[i : i + COLUMNS], grad is not None)
+        if grad is not None:
+            grad["c"] += own @ logits.T
+            grad["cb"] += logits.sum(1)
+            np.matmul(p["c"], logits, out=back[:, i : i + COLUMNS])
+    edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    first = v.first.tolist()
+    for k in range(CLASSES):
+        i, j, a, b = edges[k], edges[k + 1], first[k], first[k + 1]
+        if i == j or b - a < 2:
             continue
-        at = order[edges[k] : edges[k + 1]]
-        logits = state[at] @ p["w"][a:b].T
-        logits += p["wb"][a:b]
-        if grad is None:
-            out[at] += _log_prob(logits, target[at] - a)
-        else:
-            there, own = np.arange(len(at)), _log_softmax(logits)
-            out[at] += own[there, target[at] - a]
-            off = np.exp(own)
-            off[there, target[at] - a] -= 1
-            grad["w"][a:b] += off.T @ state[at]
-            grad["wb"][a:b] += off.sum(0)
-            back[at] += off @ p["w"][a:b]
+        own = across[:, i:j]
+        logits = p["w"][a:b] @ own
+        logits += p["wb"][a:b, None]
+        logp[i:j] += _log_prob(logits, target[i:j] - a, grad is not None)
+        if grad is not None:
+            grad["w"][a:b] += logits @ own.T
+            grad["wb"][a:b] += logits.sum(1)
+            back[:, i:j] += p["w"][a:b].T @ logits
+    out = np.empty(len(logp))
+    out[order] = logp
+    if back is not None:
+        to = np.empty_like(state)
+        to[order] = back.T
+        back = to
     return out, back
 
 
@@ -209,60 +210,95 @@ def log_likelihoods(p: Weights, v: Vocabulary, docs: list[np.ndarray]) -> np.nda
     return out / np.log(10)
 
 
+def gradients(p: Weights, v: Vocabulary, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[float, Weights, np.ndarray, np.ndarray]:
+    """Of one window of steps x lanes: log likelihood, gradient of its negative, rows of x that it concerns, and the state after. live: which places hold tokens.
+
+    The gradient of "x" has a row for each input id that occurs, those of the second last result. It stops at the window's first state.
+    """
+    steps, n = inputs.shape
+    h, kind = HIDDEN, p["u"].dtype
+    x = p["x"][inputs]
+    x += p["b"]
+    start = inputs == START
+    before, after = np.empty((steps, n, h), kind), np.empty((steps, n, h), kind)
+    gates, inner, m = np.empty((steps, n, 2 * h), kind), np.empty((steps, n, h), kind), np.empty((steps, n, h), kind)
+    for t in range(steps):
+        own = before[t]
+        own[:] = state
+        own[start[t]] = 0
+        g = own @ p["u"]
+        inner[t] = g[:, 2 * h :]
+        zr = np.add(x[t, :, : 2 * h], g[:, : 2 * h], out=gates[t])
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        new = np.multiply(zr[:, h:], inner[t], out=m[t])
+        new += x[t, :, 2 * h :]
+        np.tanh(new, out=new)
+        state = np.subtract(own, new, out=after[t])
+        state *= zr[:, :h]
+        state += new
+    grad = {k: np.zeros_like(w) for k, w in p.items() if k not in ("x", "u", "b")}
+    back = np.zeros((steps, n, h), kind)
+    whole = bool(live.all())
+    logp, off = _output(p, v, after.reshape(-1, h) if whole else after[live], targets.reshape(-1) if whole else targets[live], grad)
+    if whole:
+        back[:] = off.reshape(steps, n, h)
+    else:
+        back[live] = off
+    carry = np.zeros((n, h), kind)
+    offs = np.empty((steps, n, 3 * h), kind)  # to the three gates' inputs
+    to_state = np.empty((steps, n, 3 * h), kind)
+    for t in range(steps - 1, -1, -1):
+        z, r = gates[t, :, :h], gates[t, :, h:]
+        d = back[t]
+        d += carry
+        dm = (1 - z) * d
+        dm *= 1 - m[t] * m[t]
+        o = offs[t]
+        np.multiply(d * (before[t] - m[t]), z * (1 - z), out=o[:, :h])
+        np.multiply(dm * inner[t], r * (1 - r), out=o[:, h : 2 * h])
+        o[:, 2 * h :] = dm
+        s = to_state[t]
+        s[:, : 2 * h] = o[:, : 2 * h]
+        np.multiply(dm, r, out=s[:, 2 * h :])
+        carry = s @ p["u"].T
+        carry += d * z
+        carry[start[t]] = 0
+    flat = offs.reshape(-1, 3 * h)
+    grad["u"] = before.reshape(-1, h).T @ to_state.reshape(-1, 3 * h)
+    grad["b"] = flat.sum(0)
+    ids = inputs.reshape(-1).astype(np.uint16)  # 16 bits sort by radix
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    grad["x"] = np.add.reduceat(flat[order], first, axis=0)
+    return float(logp.sum()), grad, ids[first].astype(np.int64), after[-1]
+
+
 def train(p: Weights, v: Vocabulary, docs: list[np.ndarray]) -> Weights:
-    """One pass of truncated backpropagation with per-weight rates; the state goes on from window to window."""
+    """One pass of truncated backpropagation over every token with per-weight rates; the state goes on from window to window."""
     p = {k: x.copy() for k, x in p.items()}
     seen = {k: np.full_like(x, 1e-2) for k, x in p.items()}
     lanes = sum(map(len, docs)) // (STEPS * UPDATES)  # few tokens go in fewer lanes, so that there are updates enough
-    lay, h = Lanes(docs, min(TRAIN_LANES, max(LEAST_LANES, lanes))), HIDDEN
+    lay = Lanes(docs, min(TRAIN_LANES, max(LEAST_LANES, lanes)))
     steps, lanes = lay.target.shape
-    state = np.zeros((lanes, h), np.float32)
+    state = np.zeros((lanes, HIDDEN), np.float32)
     for at in range(0, steps, STEPS):
-        n = lay.active(min(steps, at + STEPS) - 1)  # lanes that last through the window
-        n = n or lay.active(at)
-        last = min(steps, at + STEPS, int(lay.sizes[n - 1]))
-        own, kept = state[:n], []
-        for t in range(at, last):
-            token = lay.input[t, :n]
-            own = np.where((token == START)[:, None], np.float32(0), own)
-            new, *mid = _step(p, token, own)
-            kept.append((token, own, new, *mid))
-            own = new
-        state[:n] = own
-        grad = {k: np.zeros_like(x) for k, x in p.items() if k != "x"}
-        _, back = _output(p, v, np.concatenate([k[2] for k in kept]), lay.target[at:last, :n].reshape(-1), grad)
-        back = back.reshape(len(kept), n, h)
-        carry, inputs, offs = np.zeros((n, h), np.float32), [], []
-        for k in range(len(kept) - 1, -1, -1):
-            token, before, _, z, r, m, inner = kept[k]
-            d = back[k] + carry
-            dm = d * (1 - z) * (1 - m * m)
-            dz = d * (before - m) * z * (1 - z)
-            dr = dm * inner * r * (1 - r)
-            to_state = np.concatenate([dz, dr, dm * r], 1)
-            grad["u"] += before.T @ to_state
-            carry = (d * z + to_state @ p["u"].T) * (token != START)[:, None]
-            inputs.append(token)
-            offs.append(np.concatenate([dz, dr, dm], 1))
-        off, token = np.concatenate(offs), np.concatenate(inputs)
-        grad["b"] += off.sum(0)
-        rows, where = np.unique(token, return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        sums = np.add.reduceat(off[order], np.searchsorted(where[order], np.arange(len(rows))), axis=0)
-        scale = 1 / max(1, n)
-        for k in p:
-            if k == "x":
-                g = np.clip(sums * scale, -CLIP, CLIP)
-                seen[k][rows] += g * g
-                p[k][rows] -= LEARN * g / np.sqrt(seen[k][rows])
-            else:
-                g = grad[k]
-                g *= scale
-                np.clip(g, -CLIP, CLIP, out=g)
-                seen[k] += g * g
-                g *= LEARN
-                g /= np.sqrt(seen[k])
-                p[k] -= g
+        n = lay.active(at)
+        to = min(steps, at + STEPS)
+        live = np.arange(at, to)[:, None] < lay.sizes[:n]
+        _, grad, rows, after = gradients(p, v, lay.input[at:to, :n], lay.target[at:to, :n], live, state[:n])
+        state[:n] = after
+        scale = np.float32(1 / max(1, n))
+        for k, g in grad.items():
+            to = rows if k == "x" else slice(None)
+            g *= scale
+            np.clip(g, -CLIP, CLIP, out=g)
+            seen[k][to] += g * g
+            g *= LEARN
+            p[k][to] -= g / np.sqrt(seen[k][to])
     return p
 
 
@@ -296,7 +332,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(rows, sum(n for n, _ in rare.values()), sum(v for _, v in rare.values()), rare)
 
 
-CHUNK = 8192
+CHUNK, SUM_LANES = 8192, 16
 
 
 def _pack(p: Weights) -> np.ndarray:
@@ -311,108 +347,144 @@ def _unpack(flat: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def fit(spark: SparkSession, texts: DataFrame, v: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> Weights:
-    """Weights averaged over tasks that each train on their share of texts (text, and key, a hash)."""
-    p = initial(v)
+ENCODED = "row long, key long, train boolean, n_tokens long, n_head long, base_head double, rare double, net binary, tail array<binary>, tail_n array<long>"
+
+
+def encode(spark: SparkSession, docs: DataFrame, v: Vocabulary, scratch: Scratch) -> DataFrame:
+    """Every row of docs (doc_id, key, train, text) as network ids, with its known part of the base score and the words beyond the head; written."""
     words = spark.sparkContext.broadcast(v)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        v, row = words.value, TaskContext.get().partitionId() << 40
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         for b in batches:
-            nets = [words.value.encode(t.as_py())[1].astype(np.int32) for t in b.column(1)]
-            if nets:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nets, pa.list_(pa.int32())), pa.array([len(n) for n in nets], pa.int64())], names=["key", "net", "n"])
+            cols: list[list] = [[] for _ in kinds]
+            for t in b.column(3):
+                head, net, tail = v.encode(t.as_py())
+                known, rare = head[head >= 0], net >= MODEL_WORDS
+                within = v.log_count[head[rare & (head >= 0)]].sum() - v.rare_total[net[rare] - MODEL_WORDS].sum()
+                beyond = Counter(tail)
+                values = (len(head), len(known), float(v.log_count[known].sum() - len(head) * v.base_total), float(within), net.astype("<u2").tobytes(), list(beyond.keys()), list(beyond.values()))
+                for c, x in zip(cols, values, strict=True):
+                    c.append(x)
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), rows, b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+    names = ["doc_id", *(x.split()[0] for x in ENCODED.split(", "))]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return scratch.write(docs.select("doc_id", "key", "train", "text").mapInArrow(run, f"doc_id {kind}, {ENCODED}"), "encoded")
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows (lane, chunk, n, sums) of each chunk, whose rows follow each other."""
+    lane, chunk, n, sums = 0, None, 0, None
 
-    encoded = scratch.write(texts.select("key", "text").mapInArrow(encode, "key long, net array<int>, n long"), "encoded")
-    total = encoded.agg(F.sum("n")).first()[0]
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], names=["lane", "chunk", "n", "sums"])
+
+    for b in batches:
+        for k, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            if k != chunk:
+                if chunk is not None:
+                    yield row()
+                chunk, n, sums = k, 0, 0.0
+            n, sums = n + x, sums + y.values.to_numpy()
+    if chunk is not None:
+        yield row()
+
+
+def fit(spark: SparkSession, encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Weights:
+    """Weights averaged over shares of the rows (key, net, n_tokens), each trained from the common weights.
+
+    A row's share depends on its key alone, and a share's rows are trained in the order of their keys, so the way the rows
+    are partitioned doesn't matter.
+    """
+    p = initial(v)
+    total = encoded.agg(F.sum("n_tokens")).first()[0]
     if not total:
         return p
-    parts = max(1, round(total / TASK_TOKENS))
-    shares = encoded.repartition(parts)
+    n_shares = max(1, round(total / SHARE_TOKENS))
+    dealt = encoded.select(F.pmod("key", F.lit(n_shares)).alias("share"), "key", "net")
+    dealt = dealt.repartition(max(min(n_shares, 64), n_shares // 4), "share").sortWithinPartitions("share", "key")
+    words = spark.sparkContext.broadcast(v)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            docs, n, old = [], 0, shared.value
+            from pyspark import TaskContext
+
+            docs, share, size, n, sums = [], None, 0, 0, 0.0
 
-            def new() -> pa.RecordBatch:
-                flat = _pack(train(old, words.value, docs)) * np.float32(n)
-                return pa.RecordBatch.from_arrays([pa.array(range(-(-len(flat) // CHUNK)), pa.int32()), pa.array([n] * -(-len(flat) // CHUNK), pa.int64()), pa.array([flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)], pa.list_(pa.float32()))], names=["chunk", "n", "sums"])
+            def close() -> None:
+                nonlocal docs, size, n, sums
+                sums = sums + _pack(train(shared.value, words.value, docs)) * np.float64(size)
+                docs, size, n = [], 0, n + size
 
             for b in batches:
-                for x in b.column(1):
-                    docs.append(np.asarray(x.values.to_numpy()))
-                    n += len(docs[-1])
-                if n >= 2 * TASK_TOKENS:
-                    yield new()
-                    docs, n = [], 0
+                for k, net in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    if docs and (k != share or size >= 2 * SHARE_TOKENS):
+                        close()
+                    share = k
+                    docs.append(np.frombuffer(net.as_py(), "<u2").astype(np.int32))
+                    size += len(docs[-1])
             if docs:
-                yield new()
+                close()
+            if n:  # one sum a task, in chunks
+                lane = TaskContext.get().partitionId() % SUM_LANES
+                chunks = [sums[i : i + CHUNK] for i in range(0, len(sums), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array([lane] * len(chunks), pa.int32()), pa.array(range(len(chunks)), pa.int32()), pa.array([n] * len(chunks), pa.int64()), pa.array(chunks, pa.list_(pa.float64()))], names=["lane", "chunk", "n", "sums"])
+
+        rows = dealt.mapInArrow(learn, SUMS)
+        # first the tasks of each lane, then the lanes
+        some = rows.repartition("chunk", "lane").sortWithinPartitions("chunk", "lane").mapInArrow(_add, SUMS)
+        rows = some.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add, SUMS).collect()  # the size of the weights
+        p = _unpack(np.concatenate([np.array(r["sums"]) / r["n"] for r in sorted(rows, key=lambda r: r["chunk"])]), p)
+    return p
 
-        def add(table: pa.Table) -> pa.Table:
-            sums = np.sum([np.asarray(x.values.to_numpy()) for x in table["sums"]], axis=0, dtype=np.float64).astype(np.float32)
-            return pa.table({"chunk": table["chunk"][:1], "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "sums": pa.array([sums], pa.list_(pa.float32()))})
 
-        schema = "chunk int, n long, sums array<float>"
-        rows = shares.mapInArrow(learn, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-        flat = np.concatenate([np.array(r["sums"]) / r["n"] for r in sorted(rows, key=lambda r: r["chunk"])])
-        p = _unpack(flat, p)
-    return p
+SUMS = "lane int, chunk int, n long, sums array<double>"
 
 
 def score(spark: SparkSession, docs: DataFrame, held_out: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     tune(spark)
     scratch = Scratch(spark, "lm")
-    own = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("text")).withColumn("held_out", fold("doc_id") == held_out)
-    counts = count_words(spark, own.filter("not held_out").select("text"), scratch)
+    own = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("text")).withColumn("train", fold("doc_id") != held_out)
+    counts = count_words(spark, own.filter("train").select("text"), scratch)
     v = vocabulary(counts)
-    key = F.xxhash64("doc_id", F.lit(5))
-    p = fit(spark, own.filter("not held_out").select(key.alias("key"), "text"), v, scratch)
+    encoded = encode(spark, own.withColumn("key", F.xxhash64("doc_id", "text", F.lit(5))), v, scratch)
+    p = fit(spark, encoded.filter("train"), v)
     words, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        v, p, row = words.value, weights.value, TaskContext.get().partitionId() << 40
         held, n = [], 0
 
         def rate() -> pa.RecordBatch:
-            nonlocal row
-            likelihood = log_likelihoods(p, v, [h[2] for h in held])
-            cols: list[list] = [[] for _ in range(8)]
-            for (i, head, net, tail), x in zip(held, likelihood.tolist(), strict=True):
-                known = head[head >= 0]
-                rare = net >= MODEL_WORDS
-                base = v.log_count[known].sum() - len(head) * v.base_total
-                x += v.log_count[head[rare & (head >= 0)]].sum() - v.rare_total[net[rare] - MODEL_WORDS].sum()
-                beyond = Counter(tail)
-                for c, y in zip(cols, (i, row, len(head), len(known), float(base), float(x), list(beyond.keys()), list(beyond.values())), strict=True):
-                    c.append(y)
-                row += 1
-            ids = pa.array(cols[0], id_kind)
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())), strict=True))], names=names)
+            nets = [np.frombuffer(x, "<u2") for b in held for x in b.column(len(names) - 1).to_pylist()]
+            table = pa.Table.from_batches(held).drop_columns(["net"]).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*table.columns, pa.array(log_likelihoods(weights.value, words.value, nets))], names=[*names[:-1], "likelihood"])
 
-        id_kind = None
         for b in batches:
-            id_kind = b.column(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.append((i, *v.encode(t.as_py())))
-                n += len(held[-1][1])
-                if n >= TOKENS_AT_ONCE:
-                    yield rate()
-                    held, n = [], 0
-        if held:
+            held.append(b)
+            n += sum(b.column(2).to_pylist())
+            if n >= TOKENS_AT_ONCE:
+                yield rate()
+                held, n = [], 0
+        if n:
             yield rate()
 
-    names = ["doc_id", "row", "n_tokens", "n_head", "base_head", "score_head", "tail", "tail_n"]
+    names = ["doc_id", "row", "n_tokens", "train", "n_head", "base_head", "rare", "net"]
     kind = docs.schema[doc_id].dataType.simpleString()
-    rated = scratch.write(own.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_head long, base_head double, score_head double, tail array<binary>, tail_n array<long>"), "rated")
-    beyond = rated.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
+    rated = scratch.write(encoded.select(*names).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, train boolean, n_head long, base_head double, rare double, likelihood double"), "rated")
+    beyond = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
     met = beyond.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log_count"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_beyond")
     )
     some = F.coalesce("log_count", F.lit(0.0))
     return rated.join(met, "row", "left").select(
-        "doc_id", (fold("doc_id") == held_out).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_beyond", F.lit(0))).alias("n_known"),
-        F.lit(v.n_tokens).cast("long").alias("train_tokens"), (F.col("base_head") + some).alias("base_score"), (F.col("score_head") + some).alias("score"),
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_beyond", F.lit(0))).alias("n_known"),
+        F.lit(v.n_tokens).cast("long").alias("train_tokens"), (F.col("base_head") + some).alias("base_score"), (F.col("likelihood") + F.col("rare") + some).alias("score"),
     )

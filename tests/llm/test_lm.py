@@ -68,10 +68,18 @@ def test_probabilities_add_up_and_lanes_do_not_matter(monkeypatch):
     assert lm.log_likelihoods(p, v, docs) == pytest.approx(whole, rel=1e-4)
 
 
-def test_gradient():
-    """Truncated backpropagation against finite differences, over one window."""
+def _rare(counts):
+    rare = {}
+    for w, c in counts.items():
+        a, b = rare.get(lm.bucket(w), (0, 0))
+        rare[lm.bucket(w)] = (a + c, b + 1)
+    return rare
+
+
+def test_output_gradient():
+    """The output layer against finite differences."""
     counts = Counter(w for t in _corpus(random.Random(3), 40) for w in lm.tokens(t))
-    rare = {b: (10, 3) for b in range(lm.RARE)}
+    rare = _rare(counts)
     v = lm.Vocabulary(sorted(counts.items(), key=lambda r: (-r[1], r[0])), sum(counts.values()), len(counts), rare)
     r = np.random.default_rng(1)
     p = {k: (x + 0.1 * r.standard_normal(x.shape)).astype(np.float64) for k, x in lm.initial(v).items()}
@@ -88,9 +96,61 @@ def test_gradient():
     assert (lm._output(p, v, state, target)[0].sum() - lm._output(p, v, moved, target)[0].sum()) / 1e-5 == pytest.approx(back[2, 3], abs=1e-3)
 
 
+def test_recurrent_gradient():
+    """Backpropagation through a window of several lanes, with starts of texts and places without tokens, against finite differences."""
+    counts = Counter(w for t in _corpus(random.Random(4), 40) for w in lm.tokens(t))
+    v = lm.Vocabulary(sorted(counts.items(), key=lambda r: (-r[1], r[0])), sum(counts.values()), len(counts), _rare(counts))
+    r = np.random.default_rng(2)
+    p = {k: (x + 0.3 * r.standard_normal(x.shape)).astype(np.float64) for k, x in lm.initial(v).items()}
+    targets = r.integers(0, v.n_model, (5, 3))
+    inputs = np.vstack([np.full((1, 3), lm.START), targets[:-1]])
+    inputs[2, 1], inputs[0, 2] = lm.START, 4
+    live = np.ones((5, 3), bool)
+    live[4, 2] = live[3, 2] = False
+    state = r.standard_normal((3, lm.HIDDEN))
+    run = lambda q: lm.gradients(q, v, inputs, targets, live, state)
+    _, grad, rows, _ = run(p)
+    places = [("u", (2, 3)), ("u", (5, 40)), ("u", (1, 70)), ("b", (3,)), ("b", (35,)), ("b", (80,)), ("c", (3, 4)), ("w", (int(targets[0, 0]), 1))]
+    places += [("x", (int(inputs[1, 0]), k)) for k in (0, 33, 90)] + [("x", (lm.START, k)) for k in (1, 34, 91)]
+    for name, at in places:
+        up, down = ({k: x.copy() for k, x in p.items()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        slope = -(run(up)[0] - run(down)[0]) / 2e-5
+        held = grad[name][(int(np.searchsorted(rows, at[0])), *at[1:])] if name == "x" else grad[name][at]
+        assert slope == pytest.approx(held, abs=1e-6), (name, at)
+    untouched = [i for i in range(lm.START) if i not in set(inputs.ravel().tolist())]
+    assert not set(untouched) & set(rows.tolist())
+
+
+def test_training_uses_every_token(monkeypatch):
+    counts = Counter(w for t in _corpus(random.Random(5), 60) for w in lm.tokens(t))
+    v = lm.Vocabulary(sorted(counts.items(), key=lambda r: (-r[1], r[0])), sum(counts.values()), len(counts), _rare(counts))
+    docs = [v.encode(t)[1] for t in _corpus(random.Random(6), 50)] + [v.encode("alpha " * 700)[1]]
+    seen, real = [], lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda p, v, i, t, live, s: seen.append(int(live.sum())) or real(p, v, i, t, live, s))
+    lm.train(lm.initial(v), v, docs)
+    assert sum(seen) == sum(map(len, docs))
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE_TOKENS", 3000)  # several shares
+    rows = [(i, t) for i, t in enumerate(_corpus(random.Random(7), 500))] + [(None, "alpha beta"), (3, "beta"), (3, "beta"), (600, "gamma delta " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in lm.score(spark, d).collect())
+    for (i, n, a), (j, m, b) in zip(score(docs.repartition(2)), score(docs.orderBy("text").repartition(7)), strict=True):
+        assert (i, n) == (j, m) and abs(a - b) <= 1e-6 * n
+
+
 def test_network_trains_on_every_training_text(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(lm, "fit", lambda spark, texts, v, scratch: seen.append(texts.count()) or lm.initial(v))
+    monkeypatch.setattr(lm, "fit", lambda spark, encoded, v: seen.append(encoded.count()) or lm.initial(v))
     docs = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(100)], "doc_id long, text string")
     lm.score(spark, docs)
     assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(100))]
+
+
+def test_few_texts_extra_columns_and_text_ids(spark):
+    docs = spark.createDataFrame([("x1", "alpha", 1, 2, "z"), (None, None, 3, 4, "z")], "doc_id string, text string, n_tokens int, row int, tail string")
+    got = lm.score(spark, docs)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and got.count() == 2
