@@ -31,11 +31,11 @@ from quillmesh.llm.common import Scratch, body, fold, tune
 
 END = b"\n"  # stands for the end of a text; no word holds white space
 HEAD, MODEL_WORDS, CLASSES, RARE, HIDDEN = 200_000, 4096, 64, 32, 32
-ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 1, 32, 256, 0.1, 1.0
+ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 1, 32, 128, 0.1, 1.0
 UPDATES, LEAST_LANES, SHARE_TOKENS = 400, 16, 3_000_000
 LANES, WINDOW, TOKENS_AT_ONCE = 256, 48, 1_500_000
 COUNTS_AT_ONCE = 500_000
-START, COLUMNS = MODEL_WORDS + RARE, 1024
+START, COLUMNS, SAFE = MODEL_WORDS + RARE, 1024, 40.0
 
 
 def tokens(text: str) -> list[bytes]:
@@ -96,30 +96,44 @@ def initial(v: Vocabulary, seed: int = 0) -> Weights:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def _step(p: Weights, token: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+def _step(inputs: np.ndarray, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The state after one token. inputs: rows of x with b; used up."""
     h = HIDDEN
-    x, g = p["x"][token] + p["b"], state @ p["u"]
-    gates = _sigmoid(x[:, : 2 * h] + g[:, : 2 * h])
-    z, r, inner = gates[:, :h], gates[:, h:], g[:, 2 * h :]
-    n = np.tanh(x[:, 2 * h :] + r * inner)
-    return n + z * (state - n), z, r, n, inner
+    g = state @ u
+    gates, m = inputs[:, : 2 * h], inputs[:, 2 * h :]
+    gates += g[:, : 2 * h]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    inner = g[:, 2 * h :]
+    inner *= gates[:, h:]
+    m += inner
+    np.tanh(m, out=m)
+    out = state - m
+    out *= gates[:, :h]
+    out += m
+    return out
 
 
-def _log_prob(x: np.ndarray, at: np.ndarray, off: bool) -> np.ndarray:
-    """The log softmax of each column at one row; x becomes the gradient of its negative if off is set, else it is used up."""
-    x -= x.max(0)
+def _log_prob(x: np.ndarray, at: np.ndarray, off: bool, safe: bool) -> np.ndarray:
+    """The log softmax of each column at one row; x becomes the gradient of its negative if off is set, else it is used up. safe: no exponential of x overflows, or is lost in a whole column."""
+    if not safe:
+        x -= x.max(0)
     columns = np.arange(x.shape[1])
     own = x[at, columns]
     np.exp(x, out=x)
     total = x.sum(0)
     if off:
-        x /= total
+        x *= 1 / total
         x[at, columns] -= 1
-    return own - np.log(total)
+    np.log(total, out=total)
+    return own - total
+
+
+def _is_safe(weights: np.ndarray, axis: int) -> bool:
+    """Whether logits stay near their biases, as no state is over 1."""
+    return bool(np.abs(weights).sum(axis).max(initial=0) < SAFE)
 
 
 class Lanes:
@@ -155,11 +169,14 @@ def _output(p: Weights, v: Vocabulary, state: np.ndarray, target: np.ndarray, gr
     order = np.argsort(cls.astype(np.uint8), kind="stable")  # 8 bits sort by radix
     cls, target, across = cls[order], target[order], np.ascontiguousarray(state[order].T)
     logp, back = np.empty(len(cls)), None if grad is None else np.empty_like(across)
+    small = bool(np.abs(state).max(initial=0) <= 1.001)
+    safe, safe_words = small and _is_safe(p["c"], 0), small and _is_safe(p["w"], 1)
+    bias = (p["cb"] - p["cb"].max())[:, None]
     for i in range(0, len(cls), COLUMNS):  # a block that caches hold
         own = across[:, i : i + COLUMNS]
         logits = p["c"].T @ own  # a column for each token, tokens of one class side by side
-        logits += p["cb"][:, None]
-        logp[i : i + COLUMNS] = _log_prob(logits, cls[i : i + COLUMNS], grad is not None)
+        logits += bias
+        logp[i : i + COLUMNS] = _log_prob(logits, cls[i : i + COLUMNS], grad is not None, safe)
         if grad is not None:
             grad["c"] += own @ logits.T
             grad["cb"] += logits.sum(1)
@@ -172,8 +189,9 @@ def _output(p: Weights, v: Vocabulary, state: np.ndarray, target: np.ndarray, gr
             continue
         own = across[:, i:j]
         logits = p["w"][a:b] @ own
-        logits += p["wb"][a:b, None]
-        logp[i:j] += _log_prob(logits, target[i:j] - a, grad is not None)
+        bias = p["wb"][a:b]
+        logits += (bias - bias.max())[:, None]
+        logp[i:j] += _log_prob(logits, target[i:j] - a, grad is not None, safe_words)
         if grad is not None:
             grad["w"][a:b] += logits @ own.T
             grad["wb"][a:b] += logits.sum(1)
@@ -193,6 +211,7 @@ def log_likelihoods(p: Weights, v: Vocabulary, docs: list[np.ndarray]) -> np.nda
     lay = Lanes(docs, LANES)
     steps, lanes = lay.target.shape
     state = np.zeros((lanes, HIDDEN), np.float32)
+    table = p["x"] + p["b"]
     for at in range(0, steps, WINDOW):
         states, targets, owners = [], [], []
         for t in range(at, min(steps, at + WINDOW)):
@@ -200,7 +219,7 @@ def log_likelihoods(p: Weights, v: Vocabulary, docs: list[np.ndarray]) -> np.nda
             token = lay.input[t, :n]
             own = state[:n]
             own[token == START] = 0
-            own = _step(p, token, own)[0]
+            own = _step(table[token], own, p["u"])
             state[:n] = own
             states.append(own)
             targets.append(lay.target[t, :n])
@@ -408,7 +427,7 @@ def fit(spark: SparkSession, encoded: DataFrame, v: Vocabulary, rounds: int = RO
         return p
     n_shares = max(1, round(total / SHARE_TOKENS))
     dealt = encoded.select(F.pmod("key", F.lit(n_shares)).alias("share"), "key", "net")
-    dealt = dealt.repartition(max(min(n_shares, 64), n_shares // 4), "share").sortWithinPartitions("share", "key")
+    dealt = dealt.repartitionByRange(max(min(n_shares, 64), n_shares // 4), "share").sortWithinPartitions("share", "key")
     words = spark.sparkContext.broadcast(v)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)
