@@ -1,13 +1,13 @@
 """Sharding by minimax contiguous partition.
 
-Groups of equal texts are atomic and stand in the order of a 64-bit hash of the text. The smallest
-capacity that lets a greedy scan cut the order into `n_shards` runs is found by binary search. The cuts then go
-as near to even shares as that capacity allows, as the greedy scan alone would leave the last shard short. The scan runs on the driver over sums of ranges of the hash, at most a few hundred thousand of them; ranges in
+Groups of equal texts are atomic and stand in the order of a 64-bit hash of the text. The smallest capacity that
+lets a greedy scan cut the order into `n_shards` runs is found by binary search, and the cuts are those of the scan at
+that capacity. The scan runs on the driver over sums of ranges of the hash, at most a few hundred thousand of them; ranges in
 which a cut may still fall are split finer, and the search repeats, until the capacity and every cut are
 exact. No group, hot or not, meets in one task: only sums of sizes by range are gathered.
 
-A group larger than the mean of the shards that are left takes one of its own, so that one hot text doesn't
-set the capacity of all shards.
+A group larger than the mean of the shards that are left is a shard of its own, at its place in the order, so that one hot
+text doesn't set the capacity of all shards; no other shard goes across it.
 
 Defined results: a null text is the empty text; null and repeated ids are ordinary rows; an
 empty table gives no rows; other columns are ignored. Two texts with the same hash count as one group.
@@ -46,50 +46,24 @@ class Ranges:
         del self.at[first]
 
 
-def _chains(edges: np.ndarray, single: np.ndarray, capacity: int, n: int) -> tuple[list[int], list[int]]:
-    """Least and most bytes that 1, 2, ... n shards of this capacity can hold, greedily."""
+def _chains(edges: np.ndarray, single: np.ndarray, barriers: np.ndarray, capacity: int, n: int) -> tuple[list[int], list[int]]:
+    """Where 1, 2, ... n shards of this capacity end at least and at most, greedily, in bytes. No shard goes across a barrier."""
     low, high, lows, highs = 0, 0, [], []
     total = int(edges[-1])
+    walls = np.append(edges[barriers], total)
     for _ in range(n):
+        wall = int(walls[np.searchsorted(walls[:-1], low, side="right")])
         i = int(np.searchsorted(edges, low + capacity, side="right")) - 1
-        low = int(edges[i])
+        low = min(int(edges[i]), wall)
+        wall = int(walls[np.searchsorted(walls[:-1], high, side="right")])
         reach = high + capacity
         i = int(np.searchsorted(edges, reach, side="right")) - 1
-        high = total if reach >= total else int(edges[i]) if single[i] else min(reach, int(edges[i + 1]) - 1)
+        high = min(wall, total if reach >= total else int(edges[i]) if single[i] else min(reach, int(edges[i + 1]) - 1))
         lows.append(low)
         highs.append(high)
     return lows, highs
 
 
-def _even_cuts(edges: np.ndarray, single: np.ndarray, capacity: int, n: int) -> tuple[list[int], set[int]]:
-    """Indices of the n - 1 cuts nearest to even shares that keep every shard within the capacity; the ranges that must be split first.
-
-    A cut lies between the greedy scan from the left and the one from the right, so what is left always fits.
-    """
-    total, unsure, least = int(edges[-1]), set(), [0] * n
-    right = total
-    for j in range(n - 1, 0, -1):
-        i = int(np.searchsorted(edges, max(0, right - capacity), side="left"))
-        if i and edges[i] != right - capacity and not single[i - 1]:
-            unsure.add(i - 1)
-        right = least[j] = int(edges[i])
-    cuts, at = [], 0
-    for j in range(1, n):
-        i = int(np.searchsorted(edges, at + capacity, side="right")) - 1
-        if i < len(edges) - 1 and not single[i]:
-            unsure.add(i)
-        share = at + (total - at) // (n - j + 1)
-        k = int(np.searchsorted(edges, share, side="right")) - 1
-        if k < len(edges) - 1 and not single[k]:
-            unsure.add(k)
-        if k < len(edges) - 1 and edges[k + 1] - share < share - edges[k]:
-            k += 1
-        k = min(max(k, int(np.searchsorted(edges, least[j], side="left"))), i)
-        cuts.append(k)
-        at = int(edges[k])
-    return cuts, unsure
-
-
 def _least(holds, low: int, high: int) -> int:
     while low < high:
         mid = (low + high) // 2
@@ -97,8 +71,8 @@ def _least(holds, low: int, high: int) -> int:
     return low
 
 
-def plan_cuts(sums, n_shards: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """The heavy hashes with their shards, and the first hashes of the later shards.
+def plan_cuts(sums, n_shards: int) -> list[int]:
+    """The first hashes of all shards but the first, ascending.
 
     sums(bits, prefixes, parent_bits) gives rows prefix, bytes, low, high for the ranges of that many bits
     whose leading parent_bits are among prefixes (None: all).
@@ -108,34 +82,36 @@ def plan_cuts(sums, n_shards: int) -> tuple[list[tuple[int, int]], list[int]]:
     while True:
         firsts = sorted(ranges.at)
         info = [ranges.at[f] for f in firsts]
-        rest, left, heavy = sum(i[1] for i in info), n_shards, []
+        rest, left, heavy = sum(i[1] for i in info), n_shards, set()
         for k in sorted(range(len(info)), key=lambda k: -info[k][1]):
-            if left > 1 and info[k][2] and info[k][1] * left > rest and len(info) - len(heavy) > 1:
-                heavy.append(k)
+            # each heavy group may part the run that it stands in, so it takes two shards
+            if left > 2 and info[k][2] and info[k][1] * left > rest and len(info) - len(heavy) > 1:
+                heavy.add(k)
                 rest, left = rest - info[k][1], left - 1
             else:
                 break
-        apart = set(heavy)
-        kept = [k for k in range(len(info)) if k not in apart]
+        kept = [k for k in range(len(info)) if k not in heavy]
+        while heavy and _runs(kept) > left:  # more runs between heavy groups than shards: the least of these isn't taken out
+            heavy.remove(min(heavy, key=lambda k: info[k][1]))
+            kept, left = [k for k in range(len(info)) if k not in heavy], left + 1
+        rest = sum(info[k][1] for k in kept)
         unsure = {k for k in kept if not info[k][2] and info[k][1] * n_shards > rest // 4}
         edges = np.concatenate([[0], np.cumsum([info[k][1] for k in kept], dtype=np.int64)]).astype(np.int64)
         single = np.array([info[k][2] for k in kept] + [True])
-        total = int(edges[-1])
-        cuts: list[int] = []
+        barriers = np.unique(np.searchsorted(np.array(kept, np.int64), np.array(sorted(heavy), np.int64)))
+        barriers = barriers[(barriers > 0) & (barriers < len(kept))]
+        total, ends = int(edges[-1]), []
         if total:
-            least = _least(lambda c: _chains(edges, single, c, left)[1][-1] >= total, 1, total)
-            most = _least(lambda c: _chains(edges, single, c, left)[0][-1] >= total, least, total)
-            lows, highs = _chains(edges, single, least, left)[0], _chains(edges, single, most, left)[1]
-            for low, high in zip(lows[:-1], highs[:-1], strict=True):
+            least = _least(lambda c: _chains(edges, single, barriers, c, left)[1][-1] >= total, 1, total)
+            most = _least(lambda c: _chains(edges, single, barriers, c, left)[0][-1] >= total, least, total)
+            ends, highs = _chains(edges, single, barriers, least, left)[0], _chains(edges, single, barriers, most, left)[1]
+            open_ends = len(ends) if least != most else len(ends) - 1
+            for low, high in zip(ends[:open_ends], highs[:open_ends], strict=True):
                 i, j = (int(np.searchsorted(edges, x, side="right")) - 1 for x in (low, high))
                 unsure |= {kept[k] for k in range(i, min(j, len(kept) - 1) + 1) if not single[k]}
-            if least == most and not unsure:
-                cuts, more = _even_cuts(edges, single, least, left)
-                unsure = {kept[k] for k in more}
         if not unsure:
-            shards = [(info[k][3], s) for s, k in enumerate(heavy)]
-            # a cut at the end of the order starts no shard
-            return shards, [firsts[kept[i]] for i in cuts if i < len(kept)]
+            starts = {kept[i] for i in np.searchsorted(edges, [x for x in ends if x < total]).tolist()} | heavy | {k + 1 for k in heavy}
+            return [firsts[k] for k in sorted(starts) if 0 < k < len(firsts)]
         bits = min(64, bits + MORE_BITS)
         for width in {info[k][0] for k in unsure}:  # ranges of several widths may be left
             parents = {firsts[k] >> (64 - width) for k in unsure if info[k][0] == width}
@@ -145,17 +121,20 @@ def plan_cuts(sums, n_shards: int) -> tuple[list[tuple[int, int]], list[int]]:
                 ranges.drop(firsts[k])
 
 
+def _runs(kept: list[int]) -> int:
+    """Into how many runs the heavy ranges part the others."""
+    return sum(not i or kept[i - 1] != k - 1 for i, k in enumerate(kept))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shard_of(key: Column, heavy: list[tuple[int, int]], cuts: list[int]) -> Column:
+def shard_of(key: Column, cuts: list[int]) -> Column:
     ordered = key.bitwiseXOR(F.lit(FLIP))
-    out = F.lit(len(heavy))
+    out = F.lit(0)
     for first in cuts:
         out = out + (ordered >= F.lit(_signed(first) ^ FLIP)).cast("int")
-    for hashed, shard in heavy:
-        out = F.when(key == F.lit(hashed), F.lit(shard)).otherwise(out)
     return out.cast("int")
 
 
@@ -175,8 +154,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40, do
             F.sum("size").alias("bytes"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")
         ).collect()  # fmt: skip  # at most 2^14 ranges, then 2^6 for each range that a cut may fall in
 
-    heavy, cuts = plan_cuts(sums, n_shards)
-    dealt = rows.withColumn("shard", shard_of(F.col("text_hash"), heavy, cuts))
+    dealt = rows.withColumn("shard", shard_of(F.col("text_hash"), plan_cuts(sums, n_shards)))
     schema = T.StructType([*dealt.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType())])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
