@@ -6,8 +6,11 @@ along skip edges that join repeated or similar tokens however far apart. Pattern
 propagation carries them along the edges, and tokens that then most likely are personal data give added spans. Pattern
 spans always stay.
 
-The weights are learned by pseudo-likelihood from what the patterns find in a bounded sample of texts
-(SAMPLE_DOCS of those that hold a digit or an at sign and no more than SAMPLE_LENGTH code points, chosen by a hash of the id).
+All weights, those of the skip edges included, are learned by pseudo-likelihood from what the patterns find in a bounded sample of
+passages (SAMPLE_PASSAGES of PASSAGE code points that hold a digit or an at sign, of all texts, chosen by a hash of id and place).
+What repeats in the same form tells nothing about skip edges, so finds are repeated in a form that the patterns miss: labelled as the find where that
+stands in the passage, and as nothing in particular where it doesn't. An added span must pass its kind's own test: a card the Luhn sum, an address
+four numbers of at most 255, a phone number 9 to 15 digits, an e-mail address its at sign.
 
 Defined results: a null text is the empty text, without spans; null and repeated ids are ordinary rows; an
 empty table gives no rows; other columns are ignored or, when redacting, kept. Repeated tokens are joined in a chain, in order, so
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import Scratch, body, tune
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_LENGTH, EPOCHS, RATE, PENALTY = 2000, 20_000, 150, 2.0, 1e-4
-ROUNDS, DAMPING, SURE = 12, 0.3, 0.6
+SAMPLE_PASSAGES, PASSAGE, EPOCHS, RATE, PENALTY = 2000, 5000, 300, 2.0, 1e-5
+ROUNDS, DAMPING, SETTLED, SURE = 200, 0.2, 1e-4, 0.6
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # a run of digits that fails at its start fails at each later digit, so starts within runs are skipped
@@ -132,13 +135,16 @@ class Graph:
             self.on.append(features(token, before, after))
             if before:
                 self.chain.append((base + i - 1, base + i))
-            for key in keys(token):
-                if key in last and not (before and last[key] == base + i - 1):  # those have a chain edge
-                    self.skip.append((last[key], base + i))
-                last[key] = base + i
             while at < len(held) and held[at][1] <= start:
                 at += 1
             hit = [k for s, e, k in held[at : at + 4] if s < end and e > start]
+            own = keys(token)
+            if hit and " " in text[held[at][0] : held[at][1]]:  # a find of several tokens is also joined as a whole
+                own.append(f"#{NOT_DIGIT.sub('', text[held[at][0] : held[at][1]])}")
+            for j in sorted({last[key] for key in own if key in last}):  # one edge, however many keys are shared
+                if not (before and j == base + i - 1):  # those have a chain edge
+                    self.skip.append((j, base + i))
+            last.update(dict.fromkeys(own, base + i))
             self.seen.append(1 + hit[0] if hit else -1)
 
     def matrix(self) -> np.ndarray:
@@ -156,11 +162,41 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def disguises(kind: int, found: str) -> list[str]:
+    """The same data in forms that its pattern misses."""
+    digits = NOT_DIGIT.sub("", found)
+    if kind == 0:
+        name, _, domain = found.partition("@")
+        return [f"{name}@{domain.partition('.')[0]}"]
+    if kind == 1:
+        return [found.replace(".", "-")]
+    if kind == 2:
+        return [".".join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+    national = found.partition(" ")[2]
+    return [found[1:], national] if len(NOT_DIGIT.sub("", national)) >= 9 else [found[1:]]
+
+
+def lessons(text: str) -> list[tuple[str, list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Texts with what the patterns find and what else is labelled: text as it is, with a disguised repeat of its first find of each kind, and the disguise without the find."""
+    found = base_spans(text)
+    out = [(text, found, [])]
+    for kind in sorted({k for k, _, _ in found}):
+        _, start, end = next(f for f in found if f[0] == kind)
+        near = text[max(0, start - 200) : end + 200]
+        for hidden in disguises(kind, text[start:end]):
+            if not any(k == kind for k, _, _ in base_spans(hidden)):
+                at = len(near) + 8
+                out.append((f"{near} ...... {hidden}", base_spans(near), [(kind, at, at + len(hidden))]))
+                out.append((f"...... {hidden}", [], []))
+    return out
+
+
 def train(texts: list[str]) -> dict:
-    """Weights that maximise the pseudo-likelihood of the patterns' labels, others counting as label 0."""
+    """Weights that maximise the pseudo-likelihood of the labels of all lessons, others counting as label 0."""
     g, n = Graph(), 1 + len(KINDS)
-    for i, text in enumerate(texts):
-        g.add(i, text, base_spans(text), candidates(text))
+    for i, lesson in enumerate(x for text in texts for x in lessons(text)):
+        text, found, more = lesson
+        g.add(i, text, sorted(found + more), candidates(text))
     unary, chain, skip = np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros(n)
     if not g.on:
         return {"unary": unary, "chain": chain, "skip": skip}
@@ -171,17 +207,20 @@ def train(texts: list[str]) -> dict:
     np.add.at(around, s[:, 1], y[s[:, 0]])
     before, after = np.zeros_like(y), np.zeros_like(y)
     before[c[:, 1]], after[c[:, 0]] = y[c[:, 0]], y[c[:, 1]]
-    for _ in range(EPOCHS):
+    steps = [np.full_like(w, 1e-8) for w in (unary, chain, skip)]
+    for _ in range(EPOCHS):  # steps of each weight shrink with its own gradients
         off = (y - _softmax(x @ unary + before @ chain + after @ chain.T + around * skip)) / len(x)
-        unary += RATE * (x.T @ off - PENALTY * unary)
-        chain += RATE * (before.T @ off + (after.T @ off).T - PENALTY * chain)
-        skip += RATE * ((around * off).sum(0) - PENALTY * skip)
-    # agreement only: skip edges must not spread label 0 over what the features tell
-    return {"unary": unary, "chain": chain, "skip": np.r_[0.0, np.maximum(skip[1:], 1.0)]}
+        slopes = (x.T @ off - PENALTY * unary, before.T @ off + (after.T @ off).T - PENALTY * chain, (around * off).sum(0) - PENALTY * skip)
+        for w, slope, held in zip((unary, chain, skip), slopes, steps, strict=True):
+            held += slope * slope
+            w += 0.1 * RATE * slope / np.sqrt(held)
+        np.maximum(skip, 0, out=skip)  # the edges carry agreement only
+        skip[0] = 0.0  # and never spread label 0 over what the features tell
+    return {"unary": unary, "chain": chain, "skip": skip}
 
 
 def marginals(g: Graph, model: dict) -> np.ndarray:
-    """Beliefs after ROUNDS of damped message passing along all edges."""
+    """Beliefs after damped message passing along all edges until no message changes by over SETTLED, in at most ROUNDS rounds."""
     n = 1 + len(KINDS)
     c, s = g.edges()
     own = g.matrix() @ model["unary"]
@@ -199,7 +238,10 @@ def marginals(g: Graph, model: dict) -> np.ndarray:
         out = (belief[source] - message[back])[:, :, None] + pair
         high = out.max(1)
         new = high + np.log(np.exp(out - high[:, None, :]).sum(1))
-        message = DAMPING * message + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+        new = DAMPING * message + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+        moved, message = np.abs(new - message).max(), new
+        if moved < SETTLED:
+            break
     belief = own
     np.add.at(belief, to, message)
     return _softmax(belief)
@@ -216,6 +258,39 @@ def _covered(tokens: list[tuple[int, int]], found: list[tuple[int, int, int]]) -
     return True
 
 
+def passes(kind: int, found: str) -> bool:
+    """Whether an added span could be what it is taken for."""
+    digits = NOT_DIGIT.sub("", found)
+    if kind == 0:
+        return "@" in found[1:-1]
+    if kind == 1:
+        numbers = NOT_DIGIT.sub(" ", found).split()
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15
+
+
+def _trim(text: str, start: int, end: int) -> tuple[int, int]:
+    own = text[start:end]
+    return start + len(own) - len(own.lstrip(EDGE_MARKS)), end - len(own) + len(own.rstrip(EDGE_MARKS))
+
+
+def _within(kind: int, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of neighbouring tokens, the longest runs that pass, from the left; none of over 19 tokens can."""
+    out, i = [], 0
+    while i < len(spans):
+        for j in range(min(len(spans), i + 19), i, -1):
+            start, end = _trim(text, spans[i][0], spans[j - 1][1])
+            if start < end and passes(kind, text[start:end]):
+                out.append((start, end))
+                i = j
+                break
+        else:
+            i += 1
+    return out
+
+
 def find(texts: list[str], model: dict) -> list[list[tuple[int, int, int, bool]]]:
     """(kind, start, end, by pattern) of every text, by kind, then start."""
     g, out = Graph(), []
@@ -229,40 +304,66 @@ def find(texts: list[str], model: dict) -> list[list[tuple[int, int, int, bool]]
     if g.on:
         belief = marginals(g, model)
         label = np.where(belief.max(1) >= SURE, belief.argmax(1), 0)
-        runs: list[list[int]] = []
+        runs: list[list] = []
         for i in np.flatnonzero((label > 0) & (np.array(g.seen) < 0)).tolist():
-            start, end = g.spans[i]
-            text = texts[g.doc[i]]
-            end -= len(text[start:end]) - len(text[start:end].rstrip(EDGE_MARKS))
-            start += len(text[start:end]) - len(text[start:end].lstrip(EDGE_MARKS))
-            if start >= end:
-                continue
-            if runs and runs[-1][0] == g.doc[i] and runs[-1][1] == label[i] and runs[-1][4] == i - 1 and start - runs[-1][3] <= 2:
-                runs[-1][3:] = [end, i]
+            here = (g.doc[i], int(label[i]) - 1)
+            if runs and runs[-1][0] == here and runs[-1][2] == i - 1 and g.spans[i][0] - runs[-1][1][-1][1] == 1:
+                runs[-1][1].append(g.spans[i])
+                runs[-1][2] = i
             else:
-                runs.append([g.doc[i], int(label[i]), start, end, i])
-        for doc, kind, start, end, _ in runs:
-            out[doc].append((kind - 1, start, end, False))
-        for doc in {r[0] for r in runs}:
+                runs.append([here, [g.spans[i]], i])
+        touched = set()
+        for (doc, kind), spans, _ in runs:
+            for start, end in _within(kind, texts[doc], spans):
+                out[doc].append((kind, start, end, False))
+                touched.add(doc)
+        for doc in touched:
             out[doc].sort()
     return out
 
 
-def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text") -> dict:
-    """The weights. First a light table of hashes picks the sample, then only its texts are fetched: sample_docs of at most SAMPLE_LENGTH code points."""
+def _passages(text: str) -> Iterator[tuple[int, str]]:
+    """Number and text of the passages that hold a digit or an at sign."""
+    for at in range(0, len(text), PASSAGE):
+        part = text[at : at + PASSAGE]
+        if "@" in part or DIGIT.search(part):
+            yield at // PASSAGE, part
+
+
+def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_PASSAGES, doc_id: str = "doc_id", text: str = "text") -> dict:
+    """The weights. First a light table of hashes picks the sample, then only its passages are fetched."""
     tune(spark)
     scratch = Scratch(spark, "pii")
-    some = docs.select(F.xxhash64(F.col(doc_id), F.lit(7)).alias("h"), body(text).alias("text")).filter((F.length("text") <= SAMPLE_LENGTH) & F.col("text").rlike("[0-9@]"))
-    marks = scratch.write(some.select("h"), "marks")
+    some = docs.select(F.xxhash64(F.col(doc_id), F.lit(7)).alias("h"), body(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+
+    def passages(most: int | None):
+        from xxhash import xxh64_intdigest
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    for k, part in _passages(t.as_py()):
+                        own = (h & (1 << 64) - 1) ^ xxh64_intdigest(str(k))  # even over all hashes
+                        own -= own >> 63 << 64
+                        if most is None:
+                            rows.append((own, None))
+                        elif own <= most:
+                            rows.append((own, part))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["h", "part"])
+
+        return some.mapInArrow(run, "h long, part string")
+
+    marks = scratch.write(passages(None).select("h"), "marks")
     n = marks.count()
     if not n:
         return train([])
     # hashes are even, so those below this bound are a few times the sample
-    share = min(1.0, 4 * sample_docs / n)
+    share = min(1.0, 4 * sample / n)
     low = marks.filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else marks
-    last = low.orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    rows = some.filter(F.col("h") <= last).orderBy("h", F.xxhash64("text")).limit(sample_docs).select("text").collect()
-    return train([r["text"] for r in rows])
+    last = low.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = passages(last).orderBy("h", F.xxhash64("part")).limit(sample).collect()  # at most `sample` passages of PASSAGE code points
+    return train([r["part"] for r in rows])
 
 
 def spans(spark: SparkSession, docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
