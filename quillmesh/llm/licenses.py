@@ -2,8 +2,9 @@
 
 Templates and texts become words in lower case with single blanks between. The hashes of every K bytes are winnowed: of each
 WINDOW neighbours the least is kept, so any K + WINDOW - 1 bytes in common share a fingerprint. An inverted index of the
-templates' fingerprints gives candidate places; each is aligned with its template, word by word, within a band around the
-diagonal of its hits. A match that covers MIN_COVERAGE of the template's words is reported with its span; of overlapping ones, that of the most words.
+templates' fingerprints gives candidate places: one hit is enough. Hits that stand close are a cluster; a cluster whose words can't cover
+the template is dropped, as no alignment of it could. Each other is aligned with its template, word by word, within a band along the
+chain of its hits, so blocks left out or put in move the band. A match that covers MIN_COVERAGE of the template's words is reported with its span; of overlapping ones, that of the most words.
 
 The templates are a fixed list, so what every task holds does not grow with the data.
 
@@ -14,7 +15,8 @@ table gives no rows; other columns are ignored. Texts are scanned whole, in chun
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import body, tune
 
-K, WINDOW, BAND, MIN_COVERAGE, MIN_HITS_SHARE = 12, 8, 12, 0.8, 0.3
+K, WINDOW, BAND, MIN_COVERAGE = 12, 8, 12, 0.8
 CHUNK = 1 << 19
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -39,7 +41,12 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "cc-by-4.0-line": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
@@ -47,12 +54,13 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     "cc-by-4.0-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mit-line": "Released under the MIT License.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
@@ -97,13 +105,12 @@ class Index:
         self.names = sorted(t for t in templates if normal_words(templates[t]))
         self.words = [normal_words(templates[t]) for t in self.names]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.n_prints = []
+        self.counts = [Counter(w) for w in self.words]
         for t, words in enumerate(self.words):
             data = b" ".join(words)
             at, h = winnow(np.frombuffer(data, np.uint8))
             for a, x in zip(at.tolist(), h.tolist(), strict=True):
                 self.places[x].append((t, data.count(b" ", 0, a)))
-            self.n_prints.append(len(at))
         self.known = np.array(sorted(self.places), np.uint64)
         self.quick = np.zeros(1 << 16, bool)
         self.quick[(self.known >> np.uint64(48)).astype(np.int64)] = True
@@ -121,16 +128,42 @@ class Index:
         return sorted(set(out))
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int, int, int]:
-    """Best local alignment within BAND words of the diagonal (word of the text less word of the template): words matched, first and last word of the text.
+def chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of hits (word of the text, word of the template), a longest run in which both ascend."""
+    ends: list[tuple[int, int]] = []  # the least template word that ends a run of each length, and its hit
+    back, hits = [], sorted(hits, key=lambda h: (h[0], -h[1]))
+    for n, (_, i) in enumerate(hits):
+        k = bisect_left(ends, (i, -1))
+        back.append(ends[k - 1][1] if k else -1)
+        ends[k : k + 1] = [(i, n)]
+    out, n = [], ends[-1][1] if ends else -1
+    while n >= 0:
+        out.append(hits[n])
+        n = back[n]
+    return out[::-1]
+
+
+def band(n: int, run: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each of n template words, the words of the text that it may stand for: BAND around the diagonals of the hits beside it."""
+    out, k = [], 0
+    for i in range(n):
+        while k < len(run) and run[k][1] < i:
+            k += 1
+        beside = [h[0] - h[1] for h in run[max(0, k - 1) : k + 1]]
+        out.append((i + min(beside) - BAND, i + max(beside) + BAND + 1))
+    return out
+
+
+def align(template: list[bytes], words: list[bytes], limits: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """Best local alignment within the limits: words matched, first and last word of the text.
 
     A match counts 2, a word left out or replaced -1. A cell holds score, matches and first word; the best alignments of the cells above, left and diagonal are extended.
     """
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}
-    for i, w in enumerate(template):
+    for w, (low, high) in zip(template, limits, strict=True):
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + diagonal - BAND), min(len(words), i + diagonal + BAND + 1)):
+        for j in range(max(0, low), min(len(words), high)):
             s, m, first = above.get(j - 1, (0, 0, j))
             if m == 0:
                 first = j
@@ -146,6 +179,40 @@ def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int
     return best[1:]
 
 
+def clusters(hits: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+    """Hits whose words of the text are at most n words apart; of long ones, windows of 3n words that overlap by 2n, so that one holds all hits of a match."""
+    out: list[list[tuple[int, int]]] = []
+    for hit in sorted(hits):
+        if not out or hit[0] - out[-1][-1][0] > n:
+            out.append([])
+        out[-1].append(hit)
+    parts = []
+    for held in out:
+        at, first, last = held[0][0], 0, 0
+        while True:
+            while held[first][0] < at:
+                first += 1
+            while last < len(held) and held[last][0] < at + 3 * n:
+                last += 1
+            parts.append(held[first:last])
+            if last == len(held):
+                break
+            at = max(at + n, held[first][0])
+    return parts
+
+
+def tries(hits: list[tuple[int, int]], n: int) -> Iterator[list[tuple[int, int]]]:
+    """All hits, then those near each place where a copy of the template may begin: copies that follow each other have hits that ascend together."""
+    yield hits
+    last = None
+    for begin in sorted({j - i for j, i in hits}):
+        if last is None or begin - last > BAND:
+            last = begin
+            near = [h for h in hits if begin - BAND <= h[0] <= begin + n + n // 2 + BAND]
+            if near and len(near) < len(hits):
+                yield near
+
+
 def matches(index: Index, text: str) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end in code points) of the text's matches."""
     words = normal_words(text)
@@ -154,32 +221,35 @@ def matches(index: Index, text: str) -> list[tuple[str, float, int, int, int]]:
     if not found:
         return []
     starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for place, h in found:
-        j = int(np.searchsorted(starts, place, side="right")) - 1
+    hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    at = np.searchsorted(starts, np.array([place for place, _ in found]), side="right") - 1
+    for j, (_, h) in zip(at.tolist(), found, strict=True):
         for t, i in index.places[h]:
-            hits[t].append((j, j - i))
+            hits[t].add((j, i))
     spans, out = None, []
     for t, own in sorted(hits.items()):
-        template = index.words[t]
-        # hits of one place in the text lie on nearly one diagonal
-        own = sorted(set(own), key=lambda x: (x[1], x[0]))
-        groups: list[list[tuple[int, int]]] = []
-        for hit in own:
-            if groups and hit[1] - groups[-1][0][1] <= BAND // 2:
-                groups[-1].append(hit)
-            else:
-                groups.append([hit])
+        template, need = index.words[t], index.counts[t]
+        n = len(template)
         seen: list[tuple[int, int]] = []
-        for g in sorted(groups, key=lambda g: (-len(g), g)):
-            if len(g) < max(1, MIN_HITS_SHARE * index.n_prints[t]):
-                continue
-            n, first, last = align(template, words, sorted(x[1] for x in g)[len(g) // 2])
-            if n < MIN_COVERAGE * len(template) or any(first <= b and a <= last for a, b in seen):
-                continue
-            seen.append((first, last))
-            spans = spans or [m.span() for m in WORD.finditer(text)]
-            out.append((index.names[t], n / len(template), n, spans[first][0], spans[last][1]))
+        for left in clusters(sorted(own), n):
+            while left:  # a cluster may hold several matches
+                n_left = len(left)
+                for some in tries(left, n):
+                    low, high = max(0, some[0][0] - n - BAND), some[-1][0] + n + BAND
+                    # words in common, wherever they stand: no alignment matches more
+                    here = Counter(w for w in words[low:high] if w in need)
+                    if sum(min(c, here[w]) for w, c in need.items()) < MIN_COVERAGE * n:
+                        continue
+                    m, first, last = align(template, words, band(n, chain(some)))
+                    if m >= MIN_COVERAGE * n:
+                        if not any(first <= b and a <= last for a, b in seen):
+                            seen.append((first, last))
+                            spans = spans or [x.span() for x in WORD.finditer(text)]
+                            out.append((index.names[t], m / n, m, spans[first][0], spans[last][1]))
+                        left = [h for h in left if not first <= h[0] <= last]
+                        break
+                if len(left) == n_left:
+                    break
     # of overlapping matches, that of the most words stays
     kept: list[tuple[str, float, int, int, int]] = []
     for m in sorted(out, key=lambda m: (-m[2], -m[1], m[0], m[3])):
