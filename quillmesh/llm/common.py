@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Rows and bytes of one Arrow batch: long texts must not fill a Python worker.
 BATCH_ROWS = 256
@@ -63,6 +64,13 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def integer_ids(docs: DataFrame, doc_id: str) -> None:
+    """Refuse ids that have no order of integers."""
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{doc_id} must be an integer, not {kind.simpleString()}")
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

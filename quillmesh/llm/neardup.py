@@ -1,15 +1,16 @@
-"""Near-duplicate removal by the Jaccard similarity of five-word shingles: texts of SIMILAR or more are linked.
+"""Near-duplicate removal by SimHash of five-word shingles: texts whose shingle sets have a Jaccard similarity of SIMILAR or more are linked.
 
-A 64-bit SimHash holds this similarity within about 10 bits (20 for nearly all pairs); so many differing bits leave no segment of
-a ring that tells pairs apart. Candidates are therefore texts that share one of BANDS bands of ROWS min-hashes: at similarity 0.8 a
-pair is missed with probability 7e-5, above it less. A link is decided by the exact similarity of the shingle sets.
+Candidates come first from the SimHash operator: fingerprints of five-word shingles at most simhash.DISTANCE bits apart, found by its
+pigeonring filter. A 64-bit SimHash holds a similarity of 0.8 within about 10 bits (20 for nearly all pairs); so many differing bits leave no segment of
+a ring that tells pairs apart. Pairs farther apart are therefore sought among texts that share one of BANDS bands of ROWS min-hashes: at similarity 0.8 a
+pair is missed with probability 7e-5, above it less. Every link is decided by the exact similarity of the shingle sets.
 
 Texts with equal shingle sets are one node. Buckets are linked by stars first, from STARS centers in turn; buckets that
 lie in one component then need no more. Of the others every two texts of a cluster are compared in tasks over two bounded blocks,
 which give the links they find as a forest. Nothing is capped.
 
 Defined results: a null text is the empty text; empty texts are equal; repeated ids keep one row each; of a component without ids
-one row stays; an empty table gives no rows.
+one row stays, of others no row without an id does; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Scratch, body, tune
 from quillmesh.llm.components import connected_components
-from quillmesh.llm.simhash import _union, shingle_hashes
+from quillmesh.llm.simhash import _union, fingerprints_of, linked, shingle_hashes
 
 SHINGLE, SIMILAR = 5, (4, 5)  # 4 / 5
 BANDS, ROWS, STARS, AT_ONCE = 24, 5, 2, 1024
@@ -34,9 +35,13 @@ TIMES |= np.uint64(1)
 MIX, BAND = (_RANDOM.integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for n in (ROWS, BANDS))
 
 
+def hashes_of(text: str) -> np.ndarray:
+    return np.array(shingle_hashes(text, SHINGLE), np.uint64)
+
+
 def shingle_set(text: str) -> np.ndarray:
     """The distinct hashes of the text's shingles, ascending."""
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
+    return np.unique(hashes_of(text))
 
 
 def set_hash(held: np.ndarray) -> int:
@@ -59,8 +64,9 @@ def band_keys(held: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set", "keys"])
+        hashed = [hashes_of(t.as_py()) for t in b.column(1)]
+        sets = [np.unique(h) for h in hashed]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(fingerprints_of(hashed).view(np.int64)), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,41 +116,43 @@ def components(spark: SparkSession, docs: DataFrame, scratch: Scratch, doc_id: s
     tune(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("text"))
-    table = scratch.write(own.mapInArrow(_signed, f"doc_id {kind}, set long, keys array<long>"), "signed")
-    nodes = scratch.write(table.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
+    table = scratch.write(own.mapInArrow(_signed, f"doc_id {kind}, set long, fp long, keys array<long>"), "signed")
+    nodes = scratch.write(table.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    prints = scratch.write(nodes.groupBy("fp").agg(F.min("set").alias("rep")), "prints")
+    near = linked(spark, prints, scratch).select(*pair("u", "v"))
+    same = nodes.select("fp", "set").join(prints, "fp").filter("set <> rep").select(*pair("set", "rep"))
+    pairs = scratch.write(near.union(same).distinct(), "pairs")
     keyed = nodes.select("set", "rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = scratch.write(keyed.join(shared, "key").select("key", "set", "rep"), "members")
-    ids = members.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    in_pairs = nodes.join(pairs.select(F.col("u").alias("set")).union(pairs.select("v")), "set", "left_semi").select("rep")
+    ids = members.select("rep").union(in_pairs).filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     chosen = own.join(ids, "doc_id", "left_semi").select("text").union(own.filter("doc_id is null").select("text"))
     sets = scratch.write(chosen.mapInArrow(_sets, "set long, h array<long>").groupBy("set").agg(F.first("h").alias("h")), "sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame) -> DataFrame:
         """The pairs u, v of SIMILAR or more."""
         a, b = (sets.select(F.col("set").alias(x), F.col("h").alias(f"h{x}")) for x in ("u", "v"))
         sizes = F.size("hu") + F.size("hv")
         some = pairs.join(a, "u").join(b, "v").filter(F.least(F.size("hu"), F.size("hv")) * SIMILAR[1] >= F.greatest(F.size("hu"), F.size("hv")) * SIMILAR[0])
         return some.filter(F.size(F.array_intersect("hu", "hv")) * (SIMILAR[0] + SIMILAR[1]) >= sizes * SIMILAR[0]).select("u", "v")
 
-    pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
-    links = tested = roots = None
+    tested, links = pairs, scratch.write(similar(pairs), "links")
+    roots = connected_components(spark, links, scratch)
     for r in range(STARS + 1):
-        live = members.select("key", "set", F.col("set").alias("c"))
-        if roots is not None:
-            live = members.select("key", "set").join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("c"))
+        live = members.select("key", "set").join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("c"))
         centers = live.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("set", F.lit(r)), "set", "c")).alias("x"))
         centers = centers.filter("low < high").select("key", F.col("x.set").alias("center"), F.col("x.c").alias("of"))
         if r < STARS:
             new = live.join(centers, "key").filter("c <> of").select(*pair("set", "center")).distinct()
+            new = scratch.write(new.join(tested, ["u", "v"], "left_anti"), f"pairs-{r}")
+            found = scratch.write(similar(new), f"found-{r}")
+            tested = tested.union(new)
         else:  # all that is left
-            found = scratch.write(_within_clusters(spark, live, centers, sets, scratch), f"links-{r}")
-            roots = connected_components(spark, links.union(found), scratch)
-            break
-        new = scratch.write(new if tested is None else new.join(tested, ["u", "v"], "left_anti"), f"pairs-{r}")
-        found = scratch.write(linked(new), f"links-{r}")
-        tested = new if tested is None else tested.union(new)
-        links = found if links is None else links.union(found)
-        if not r or found.limit(1).count():
+            found = scratch.write(_within_clusters(spark, live, centers, sets, scratch), f"found-{r}")
+        if found.limit(1).count():
+            links = links.union(found)
             roots = connected_components(spark, links, scratch)
     named = nodes.select("set", "rep").join(roots, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
     named = scratch.write(named, "named")
@@ -155,18 +163,26 @@ def components(spark: SparkSession, docs: DataFrame, scratch: Scratch, doc_id: s
 def keep_one(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of its smallest id, or any if none has an id."""
     scratch = Scratch(spark, "neardup")
+    names = docs.columns
+    kept_id, kept_n, kept_set = (_fresh(names, x) for x in ("kept_id", "kept_n", "kept_set"))
     found = components(spark, docs, scratch, doc_id, text)
     first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = scratch.write(first.select(F.col("doc_id").alias("_kept_id"), F.col("n").alias("_kept_n")), "first")
-    kept = docs.join(first.hint("shuffle_hash"), F.col(doc_id) == F.col("_kept_id"))
-    names = docs.columns
-    out = kept.filter("_kept_n = 1").select(*names)
-    if first.filter("_kept_n > 1").limit(1).count():  # repeated ids: one row each
-        out = out.unionByName(kept.filter("_kept_n > 1").dropDuplicates([doc_id]).select(*names))
+    first = scratch.write(first.select(F.col("doc_id").alias(kept_id), F.col("n").alias(kept_n)), "first")
+    kept = docs.join(first.hint("shuffle_hash"), docs[doc_id] == first[kept_id])
+    out = kept.filter(F.col(kept_n) == 1).select(*names)
+    if first.filter(F.col(kept_n) > 1).limit(1).count():  # repeated ids: one row each
+        out = out.unionByName(kept.filter(F.col(kept_n) > 1).dropDuplicates([doc_id]).select(*names))
     if docs.schema[doc_id].nullable:
-        lonely = found.filter("component_id is null").groupBy("root").agg(F.min("set").alias("_set")).select("_set")
+        lonely = found.filter("component_id is null").groupBy("root").agg(F.min("set").alias(kept_set)).select(kept_set)
         if lonely.limit(1).count():
             set_of = F.pandas_udf(lambda s: s.map(lambda t: set_hash(shingle_set(t))), "long")
-            bare = docs.filter(F.col(doc_id).isNull()).withColumn("_set", set_of(body(text)))
-            out = out.unionByName(bare.join(lonely, "_set", "left_semi").dropDuplicates(["_set"]).select(*names))
+            bare = docs.filter(F.col(doc_id).isNull()).withColumn(kept_set, set_of(body(text)))
+            out = out.unionByName(bare.join(lonely, kept_set, "left_semi").dropDuplicates([kept_set]).select(*names))
     return out
+
+
+def _fresh(names: list[str], like: str) -> str:
+    """A column name that no name equals, however it is written."""
+    while like in {n.lower() for n in names}:
+        like += "_"
+    return like

@@ -11,7 +11,7 @@ Only distinct fingerprints, one row each, are compared. A key with more than SPL
 remaining bits: a linked pair must also agree on one of their five parts. Each task gives a spanning forest of the links it
 finds, never all pairs, and components are contracted in tables.
 
-Defined results: a null text is the empty text, with fingerprint zero; repeated rows share a
+Defined results: ids are integers, others are refused with a TypeError; a null text is the empty text, with fingerprint zero; repeated rows share a
 component; rows without an id have a fingerprint and the component of equal fingerprints, but link no others; an empty
 table gives no rows; other columns are ignored.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Scratch, body, tune
+from quillmesh.llm.common import Scratch, body, integer_ids, tune
 from quillmesh.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -54,7 +54,12 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[str], k: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprint of each text."""
-    counts, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    return fingerprints_of([np.array(shingle_hashes(t, k), np.uint64) for t in texts])
+
+
+def fingerprints_of(hashed: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit fingerprint of each text, from the hashes of its shingles."""
+    counts, sizes = np.zeros((len(hashed), 64), np.int64), np.zeros(len(hashed), np.int64)
     held, owners, n = [], [], 0
 
     def flush() -> None:
@@ -64,8 +69,7 @@ def fingerprints(texts: list[str], k: int = SHINGLE) -> np.ndarray:
             np.add.at(counts, owners, _bit_counts(np.concatenate(held), starts))
             held, owners, n = [], [], 0
 
-    for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, k), np.uint64)
+    for i, hashes in enumerate(hashed):
         sizes[i] = len(hashes)
         for at in range(0, len(hashes), HASHES_AT_ONCE):
             part = hashes[at : at + HASHES_AT_ONCE]
@@ -217,12 +221,8 @@ def _keyed(rows: DataFrame, paths: list[tuple[int, ...]], distance: int) -> Data
     return rows.select(F.explode(keys).alias("k"), "fp", "rep").select("k.path", "k.val", "fp", "rep")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, k: int = SHINGLE, split: int = SPLIT, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, fp, component_id for every row; component_id is the smallest doc_id that links reach."""
-    scratch = scratch or Scratch(spark, "simhash")
-    table = scratch.write(fingerprint_table(spark, docs, k, doc_id, text), "fingerprints")
-    nodes = scratch.write(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    rows = nodes.filter("rep is not null").select("fp", F.col("rep").cast("long").alias("rep"))
+def linked(spark: SparkSession, rows: DataFrame, scratch: Scratch, distance: int = DISTANCE, split: int = SPLIT) -> DataFrame:
+    """u, v: a spanning forest of the links between the rep of rows (fp: distinct, rep: long) whose fingerprints differ in at most `distance` bits."""
     paths: list[tuple[int, ...]] = [(i,) for i in range(distance + 1)]
     edges: list[DataFrame] = []
     ready = _keyed(rows, paths, distance)
@@ -250,25 +250,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTAN
     found = edges[0]
     for e in edges[1:]:
         found = found.union(e)
-    roots = connected_components(spark, found, scratch)
-    named = nodes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return table.join(named, "fp").select("doc_id", "fp", "component_id")
+    return found
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, k: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest id. Rows without an id stay only if they are alone in their component."""
-    scratch = Scratch(spark, "simhash")
-    found = near_duplicates(spark, docs, distance, k, doc_id=doc_id, text=text, scratch=scratch)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = scratch.write(first.select(F.col("doc_id").alias("_kept_id"), F.col("n").alias("_kept_n")), "first")
-    kept = docs.join(first.hint("shuffle_hash"), F.col(doc_id) == F.col("_kept_id"))
-    names = docs.columns
-    out = kept.filter("_kept_n = 1").select(*names)
-    if first.filter("_kept_n > 1").limit(1).count():  # repeated ids: one row each
-        out = out.unionByName(kept.filter("_kept_n > 1").dropDuplicates([doc_id]).select(*names))
-    if docs.schema[doc_id].nullable:
-        lonely = found.filter("component_id is null").groupBy("fp").count()
-        if lonely.limit(1).count():
-            bare = docs.filter(F.col(doc_id).isNull())
-            out = out.unionByName(bare.dropDuplicates([text]))
-    return out
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, k: int = SHINGLE, split: int = SPLIT, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row; component_id is the smallest doc_id that links reach."""
+    integer_ids(docs, doc_id)
+    scratch = scratch or Scratch(spark, "simhash")
+    table = scratch.write(fingerprint_table(spark, docs, k, doc_id, text), "fingerprints")
+    nodes = scratch.write(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    rows = nodes.filter("rep is not null").select("fp", F.col("rep").cast("long").alias("rep"))
+    roots = connected_components(spark, linked(spark, rows, scratch, distance, split), scratch)
+    named = nodes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return table.join(named, "fp").select("doc_id", "fp", "component_id")

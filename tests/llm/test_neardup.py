@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillmesh.llm import neardup, simhash
@@ -55,3 +56,28 @@ def test_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "g h"), (None, "g h"), (7, "q"), (7, "q")], "doc_id long, text string")
     assert sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(spark, docs).collect()), key=str) == [(5, "g h"), (7, "q"), (None, "a b c d e f")]
     assert neardup.keep_one(spark, docs.limit(0)).count() == 0
+
+
+def test_rows_without_ids_stay_only_alone_and_names_may_clash(spark):
+    t, u = "t " * 9, "u v w x y z"
+    rows = [(8, "", 1, 2), (None, "", 1, 2), (3, t, 1, 2), (None, t, 1, 2), (None, u, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, Kept_Set int").withColumnRenamed("Kept_Set", "KEPT_SET")
+    got = neardup.keep_one(spark, docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("3", t), ("8", ""), ("None", u)]
+
+
+def test_candidates_come_from_fingerprints_too(spark):
+    """The pairs that the SimHash operator links are tested, before any band is looked at."""
+    r = random.Random(3)
+    base = [r.choice(WORDS) + str(i) for i in range(400)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join([*base, "end"]), "other words here now and then"]
+    fps = simhash.fingerprints(texts, 5).tolist()
+    assert all(bin(fps[0] ^ f).count("1") <= simhash.DISTANCE for f in fps[:3])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    scratch = neardup.Scratch(spark, "test")
+    found = neardup.components(spark, docs, scratch)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    named = [neardup.set_hash(neardup.shingle_set(t)) for t in texts]
+    pairs = {x for r in spark.read.parquet(scratch.paths["pairs"]).collect() for x in (r["u"], r["v"])}
+    assert pairs == set(named[:3])
