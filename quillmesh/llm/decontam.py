@@ -34,6 +34,7 @@ from quillmesh.llm.common import body, tune
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP, MIN_ANSWER, SHINGLE = 0.6, 0.8, 0.5, 5
 BLOCKS, PART_BYTES, SLACK = 64, 2 << 20, 1e-5
+CLASS, STEP = 64, 4
 #: Letters and digits stay; all else parts words. The table is for texts in ASCII.
 TABLE = bytes(b if chr(b).isalnum() else 32 for b in range(128)) + bytes([32]) * 128
 WORD = re.compile(r"[^\W_]+")
@@ -131,7 +132,9 @@ class Index:
 
     def leaks(self, text: str, least: float = MIN_SCORE) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, first word of the passage) of leaked items, each at its best passage."""
-        words = words_of(text)
+        return self.leaks_in(words_of(text), least)
+
+    def leaks_in(self, words: list[bytes], least: float = MIN_SCORE) -> list[tuple[int, float, float, float, int]]:
         if not words or not self.items:
             return []
         get = self.ids.get
@@ -161,17 +164,39 @@ class Index:
         return [(d, s, q, x, -a) for d, (s, q, x, a) in sorted(best.items())]
 
 
+class Indexes:
+    """An index for each class of lengths, so that a long item doesn't widen the passages that short ones are sought in: up to CLASS words, up to CLASS * STEP words, and so on."""
+
+    def __init__(self, items: list[tuple[object, str]], df: dict[bytes, int] | None = None, n_items: int | None = None, mean_words: float | None = None):
+        sized = [(i, t, words_of(t)) for i, t in items if t]
+        sized = [r for r in sized if r[2]]
+        df = df or Counter(w for r in sized for w in set(r[2]))
+        n_items, mean_words = n_items or len(sized), mean_words or sum(len(r[2]) for r in sized) / max(1, len(sized))
+        classes: dict[int, list[tuple[object, str]]] = defaultdict(list)
+        for i, t, words in sized:
+            k, most = 0, CLASS
+            while len(words) > most:
+                k, most = k + 1, most * STEP
+            classes[k].append((i, t))
+        self.parts = [Index(classes[k], df, n_items, mean_words) for k in sorted(classes)]
+
+    def leaks(self, text: str, least: float = MIN_SCORE) -> list[tuple[object, float, float, float, int]]:
+        """As of an index, with the items' own ids."""
+        words = words_of(text)
+        return [(p.items[d], *rest) for p in self.parts for d, *rest in p.leaks_in(words, least)]
+
+
 def _within(shingle: bytes, words: list[bytes]) -> bool:
     return b" " + shingle + b" " in b" " + b" ".join(words) + b" "
 
 
-def indexes(spark: SparkSession, items: DataFrame, item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Index]:
+def indexes(spark: SparkSession, items: DataFrame, item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Indexes]:
     """An index for every part of the items."""
     rows = items.select(F.col(item_id).alias("id"), F.col(text).alias("text")).filter("text is not null")
     total, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts = -(-(total or 0) // part_bytes)
     if parts <= 1:
-        yield Index([tuple(r) for r in rows.collect()])  # at most part_bytes
+        yield Indexes([tuple(r) for r in rows.collect()])  # at most part_bytes
         return
     tune(spark)
 
@@ -189,7 +214,7 @@ def indexes(spark: SparkSession, items: DataFrame, item_id: str = "item_id", tex
         own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p)
         used = own.mapInArrow(run, "w binary, n_words long, n long").select("w").distinct()
         df = {bytes(r["w"]): r["df"] for r in words.join(used, "w").groupBy("w").agg(F.count("*").alias("df")).collect()}
-        yield Index([tuple(r) for r in own.collect()], df, n_items, n_words / max(1, n_items))
+        yield Indexes([tuple(r) for r in own.collect()], df, n_items, n_words / max(1, n_items))
 
 
 def leaked(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -208,7 +233,7 @@ def leaked(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str =
                 for i, t in enumerate(b.column(1)):
                     for x in index.leaks(t.as_py()):
                         at.append(i)
-                        found.append((index.items[x[0]], *x[1:]))
+                        found.append(x)
                 if found:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, zip(*found, strict=True))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 

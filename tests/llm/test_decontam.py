@@ -57,3 +57,15 @@ def test_case_and_punctuation_beyond_ascii():
     for text in (item.upper(), plain, item.replace(" ", "\u00a0")):
         assert [x[0] for x in index.leaks(f"otro texto {text} sigue")] == [0], text
     assert decontam.words_of("A_b-c d\x1fé ’x’") == [w.encode() for w in ("a", "b", "c", "d", "é", "x")]
+
+
+def test_long_items_leave_short_passages_alone():
+    """A long item has an index of its own; items of every length are found in very long texts, repeated ones once."""
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    items = [(i, _text(r, n, vocab) + "? " + _text(r, 4, vocab)) for i, n in enumerate([10, 30, 200, 900, 6000, 30])]
+    both = decontam.Indexes([*items, (9, items[1][1])])
+    assert [p.longest for p in both.parts] == [34, 204, 904, 6004]
+    text = " ".join([_text(r, 20_000, vocab), *(t for _, t in items), _text(r, 20_000, vocab), items[0][1]])
+    assert sorted(x[0] for x in both.leaks(text)) == [0, 1, 2, 3, 4, 5, 9]
+    assert both.leaks("") == [] and both.leaks(_text(r, 3000, vocab)) == [] and decontam.Indexes([]).leaks("a b c") == []
