@@ -7,9 +7,9 @@ how often words repeat, and hashed words. A singular value decomposition of a bo
 and the NEIGHBOURS nearest vote with weights that grow with similarity. The sample is balanced, so a score is a likelihood
 for label 1 under equal priors.
 
-Defined results: a null text is the empty text; an empty text has no direction and scores EMPTY_SCORE; null and
+Defined results: a null text is the empty text; an empty text has no direction, so it is equally near to all labelled vectors and scores their mean label; null and
 repeated ids are ordinary rows; of repeated labels the lowest counts, null ones don't; with labels of one kind only every
-score is that label, with none 0.5; an empty table gives no rows; other columns are ignored.
+score is that label, with none UNKNOWN; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import body, fold, tune
 
 PER_LABEL, DIMS, NEIGHBOURS, SHARPNESS = 1500, 64, 25, 20.0
-THRESHOLD, EMPTY_SCORE = 0.3, 0.5
+THRESHOLD, UNKNOWN = 0.3, 0.5
 CLASSES, WORD_BUCKETS, REPEATS = 40, 4096, 4
 SHAPE_WEIGHT, REPEAT_WEIGHT, WORD_WEIGHT = 0.7, 0.6, 0.38
 AT_ONCE = 1024
@@ -133,7 +133,7 @@ def vote(model: dict, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.n
     """Similarity-weighted mean label of the nearest labelled vectors, by exact cosines."""
     labels = model["labels"]
     if not len(labels):
-        return np.full(len(vectors), EMPTY_SCORE)
+        return np.full(len(vectors), UNKNOWN)
     out = np.empty(len(vectors))
     k = min(neighbours, len(labels))
     for at in range(0, len(vectors), AT_ONCE):
@@ -142,8 +142,7 @@ def vote(model: dict, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.n
         sims = np.take_along_axis(cosine, near, 1).astype(np.float64)
         weight = np.exp(SHARPNESS * (sims - sims.max(1, keepdims=True)))
         out[at : at + AT_ONCE] = np.clip((weight * labels[near]).sum(1) / weight.sum(1), 0, 1)
-    blank = ~vectors.any(1)
-    out[blank] = EMPTY_SCORE if 0 < labels.mean() < 1 else labels.mean()
+    out[~vectors.any(1)] = labels.mean()  # equally near to all, so all vote
     return out
 
 
