@@ -15,6 +15,7 @@ stand; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import Scratch, body, tune
 
 CAPACITY, END, SPECIAL = 2048, 0, "<|endoftext|>"
-PER_GROUP, ROUNDS = 40_000, 4
+PER_GROUP = 40_000
 SAFE_RUN = 50_000  # tiktoken's stack overflows on runs of white space somewhere above 500,000
 BLANKS = re.compile(r"\s+")
 
@@ -156,7 +157,7 @@ def _pack_group(capacity: int):
     return pack
 
 
-def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_group: int = PER_GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_group: int = PER_GROUP) -> DataFrame:
     """pieces with sequence_id and offset. pieces: a written table."""
     names = pieces.columns
     keyed = pieces.withColumn("key", F.xxhash64(*[F.col(c) for c in names if c != "ids"]))
@@ -174,22 +175,21 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capaci
     rows_of = [c for c in bare if c not in ("group", "bin", "offset", "bound")]
     first, held = groups, ["round-0"]
     final: list[DataFrame] = []
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1):  # each round but the last saves a sequence
         # one row a partition: its sequences, and the bound that certifies them
-        state = done.groupBy("group").agg(F.max("bin").alias("last"), F.first("bound").alias("bound")).withColumn("gap", F.col("last") + 1 - F.col("bound"))
-        gaps = state.filter("gap > 0").collect()
-        if len(gaps) < 2:
+        state = done.groupBy("group").agg((F.max("bin") + 1).alias("n"), F.first("bound").alias("bound"))
+        gaps = scratch.write(state.filter("n > bound").select("group", "n"), f"gaps-{r}")
+        n_gaps, before = gaps.agg(F.count("*"), F.sum("n")).first()
+        if n_gaps < 2:
             break
-        open_groups = done.join(F.broadcast(spark.createDataFrame([(x["group"],) for x in gaps], "group long")), "group").select(*bare)
-        tried = packed(open_groups.select(*rows_of), r, len(gaps), first, f"round-{r}")
+        tried = packed(done.join(gaps.select("group"), "group", "left_semi").select(*rows_of), r, n_gaps, first, f"round-{r}")
         held.append(f"round-{r}")
-        before = sum(x["last"] + 1 for x in gaps)
         after = tried.groupBy("group").agg((F.max("bin") + 1).alias("n")).agg(F.sum("n")).first()[0]
         if after >= before:
             scratch.drop(held.pop())
             break
-        final.append(done.join(F.broadcast(spark.createDataFrame([(x["group"],) for x in gaps], "group long")), "group", "left_anti").select(*bare))
-        done, first = tried, first + len(gaps)
+        final.append(done.join(gaps.select("group"), "group", "left_anti").select(*bare))
+        done, first = tried, first + n_gaps
     for d in final:
         done = done.unionByName(d)
     # each partition's emptiest sequence goes to the pool: one row a partition tells which
@@ -199,7 +199,7 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capaci
         marked = done.join(least, ["group", "bin"], "left")
         pool = marked.filter("pooled").select(*rows_of)
         pools = max(1, -(-groups * 64 // per_group))
-        again = packed(pool, rounds + 1, pools, first, "pool")
+        again = packed(pool, -1, pools, first, "pool")
         done = marked.filter("pooled is null").select(*bare).unionByName(again)
     return done.select(*names, ((F.col("group") * (1 << 24)) + F.col("bin")).alias("sequence_id"), "offset")
 
