@@ -101,6 +101,28 @@ def store(text: str) -> dict:
 SCHEMA = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, n_peaks int, codes array<long>"
 
 
+DIGESTS = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks int, n_codes int, codes_sha256 string"
+
+
+def digests(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As media_columns, with sizes and digests of the stored file and of the codes (little-endian longs) in place of these."""
+    tune(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x in b.column(1):
+                s = store(x.as_py())
+                rows.append((s["n_bytes"], s["payload_bytes"], s["payload_sha256"], s["tail_crc32"], len(s["media"]), hashlib.sha256(s["media"]).hexdigest(), s["n_peaks"], len(s["codes"]), hashlib.sha256(s["codes"].astype("<i8").tobytes()).hexdigest()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                names = [x.split()[0] for x in DIGESTS.split(", ")]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("text")).mapInArrow(run, DIGESTS.format(kind))
+
+
 def media_columns(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: the WAV file, figures of the payload read back, and codes = time << 24 | tone << 16 | tone << 8 | distance."""
     tune(spark)

@@ -56,12 +56,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.media_columns(spark, _table(spark, sf_dir, "documents"))
-    n_codes = F.size("codes")
-    digest = F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)
+    stored = media.digests(spark, _table(spark, sf_dir, "documents"))
     return stored.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.col("n_peaks").cast("string"), n_codes.cast("string"), F.substring(digest, 1, 32)).alias("feature"),
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        F.concat_ws(":", F.col("n_peaks").cast("string"), F.col("n_codes").cast("string"), F.substring("codes_sha256", 1, 32)).alias("feature"),
     )
 
 

@@ -56,3 +56,13 @@ def test_query(spark, tmp_path):
     assert got[4]["payload_bytes"] == 64 and got[5]["n_bytes"] == 150_000
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert media.media_columns(spark, empty).count() == 0
+
+
+def test_digests_are_those_of_the_columns(spark):
+    docs = spark.createDataFrame([(1, "some text, " * 400, 1), (None, None, 2), (3, "", 3)], "doc_id long, text string, n_bytes int")
+    key = lambda r: str(r["doc_id"])
+    whole, short = (sorted(f(spark, docs).collect(), key=key) for f in (media.media_columns, media.digests))
+    for a, b in zip(whole, short, strict=True):
+        assert all(a[c] == b[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "n_peaks"))
+        assert (len(a["media"]), hashlib.sha256(a["media"]).hexdigest()) == (b["media_bytes"], b["media_sha256"])
+        assert (len(a["codes"]), hashlib.sha256(np.array(a["codes"], "<i8").tobytes()).hexdigest()) == (b["n_codes"], b["codes_sha256"])
