@@ -6,8 +6,10 @@ Every byte that a repeating string covers is removed; strings are judged on the
 1. Each window of LENGTH bytes has an anchor, the K bytes in it with the least hash (the leftmost of equals), so equal windows have equal
    anchors. Anchors are counted over the whole corpus; those seen once cannot lie in a repeat. A bitmap of the others,
    of at most MOST_BITS bits, goes to every task; a chance hit costs work, never exactness.
-2. The stretch of bytes that the windows of a repeated anchor cover is a segment. Segments meet by anchor as hashes of their bytes: all but
-   the first of equal ones are repeats in full. A segment that is alone at its anchor then is no repeat, and the bytes of the others are fetched.
+2. The stretch of bytes that the windows of a repeated anchor cover is a segment, a phrase of a dictionary as in prefix-free parsing: equal
+   phrases get one name, 128 bits of anchor and hash, and every window of all but the first of them is a repeat. Shards give their phrases
+   sorted by name, and phrases of one anchor meet. One that is alone at its anchor has nothing to be merged with; the bytes of the others' first occurrences are fetched.
+   With by_name=False this step is left out; a test holds that it settles nothing that the merges don't.
 3. Segments with the same anchor but different bytes are cut into shards. Each shard's suffixes are sorted once, over symbols of STEP
    bytes, which gives its Burrows-Wheeler transform. The shards' transforms are merged by refining their interleave: every round
    reads the transforms in the present order, and deals their entries, stably, by symbol. After LENGTH / STEP rounds
@@ -15,7 +17,7 @@ Every byte that a repeating string covers is removed; strings are judged on the
    so intervals of equal windows come out without sorting the suffixes again. Bytes are compared at the end.
 4. An anchor seen more than HOT times is taken apart by window instead: the first of each window's hash is found by aggregation.
 
-Defined results: a null text is empty; rows with the same id and text are the same document, and those with the
+Defined results: ids are integers, others are refused with a TypeError; a null text is empty; rows with the same id and text are the same document, and those with the
 same id and different texts stand in the order of a hash; a missing id counts as the smallest; an empty table gives
 no rows; other columns are ignored.
 """
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Scratch, body, tune
+from quillmesh.llm.common import Scratch, body, integer_ids, tune
 
 LENGTH, K, STEP = 100, 32, 25
 CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 19, 14 << 10, 56 << 10, 4096
@@ -361,15 +363,18 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(shared, marks, bits: int):
-    """The bytes of marked segments; a chance mark gives a row that is compared in vain."""
+    """The bytes of marked segments, or of all if marks is None; a chance mark gives a row that is compared in vain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for d, v, text, found in _repeated(shared, b):
                 if found:
-                    own = np.array([_mark(a, h, v, s) for a, s, _, h, _ in found], np.int64)
-                    rows += [(hot, a, d, v, s, text[s:e]) for (a, s, e, _, hot), on in zip(found, _has(marks.value, bits, own).tolist(), strict=True) if on]
+                    some = found
+                    if marks is not None:
+                        own = np.array([_mark(a, h, v, s) for a, s, _, h, _ in found], np.int64)
+                        some = [x for x, on in zip(found, _has(marks.value, bits, own).tolist(), strict=True) if on]
+                    rows += [(hot, a, d, v, s, text[s:e]) for a, s, e, _, hot in some]
             for i in range(0, len(rows), 10_000):
                 yield _table_of(rows[i : i + 10_000], ROWS)
 
@@ -431,8 +436,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _table_of(rows[i : i + 20_000], pa.schema([("w", pa.binary()), *list(INTERVALS)[:3]]))
 
 
-def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT) -> list[DataFrame]:
-    """Tables of id, version, start, end of stretches of repeating strings. docs: id, version and bytes."""
+def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT, by_name: bool = True) -> list[DataFrame]:
+    """Tables of id, version, start, end of stretches of repeating strings. docs: id, version and bytes.
+
+    by_name=False skips step 2: the bytes of every segment of a repeated anchor go to the merges. The result is the same, at the cost of more bytes.
+    """
     tune(spark)
     texts = docs.filter(F.octet_length("bytes") >= LENGTH).select("id", "version", "bytes")
     counted = texts.select("bytes").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
@@ -443,13 +451,15 @@ def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, ho
     # two bitmaps of at most 2^MOST_BITS bits; one taken for hot by chance is compared by window, with the same result
     shared = spark.sparkContext.broadcast((_bitmap(repeated, "anchor", bits), bits, _bitmap(busy, "anchor", busy_bits), busy_bits))
     scratch.drop("anchors")
-    met = texts.mapInArrow(_meet(shared), _ddl(MET)).repartition("route").sortWithinPartitions("anchor", "hash", "id", "version", "start")
-    judged = scratch.write(met.mapInArrow(_judge, _ddl(JUDGED)), "judged")
-    marked = judged.filter("mark is not null").select("mark")
-    mark_bits = _bits_for(marked.count())
-    marks = spark.sparkContext.broadcast(_bitmap(marked, "mark", mark_bits))
+    intervals, marks, mark_bits = [], None, 0
+    if by_name:
+        met = texts.mapInArrow(_meet(shared), _ddl(MET)).repartition("route").sortWithinPartitions("anchor", "hash", "id", "version", "start")
+        judged = scratch.write(met.mapInArrow(_judge, _ddl(JUDGED)), "judged")
+        marked = judged.filter("mark is not null").select("mark")
+        mark_bits = _bits_for(marked.count())
+        marks = spark.sparkContext.broadcast(_bitmap(marked, "mark", mark_bits))
+        intervals.append(judged.filter("mark is null").select("id", "version", "start", "end"))
     fetched = texts.mapInArrow(_fetch(shared, marks, mark_bits), _ddl(ROWS))
-    intervals = [judged.filter("mark is null").select("id", "version", "start", "end")]
     if n_busy:
         fetched = scratch.write(fetched, "fetched")
         windows = scratch.write(fetched.filter("hot").mapInArrow(_windows, "w binary, id long, version int, start long"), "windows")
@@ -477,12 +487,13 @@ def _cut(data: bytes, found: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, runs, b"".join(kept)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False, by_name: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (kept, the bytes that are left) of every row."""
+    integer_ids(docs, doc_id)
     scratch = Scratch(spark, "suffix")
     least = F.lit(-(1 << 63))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), least).alias("id"), F.shiftright(F.xxhash64(body(text)), 32).cast("int").alias("version"), body(text).cast("binary").alias("bytes"))
-    intervals = removed_intervals(spark, own.select("id", "version", "bytes"), scratch, hot)
+    intervals = removed_intervals(spark, own.select("id", "version", "bytes"), scratch, hot, by_name)
     found = intervals[0]
     for x in intervals[1:]:
         found = found.union(x)

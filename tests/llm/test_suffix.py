@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -80,3 +81,53 @@ def test_odd_rows(spark):
     got = sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"]) for x in suffix.dedup(spark, docs).collect())
     assert got == [("1", 0, 0), ("2", 0, 0), ("3", 5, 0), ("4", 3000, 500), ("4", 3000, 500), ("5", 3001, 3000), ("None", 500, 0)]
     assert suffix.dedup(spark, docs.limit(0)).count() == 0
+
+
+def _by_merges(docs):
+    """id: removed bytes, runs, kept, with every segment of a repeated anchor, equal ones too, put through the merged transforms."""
+    docs = sorted(docs)
+    members = {}
+    for i, anchors, starts, ends in suffix.segments([data for _, data in docs]):
+        for a, s, e in zip(anchors.tolist(), starts.tolist(), ends.tolist()):
+            members.setdefault(a, []).append((i, s, e))
+    found, batch, size = [[] for _ in docs], [], 0
+
+    def flush():
+        where = np.array([(i << 40) + s for i, s, _ in batch], np.int64)
+        for (i, s, _), hits in zip(batch, suffix.repeated_windows([docs[i][1][s:e] for i, s, e in batch], where)):
+            found[i].extend((s + a, s + b) for a, b in suffix.cover(hits))
+
+    for held in members.values():
+        if len(held) > 1:
+            batch += held
+            size += sum(e - s for _, s, e in held)
+            if size > 200_000:
+                flush()
+                batch, size = [], 0
+    flush()
+    out = {}
+    for (d, data), spans in zip(docs, found):
+        removed, runs, kept = suffix._cut(data, spans)
+        out[d] = (removed, runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("table", ["generated", "/root/testdata/sf0.01/documents.parquet"])
+def test_names_settle_nothing_that_the_merge_does_not_confirm(spark, table):
+    if table == "generated":
+        r = random.Random(12)
+        docs = spark.createDataFrame(list(enumerate(_corpus(r, 250))), "doc_id long, text string")
+    elif os.path.exists(table):
+        docs = spark.read.parquet(table)
+    else:
+        pytest.skip("no such table here")
+    want = _by_merges([(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()])
+    assert sum(x[0] for x in want.values()) > 10_000
+    for by_name in (True, False):
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(spark, docs, by_name=by_name).collect()}
+        assert got == want
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        suffix.dedup(spark, spark.createDataFrame([("x1", "a")], "doc_id string, text string"))
