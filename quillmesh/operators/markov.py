@@ -70,6 +70,21 @@ def build_chains(**weights: DataFrame) -> DataFrame:
     return out
 
 
+def name_states(transitions: DataFrame, names: DataFrame) -> DataFrame:
+    """Transitions with the names of both states; a state without one is named by its id. names: id, name."""
+    a, b = (names.select(F.col("id").cast("string").alias(f"{x}_id"), F.col("name").alias(f"{x}_name")) for x in ("from", "to"))
+    named = transitions.join(a, "from_id", "left").join(b, "to_id", "left")
+    return named.select("chain", "from_id", F.coalesce("from_name", "from_id").alias("from_name"), "to_id", F.coalesce("to_name", "to_id").alias("to_name"), F.col("raw").cast("double").alias("raw"), "prob")
+
+
+def chain_registry(transitions: DataFrame, known: DataFrame) -> DataFrame:
+    """An entry for each chain, old ids kept: its distinct states and its transitions (M8, M9). known: chain_id, chain, ..."""
+    counted = transitions.groupBy("chain").agg(F.countDistinct("from_id").alias("total_states"), F.count("*").alias("total_transitions"))
+    old = known.select("chain", "chain_id")
+    both = counted.join(old, "chain", "full")
+    return both.select(F.coalesce("chain_id", F.concat(F.lit("chain:"), "chain")).alias("chain_id"), "chain", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_states", "total_transitions")], F.current_timestamp().alias("updated_at"))
+
+
 def chain_stats(transitions: DataFrame) -> DataFrame:
     """States, transitions, mean and most out-degree of each chain (A2, A3)."""
     degree = transitions.groupBy("chain", "from_id").agg(F.count("*").alias("d"))

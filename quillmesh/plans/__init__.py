@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from quillmesh.plans import aggregates, functions, graph, lookups, markov, more, retrieval, search  # noqa: F401
+from quillmesh.plans import aggregates, functions, graph, lookups, markov, more, parsing, retrieval, search  # noqa: F401
 from quillmesh.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,4 +1,4 @@
-"""From a folder of sources to canonical relations.
+"""From a folder of sources to canonical relations.
 
 Files are read by Spark's binary source, parsed in batches on the executors, and come out as one row for each record: relation and
 payload. Each relation is then a projection of that one table.
@@ -18,8 +18,13 @@ from quillmesh.operators.retrieval import glob_regex
 from quillmesh.sources import config_parser, python_parser, ts_parser
 from quillmesh.sources.model import LANGUAGES, RELATIONS
 
-INCLUDE = tuple(f"**/*{e}" for e in LANGUAGES)
-EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/coverage/**", "**/*.min.js")
+#: What is scanned and left out if nothing else is asked for.
+INCLUDE = (
+    "**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.py", "**/package.json", "**/tsconfig.json", "**/tsconfig.*.json", "**/jsconfig.json", "**/pyproject.toml", "**/.eslintrc*", "**/eslint.config.*",
+    "**/.prettierrc*", "**/prettier.config.*", "**/vite.config.*", "**/vitest.config.*", "**/jest.config.*", "**/babel.config.*", "**/.babelrc*", "**/docker-compose*.yml", "**/docker-compose*.yaml",
+    "**/.github/workflows/*.yml", "**/.github/workflows/*.yaml",
+)
+EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/venv/**", "**/__pycache__/**")
 MAX_BYTES = 1 << 20
 
 
@@ -41,25 +46,58 @@ class Parsers:
     def endings(self) -> list[str]:
         return sorted(self.by_ending)
 
+    def languages(self) -> list[str]:
+        return sorted({LANGUAGES[e] for e in self.by_ending if e in LANGUAGES})
+
+    def by_language(self, language: str):
+        return next((self.by_ending[e] for e, x in LANGUAGES.items() if x == language and e in self.by_ending), None)
+
+    def can_parse(self, path: str) -> bool:
+        return self.find(path) is not None and config_parser.can_parse(path)
+
     def find(self, path: str):
         m = re.search(r"\.[^./]+$", path.lower())
         return self.by_ending.get(m[0]) if m else None
 
 
+_registry: Parsers | None = None
+
+
+def registry() -> Parsers:
+    """The parsers that a process shares."""
+    global _registry
+    _registry = _registry or Parsers()
+    return _registry
+
+
+def reset_registry() -> None:
+    global _registry
+    _registry = None
+
+
+def language_of(path: Column) -> Column:
+    """By the last ending; null for files that no parser takes."""
+    ending = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ending)
+
+
+def taken(path: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> Column:
+    """Whether a path is among the included globs and none of the excluded ones; empty lists mean the defaults."""
+    some = lambda globs: F.greatest(*[path.rlike(glob_regex(g)) for g in globs], F.lit(False))
+    return some(include or INCLUDE) & ~some(exclude or EXCLUDE)
+
+
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, config_gate: bool = True) -> DataFrame:
     """file_path (below the root), content, checksum, file_size, last_modified, language of the files to index."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace("path", "^file:/+", "/")
     prefix = root.removeprefix("file://").rstrip("/") + "/"
     path = F.when(base.startswith(prefix), F.substring(base, len(prefix) + 1, 1 << 20)).otherwise(base)
-    some = lambda globs: F.lit(False) if not globs else F.greatest(*[path.rlike(glob_regex(g)) for g in globs], F.lit(False))
-    rows = raw.filter(some(include or INCLUDE) & ~some(exclude or EXCLUDE))
+    rows = raw.filter(taken(path, include, exclude))
     if config_gate:
         rows = rows.filter(~path.endswith(".json") | path.rlike(config_parser.GATED.pattern.replace("(^|/)", "(?i)(^|/)")))
-    ending = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    language = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ending)
     content = F.decode("content", "UTF-8")
-    return rows.select(path.alias("file_path"), content.alias("content"), F.sha2(F.col("content"), 256).alias("checksum"), F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified"), language.alias("language"))
+    return rows.select(path.alias("file_path"), content.alias("content"), F.sha2(F.col("content"), 256).alias("checksum"), F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified"), language_of(path).alias("language"))
 
 
 def changed(scanned: DataFrame, files: DataFrame) -> DataFrame:
@@ -87,7 +125,7 @@ def parse_files(scanned: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """file_path, relation, payload: all records of the files (S6-S8, S12). limit 0: no limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsers = Parsers()
+        parsers = registry()
         for b in batches:
             rows = [(p, rel, json.dumps(r)) for p, c, n in zip(b["file_path"], b["content"], b["file_size"], strict=True) for rel, r in _records(p, c, n, parsers, limit)]
             yield pd.DataFrame(rows, columns=["file_path", "relation", "payload"])
@@ -114,3 +152,8 @@ def source_slice(content: Column, start: Column, end: Column, context: int = 0)
     first = F.greatest(start - context, F.lit(1))
     last = F.least(end + context, F.size(lines))
     return F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+def import_gate(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """Exports of files that import something: what an index keeps that stores both together, and only for files with imports (M6)."""
+    return exports.join(imports.select("file_path"), "file_path", "left_semi")

@@ -13,9 +13,14 @@ TYPE_RELS = "file_path string, source_symbol_id string, source_name string, targ
 IMPORTS = "file_path string, import_source string, is_type_only boolean, is_re_export boolean, specifiers array<struct<name:string,alias:string,is_default:boolean,is_namespace:boolean>>"
 EXPORTS = "file_path string, export_name string, is_default boolean, is_re_export boolean, re_export_source string"
 CONFIG = "id string, file_path string, name string, path string, value_type string, value string, depth int, parent_path string, format string, config_type string, description string, line_number int"
+TRANSITIONS = "chain string, from_id string, from_name string, to_id string, to_name string, raw double, prob double"
+CHAINS = "chain_id string, chain string, total_states bigint, total_transitions bigint, updated_at timestamp"
+#: Tables that aren't replaced by file.
+DERIVED = {"transitions": TRANSITIONS, "chains": CHAINS}
 RELATIONS = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "calls": CALLS, "type_rels": TYPE_RELS, "imports": IMPORTS, "exports": EXPORTS, "config_entries": CONFIG}
 #: Column that names the file a row comes from.
 OWNER = {n: "referencing_file" if n == "refs" else "file_path" for n in RELATIONS}
+RELATIONS_AND_DERIVED = RELATIONS | DERIVED
 
 #: Language by file ending.
 LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".pyi": "python", ".json": "config", ".yaml": "config", ".yml": "config", ".toml": "config"}

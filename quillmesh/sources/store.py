@@ -1,18 +1,20 @@
-"""The index at rest: relations as Parquet, replaced by file."""
+"""The index at rest: relations as Parquet, replaced by file; stored chains and types."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.scalars import parse_type_column
 from quillmesh.operators import markov
 from quillmesh.operators.imports import resolve
 from quillmesh.sources import ingest
-from quillmesh.sources.model import OWNER, RELATIONS
+from quillmesh.sources.model import OWNER, RELATIONS, RELATIONS_AND_DERIVED
 
 
 class Store:
@@ -29,26 +31,46 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def manifest(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.root}/manifest.json")
-        return json.loads(self.spark.read.option("wholetext", True).text(str(p)).first()[0]) if fs.exists(p) else {}
+        """Table versions by name: the last manifest that was written whole."""
+        fs, p = self._fs(self.root)
+        if not fs.exists(p):
+            return {}
+        numbers = [int(m[1]) for f in fs.listStatus(p) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))]
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/manifest-{max(numbers)}.json").first()[0]) if numbers else {}
 
     def read(self, name: str) -> DataFrame:
+        """A table in the present schema; columns that an older version didn't have are null."""
         at = self.manifest().get(name)
-        return self.spark.read.parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], RELATIONS[name])
+        empty = self.spark.createDataFrame([], RELATIONS_AND_DERIVED[name])
+        return migrated(self.spark.read.parquet(f"{self.root}/{at}"), empty.schema) if at else empty
+
+    def migrate(self) -> list[str]:
+        """Rewrite the tables whose stored schema is older; their names."""
+        old = [n for n, at in self.manifest().items() if self.spark.read.parquet(f"{self.root}/{at}").columns != self.read(n).columns]
+        if old:
+            self._commit({n: self.read(n) for n in old})
+        return old
 
     def _commit(self, tables: dict[str, DataFrame]) -> None:
         old, new = self.manifest(), {}
         for name, df in tables.items():
             new[name] = f"{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{new[name]}")
-        fs, p = self._fs(f"{self.root}/manifest.json")
-        out = fs.create(p, True)
+        fs, folder = self._fs(self.root)
+        taken = [int(m[1]) for f in fs.listStatus(folder) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))]
+        # written under another name and renamed, so that a crash leaves the manifest before
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        half, whole = path(f"{self.root}/_manifest-{uuid.uuid4().hex}"), path(f"{self.root}/manifest-{max(taken, default=0) + 1}.json")
+        out = fs.create(half, True)
         out.write(bytearray(json.dumps(old | new).encode()))
         out.close()
+        if not fs.rename(half, whole):
+            raise OSError(f"{whole.toString()} could not be written")
+        for n in taken:
+            fs.delete(path(f"{self.root}/manifest-{n}.json"), False)
         for name in new:
             if name in old:
-                fs, p = self._fs(f"{self.root}/{old[name]}")
-                fs.delete(p, True)
+                fs.delete(path(f"{self.root}/{old[name]}"), True)
 
     def save(self, tables: dict[str, DataFrame], replaced: DataFrame) -> None:
         """Rows of the replaced files go, the tables' rows come (M1, M3, M5). replaced: file_path."""
@@ -62,14 +84,14 @@ class Store:
 
     def clear(self) -> None:
         """Everything (M4)."""
-        self._commit({n: self.spark.createDataFrame([], s) for n, s in RELATIONS.items()})
+        self._commit({n: self.spark.createDataFrame([], s) for n, s in RELATIONS_AND_DERIVED.items()})
 
     def index(self, folder: str, full: bool = False, keep_missing: bool = False, **scan) -> dict[str, int]:
         """Index what has changed in the folder, drop what is gone, and tell how much (M10-M12). keep_missing: deletions are not looked for."""
         scanned = ingest.scan(self.spark, folder, **scan)
         stored = self.read("files")
         todo = scanned if full else ingest.changed(scanned, stored)
-        todo = todo.repartition(max(1, min(10_000, todo.count() // 50 + 1)), "file_path").persist()
+        todo, records = todo.repartition(max(1, min(10_000, todo.count() // 50 + 1)), "file_path").persist(), None
         try:
             records = ingest.parse_files(todo).persist()
             new = ingest.relations(records, todo)
@@ -81,7 +103,8 @@ class Store:
             return report
         finally:
             todo.unpersist()
-            self.spark.catalog.clearCache()
+            if records is not None:
+                records.unpersist()
 
     def resolved_calls(self) -> DataFrame:
         """Call edges with the least id of a symbol of the callee's name (M7)."""
@@ -91,13 +114,75 @@ class Store:
     def resolved_imports(self) -> DataFrame:
         return resolve(self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"), "is_type_only", "specifiers"), self.read("files").select("file_path"))
 
-    def chains(self) -> DataFrame:
-        """The four chains over what is stored."""
+    def build_chains(self) -> DataFrame:
+        """Build the four chains over what is stored, and store them."""
         calls = self.resolved_calls().select(F.col("caller_symbol_id").alias("caller"), F.coalesce("callee_symbol_id", "callee_name").alias("callee"), "call_count", "is_async", "is_conditional")
         symbols = self.read("symbols").select(F.col("file_path").alias("file"), F.col("id").alias("symbol"), F.col("parent_class").alias("parent"))
         types = self.read("type_rels").select(F.col("source_symbol_id").alias("source"), F.col("target_name").alias("target"), F.col("relationship_kind").alias("kind"))
         imports = self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"))
-        return markov.build_chains(call_flow=markov.call_flow_weights(calls), cooccurrence=markov.cooccurrence_weights(symbols), type_affinity=markov.type_affinity_weights(types), import_cluster=markov.import_cluster_weights(imports))
+        built = markov.build_chains(call_flow=markov.call_flow_weights(calls), cooccurrence=markov.cooccurrence_weights(symbols), type_affinity=markov.type_affinity_weights(types), import_cluster=markov.import_cluster_weights(imports))
+        names = self.read("symbols").groupBy("id").agg(F.min("name").alias("name"))
+        return self.save_transitions(markov.name_states(built, names), replace=True)
+
+    def save_transitions(self, transitions: DataFrame, replace: bool = False) -> DataFrame:
+        """Store transitions; chains among them, or all with replace, are replaced. Refreshes and returns the chains' registry (M8, M9).
+
+        Rows lie in the order of chain and state, so that a state's transitions are few row groups of one file.
+        """
+        kept = transitions
+        if not replace:
+            kept = self.read("transitions").join(transitions.select("chain").distinct(), "chain", "left_anti").unionByName(transitions.select(*self.read("transitions").columns))
+        ordered = kept.repartitionByRange("chain", "from_id").sortWithinPartitions("chain", "from_id", F.desc("prob"))
+        self._commit({"transitions": ordered})
+        registry = markov.chain_registry(self.read("transitions"), self.read("chains"))
+        self._commit({"chains": registry})
+        return self.read("chains")
+
+    def chain_id(self, chain: str) -> str | None:
+        row = self.read("chains").filter(F.col("chain") == chain).select("chain_id").first()
+        return row and row[0]
+
+    def delete_chain(self, chain: str, keep_registered: bool = False) -> None:
+        """A chain's transitions go, and its entry too unless keep_registered (M8)."""
+        self._commit({"transitions": self.read("transitions").filter(F.col("chain") != chain)})
+        chains = self.read("chains")
+        cleared = chains.withColumns({c: F.when(F.col("chain") == chain, F.lit(0)).otherwise(F.col(c)).cast("long") for c in ("total_states", "total_transitions")})
+        self._commit({"chains": cleared if keep_registered else chains.filter(F.col("chain") != chain)})
+
+    def chains(self) -> DataFrame:
+        """The stored transitions; they are built at first use."""
+        if not self.manifest().get("transitions"):
+            self.build_chains()
+        return self.read("transitions")
+
+    def index_file(self, folder: str, path: str) -> dict[str, int]:
+        """Index one file of a folder, changed or not."""
+        return self.index(folder, full=True, keep_missing=True, include=(path,), exclude=("**/no such file/**",))
+
+    def types(self) -> tuple[DataFrame, DataFrame]:
+        """Types of symbols and of their parameters."""
+        return type_tables(self.read("symbols"))
+
+
+def migrated(table: DataFrame, schema) -> DataFrame:
+    return table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def type_tables(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """symbol_types and param_types: parsed types with the base in lower case and inner types joined by commas."""
+    own = symbols.filter(F.col("kind").isin("function", "method", "constructor", "callback"))
+    head = (F.col("id").alias("symbol_id"), F.col("name").alias("symbol_name"), "file_path", "language")
+    of = lambda c: F.when(F.col(c).isNotNull(), parse_type_column()(c))
+    symbol_types = own.withColumn("t", of("return_type")).select(
+        *head, F.col("return_type").alias("raw"), "t.normalized", "t.base", "t.inner", *[F.coalesce(f"t.{f}", F.lit(False)).alias(f) for f in FLAGS],
+        F.size("params").alias("param_count"), F.col("kind").isin("method", "constructor").alias("is_method"), "parent_class",
+    )
+    flat = own.select(*head, F.posexplode("params").alias("param_index", "p")).select("symbol_id", "symbol_name", "file_path", "language", "param_index", F.col("p.name").alias("param_name"), F.col("p.type").alias("raw"), F.col("p.optional").alias("is_optional"), F.col("p.has_default").alias("has_default"))
+    param_types = flat.withColumn("t", of("raw")).select(*flat.columns, "t.normalized", "t.base", "t.inner", *[F.coalesce(f"t.{f}", F.lit(False)).alias(f) for f in FLAGS])
+    return symbol_types, param_types
+
+
+FLAGS = ("is_async", "is_nullable", "is_array", "is_generic")
 
 
 def find_config(start: str) -> dict | None:

@@ -279,7 +279,17 @@ class _File:
         stop = self.type_end(j, ";")
         line = next((x for x in range(j + 1, stop) if self.t[x].line > self.t[x - 1].line and self.t[x].kind == "name" and self.text(x) in KEYWORDS and self.text(x - 1) not in ("=", ",", "(", "=>")), stop)
         if parent is None and self.t[i + 1].kind == "name":
-            self.add(symbol(self.path, self.language, name, "variable", self.t[start].line, self.t[max(start, min(line, len(self.t)) - 1)].line, signature=self.slice(start, line)[:200], return_type=kind, doc=self.docs.get(start), is_exported="export" in flags, is_private=name.startswith("_")), flags)
+            end = self.t[max(start, min(line, len(self.t)) - 1)].line
+            common = {"signature": self.slice(start, line)[:200], "doc": self.docs.get(start), "is_exported": "export" in flags}
+            self.add(symbol(self.path, self.language, name, "variable", self.t[start].line, end, return_type=kind, is_private=name.startswith("_"), **common), flags)
+            more = self.type_end(j, ",;")
+            while more < line and self.text(more) == "," and self.t[more + 1].kind == "name" and self.text(more + 2) in ("=", ":", ",", ";"):  # further names of one declaration
+                name, at, kind = self.text(more + 1), more + 2, None
+                if self.text(at) == ":":
+                    stop = self.type_end(at + 1, "=,;")
+                    kind, at = self.slice(at + 1, stop), stop
+                self.add(symbol(self.path, self.language, name, "variable", self.t[more + 1].line, end, return_type=kind, is_private=name.startswith("_"), **common), flags)
+                more = self.type_end(at, ",;")
         return line
 
     def heritage(self, i: int, row_name: str, row_id: str) -> int:
