@@ -95,3 +95,46 @@ def nearest_directory(files: DataFrame, part: str, most_files: int = 15) -> Data
     hits = files.filter(F.contains(F.lower("directory"), F.lit(part.lower())))
     top = hits.groupBy("directory").count().orderBy(F.desc("count"), "directory").limit(1).select("directory")
     return hits.join(F.broadcast(top), "directory").select("directory", "file_path").orderBy("file_path").limit(most_files)
+
+
+FUNCTION_KINDS = ("function", "method", "constructor", "callback")
+
+
+def function_details(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, status, name, suggestions: the function of that very name; else the only one of that local name; else the only one that ends with a dotted name.
+
+    Where a rung has several, the status is ambiguous and all their names are suggested, in order. symbols: name, local_name, kind.
+    """
+    own = symbols.filter(F.col("kind").isin(*FUNCTION_KINDS)).select("name", "local_name")
+    # the last part of a dotted query is the local name of whatever ends with it, so every rung is an equi join
+    keyed = wanted.withColumn("last", F.substring_index("query", ".", -1))
+    exact = keyed.join(own, F.col("query") == F.col("name")).select("query", F.lit(1).alias("rung"), "name")
+    local = keyed.join(own, F.col("query") == F.col("local_name")).select("query", F.lit(2).alias("rung"), "name")
+    suffix = keyed.filter(F.contains("query", F.lit("."))).join(own, F.col("last") == F.col("local_name")).filter(F.endswith("name", F.concat(F.lit("."), "query"))).select("query", F.lit(3).alias("rung"), "name")
+    rungs = exact.unionByName(local).unionByName(suffix).groupBy("query", "rung").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    best = rungs.groupBy("query").agg(F.min_by("names", "rung").alias("names"), F.min("rung").alias("rung"))
+    n = F.size("names")
+    status = F.when(F.col("rung").isNull(), "missing").when((F.col("rung") > 1) & (n > 1), "ambiguous").otherwise(F.element_at(F.array(*map(F.lit, ("exact", "local", "suffix"))), F.col("rung")))
+    out = wanted.join(best, "query", "left").withColumn("status", status)
+    unclear = F.col("status") == "ambiguous"
+    return out.select("query", "status", F.when(~unclear, F.element_at("names", 1)).alias("name"), F.when(unclear, F.col("names")).otherwise(F.array().cast("array<string>")).alias("suggestions"))
+
+
+def of_kind(symbols: DataFrame, kinds: tuple[str, ...], wanted: DataFrame) -> DataFrame:
+    """query with the symbol of that name whose kind comes first in kinds."""
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    own = symbols.filter(F.col("kind").isin(*kinds)).select(F.col("name").alias("query"), F.struct(rank.alias("rank"), "file_path", "line_start", "kind").alias("x"))
+    found = own.join(wanted, "query", "left_semi").groupBy("query").agg(F.min("x").alias("x"))
+    return wanted.join(found, "query", "left").select("query", "x.kind", "x.file_path", "x.line_start")
+
+
+def display_file(rows: DataFrame, symbols: DataFrame, symbol_id: str = "symbol_id", name: str = "name") -> DataFrame:
+    """rows with file: of the symbol of that id, else of the first symbol of that name, else null."""
+    by_id = symbols.groupBy(F.col("id").alias(symbol_id)).agg(F.min("file_path").alias("_a"))
+    by_name = symbols.groupBy(F.col("name").alias(name)).agg(F.min("file_path").alias("_b"))
+    return rows.join(by_id, symbol_id, "left").join(by_name, name, "left").withColumn("file", F.coalesce("_a", "_b")).drop("_a", "_b")
+
+
+def collated(c: Column) -> Column:
+    """For ordering as people expect it, letters before their capitals; elsewhere strings are ordered by their bytes (F16)."""
+    return F.collate(c, "UNICODE")

@@ -88,16 +88,39 @@ def block_of(text: str, start: int, most: int = 20) -> str:
     return "\n".join(out)
 
 
-#: What a package is about, tried in this order.
-CATEGORIES = (("database", "sql|mongo|redis|prisma|knex"), ("http", "http|axios|fetch|express|fastify|koa"), ("testing", "jest|vitest|mocha|pytest"), ("filesystem", "^fs|path|glob"), ("logging", "log|winston|pino"), ("validation", "zod|joi|ajv|schema"))
+#: Packages that names of callees tell of, tried in this order.
+CALLEE_PACKAGES = {
+    "react": ["^use[A-Z]", r"^React\.", "^useState$", "^useEffect$", "^useCallback$", "^useMemo$", "^useRef$", "^useContext$", "^useReducer$"],
+    "lodash": [r"^_\.", r"^lodash\.", "^debounce$", "^throttle$", "^cloneDeep$", "^merge$", "^pick$", "^omit$"],
+    "node": [r"^console\.", r"^process\.", "^require$", "^import$", r"^Buffer\.", "^__dirname$", "^__filename$"],
+    "node:fs": ["^readFile", "^writeFile", "^stat", "^mkdir", "^readdir", "^unlink", "^rename$"],
+    "node:path": ["^join$", "^resolve$", "^dirname$", "^basename$", "^extname$", "^relative$"],
+    "async": [r"^Promise\.", "^async$", "^await$", "^setTimeout$", "^setInterval$"],
+}
+
+
+def callee_package(name: Column) -> Column:
+    """The package that a callee's name tells of, or null for one of the project's own (Q19)."""
+    out = F.lit(None).cast("string")
+    for package, patterns in reversed(CALLEE_PACKAGES.items()):
+        out = F.when(name.rlike("|".join(patterns)), package).otherwise(out)
+    return out
 
 
-def package_category(name: Column) -> Column:
-    """Q19."""
-    out = F.lit("other")
-    for category, pattern in reversed(CATEGORIES):
-        out = F.when(name.rlike(pattern), category).otherwise(out)
-    return out
+def section(kind: Column, context: Column, parent: Column, test_calls: tuple[str, ...]) -> Column:
+    """Where a symbol stands in the list of a file's functions (Q3)."""
+    event = F.coalesce(context.rlike("^(on|once|addEventListener):"), F.lit(False))
+    callback = F.when(context.isin(*test_calls), "test callback").when(event, "event callback").otherwise("other callback")
+    own = F.when(kind == "callback", callback).when(parent.isNotNull(), "nested").otherwise("function")
+    return F.when(kind.isin("class", "interface"), kind).when(kind == "type", "alias").when(kind.isin("function", "callback"), own).otherwise("member")
+
+
+def resolve_types(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The first symbol that is an interface, alias or class of exactly that name, or nulls (Q13). names: type_name."""
+    own = symbols.filter(F.col("kind").isin("interface", "type", "class")).select(F.col("name").alias("type_name"), "kind", "file_path", "line_start")
+    first = F.struct("file_path", "line_start", "kind")
+    found = own.join(names, "type_name", "left_semi").groupBy("type_name").agg(F.min(first).alias("x"))
+    return names.join(found, "type_name", "left").select("type_name", "x.kind", "x.file_path", "x.line_start")
 
 
 def framework(text: Column) -> Column:

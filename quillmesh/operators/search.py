@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +45,70 @@ def bm25(rows: DataFrame, key: str, text: Column, prefixes: list[str], weights:
     return counted.filter(hit).join(F.broadcast(stats)).select(key, score.alias("score"))  # stats: one row
 
 
+def parse_match(query: str) -> list[list[tuple[tuple[str, ...], bool]]]:
+    """A full-text query as alternatives (OR) of phrases that must all occur; a phrase is its words, and whether the last is a prefix.
+
+    Without OR, a star or quotes the last word is a prefix.
+    """
+    plain = not re.search(r"\sOR\s|[*\"]", query, re.I)
+    out: list[list[tuple[tuple[str, ...], bool]]] = [[]]
+    for m in re.finditer(r'"([^"]*)"?(\*?)|(\S+)', query + ("*" if plain else "")):
+        if m[3] and m[3].upper() == "OR":
+            out.append([])
+            continue
+        text, star = (m[3].rstrip("*"), m[3].endswith("*")) if m[3] else (m[1], bool(m[2]))
+        words = tuple(re.findall(r"[^\W_]+", text.lower()))
+        if words:
+            out[-1].append((words, star))
+    return [group for group in out if group]
+
+
+def _occurrences(tokens: Column, phrase: tuple[tuple[str, ...], bool]) -> Column:
+    words, prefix = phrase
+    last = lambda t: t.startswith(words[-1]) if prefix else t == words[-1]
+    if len(words) == 1:
+        return F.size(F.filter(tokens, last))
+
+    def here(t: Column, i: Column) -> Column:
+        ok = last(F.try_element_at(tokens, i + len(words)))
+        for k, w in enumerate(words[:-1]):
+            ok = ok & (F.try_element_at(tokens, i + k + 1) == w)
+        return F.coalesce(ok, F.lit(False))
+
+    return F.size(F.filter(tokens, here))
+
+
+def match(rows: DataFrame, key: str, columns: dict[str, float], query: str) -> DataFrame:
+    """key, score: rows that a full-text query matches in any of the columns, by BM25 with the columns' weights.
+
+    To scope a search to some columns, give only these.
+    """
+    groups = parse_match(query)
+    phrases = list(dict.fromkeys(p for g in groups for p in g))
+    tokens = rows.select(key, *[F.regexp_extract_all(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(WORD), 0).alias(f"_t{i}") for i, c in enumerate(columns)])
+    length = sum((F.size(f"_t{i}") for i in range(len(columns))), F.lit(0)).cast("long")
+    hits = [[_occurrences(F.col(f"_t{i}"), p) for i in range(len(columns))] for p in phrases]
+    counted = tokens.select(
+        key, length.alias("_dl"), *[sum(h, F.lit(0)).alias(f"_n{j}") for j, h in enumerate(hits)],
+        *[sum((n * float(w) for n, w in zip(h, columns.values(), strict=True)), F.lit(0.0)).alias(f"_f{j}") for j, h in enumerate(hits)],
+    )
+    stats = counted.agg(F.count("*").alias("_rows"), F.avg("_dl").alias("_mean"), *[F.sum((F.col(f"_n{j}") > 0).cast("long")).alias(f"_df{j}") for j in range(len(phrases))])
+    score = F.lit(0.0)
+    for j in range(len(phrases)):
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("_rows") - F.col(f"_df{j}") + 0.5) / (F.col(f"_df{j}") + 0.5)))
+        f = F.col(f"_f{j}")
+        score = score + F.when(F.col(f"_n{j}") > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_mean")))).otherwise(0.0)
+    every = lambda g: F.forall(F.array(*[F.col(f"_n{phrases.index(p)}") for p in g]), lambda n: n > 0)
+    hit = F.greatest(*[every(g) for g in groups], F.lit(False)) if groups else F.lit(False)
+    return counted.filter(hit).join(F.broadcast(stats)).select(key, score.alias("score"))  # stats: one row
+
+
+def by_name(rows: DataFrame, key: str, columns: dict[str, float], query: str, terms: list[tuple[str, float, str]], limit: int = 20) -> DataFrame:
+    """A search's best rows, more than asked for, scored anew by synonyms and cut to the limit (R16). rows: key, name, signature."""
+    some = match(rows, key, columns, query).orderBy(F.desc(F.round("score", 9)), key).limit(max(2 * limit, 50))
+    return rerank(some.join(rows, key), terms).orderBy(F.desc(F.round("combined", 9)), key).limit(limit)
+
+
 def query_terms(query: str) -> list[str]:
     """Lower case first, then words of two letters and more."""
     return [t for t in query.lower().replace("_", " ").replace("-", " ").split() if len(t) > 1]
@@ -97,6 +162,36 @@ def type_filter(mode: str, wanted: str, base: Column, inner: Column, raw: Column
     return F.contains(F.lower(raw), F.lit(w))
 
 
+def first_type(wanted: str) -> str:
+    """The first word of a type, in lower case, without brackets."""
+    words = re.sub(r"[<>\[\]]", " ", wanted.lower()).split()
+    return words[0] if words else wanted.lower()
+
+
+def by_param_type(types: DataFrame, params: DataFrame, wanted: str, mode: str = "base", name: str | None = None, language: str | None = None) -> DataFrame:
+    """Parameters of a type with the symbol they belong to, in all four modes (R5, J2). types, params: as type_tables gives them."""
+    base, has = first_type(wanted), lambda c: F.contains(F.coalesce(F.lower(c), F.lit("")), F.lit(first_type(wanted)))
+    hit = {"exact": F.col("normalized") == wanted, "base": F.col("base") == base, "inner": has("inner"), "partial": has("base") | has("inner") | has("normalized")}[mode]
+    hit = hit if name is None else hit & (F.col("param_name") == name)
+    kept = types if language is None else types.filter(F.col("language") == language)
+    found = params.filter(hit).select("symbol_id", "param_index", "param_name", F.coalesce("normalized", F.lit("any")).alias("param_type"))
+    return found.join(kept.select("symbol_id", "symbol_name", "file_path"), "symbol_id")
+
+
+def by_types(types: DataFrame, params: DataFrame, returns: str | None = None, takes: str | None = None, mode: str = "base", limit: int = 50) -> DataFrame:
+    """Symbols by return type, by parameter type, or by both at once, ordered by name; either side gives twice the limit."""
+    first = lambda df: df.orderBy("symbol_name", "symbol_id").limit(2 * limit)
+    sides = []
+    if returns:
+        has = lambda c: F.contains(F.coalesce(F.lower(c), F.lit("")), F.lit(first_type(returns)))
+        hit = {"exact": F.col("normalized") == returns, "base": F.col("base") == first_type(returns), "inner": has("inner"), "partial": has("base") | has("inner") | has("normalized")}[mode]
+        sides.append(first(types.filter(hit).select("symbol_id", "symbol_name")))
+    if takes:
+        sides.append(first(by_param_type(types, params, takes, mode).select("symbol_id", "symbol_name").distinct()))
+    found = sides[0] if len(sides) == 1 else sides[0].join(sides[1].select("symbol_id"), "symbol_id", "left_semi")
+    return found.orderBy("symbol_name", "symbol_id").limit(limit)
+
+
 def fuzzy(rows: DataFrame, key: str, fields: list[str], pattern: str, threshold: float = 0.4) -> DataFrame:
     """key, score: 1 less the share of edits of the best approximate substring of any field (R2).
 

@@ -89,10 +89,13 @@ def test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.files(spark, sf_dir).select("doc_id", r.is_test_path(path).alias("is_test"))
 
 
-@query("q19_package_categories", f"""WITH {IMPORTS} SELECT CASE WHEN regexp_matches(source, 'sql|mongo|redis|prisma|knex') THEN 'database' WHEN regexp_matches(source, 'http|axios|fetch|express|fastify|koa') THEN 'http' WHEN regexp_matches(source, 'jest|vitest|mocha|pytest') THEN 'testing'
-  WHEN regexp_matches(source, '^fs|path|glob') THEN 'filesystem' WHEN regexp_matches(source, 'log|winston|pino') THEN 'logging' WHEN regexp_matches(source, 'zod|joi|ajv|schema') THEN 'validation' ELSE 'other' END AS category, count(*) AS n FROM imps GROUP BY 1""")
-def package_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.imports(spark, sf_dir).groupBy(r.package_category(F.col("source")).alias("category")).agg(F.count("*").alias("n"))
+CALLEES = ["useThing", "React.memo", "_.map", "debounce", "console.log", "readFileSync", "join", "Promise.all", "used", "Userspace", "mergeAll", "statSync"]
+
+
+@query("q19_callee_packages", f"""SELECT p_partkey AS symbol_id, ({CALLEES})[1 + p_size % 12] AS callee, (['react', 'react', 'lodash', 'lodash', 'node', 'node:fs', 'node:path', 'async', NULL, NULL, NULL, 'node:fs'])[1 + p_size % 12] AS package FROM part""")
+def callee_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, CALLEES)), (F.col("p_size") % 12 + 1).cast("int"))
+    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), name.alias("callee")).withColumn("package", r.callee_package(F.col("callee")))
 
 
 PAIRS = "pairs AS (SELECT o_orderkey AS id, 'src/m' || (o_orderkey % 40) || '/f' || o_orderkey || '.ts' AS file, CASE o_orderkey % 6 WHEN 0 THEN './f' || (o_orderkey + 40) WHEN 1 THEN '../m' || ((o_orderkey + 1) % 40) || '/f' || (o_orderkey + 1) WHEN 2 THEN 'node:fs' WHEN 3 THEN '@scope/pkg/deep' WHEN 4 THEN 'lodash/map' ELSE './f' || (o_orderkey + 40) || '.js' END AS source FROM orders)"

@@ -46,9 +46,10 @@ def config_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("r2_fuzzy_search")
+@query("r2_fuzzy_search", """WITH s AS (SELECT p_partkey, lower(p_name) AS t FROM part), p AS (SELECT p_partkey, t, unnest(range(1, length(t) + 1)) AS i FROM s), w AS (SELECT p_partkey, substring(t, i, n) AS x FROM p, (SELECT unnest(range(4, 9)) AS n))
+SELECT p_partkey AS symbol_id, round(1 - min(levenshtein(x, 'widgte')) / CAST(6 AS DOUBLE), 6) AS score FROM w GROUP BY 1 HAVING min(levenshtein(x, 'widgte')) <= 2""")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.fuzzy(b.symbols(spark, sf_dir), "symbol_id", ["name"], "widgte")
+    return s.fuzzy(b.symbols(spark, sf_dir), "symbol_id", ["name"], "widgte").withColumn("score", F.round("score", 6))
 
 
 TYPES = """ty AS (SELECT p_partkey AS symbol_id, p_name AS name, CASE p_size % 4 WHEN 0 THEN 'Promise<' || p_type || '>' WHEN 1 THEN p_type || '[]' WHEN 2 THEN p_type || ' | null' ELSE p_type END AS raw,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,44 @@ from pyspark.sql import functions as F
 MOST_TOTAL, MOST_NOVEL, NOTE_FROM, WARN_FROM = 25, 15, 8, 12
 
 
+#: The input that says what a tool's call is about.
+TARGETS = {
+    "get_function": "function_name", "trace_calls": "function_name", "get_class": "class_name", "trace_types": "class_name", "find_references": "symbol_name", "suggest_related": "symbol_name",
+    "get_related_context": "symbol_name", "list_functions": "file_path", "get_module_dependencies": "file_path", "list_files": "directory", "get_architecture_overview": "focus",
+}
+SEARCHED = ("query", "return_type", "param_type")
+
+
+def canonical_key(tool: str | None, given: object) -> str:
+    """A key that is equal for equal inputs, however their keys are ordered; what is searched for counts without regard to case and blanks."""
+    if tool == "search_symbols" and isinstance(given, dict):
+        given = given | {k: " ".join(v.split()).lower() for k in SEARCHED if isinstance(v := given.get(k), str)}
+    return (f"{tool}::" if tool else "") + json.dumps(given, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def target_of(tool: str | None, given: object) -> str | None:
+    """What a call is about, in lower case, or None."""
+    if not tool or tool == "sync_index":
+        return None
+    if not isinstance(given, dict):
+        return "*" if tool == "list_files" else None
+    text = lambda k: (v.strip().lower() or None) if isinstance(v := given.get(k), str) else None
+    if tool == "search_symbols":
+        return "||".join(f"{k}:{v}" for k in SEARCHED if (v := text(k))) or None
+    return (text(TARGETS[tool]) if tool in TARGETS else None) or ("*" if tool in ("list_files", "get_architecture_overview") else None)
+
+
+def describe_calls():
+    """Key and target of calls: a column function of the tool's name and its input as JSON."""
+
+    @F.pandas_udf("key string, target string")
+    def describe(tool: pd.Series, given: pd.Series) -> pd.DataFrame:
+        inputs = [None if g is None else json.loads(g) for g in given]
+        return pd.DataFrame({"key": [canonical_key(t, g) for t, g in zip(tool, inputs, strict=True)], "target": [target_of(t, g) for t, g in zip(tool, inputs, strict=True)]})
+
+    return describe
+
+
 def label_calls(calls: DataFrame) -> DataFrame:
     """calls: session, event_id, ts, tool, target, is_sync -> with total, novel and state, as window functions.
 

@@ -34,3 +34,14 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "file_path", c
 def rebuild_needed(changes: DataFrame, asked: bool = False, least: int = 5) -> DataFrame:
     """Whether chains are built anew: when asked, or from five changes on, if there is any."""
     return changes.agg(F.count("*").alias("n")).select("n", ((F.col("n") > 0) & (F.lit(asked) | (F.col("n") >= least))).alias("rebuild"))
+
+
+def typed_events(changes: DataFrame, failed: DataFrame, key: str = "file_path") -> DataFrame:
+    """event, key, is_new: what a watcher tells of changes (key, change) when it has dealt with them: indexed, removed, or error; at the end ready.
+
+    Added and changed files alike count as new; a removal can't fail.
+    """
+    bad = failed.select(key).distinct().withColumn("_failed", F.lit(True))
+    event = F.when(F.col("change") == "removed", "removed").when(F.col("_failed"), "error").otherwise("indexed")
+    told = changes.join(bad, key, "left").select(event.alias("event"), key, (event == "indexed").alias("is_new"))
+    return told.unionByName(changes.sparkSession.range(1).select(F.lit("ready").alias("event"), F.lit(None).cast(changes.schema[key].dataType).alias(key), F.lit(False).alias("is_new")))
