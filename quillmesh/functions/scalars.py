@@ -110,7 +110,20 @@ def rubric(text: Column, groups: list[list[str]], claims: list[str], truths: lis
     return {"completeness": complete, "accuracy": accuracy, "specificity": places.cast("long"), "composite": complete * 0.5 + accuracy * 0.4 + specific * 0.1}
 
 
-TYPE_NAMES = {"str": "string", "int": "number", "float": "number", "bool": "boolean", "none": "null", "list": "array", "dict": "object", "undefined": "null", "any": "any"}
+#: Names of types across languages.
+TYPESCRIPT_TYPES = {
+    "string": "String", "number": "Number", "boolean": "Boolean", "void": "Void", "null": "Null", "undefined": "Undefined", "any": "Any", "unknown": "Unknown", "never": "Never", "object": "Object", "Array": "Array",
+    "Promise": "Promise", "Map": "Map", "Set": "Set", "Date": "Date", "Error": "Error", "Function": "Function", "Symbol": "Symbol", "BigInt": "BigInt", "Uint8Array": "ByteArray", "Buffer": "ByteArray",
+    "ReadonlyArray": "Array", "Awaited": "Awaited", "Partial": "Partial", "Required": "Required", "Readonly": "Readonly", "Record": "Record", "Pick": "Pick", "Omit": "Omit", "Exclude": "Exclude", "Extract": "Extract",
+    "NonNullable": "NonNullable", "ReturnType": "ReturnType", "Parameters": "Parameters", "InstanceType": "InstanceType",
+}
+PYTHON_TYPES = {
+    "str": "String", "int": "Number", "float": "Number", "bool": "Boolean", "None": "Void", "NoneType": "Void", "bytes": "ByteArray", "bytearray": "ByteArray", "list": "Array", "List": "Array", "tuple": "Tuple", "Tuple": "Tuple",
+    "dict": "Map", "Dict": "Map", "set": "Set", "Set": "Set", "frozenset": "Set", "FrozenSet": "Set", "Awaitable": "Promise", "Coroutine": "Promise", "Future": "Promise", "Optional": "Nullable", "Union": "Union",
+    "Callable": "Function", "Any": "Any", "object": "Object", "type": "Type", "Type": "Type", "Sequence": "Array", "Iterable": "Iterable", "Iterator": "Iterator", "Generator": "Generator", "AsyncGenerator": "AsyncGenerator",
+    "Mapping": "Map", "MutableMapping": "Map", "TypeVar": "TypeVar", "Generic": "Generic",
+}
+NOTHING = ("null", "undefined", "none")
 
 
 def split_arguments(text: str) -> list[str]:
@@ -124,38 +137,70 @@ def split_arguments(text: str) -> list[str]:
     return [p for p in [*out, text[at:].strip()] if p]
 
 
-def parse_type(text: str | None) -> dict:
-    """raw, normalized, base, inner, and flags of a type annotation of either language."""
-    raw = (text or "").strip()
-    t, nullable, is_async = raw, False, False
-    if m := re.fullmatch(r"(?:Optional)\[(.*)\]", t):
-        t, nullable = m[1], True
-    parts = [p.strip() for p in re.split(r"\|(?![^<\[(]*[>\])])", t)]
+def _alternatives(text: str) -> list[str]:
+    """Parts between bars outside all brackets."""
+    marked, depth = [], 0
+    for i, c in enumerate(text):
+        depth += (c in "<[({") - (c in ">])}" and not (c == ">" and text[i - 1 : i] == "="))
+        marked.append("\0" if c == "|" and depth == 0 else c)
+    return [p.strip() for p in "".join(marked).split("\0") if p.strip()]
+
+
+def _shape(text: str, language: str) -> tuple[str, list[str]]:
+    """Outer name and arguments of a type without its empty alternatives."""
+    parts = [p for p in _alternatives(text) if p.lower() not in NOTHING]
     if len(parts) > 1:
-        kept = [p for p in parts if p.lower() not in ("null", "undefined", "none")]
-        nullable, t = nullable or len(kept) < len(parts), " | ".join(kept)
-    if m := re.fullmatch(r"(?:Promise|Awaitable|Coroutine)[<\[](.*)[>\]]", t):
-        args = split_arguments(m[1])
-        is_async, t = True, args[-1] if args else ""
-    is_array = t.endswith("[]") or bool(re.match(r"(?:Array|List|list|ReadonlyArray|Sequence)[<\[]", t))
-    generic = re.fullmatch(r"([\w.]+)[<\[](.+)[>\]]", t)
-    if t.endswith("[]"):
-        base, inner = "array", [t[:-2]]
-    elif generic:
-        base, inner = generic[1], split_arguments(generic[2])
-    else:
-        base, inner = t, []
-    named = lambda x: TYPE_NAMES.get(x.lower(), x)
-    base = "array" if is_array else named(base)
-    return {"raw": raw, "normalized": f"{base}<{', '.join(map(named, inner))}>" if inner else base, "base": base.lower(), "inner": ",".join(named(i).lower() for i in inner), "is_async": is_async, "is_nullable": nullable, "is_array": is_array, "is_generic": bool(generic)}
+        return "Union", parts
+    one = parts[0] if parts else text.strip()
+    if one.endswith("[]") and len(one) > 2:
+        return "Array", [one[:-2].strip()]
+    opened, closed = (r"\[", r"\]") if language == "python" else ("<", ">")
+    m = re.fullmatch(rf"([A-Za-z_]\w*)\s*{opened}(.+){closed}", one, re.S)
+    return (m[1], split_arguments(m[2])) if m else (one, [])
+
+
+def parse_type(text: str | None, language: str = "typescript") -> dict | None:
+    """raw, normalized, base, inner, and flags of a type annotation; None for none and for types of no value."""
+    if not text or not text.strip() or text in ("void", "None"):
+        return None
+    t = text.strip()
+    names = PYTHON_TYPES if language == "python" else TYPESCRIPT_TYPES
+    alternatives = _alternatives(t)
+    nullable = len(alternatives) > 1 and NOTHING.count(alternatives[0].lower()) + NOTHING.count(alternatives[-1].lower()) > 0 or bool(re.match(r"optional\s*[\[<]", t, re.I))
+    is_async = bool(re.match(r"(promise|awaitable|coroutine|future|async)\s*[<\[]", t, re.I))
+    is_array = t.endswith("[]") or bool(re.match(r"([Aa]rray|list|List|Sequence|ReadonlyArray)\s*[<\[]", t))
+    base, arguments = _shape(t, language)
+    base = names.get(base, base)
+    inner = [(parse_type(a, language) or {"normalized": a})["normalized"] for a in arguments]
+    normalized = f"{base}<{', '.join(inner)}>" if inner else base
+    normalized = f"Array<{normalized}>" if is_array and base != "Array" else normalized
+    normalized = f"Promise<{normalized}>" if is_async and base != "Promise" else normalized
+    return {
+        "raw": text, "normalized": f"{normalized} | null" if nullable else normalized, "base": base.lower(), "inner": ",".join(inner).lower(), "is_async": is_async, "is_nullable": nullable, "is_array": is_array, "is_generic": bool(arguments),
+    }
 
 
 TYPE_SCHEMA = "raw string, normalized string, base string, inner string, is_async boolean, is_nullable boolean, is_array boolean, is_generic boolean"
 
 
+EMPTY_TYPE = dict.fromkeys(c.split()[0] for c in TYPE_SCHEMA.split(", "))
+
+
 def parse_type_column():
+    """A column function of types, read as TypeScript."""
+
     @F.pandas_udf(TYPE_SCHEMA)
     def parse(types: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_type(t) for t in types], columns=[c.split()[0] for c in TYPE_SCHEMA.split(", ")])
+        return pd.DataFrame([parse_type(t) or EMPTY_TYPE for t in types], columns=list(EMPTY_TYPE))
+
+    return parse
+
+
+def parse_types_of():
+    """A column function of types and their languages."""
+
+    @F.pandas_udf(TYPE_SCHEMA)
+    def parse(types: pd.Series, languages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_type(t, x) or EMPTY_TYPE for t, x in zip(types, languages, strict=True)], columns=list(EMPTY_TYPE))
 
     return parse

@@ -44,13 +44,29 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("conv_id", "turn", f.numbered_line(F.col("pos") + 1, F.col("line")).alias("source"))
 
 
-@query("f6_parse_types", """SELECT p_partkey AS symbol_id, CASE WHEN p_size % 4 = 1 THEN 'array' ELSE lower(p_type) END AS base, p_size % 4 = 0 AS is_async, p_size % 4 = 2 AS is_nullable, p_size % 4 = 1 AS is_array FROM part""")
+@query("f6_parse_types", """SELECT p_partkey AS symbol_id, CASE p_size % 4 WHEN 0 THEN 'promise' WHEN 1 THEN 'array' ELSE lower(p_type) END AS base, p_size % 4 = 0 AS is_async, p_size % 4 = 2 AS is_nullable, p_size % 4 = 1 AS is_array FROM part""")
 def parse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asynchronous, array and nullable types taken apart."""
     parsed = symbol_types(spark, sf_dir).select("symbol_id", f.parse_type_column()("raw").alias("t"))
     return parsed.select("symbol_id", "t.base", "t.is_async", "t.is_nullable", "t.is_array")
 
 
+TYPED = [
+    ("typescript", "Promise<User[]>", "Promise<Array<User>>", "promise", "array<user>"), ("typescript", "string | null", "String | null", "string", ""), ("typescript", "Map<string, Set<number>>", "Map<String, Set<Number>>", "map", "string,set<number>"),
+    ("typescript", "A | B", "Union<A, B>", "union", "a,b"), ("python", "Optional[int]", "Nullable<Number> | null", "nullable", "number"), ("python", "Dict[str, List[float]]", "Map<String, Array<Number>>", "map", "string,array<number>"),
+    ("python", "Coroutine[Any, Any, bytes]", "Promise<Any, Any, ByteArray>", "promise", "any,any,bytearray"), ("python", "str", "String", "string", ""), ("typescript", "void", None, None, None), ("python", "Sequence[str]", "Array<String>", "array", "string"),
+]
+_TEXT = lambda v: "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
+
+
+@query("f8_normalized_types", f"SELECT p_partkey AS id, t.n AS normalized, t.b AS base, t.i AS inner_types FROM part JOIN (VALUES {', '.join(f'({k}, {_TEXT(n)}, {_TEXT(x)}, {_TEXT(i)})' for k, (_, _, n, x, i) in enumerate(TYPED))}) AS t(k, n, b, i) ON t.k = p_size % 10")
+def normalized_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of both languages brought together, also within type arguments."""
+    at = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in TYPED]), (F.col("p_size") % 10 + 1).cast("int"))
+    parsed = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), at(0).alias("language"), at(1).alias("raw")).withColumn("t", f.parse_types_of()("raw", "language"))
+    return parsed.select("id", "t.normalized", "t.base", F.col("t.inner").alias("inner_types"))
+
+
 @query("f12_char_overlap", "SELECT p_partkey AS symbol_id, round(len(list_intersect(a, b)) / CAST(greatest(len(a), len(b), 1) AS DOUBLE), 6) AS overlap FROM (SELECT p_partkey, list_distinct(string_split(p_name, '')) AS a, list_distinct(string_split('bread winner', '')) AS b FROM part)")
 def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.operators.lookups import overlap

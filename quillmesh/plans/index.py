@@ -23,7 +23,7 @@ def _pick(values: list, by: str) -> F.Column:
 # --- types
 
 PARTS = """f AS (SELECT p_partkey AS k, 'fn' || p_partkey AS name, 'src/' || lower(p_brand) || '.ts' AS file, p_size % 4 AS r, p_size % 3 AS q, CASE WHEN p_size % 5 = 0 THEN 'method' ELSE 'function' END AS kind FROM part),
-st AS (SELECT k, name, file, kind, (['Promise<User>', 'string', 'User[]', NULL])[1 + r] AS raw, (['user', 'string', 'array', NULL])[1 + r] AS base, (['', '', 'user', NULL])[1 + r] AS inner_t, r = 0 AS is_async FROM f),
+st AS (SELECT k, name, file, kind, (['Promise<User>', 'string', 'User[]', NULL])[1 + r] AS raw, (['promise', 'string', 'array', NULL])[1 + r] AS base, (['user', '', 'user', NULL])[1 + r] AS inner_t, r = 0 AS is_async FROM f),
 sp AS (SELECT k, name, file, 0 AS i, 'id' AS param, (['number', 'Map<string, User>', NULL])[1 + q] AS raw, (['number', 'map', NULL])[1 + q] AS base, (['', 'string,user', NULL])[1 + q] AS inner_t FROM f
   UNION ALL SELECT k, name, file, 1, 'opt', 'User | null', 'user', '' FROM f)"""
 

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions.scalars import parse_type_column
+from quillmesh.functions.scalars import parse_types_of
 from quillmesh.operators import markov
 from quillmesh.operators.imports import resolve
 from quillmesh.sources import ingest
@@ -172,7 +172,7 @@ def type_tables(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """symbol_types and param_types: parsed types with the base in lower case and inner types joined by commas."""
     own = symbols.filter(F.col("kind").isin("function", "method", "constructor", "callback"))
     head = (F.col("id").alias("symbol_id"), F.col("name").alias("symbol_name"), "file_path", "language")
-    of = lambda c: F.when(F.col(c).isNotNull(), parse_type_column()(c))
+    of = lambda c: parse_types_of()(c, "language")
     symbol_types = own.withColumn("t", of("return_type")).select(
         *head, F.col("return_type").alias("raw"), "t.normalized", "t.base", "t.inner", *[F.coalesce(f"t.{f}", F.lit(False)).alias(f) for f in FLAGS],
         F.size("params").alias("param_count"), F.col("kind").isin("method", "constructor").alias("is_method"), "parent_class",

@@ -8,10 +8,11 @@ from quillmesh.functions.thesaurus import thesaurus
 
 def test_parse_type():
     t = scalars.parse_type
-    assert t("Promise<User[]>") | {"raw": ""} == {"raw": "", "normalized": "array<User>", "base": "array", "inner": "user", "is_async": True, "is_nullable": False, "is_array": True, "is_generic": False}
-    assert t("string | null")["is_nullable"] and t("Optional[int]")["base"] == "number" and t("Map<string, List<int>>")["inner"] == "string,list<int>"
-    assert t(None)["base"] == "" and t("Coroutine[Any, Any, str]")["base"] == "string"
-    assert scalars.split_arguments("a<b, c>, (d, e) => f, g") == ["a<b, c>", "(d, e) => f", "g"]
+    assert t("Promise<User[]>") == {"raw": "Promise<User[]>", "normalized": "Promise<Array<User>>", "base": "promise", "inner": "array<user>", "is_async": True, "is_nullable": False, "is_array": False, "is_generic": True}
+    assert t("Optional[Dict[str, int]]", "python")["normalized"] == "Nullable<Map<String, Number>> | null"
+    assert t("(a: string) => void")["base"] == "(a: string) => void" and t("void") is None and t(None) is None and t("") is None
+    assert t("null | Foo")["is_nullable"] and t("null | Foo")["base"] == "foo" and t("Buffer")["normalized"] == "ByteArray"
+    assert scalars.split_arguments("a, Map<b, c>, [d, e]") == ["a", "Map<b, c>", "[d, e]"]
 
 
 def test_cut_bytes():
