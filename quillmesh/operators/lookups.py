@@ -78,10 +78,14 @@ def path_score(query: Column, path: Column) -> Column:
 
 def resolve_paths(queries: DataFrame, files: DataFrame, least: float = 80, lead: float = 20) -> DataFrame:
     """query -> status and path: exact, a single suffix, ambiguous, a clear fuzzy winner, or not found."""
-    few = queries
-    suffix = files.join(few, files["file_path"].endswith(F.concat(F.lit("/"), few["query"])) | (files["file_path"] == few["query"]))
+    # a file that ends with the request has its last part, so this is an equi join
+    last = lambda c: F.substring_index(c, "/", -1)
+    own, wanted = files.select("file_path", last("file_path").alias("base")), queries.select("query", last("query").alias("base"))
+    suffix = own.join(wanted, "base").filter(F.col("file_path").endswith(F.concat(F.lit("/"), F.col("query"))) | (F.col("file_path") == F.col("query")))
     found = suffix.groupBy("query").agg(F.count("*").alias("n"), F.min("file_path").alias("path"), F.max((F.col("file_path") == F.col("query")).cast("int")).alias("exact"))
-    scored = files.join(few).withColumn("score", path_score(F.col("query"), F.col("file_path"))).filter("score > 10")
+    # only requests that no file ends with are held against all files
+    rest = queries.join(found, "query", "left_anti")
+    scored = files.join(rest).withColumn("score", path_score(F.col("query"), F.col("file_path"))).filter("score > 10")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "file_path")
     best = scored.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("query").agg(F.max(F.when(F.col("r") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("s2"), F.min(F.when(F.col("r") == 1, F.col("file_path"))).alias("fuzzy"))
     clear = (F.col("s1") >= least) & (F.col("s1") - F.coalesce("s2", F.lit(0.0)) >= lead)

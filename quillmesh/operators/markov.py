@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 CALL_WEIGHT, COOCCURRENCE_WEIGHT, TYPE_WEIGHT, IMPORT_WEIGHT = 0.4, 0.25, 0.2, 0.15
 CHAIN_WEIGHTS = {"call_flow": CALL_WEIGHT, "cooccurrence": COOCCURRENCE_WEIGHT, "type_affinity": TYPE_WEIGHT, "import_cluster": IMPORT_WEIGHT}
 DECAY, LEAST, DEPTH, FAN_OUT = 0.7, 0.05, 2, 50
+BLOCK = 4096
 
 
 def normalise(weights: DataFrame) -> DataFrame:
@@ -16,17 +17,30 @@ def normalise(weights: DataFrame) -> DataFrame:
     return weights.withColumn("total", total).filter("total > 0").select("from_id", "to_id", "raw", (F.col("raw") / F.col("total")).alias("prob"))
 
 
+def paired(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> DataFrame:
+    """Every two rows of one key, as structs a and b. Keys of over `block` rows are dealt in blocks, and every two blocks meet apart, so no task holds a hot key."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("_size")).filter(F.col("_size") > block)
+    a, b = (rows.select(key, F.struct(*rows.columns).alias(x)) for x in "ab")
+    if not hot.limit(1).count():
+        return a.join(b, key).select("a", "b")
+    dealt = rows.join(hot, key, "left").withColumn("_n", F.coalesce(F.ceil(F.col("_size") / block), F.lit(1)).cast("int")).withColumn("_block", F.pmod(F.xxhash64(item), "_n").cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    whole = F.struct(*rows.columns)
+    a = dealt.select(key, whole.alias("a"), F.col("_block").alias("_i"), others.alias("_j"))
+    b = dealt.select(key, whole.alias("b"), F.col("_block").alias("_j"), others.alias("_i"))
+    return a.join(b, [key, "_i", "_j"]).select("a", "b")
+
+
 def call_flow_weights(calls: DataFrame, geometric: bool = True, fan_out_norm: bool = True, least_calls: int = 1) -> DataFrame:
     """Parts called together: damped counts, less for wide callers, more for asynchronous and less for conditional targets."""
-    edges = calls.filter(F.col("call_count") >= least_calls).withColumn("fan", F.count("*").over(Window.partitionBy("caller")))
-    edges = edges.filter("fan >= 2")
-    a = edges.select("caller", F.col("callee").alias("from_id"), F.col("call_count").alias("ca"), "fan")
-    b = edges.select("caller", F.col("callee").alias("to_id"), F.col("call_count").alias("cb"), "is_async", "is_conditional")
+    edges = calls.filter(F.col("call_count") >= least_calls).select("caller", "callee", "call_count", "is_async", "is_conditional")
+    fans = edges.groupBy("caller").agg(F.count("*").alias("fan")).filter("fan >= 2")
+    both = paired(edges.join(fans, "caller"), "caller", "callee").filter("a.callee <> b.callee")
     damp = lambda c: F.log(F.col(c) + F.lit(1.0))
-    w = F.sqrt(damp("ca") * damp("cb")) if geometric else F.least("ca", "cb").cast("double")
-    w = w / F.sqrt((F.col("fan") - 1).cast("double")) if fan_out_norm else w
-    w = w * F.when(F.col("is_async"), 1.1).otherwise(1.0) * F.when(F.col("is_conditional"), 0.8).otherwise(1.0)
-    return a.join(b, "caller").filter("from_id <> to_id").groupBy("from_id", "to_id").agg(F.sum(w).alias("raw"))
+    w = F.sqrt(damp("a.call_count") * damp("b.call_count")) if geometric else F.least("a.call_count", "b.call_count").cast("double")
+    w = w / F.sqrt((F.col("a.fan") - 1).cast("double")) if fan_out_norm else w
+    w = w * F.when(F.col("b.is_async"), 1.1).otherwise(1.0) * F.when(F.col("b.is_conditional"), 0.8).otherwise(1.0)
+    return both.groupBy(F.col("a.callee").alias("from_id"), F.col("b.callee").alias("to_id")).agg(F.sum(w).alias("raw"))
 
 
 def inverse_document_frequency(occurrences: DataFrame) -> DataFrame:
@@ -39,11 +53,10 @@ def inverse_document_frequency(occurrences: DataFrame) -> DataFrame:
 def cooccurrence_weights(occurrences: DataFrame) -> DataFrame:
     """Symbols of one file: twice the weight within one class, damped for symbols of many files."""
     rated = occurrences.join(inverse_document_frequency(occurrences), "symbol").select("file", "symbol", "parent", "idf")
-    a, b = (rated.select("file", *[F.col(c).alias(f"{c}_{x}") for c in ("symbol", "parent", "idf")]) for x in "ab")
-    scope = F.when(F.col("parent_a") == F.col("parent_b"), 2.0).otherwise(1.0)
+    scope = F.when(F.col("a.parent") == F.col("b.parent"), 2.0).otherwise(1.0)
     # both directions at once, so that a filter on one state reaches the scan
-    both = a.join(b, "file").filter("symbol_a <> symbol_b").groupBy(F.col("symbol_a").alias("from_id"), F.col("symbol_b").alias("to_id"))
-    return both.agg(F.sum(scope * F.sqrt(F.col("idf_a") * F.col("idf_b"))).alias("raw"))
+    both = paired(rated, "file", "symbol").filter("a.symbol <> b.symbol").groupBy(F.col("a.symbol").alias("from_id"), F.col("b.symbol").alias("to_id"))
+    return both.agg(F.sum(scope * F.sqrt(F.col("a.idf") * F.col("b.idf"))).alias("raw"))
 
 
 def type_affinity_weights(relations: DataFrame) -> DataFrame:
@@ -56,8 +69,8 @@ def type_affinity_weights(relations: DataFrame) -> DataFrame:
 def import_cluster_weights(imports: DataFrame, least_shared: int = 2) -> DataFrame:
     """Files that import the same sources, from least_shared on (C4)."""
     own = imports.select("file", "source").distinct()
-    a, b = own.select("source", F.col("file").alias("from_id")), own.select("source", F.col("file").alias("to_id"))
-    shared = a.join(b, "source").filter("from_id <> to_id").groupBy("from_id", "to_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least_shared)
+    both = paired(own, "source", "file").select(F.col("a.file").alias("from_id"), F.col("b.file").alias("to_id")).filter("from_id <> to_id")
+    shared = both.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least_shared)
     return shared.select("from_id", "to_id", (F.col("n") * 0.5).alias("raw"))
 
 

@@ -113,7 +113,15 @@ def path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_of(scored, ["query"], [F.desc(F.round("score", 9)), F.col("file_path").asc()], 5).select("query", "file_path", F.round("score", 6).alias("score"))
 
 
-@query("l19_resolve_paths")
+@query("l19_resolve_paths", f"""WITH {FILES}, q AS (SELECT unnest({PATHS}) AS query), j AS (SELECT query, file_path, lower(string_split(file_path, '/')[-1]) AS base, lower(regexp_extract(file_path, '^(.*)/[^/]*$', 1)) AS dir, lower(query) AS q, lower(string_split(query, '/')[-1]) AS qb, lower(regexp_extract(query, '^(.*)/[^/]*$', 1)) AS qd FROM files, q),
+c AS (SELECT *, list_distinct(string_split(base, '')) AS a1, list_distinct(string_split(qb, '')) AS b1, list_distinct(string_split(dir, '')) AS a2, list_distinct(string_split(qd, '')) AS b2 FROM j),
+s AS (SELECT query, file_path, (CASE WHEN base = qb THEN 100 WHEN contains(base, qb) THEN 50 WHEN contains(qb, base) THEN 30 ELSE 0 END) + (CASE WHEN qd <> '' AND contains(dir, qd) THEN 25 ELSE 0 END) + (CASE WHEN contains(lower(file_path), q) THEN 20 ELSE 0 END)
+  + 15 * ({OVERLAP.format(a='a1', b='b1')}) + CASE WHEN qd <> '' AND dir <> '' THEN 10 * ({OVERLAP.format(a='a2', b='b2')}) ELSE 0 END AS score FROM c),
+x AS (SELECT query, count(*) AS n, min(file_path) AS path, max(CAST(file_path = query AS INT)) AS exact FROM files, q WHERE file_path = query OR ends_with(file_path, '/' || query) GROUP BY 1),
+k AS (SELECT query, file_path, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, file_path) AS r FROM s WHERE score > 10),
+y AS (SELECT query, max(score) FILTER (r = 1) AS s1, max(score) FILTER (r = 2) AS s2, min(file_path) FILTER (r = 1) AS fuzzy FROM k WHERE r <= 2 GROUP BY 1),
+z AS (SELECT q.query, path, fuzzy, CASE WHEN exact = 1 THEN 'exact' WHEN n = 1 THEN 'suffix' WHEN n > 1 THEN 'ambiguous' WHEN s1 >= 80 AND s1 - coalesce(s2, 0) >= 20 THEN 'fuzzy' ELSE 'not_found' END AS status FROM q LEFT JOIN x USING (query) LEFT JOIN y USING (query))
+SELECT query, status, CASE status WHEN 'exact' THEN query WHEN 'suffix' THEN path WHEN 'fuzzy' THEN fuzzy END AS path FROM z""")
 def resolve_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.resolve_paths(spark.createDataFrame([(p,) for p in PATHS], "query string"), b.files(spark, sf_dir).select("file_path"))
 

@@ -9,6 +9,7 @@ from quillmesh.operators import graph
 from quillmesh.operators import retrieval as r
 from quillmesh.plans.graph import LAYERS, bfs_sql
 from quillmesh.plans.markov import ALL, EVERY, chains
+from quillmesh.operators.markov import paired
 from quillmesh.plans.registry import query
 from quillmesh.sources import bindings as b
 
@@ -143,6 +144,6 @@ def redistributed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j10_same_supplier_pairs", "WITH d AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) SELECT a.s AS x, b.s AS y, count(*) AS n FROM d a JOIN d b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2")
 def same_order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs i < j within small groups, by an equal key and a condition (J10); an order has a handful of suppliers."""
+    """Pairs i < j of one key (J10); keys of many rows are dealt in blocks."""
     d = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
-    return d.select("o", F.col("s").alias("x")).join(d.select("o", F.col("s").alias("y")), "o").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    return paired(d, "o", "s").select(F.col("a.s").alias("x"), F.col("b.s").alias("y")).filter("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))

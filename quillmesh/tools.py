@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.thesaurus import thesaurus
-from quillmesh.operators import graph, markov, search
-from quillmesh.operators.aggregates import module_name
+from quillmesh.operators import graph, lookups, markov, search
+from quillmesh.operators.aggregates import fan_out, module_name
+from quillmesh.operators.imports import entry_points, excluded, package_name
+from quillmesh.operators.lookups import FUNCTION_KINDS
 from quillmesh.operators.lookups import list_files as files_below
-from quillmesh.operators.retrieval import enclosing, glob_regex, is_test_path, paginate, within_budget  # noqa: F401
-from quillmesh.sources.store import Store
+from quillmesh.operators.retrieval import glob_regex, is_test_path, paginate, section, type_names, within_budget
+from quillmesh.sources.store import Store, type_tables
+from quillmesh.sources.ts_parser import TEST_CALLS
+
+FOCUS = ("full", "modules", "core_classes", "dependencies", "entry_points", "public_api", "patterns", "key_types")
 
 
 class Tools:
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
 
-    def search_symbols(self, query: str, kind: str | None = None, language: str | None = None, limit: int = 20) -> DataFrame:
-        """Ranked by BM25 and synonyms; approximate matches where there is no exact one."""
+    def search_symbols(
+        self, query: str | None = None, kind: str | None = None, language: str | None = None, limit: int = 20, expand_synonyms: bool = True, return_type: str | None = None, param_type: str | None = None, match_mode: str = "base",
+    ) -> DataFrame:
+        """By name, ranked by BM25 and synonyms, approximate matches where there is no exact one; or by types, with the query as a filter of names."""
         symbols = self.store.read("symbols")
-        symbols = symbols if kind is None else symbols.filter(F.col("kind").isin("function", "method", "constructor", "callback") if kind == "function" else F.col("kind") == kind)
+        symbols = symbols if kind in (None, "all") else symbols.filter(F.col("kind").isin(*FUNCTION_KINDS) if kind == "function" else F.col("kind") == kind)
         symbols = symbols if language is None else symbols.filter(F.col("language") == language)
+        if return_type or param_type:
+            types, params = type_tables(symbols)
+            found = search.by_types(types, params, return_type, param_type, match_mode, 3 * limit if query else limit)
+            rows = found.join(symbols.select(F.col("id").alias("symbol_id"), "kind", "signature", "file_path", "line_start"), "symbol_id").withColumnsRenamed({"symbol_id": "id", "symbol_name": "name"})
+            for word in (query or "").lower().split():
+                rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", "name", "signature", "file_path")), F.lit(word)))
+            return rows.orderBy("name", "id").limit(limit)
+        query = query or ""
         words = search.query_terms(query) or [query.lower()]
-        terms = search.expand_terms(self.spark.createDataFrame([(query, w) for w in words], "query string, word string"), thesaurus(self.spark)).collect()  # at most MOST_TERMS
-        names = F.concat_ws(" ", "name", "fully_qualified_name", "signature")
-        hits = search.bm25(symbols, "id", names, [t["term"] for t in terms], {t["term"]: t["weight"] for t in terms})
+        asked = self.spark.createDataFrame([(query, w) for w in words], "query string, word string")
+        terms = [(t["term"], t["weight"], t["source"]) for t in search.expand_terms(asked, thesaurus(self.spark)).collect()] if expand_synonyms else [(w, 1.0, "original") for w in words]  # at most MOST_TERMS
+        columns = {"name": 1.0, "fully_qualified_name": 1.0, "signature": 1.0}
+        rows = symbols.select("id", "name", "kind", "signature", "file_path", "line_start", "fully_qualified_name")
+        text = query if not expand_synonyms or re.search(r'[*"]|\sOR\s', query) else " OR ".join([query, *(f'"{t}"*' for t, _, s in terms if s != "original")])
+        hits = search.by_name(rows, "id", columns, text if text != query else query, terms, limit)
         if not hits.limit(1).count():
-            hits = search.fuzzy(symbols, "id", ["name"], query)
-        rated = search.rerank(hits.join(symbols.select("id", "name", "kind", "signature", "file_path", "line_start"), "id"), [(t["term"], t["weight"], t["source"]) for t in terms])
-        return rated.orderBy(F.desc(F.round("combined", 9)), "id").limit(limit)
+            close = search.fuzzy(symbols, "id", ["name"], query)
+            hits = search.rerank(close.join(rows, "id"), terms).orderBy(F.desc(F.round("combined", 9)), "id").limit(limit)
+        return hits.drop("fully_qualified_name")
 
     def _symbol(self, name: str, kinds: tuple[str, ...]) -> DataFrame:
         rows = self.store.read("symbols").filter(F.col("kind").isin(*kinds))
@@ -38,18 +58,35 @@ class Tools:
         best = found.agg(F.min("how").alias("how"))
         return found.join(F.broadcast(best), "how").drop("how").orderBy("file_path", "line_start")  # best: one row
 
-    def get_function(self, name: str) -> DataFrame:
-        """All rows of the first rung that has any; more than one means the name is ambiguous."""
-        return self._symbol(name, ("function", "method", "constructor", "callback"))
+    def get_function(self, name: str, path: str | None = None) -> DataFrame:
+        """All rows of the first rung that has any; more than one means the name is ambiguous (L4, L5, Q8). With a path, functions of the files that end with it."""
+        found = self._symbol(name, FUNCTION_KINDS)
+        return found if path is None else found.filter(F.col("file_path").endswith(path))
+
+    def suggestions(self, name: str) -> list[str]:
+        """Names that are meant by an ambiguous one, in order."""
+        found = lookups.function_details(self.store.read("symbols"), self.spark.createDataFrame([(name,)], "query string"))
+        return found.first()["suggestions"]
 
-    def get_class(self, name: str) -> DataFrame:
-        """A class or interface with its members."""
+    def get_class(self, name: str, methods_only: bool = False) -> DataFrame:
+        """A class, or else an interface, with its members."""
         own = self._symbol(name, ("class", "interface"))
         members = self.store.read("symbols").filter(F.col("parent_class") == name)
+        members = members.filter(F.col("kind").isin("method", "constructor")) if methods_only else members
         return own.unionByName(members).orderBy("file_path", "line_start")
 
-    def list_functions(self, path: str) -> DataFrame:
-        return self.store.read("symbols").filter(F.col("file_path").endswith(path)).orderBy("line_start", "id")
+    def get_alias(self, name: str) -> DataFrame:
+        return self._symbol(name, ("type",))
+
+    def get_variable(self, name: str) -> DataFrame:
+        return self._symbol(name, ("variable",))
+
+    def list_functions(self, path: str, include_private: bool = True) -> DataFrame:
+        """Symbols of a file by section: functions, nested ones under their parent, callbacks by kind, classes, interfaces, aliases (Q3)."""
+        rows = self.store.read("symbols").filter((F.col("file_path") == path) | F.col("file_path").endswith(f"/{path}"))
+        rows = rows if include_private else rows.filter(~F.coalesce("is_private", F.lit(False)))
+        rows = rows.withColumn("section", section(F.col("kind"), F.col("callback_context"), F.col("parent_function"), TEST_CALLS)).filter("section <> 'member' and kind <> 'variable'")
+        return rows.select("section", "id", "name", "kind", "parent_function", "line_start", "line_end", "is_exported", "is_async", "is_private", "signature").orderBy("line_start", "id")
 
     def list_files(self, directory: str | None = None, language: str | None = None, exclude: list[str] = (), include_tests: bool = False, page: int = 1, size: int = 50) -> DataFrame:
         rows = files_below(self.store.read("files"), directory, language)
@@ -82,37 +119,97 @@ class Tools:
         edges = {"up": rels, "down": back, "both": graph.both_ways(rels)}[direction]
         return graph.reachable(edges, self.spark.createDataFrame([(name,)], "node string"), depth)
 
-    def get_module_dependencies(self, path: str, depth: int = 3) -> DataFrame:
-        edges = self.store.resolved_imports().filter("resolved_path is not null").select(F.col("file").alias("src"), F.col("resolved_path").alias("dst")).distinct()
-        return graph.reachable(edges, self.spark.createDataFrame([(path,)], "node string"), min(5, depth))
-
-    def suggest_related(self, name: str, limit: int = 10) -> DataFrame:
-        """Walks over all chains from the first symbol of that name, merged by weight."""
-        start = self.store.read("symbols").filter((F.col("name") == name) | (F.col("local_name") == name)).agg(F.min("id")).first()[0]
+    def get_module_dependencies(self, path: str, depth: int = 3, include_external: bool = False, include_types: bool = True, reverse: bool = False) -> DataFrame:
+        """Files that a file imports, and theirs, to five levels; or those that import it; with external packages if asked."""
+        found = self.store.resolved_imports()
+        found = found if include_types else found.filter(~F.coalesce("is_type_only", F.lit(False)))
+        edges = found.filter("resolved_path is not null").select(F.col("file").alias("src"), F.col("resolved_path").alias("dst")).distinct()
+        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges
+        out = graph.reachable(edges, self.spark.createDataFrame([(path,)], "node string"), min(5, depth)).withColumn("external", F.lit(False))
+        if include_external and not reverse:
+            packages = found.filter((F.col("file") == path) & (F.col("kind") != "internal")).select(package_name(F.col("source")).alias("node")).distinct()
+            out = out.unionByName(packages.withColumn("depth", F.lit(1)).withColumn("external", F.lit(True)), allowMissingColumns=True)
+        return out
+
+    def suggest_related(self, name: str, limit: int = 10, chains: tuple[str, ...] | None = None) -> DataFrame:
+        """Walks over the stored chains from the first symbol of that name, merged by weight; without support callers, callees and neighbours."""
+        symbols = self.store.read("symbols")
+        start = symbols.filter((F.col("name") == name) | (F.col("local_name") == name)).agg(F.min("id")).first()[0]
         if start is None:
-            return self.spark.createDataFrame([], "state string, score double, hops int, chains array<string>")
-        chains, walked = self.store.chains(), None
-        for chain in markov.CHAIN_WEIGHTS:
-            one = markov.walk(chains.filter(F.col("chain") == chain), start).withColumn("chain", F.lit(chain))
+            return self.spark.createDataFrame([], "state string, score double, hops int, chains array<string>, reason string")
+        stored, walked = self.store.chains(), None
+        for chain in chains or markov.CHAIN_WEIGHTS:
+            one = markov.walk(stored.filter(F.col("chain") == chain), start).withColumn("chain", F.lit(chain))
             walked = one if walked is None else walked.unionByName(one)
-        return markov.merge_chains(walked).orderBy(F.desc(F.round("score", 9)), "state").limit(limit)
-
-    def get_related_context(self, name: str, budget: int = 16_000) -> DataFrame:
-        """The symbol, its callees and their signatures, as far as the budget goes (Q7, Q11)."""
+        found = markov.merge_chains(walked).orderBy(F.desc(F.round("score", 9)), "state").limit(limit).withColumn("reason", F.lit("chains"))
+        if found.limit(1).count():
+            return found
+        calls = self.store.resolved_calls()
+        callers = calls.filter(F.col("callee_symbol_id") == start).select(F.col("caller_symbol_id").alias("state"))
+        callees = calls.filter(F.col("caller_symbol_id") == start).select(F.coalesce("callee_symbol_id", "callee_name").alias("state"))
+        home = symbols.filter(F.col("id") == start).select("file_path").limit(1)
+        near = symbols.join(F.broadcast(home), "file_path").filter(F.col("id") != start).select(F.col("id").alias("state"))  # home: one row
+        none = (F.lit(None).cast("int").alias("hops"), F.array().cast("array<string>").alias("chains"))
+        return markov.fallback(callers, callees, near, limit).select("state", "score", *none, "reason")
+
+    def get_related_context(self, name: str, budget: int = 16_000, include_tests: bool = False) -> DataFrame:
+        """The symbol, the types its signature names, its callees, and tests that refer to it, as far as the budget goes (Q7, Q11, Q12, Q13, Q17)."""
         symbols = self.store.read("symbols").withColumn("size", F.length("signature") + F.coalesce(F.length("doc"), F.lit(0)))
         own = symbols.filter(F.col("local_name") == name).withColumn("rank", F.lit(0))
+        named = own.select(F.explode(type_names(F.col("signature"), ["Promise", "Array", "Map", "Set", "Record"])).alias("name")).distinct()
+        types = symbols.filter(F.col("kind").isin("interface", "type", "class")).join(named, "name", "left_semi").withColumn("rank", F.lit(1))
         callees = self.trace_calls(name).select(F.col("dst").alias("local_name")).distinct()
-        more = symbols.join(callees, "local_name", "left_semi").withColumn("rank", F.lit(1))
-        return within_budget(own.unionByName(more), [], [F.col("rank").asc(), F.col("id").asc()], "size", budget)
-
-    def get_architecture_overview(self) -> DataFrame:
-        """Modules with their files, lines and exports."""
-        files = self.store.read("files").withColumn("module", module_name(F.col("file_path")))
-        exports = self.store.read("exports").groupBy("file_path").agg(F.count("*").alias("n"))
-        return files.join(exports, "file_path", "left").groupBy("module").agg(F.count("*").alias("files"), F.sum("line_count").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("exports")).orderBy("module")
+        parts = own.unionByName(types).unionByName(symbols.join(callees, "local_name", "left_semi").withColumn("rank", F.lit(2)))
+        if include_tests:
+            files = self.store.read("refs").filter((F.col("symbol_name") == name) & is_test_path(F.col("referencing_file"))).select(F.col("referencing_file").alias("file_path")).distinct()
+            tests = symbols.filter((F.col("kind") == "callback") & F.col("callback_context").isin(*TEST_CALLS)).join(files, "file_path", "left_semi")
+            parts = parts.unionByName(tests.withColumn("rank", F.lit(3)))
+        once = parts.groupBy("id").agg(F.min_by(F.struct(*parts.columns), "rank").alias("x")).select("x.*")
+        return within_budget(once, [], [F.col("rank").asc(), F.col("id").asc()], "size", budget)
+
+    def get_architecture_overview(self, focus: str = "modules", entry_file: str | None = None) -> DataFrame:
+        """One of the views of FOCUS (Q21): modules (also core_classes), dependencies, entry_points, public_api, patterns, key_types, or full, all sections of these as name, detail and n."""
+        if focus not in FOCUS:
+            raise ValueError(f"focus must be one of {', '.join(FOCUS)}")
+        symbols, files = self.store.read("symbols"), self.store.read("files")
+        files = files.filter(~excluded(F.col("file_path")))
+        if focus in ("modules", "core_classes"):
+            own = files.withColumn("module", module_name(F.col("file_path")))
+            exports = self.store.read("exports").groupBy("file_path").agg(F.count("*").alias("n"))
+            return own.join(exports, "file_path", "left").groupBy("module").agg(F.count("*").alias("files"), F.sum("line_count").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("exports")).orderBy("module")
+        if focus == "dependencies":
+            edges = self.store.resolved_imports().filter("resolved_path is not null").select(module_name(F.col("file")).alias("module"), module_name(F.col("resolved_path")).alias("uses"))
+            return edges.filter("module <> uses").groupBy("module", "uses").agg(F.count("*").alias("n")).orderBy("module", "uses")
+        if focus == "entry_points":
+            entries = self.store.read("config_entries").filter(F.col("config_type") == "package.json")
+            root = entries.agg(F.min(F.struct(F.length("file_path"), "file_path")).alias("x")).select(F.col("x.file_path").alias("file_path"))  # the shortest path
+            return entry_points(files, entries.join(F.broadcast(root), "file_path"), entry_file).orderBy("file_path")
+        if focus == "public_api":
+            entry = self.get_architecture_overview("entry_points", entry_file).select("file_path")
+            exports = self.store.read("exports").join(files.select("file_path"), "file_path", "left_semi")
+            some = exports.join(entry, "file_path", "left_semi") if entry.limit(1).count() else exports
+            kinds = symbols.filter("is_exported").groupBy(F.col("name").alias("export_name")).agg(F.min("kind").alias("kind"))
+            return some.filter("export_name <> '*'").join(kinds, "export_name", "left").select("export_name", "kind", "file_path", "re_export_source").orderBy("export_name", "file_path")
+        if focus == "patterns":
+            rels = self.store.read("type_rels").select(F.col("target_name_base").alias("target"), F.col("relationship_kind").alias("kind"), F.col("source_name").alias("source"))
+            return fan_out(rels).orderBy(F.desc("children"), "target", "kind")
+        if focus == "key_types":
+            refs = self.store.read("refs").groupBy(F.col("symbol_name").alias("name")).agg(F.count("*").alias("n"))
+            return symbols.filter(F.col("kind").isin("class", "interface", "type") & ~excluded(F.col("file_path"))).join(refs, "name", "left").select("name", "kind", "file_path", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "name", "file_path")
+        parts = {
+            "modules": ("module", F.concat_ws(" ", F.col("files").cast("string"), F.lit("files")), "lines"), "dependencies": ("module", F.col("uses"), "n"), "entry_points": ("file_path", F.concat_ws(": ", "type", "reason"), None),
+            "public_api": ("export_name", F.concat_ws(" ", "kind", "file_path"), None), "patterns": ("target", F.col("kind"), "children"), "key_types": ("name", F.concat_ws(" ", "kind", "file_path"), "n"),
+        }
+        out = None
+        for view, (name, detail, n) in parts.items():
+            rows = self.get_architecture_overview(view, entry_file).select(F.lit(view).alias("view"), F.col(name).alias("name"), detail.alias("detail"), (F.col(n) if n else F.lit(None)).cast("long").alias("n"))
+            out = rows if out is None else out.unionByName(rows)
+        return out.orderBy("view", "name", "detail")
 
     def sync_index(self, folder: str, full: bool = False) -> DataFrame:
         report = self.store.index(folder, full)
+        if full or sum(report.values()) >= 5:  # chains follow larger changes
+            self.store.build_chains()
         return self.spark.createDataFrame([(report["indexed"], report["removed"], report["failed"], sum(report.values()) >= 5)], "indexed long, removed long, failed long, rebuild boolean")
 
     def stats(self) -> DataFrame:
