@@ -18,29 +18,28 @@ def normalise(weights: DataFrame) -> DataFrame:
 
 
 def paired(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> DataFrame:
-    """Every two rows of one key, as structs a and b. Keys of over `block` rows are dealt in blocks, and every two blocks meet apart, so no task holds a hot key."""
+    """Every two rows of one key: their other columns as a_ and b_. Keys of over `block` rows are dealt in blocks, and every two blocks meet apart, so no task holds a hot key."""
+    others = [c for c in rows.columns if c != key]
+    side = lambda df, x, *more: df.select(key, *more, *[F.col(c).alias(f"{x}_{c}") for c in others])
     hot = rows.groupBy(key).agg(F.count("*").alias("_size")).filter(F.col("_size") > block)
-    a, b = (rows.select(key, F.struct(*rows.columns).alias(x)) for x in "ab")
     if not hot.limit(1).count():
-        return a.join(b, key).select("a", "b")
+        return side(rows, "a").join(side(rows, "b"), key).drop(key)
     dealt = rows.join(hot, key, "left").withColumn("_n", F.coalesce(F.ceil(F.col("_size") / block), F.lit(1)).cast("int")).withColumn("_block", F.pmod(F.xxhash64(item), "_n").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    whole = F.struct(*rows.columns)
-    a = dealt.select(key, whole.alias("a"), F.col("_block").alias("_i"), others.alias("_j"))
-    b = dealt.select(key, whole.alias("b"), F.col("_block").alias("_j"), others.alias("_i"))
-    return a.join(b, [key, "_i", "_j"]).select("a", "b")
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a, b = side(dealt, "a", F.col("_block").alias("_i"), every.alias("_j")), side(dealt, "b", F.col("_block").alias("_j"), every.alias("_i"))
+    return a.join(b, [key, "_i", "_j"]).drop(key, "_i", "_j")
 
 
 def call_flow_weights(calls: DataFrame, geometric: bool = True, fan_out_norm: bool = True, least_calls: int = 1) -> DataFrame:
     """Parts called together: damped counts, less for wide callers, more for asynchronous and less for conditional targets."""
     edges = calls.filter(F.col("call_count") >= least_calls).select("caller", "callee", "call_count", "is_async", "is_conditional")
     fans = edges.groupBy("caller").agg(F.count("*").alias("fan")).filter("fan >= 2")
-    both = paired(edges.join(fans, "caller"), "caller", "callee").filter("a.callee <> b.callee")
+    both = paired(edges.join(fans, "caller"), "caller", "callee").filter("a_callee <> b_callee")
     damp = lambda c: F.log(F.col(c) + F.lit(1.0))
-    w = F.sqrt(damp("a.call_count") * damp("b.call_count")) if geometric else F.least("a.call_count", "b.call_count").cast("double")
-    w = w / F.sqrt((F.col("a.fan") - 1).cast("double")) if fan_out_norm else w
-    w = w * F.when(F.col("b.is_async"), 1.1).otherwise(1.0) * F.when(F.col("b.is_conditional"), 0.8).otherwise(1.0)
-    return both.groupBy(F.col("a.callee").alias("from_id"), F.col("b.callee").alias("to_id")).agg(F.sum(w).alias("raw"))
+    w = F.sqrt(damp("a_call_count") * damp("b_call_count")) if geometric else F.least("a_call_count", "b_call_count").cast("double")
+    w = w / F.sqrt((F.col("a_fan") - 1).cast("double")) if fan_out_norm else w
+    w = w * F.when(F.col("b_is_async"), 1.1).otherwise(1.0) * F.when(F.col("b_is_conditional"), 0.8).otherwise(1.0)
+    return both.groupBy(F.col("a_callee").alias("from_id"), F.col("b_callee").alias("to_id")).agg(F.sum(w).alias("raw"))
 
 
 def inverse_document_frequency(occurrences: DataFrame) -> DataFrame:
@@ -53,10 +52,10 @@ def inverse_document_frequency(occurrences: DataFrame) -> DataFrame:
 def cooccurrence_weights(occurrences: DataFrame) -> DataFrame:
     """Symbols of one file: twice the weight within one class, damped for symbols of many files."""
     rated = occurrences.join(inverse_document_frequency(occurrences), "symbol").select("file", "symbol", "parent", "idf")
-    scope = F.when(F.col("a.parent") == F.col("b.parent"), 2.0).otherwise(1.0)
+    scope = F.when(F.col("a_parent") == F.col("b_parent"), 2.0).otherwise(1.0)
     # both directions at once, so that a filter on one state reaches the scan
-    both = paired(rated, "file", "symbol").filter("a.symbol <> b.symbol").groupBy(F.col("a.symbol").alias("from_id"), F.col("b.symbol").alias("to_id"))
-    return both.agg(F.sum(scope * F.sqrt(F.col("a.idf") * F.col("b.idf"))).alias("raw"))
+    both = paired(rated, "file", "symbol").filter("a_symbol <> b_symbol").groupBy(F.col("a_symbol").alias("from_id"), F.col("b_symbol").alias("to_id"))
+    return both.agg(F.sum(scope * F.sqrt(F.col("a_idf") * F.col("b_idf"))).alias("raw"))
 
 
 def type_affinity_weights(relations: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def type_affinity_weights(relations: DataFrame) -> DataFrame:
 def import_cluster_weights(imports: DataFrame, least_shared: int = 2) -> DataFrame:
     """Files that import the same sources, from least_shared on (C4)."""
     own = imports.select("file", "source").distinct()
-    both = paired(own, "source", "file").select(F.col("a.file").alias("from_id"), F.col("b.file").alias("to_id")).filter("from_id <> to_id")
+    both = paired(own, "source", "file").select(F.col("a_file").alias("from_id"), F.col("b_file").alias("to_id")).filter("from_id <> to_id")
     shared = both.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least_shared)
     return shared.select("from_id", "to_id", (F.col("n") * 0.5).alias("raw"))
 
