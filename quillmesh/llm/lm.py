@@ -33,7 +33,7 @@ END = b"\n"  # stands for the end of a text; no word holds white space
 HEAD, MODEL_WORDS, CLASSES, RARE, HIDDEN = 200_000, 4096, 64, 32, 32
 ROUNDS, STEPS, TRAIN_LANES, LEARN, CLIP = 1, 32, 128, 0.1, 1.0
 UPDATES, LEAST_LANES, SHARE_TOKENS = 400, 16, 3_000_000
-LANES, WINDOW, TOKENS_AT_ONCE = 256, 48, 1_500_000
+LANES, WINDOW, TOKENS_AT_ONCE = 128, 64, 1_500_000
 COUNTS_AT_ONCE = 500_000
 START, COLUMNS, SAFE = MODEL_WORDS + RARE, 1024, 40.0
 
@@ -96,26 +96,6 @@ def initial(v: Vocabulary, seed: int = 0) -> Weights:
     }
 
 
-def _step(inputs: np.ndarray, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The state after one token. inputs: rows of x with b; used up."""
-    h = HIDDEN
-    g = state @ u
-    gates, m = inputs[:, : 2 * h], inputs[:, 2 * h :]
-    gates += g[:, : 2 * h]
-    gates *= 0.5
-    np.tanh(gates, out=gates)
-    gates += 1
-    gates *= 0.5
-    inner = g[:, 2 * h :]
-    inner *= gates[:, h:]
-    m += inner
-    np.tanh(m, out=m)
-    out = state - m
-    out *= gates[:, :h]
-    out += m
-    return out
-
-
 def _log_prob(x: np.ndarray, at: np.ndarray, off: bool, safe: bool) -> np.ndarray:
     """The log softmax of each column at one row; x becomes the gradient of its negative if off is set, else it is used up. safe: no exponential of x overflows, or is lost in a whole column."""
     if not safe:
@@ -161,15 +141,15 @@ class Lanes:
         return int(np.searchsorted(-self.sizes, -step, side="left"))
 
 
-def _output(p: Weights, v: Vocabulary, state: np.ndarray, target: np.ndarray, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each target's class and word, and with grad the gradient to the states."""
+def _output(p: Weights, v: Vocabulary, states: np.ndarray, target: np.ndarray, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each target's class and word, and with grad the gradient to the states. states: a column for each target."""
     rare = target >= MODEL_WORDS
     word = np.where(rare, 0, target)
     cls = np.where(rare, CLASSES + target - MODEL_WORDS, v.word_class[word] if v.n_model else 0)
     order = np.argsort(cls.astype(np.uint8), kind="stable")  # 8 bits sort by radix
-    cls, target, across = cls[order], target[order], np.ascontiguousarray(state[order].T)
+    cls, target, across = cls[order], target[order], states[:, order]
     logp, back = np.empty(len(cls)), None if grad is None else np.empty_like(across)
-    small = bool(np.abs(state).max(initial=0) <= 1.001)
+    small = bool(np.abs(states).max(initial=0) <= 1.001)
     safe, safe_words = small and _is_safe(p["c"], 0), small and _is_safe(p["w"], 1)
     bias = (p["cb"] - p["cb"].max())[:, None]
     for i in range(0, len(cls), COLUMNS):  # a block that caches hold
@@ -199,100 +179,113 @@ def _output(p: Weights, v: Vocabulary, state: np.ndarray, target: np.ndarray, gr
     out = np.empty(len(logp))
     out[order] = logp
     if back is not None:
-        to = np.empty_like(state)
-        to[order] = back.T
+        to = np.empty_like(states)
+        to[:, order] = back
         back = to
     return out, back
 
 
+def _step(x: np.ndarray, state: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state after one token, a column for each lane, and the inner part of the candidate. x: inputs with biases; becomes the gates and the candidate. u: transposed."""
+    h = HIDDEN
+    g = u @ state
+    gates, m = x[: 2 * h], x[2 * h :]
+    gates += g[: 2 * h]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    m += gates[h:] * g[2 * h :]
+    np.tanh(m, out=m)
+    out = state - m
+    out *= gates[:h]
+    out += m
+    return out, g[2 * h :]
+
+
+def _columns_of(p: Weights, inputs: np.ndarray) -> np.ndarray:
+    """steps x gates x lanes: the inputs' rows of x with the biases."""
+    return np.ascontiguousarray((p["x"] + p["b"])[inputs].transpose(0, 2, 1))
+
+
 def log_likelihoods(p: Weights, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of the classes, and words of frequent classes, of each whole document."""
     out = np.zeros(len(docs))
     lay = Lanes(docs, LANES)
     steps, lanes = lay.target.shape
-    state = np.zeros((lanes, HIDDEN), np.float32)
-    table = p["x"] + p["b"]
+    state, u = np.zeros((HIDDEN, lanes), np.float32), np.ascontiguousarray(p["u"].T)
     for at in range(0, steps, WINDOW):
+        to, n = min(steps, at + WINDOW), lay.active(at)
+        x = _columns_of(p, lay.input[at:to, :n])
         states, targets, owners = [], [], []
-        for t in range(at, min(steps, at + WINDOW)):
+        for t in range(at, to):
             n = lay.active(t)
-            token = lay.input[t, :n]
-            own = state[:n]
-            own[token == START] = 0
-            own = _step(table[token], own, p["u"])
-            state[:n] = own
+            own = state[:, :n]
+            own[:, lay.input[t, :n] == START] = 0
+            own = _step(np.ascontiguousarray(x[t - at, :, :n]), own, u)[0]
+            state[:, :n] = own
             states.append(own)
             targets.append(lay.target[t, :n])
             owners.append(lay.owner[t, :n])
-        logp = _output(p, v, np.concatenate(states), np.concatenate(targets))[0]
+        logp = _output(p, v, np.concatenate(states, 1), np.concatenate(targets))[0]
         out += np.bincount(np.concatenate(owners), logp, len(docs))
     return out / np.log(10)
 
 
 def gradients(p: Weights, v: Vocabulary, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[float, Weights, np.ndarray, np.ndarray]:
-    """Of one window of steps x lanes: log likelihood, gradient of its negative, rows of x that it concerns, and the state after. live: which places hold tokens.
+    """Of one window of steps x lanes: log likelihood, gradient of its negative, rows of x that it concerns, and the state after. live: which places hold tokens; state: a column for each lane.
 
     The gradient of "x" has a row for each input id that occurs, those of the second last result. It stops at the window's first state.
     """
     steps, n = inputs.shape
     h, kind = HIDDEN, p["u"].dtype
-    x = p["x"][inputs]
-    x += p["b"]
-    start = inputs == START
-    before, after = np.empty((steps, n, h), kind), np.empty((steps, n, h), kind)
-    gates, inner, m = np.empty((steps, n, 2 * h), kind), np.empty((steps, n, h), kind), np.empty((steps, n, h), kind)
+    x, start, u = _columns_of(p, inputs), inputs == START, np.ascontiguousarray(p["u"].T)
+    before, after, inner = (np.empty((steps, h, n), kind) for _ in range(3))
     for t in range(steps):
-        own = before[t]
-        own[:] = state
-        own[start[t]] = 0
-        g = own @ p["u"]
-        inner[t] = g[:, 2 * h :]
-        zr = np.add(x[t, :, : 2 * h], g[:, : 2 * h], out=gates[t])
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
-        new = np.multiply(zr[:, h:], inner[t], out=m[t])
-        new += x[t, :, 2 * h :]
-        np.tanh(new, out=new)
-        state = np.subtract(own, new, out=after[t])
-        state *= zr[:, :h]
-        state += new
+        before[t] = state
+        before[t][:, start[t]] = 0
+        after[t], inner[t] = _step(x[t], before[t], u)  # x holds gates and candidates from here on
+        state = after[t]
     grad = {k: np.zeros_like(w) for k, w in p.items() if k not in ("x", "u", "b")}
-    back = np.zeros((steps, n, h), kind)
-    whole = bool(live.all())
-    logp, off = _output(p, v, after.reshape(-1, h) if whole else after[live], targets.reshape(-1) if whole else targets[live], grad)
-    if whole:
-        back[:] = off.reshape(steps, n, h)
-    else:
-        back[live] = off
-    carry = np.zeros((n, h), kind)
-    offs = np.empty((steps, n, 3 * h), kind)  # to the three gates' inputs
-    to_state = np.empty((steps, n, 3 * h), kind)
+    places = np.flatnonzero(live)
+    states = after.transpose(1, 0, 2).reshape(h, -1)
+    logp, off = _output(p, v, states if len(places) == steps * n else states[:, places], targets.reshape(-1)[places], grad)
+    back = off
+    if len(places) < steps * n:
+        back = np.zeros((h, steps * n), kind)
+        back[:, places] = off
+    back = back.reshape(h, steps, n)
+    carry = np.zeros((h, n), kind)
+    offs, to_state = np.empty((steps, 3 * h, n), kind), np.empty((steps, 3 * h, n), kind)
     for t in range(steps - 1, -1, -1):
-        z, r = gates[t, :, :h], gates[t, :, h:]
-        d = back[t]
-        d += carry
-        dm = (1 - z) * d
-        dm *= 1 - m[t] * m[t]
-        o = offs[t]
-        np.multiply(d * (before[t] - m[t]), z * (1 - z), out=o[:, :h])
-        np.multiply(dm * inner[t], r * (1 - r), out=o[:, h : 2 * h])
-        o[:, 2 * h :] = dm
-        s = to_state[t]
-        s[:, : 2 * h] = o[:, : 2 * h]
-        np.multiply(dm, r, out=s[:, 2 * h :])
-        carry = s @ p["u"].T
-        carry += d * z
-        carry[start[t]] = 0
-    flat = offs.reshape(-1, 3 * h)
-    grad["u"] = before.reshape(-1, h).T @ to_state.reshape(-1, 3 * h)
-    grad["b"] = flat.sum(0)
+        z, r, m, o, s = x[t, :h], x[t, h : 2 * h], x[t, 2 * h :], offs[t], to_state[t]
+        d = back[:, t] + carry
+        dm = 1 - m * m
+        dm *= d
+        zero = z * dm
+        dm -= zero  # (1 - z) d (1 - m^2)
+        one = before[t] - m
+        one *= d
+        one *= z
+        np.multiply(one, 1 - z, out=o[:h])
+        two = inner[t] * dm
+        two *= r
+        np.multiply(two, 1 - r, out=o[h : 2 * h])
+        o[2 * h :] = dm
+        s[: 2 * h] = o[: 2 * h]
+        np.multiply(dm, r, out=s[2 * h :])
+        carry = p["u"] @ s
+        d *= z
+        carry += d
+        carry[:, start[t]] = 0
+    grad["u"] = np.matmul(before, to_state.transpose(0, 2, 1)).sum(0)
+    flat = offs.transpose(0, 2, 1).reshape(-1, 3 * h)
     ids = inputs.reshape(-1).astype(np.uint16)  # 16 bits sort by radix
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     grad["x"] = np.add.reduceat(flat[order], first, axis=0)
+    grad["b"] = grad["x"].sum(0)
     return float(logp.sum()), grad, ids[first].astype(np.int64), after[-1]
 
 
@@ -303,13 +296,13 @@ def train(p: Weights, v: Vocabulary, docs: list[np.ndarray]) -> Weights:
     lanes = sum(map(len, docs)) // (STEPS * UPDATES)  # few tokens go in fewer lanes, so that there are updates enough
     lay = Lanes(docs, min(TRAIN_LANES, max(LEAST_LANES, lanes)))
     steps, lanes = lay.target.shape
-    state = np.zeros((lanes, HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, lanes), np.float32)
     for at in range(0, steps, STEPS):
         n = lay.active(at)
         to = min(steps, at + STEPS)
         live = np.arange(at, to)[:, None] < lay.sizes[:n]
-        _, grad, rows, after = gradients(p, v, lay.input[at:to, :n], lay.target[at:to, :n], live, state[:n])
-        state[:n] = after
+        _, grad, rows, after = gradients(p, v, lay.input[at:to, :n], lay.target[at:to, :n], live, state[:, :n])
+        state[:, :n] = after
         scale = np.float32(1 / max(1, n))
         for k, g in grad.items():
             to = rows if k == "x" else slice(None)

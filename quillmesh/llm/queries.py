@@ -76,5 +76,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash, op10_licenses)}
 
 
+#: op4 by brute force: windows of 100 bytes as 200 hex digits, all but the first of equal ones, their unions, and what is left.
+OP4_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM g) GROUP BY doc_id, span),
+k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY 1),
+o AS (SELECT d.doc_id, n, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans,
+  CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, spans + 1), lambda j: substring(h, 2 * CASE WHEN j = 0 THEN 0 ELSE ends[j] END + 1, 2 * (CASE WHEN j = spans THEN n ELSE starts[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE ends[j] END))), '') END AS kept
+  FROM d LEFT JOIN k USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the ten, only op4's answer can be had from SQL: the others hash, tokenize or train by what DuckDB lacks."""
+    return {"op4_suffix_dedup": OP4_SQL}

@@ -58,7 +58,7 @@ def test_probabilities_add_up_and_lanes_do_not_matter(monkeypatch):
     monkeypatch.setattr(lm, "START", 10 + lm.RARE)
     v = lm.Vocabulary(sorted(counts.items(), key=lambda r: (-r[1], r[0])), sum(counts.values()), len(counts), rare)
     p = lm.train(lm.initial(v), v, [v.encode(t)[1] for t in texts])
-    state = np.random.default_rng(0).standard_normal((1, lm.HIDDEN)).astype(np.float32)
+    state = np.random.default_rng(0).standard_normal((lm.HIDDEN, 1)).astype(np.float32)
     total = sum(np.exp(lm._output(p, v, state, np.array([t]))[0][0]) for t in range(10 + lm.RARE))
     assert total == pytest.approx(1, abs=1e-4)
     docs = [v.encode(t)[1] for t in texts]
@@ -83,7 +83,7 @@ def test_output_gradient():
     v = lm.Vocabulary(sorted(counts.items(), key=lambda r: (-r[1], r[0])), sum(counts.values()), len(counts), rare)
     r = np.random.default_rng(1)
     p = {k: (x + 0.1 * r.standard_normal(x.shape)).astype(np.float64) for k, x in lm.initial(v).items()}
-    state, target = r.standard_normal((6, lm.HIDDEN)), np.array([0, 1, 2, 3, lm.MODEL_WORDS + 2, 5])
+    state, target = r.standard_normal((lm.HIDDEN, 6)), np.array([0, 1, 2, 3, lm.MODEL_WORDS + 2, 5])
     grad = {k: np.zeros_like(x) for k, x in p.items()}
     _, back = lm._output(p, v, state, target, grad)
     for name, at in (("c", (3, 4)), ("cb", (7,)), ("w", (2, 1)), ("wb", (5,))):
@@ -92,8 +92,8 @@ def test_output_gradient():
         slope = (lm._output(p, v, state, target)[0].sum() - lm._output(moved, v, state, target)[0].sum()) / 1e-5
         assert slope == pytest.approx(grad[name][at], abs=1e-3)
     moved = state.copy()
-    moved[2, 3] += 1e-5
-    assert (lm._output(p, v, state, target)[0].sum() - lm._output(p, v, moved, target)[0].sum()) / 1e-5 == pytest.approx(back[2, 3], abs=1e-3)
+    moved[3, 2] += 1e-5
+    assert (lm._output(p, v, state, target)[0].sum() - lm._output(p, v, moved, target)[0].sum()) / 1e-5 == pytest.approx(back[3, 2], abs=1e-3)
 
 
 def test_recurrent_gradient():
@@ -107,7 +107,7 @@ def test_recurrent_gradient():
     inputs[2, 1], inputs[0, 2] = lm.START, 4
     live = np.ones((5, 3), bool)
     live[4, 2] = live[3, 2] = False
-    state = r.standard_normal((3, lm.HIDDEN))
+    state = r.standard_normal((lm.HIDDEN, 3))
     run = lambda q: lm.gradients(q, v, inputs, targets, live, state)
     _, grad, rows, _ = run(p)
     places = [("u", (2, 3)), ("u", (5, 40)), ("u", (1, 70)), ("b", (3,)), ("b", (35,)), ("b", (80,)), ("c", (3, 4)), ("w", (int(targets[0, 0]), 1))]
