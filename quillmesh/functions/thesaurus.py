@@ -14,6 +14,14 @@ ENTRIES = {
     "update": ("verb", ["edit", "modify", "change", "patch"]), "user": ("noun", ["account", "member", "customer"]), "error": ("noun", ["exception", "failure", "fault"]),
     "config": ("noun", ["settings", "options", "preferences"]), "auth": ("domain", ["login", "session", "token"]), "parse": ("verb", ["decode", "scan", "tokenize"]),
     "widget": ("noun", ["gadget", "component", "gear"]), "click": ("event", ["tap", "press"]), "red": ("adjective", ["crimson", "scarlet"]),
+    "save": ("verb", ["store", "persist", "write"]), "find": ("verb", ["search", "lookup", "query"]), "check": ("verb", ["verify", "validate", "assert"]), "start": ("verb", ["begin", "launch", "boot"]),
+    "stop": ("verb", ["end", "halt", "shutdown"]), "send": ("verb", ["emit", "publish", "dispatch"]), "receive": ("verb", ["consume", "accept", "subscribe"]), "show": ("verb", ["display", "render", "print"]),
+    "hide": ("verb", ["conceal", "collapse"]), "convert": ("verb", ["transform", "map", "cast"]), "merge": ("verb", ["combine", "join", "concat"]), "split": ("verb", ["divide", "partition", "chunk"]),
+    "sort": ("verb", ["order", "rank"]), "filter": ("verb", ["select", "exclude"]), "compute": ("verb", ["calculate", "evaluate"]), "copy": ("verb", ["clone", "duplicate"]), "compare": ("verb", ["diff", "equals"]),
+    "connect": ("verb", ["attach", "bind", "link"]), "handle": ("verb", ["process", "manage"]), "file": ("noun", ["document", "blob"]), "folder": ("noun", ["directory", "path"]), "list": ("noun", ["array", "collection"]),
+    "dictionary": ("noun", ["hash", "record", "object"]), "text": ("noun", ["string", "message"]), "image": ("noun", ["picture", "photo", "icon"]), "request": ("noun", ["call", "http"]), "response": ("noun", ["reply", "result"]),
+    "database": ("noun", ["db", "repository", "storage"]), "cache": ("noun", ["memo", "buffer"]), "event": ("noun", ["signal", "trigger"]), "callback": ("noun", ["handler", "listener", "hook"]), "test": ("noun", ["spec", "suite"]),
+    "helper": ("noun", ["util", "utility"]), "permission": ("domain", ["role", "access", "grant"]), "payment": ("domain", ["invoice", "billing", "charge"]), "queue": ("noun", ["job", "task", "worker"]),
 }
 SCHEMA = "canonical string, category string, term string, weight double, bidirectional boolean"
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or on a local master without that setting a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or "file:///tmp/checkpoints/quillmesh").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and written to spark.checkpoint.dir; on a local master without that setting, to a folder of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if base is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(base or "file:///tmp/checkpoints/quillmesh")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

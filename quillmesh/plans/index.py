@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions import render
+from quillmesh.functions.thesaurus import thesaurus
 from quillmesh.operators import aggregates, imports, lineage, lookups, markov, retrieval, search
-from quillmesh.plans.markov import CLUSTER, COOC, FLOW, TYPE, chains
+from quillmesh.plans.markov import CLUSTER, FLOW, IMPORTS, LEAST, PART, TYPE, WALK, chains, flow
 from quillmesh.plans.registry import query
 from quillmesh.plans.search import bm25_sql
 from quillmesh.sources import bindings as b
-from quillmesh.sources import ingest
-from quillmesh.sources.store import migrated, type_tables
+from quillmesh.sources import config_parser, ingest
+from quillmesh.sources.model import RELATIONS
+from quillmesh.sources.store import Store, migrated, type_tables
 from quillmesh.sources.ts_parser import TEST_CALLS
 from quillmesh.streaming import awareness, watch
 
@@ -311,3 +317,124 @@ def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_path"), F.col("c_custkey").alias("k"))
     changes = rows.select("file_path", _pick(["added", "changed", "removed"], "k").alias("change"))
     return watch.typed_events(changes, rows.filter("k % 10 = 0"))
+
+
+# --- the index at rest (M1, M3, M4, M5), and small functions over columns
+
+def _filled_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Brands as files, parts as their symbols and exports, in a store of its own."""
+    store = Store(spark, f"{lineage.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    part = b.table(spark, sf_dir, "part")
+    tables = {
+        "files": part.select(F.col("p_brand").alias("file_path"), F.lit("typescript").alias("language")).distinct(),
+        "symbols": part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("name")),
+        "exports": part.filter("p_size % 2 = 0").select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("export_name")),
+    }
+    store.save({n: _whole(spark, df, n) for n, df in tables.items()}, tables["files"].select("file_path"))
+    return store
+
+
+def _whole(spark: SparkSession, rows: DataFrame, relation: str) -> DataFrame:
+    return migrated(rows, spark.createDataFrame([], RELATIONS[relation]).schema)
+
+
+@query("m1_replaced_files", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_brand LIKE '%1' THEN 'new ' || p_name ELSE p_name END AS name FROM part WHERE p_brand NOT LIKE '%1' OR p_size % 3 = 0")
+def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M5: saving files again replaces all their rows, and no other file's."""
+    store = _filled_store(spark, sf_dir)
+    part = b.table(spark, sf_dir, "part").filter("p_brand like '%1'")
+    rows = part.filter("p_size % 3 = 0").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("file_path"), F.concat(F.lit("new "), "p_name").alias("name"))
+    store.save({"symbols": _whole(spark, rows, "symbols")}, part.select(F.col("p_brand").alias("file_path")))
+    return store.read("symbols").select("id", "name")
+
+
+@query("m3_deleted_files", """WITH p AS (SELECT * FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12')) SELECT 'files' AS relation, count(DISTINCT p_brand) AS n FROM p UNION ALL SELECT 'symbols', count(*) FROM p UNION ALL SELECT 'exports', count(*) FROM p WHERE p_size % 2 = 0 UNION ALL SELECT 'refs', 0""")
+def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: a file goes from every relation."""
+    store = _filled_store(spark, sf_dir)
+    store.delete(["Brand#11", "Brand#12"])
+    return _counts(store, ("files", "symbols", "exports", "refs"))
+
+
+@query("m4_cleared", "SELECT unnest(['files', 'symbols', 'exports', 'transitions']) AS relation, CAST(0 AS BIGINT) AS n")
+def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _filled_store(spark, sf_dir)
+    store.clear()
+    return _counts(store, ("files", "symbols", "exports", "transitions"))
+
+
+def _counts(store: Store, names: tuple[str, ...]) -> DataFrame:
+    out = None
+    for n in names:
+        one = store.read(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("relation"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("q18_test_blocks", "SELECT p_partkey AS id, 'it(() => {' || chr(10) || ' x(' || p_size || ')' || chr(10) || '})' AS block FROM part")
+def test_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block from its first line until its brackets are closed."""
+    block = F.pandas_udf(lambda texts: texts.map(lambda t: retrieval.block_of(t, 1)), "string")
+    text = F.concat(F.lit("a\nit(() => {\n x("), F.col("p_size").cast("string"), F.lit(")\n})\nmore()"))
+    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), block(text).alias("block"))
+
+
+@query("f14_values_at_paths", "SELECT p_partkey AS id, CAST(p_size AS VARCHAR) AS hit, CAST(NULL AS VARCHAR) AS miss FROM part")
+def values_at_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def at(path: str):
+        return F.pandas_udf(lambda texts: texts.map(lambda t: None if (v := config_parser.value_at(json.loads(t), path)) is None else str(v)), "string")
+
+    text = F.concat(F.lit('{"a": [{"b": 0}, {"b": '), F.col("p_size").cast("string"), F.lit("}]}"))
+    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), at("a[1].b")(text).alias("hit"), at("a[7].b")(text).alias("miss"))
+
+
+@query("g6_import_specifiers", """SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'a' || p_partkey || ', b as c' WHEN 1 THEN '* as ns' ELSE 'aaaaaaaaaaaaaaaaaaaaaaaa, bbbbbbbbbbbbbbbbbbbbb...' END AS text FROM part""")
+def import_specifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported names as written, cut at 50 characters."""
+    def text(rows):
+        sets = ([{"name": "a{k}", "alias": None, "is_namespace": False}, {"name": "b", "alias": "c", "is_namespace": False}], [{"name": "*", "alias": "ns", "is_namespace": True}], [{"name": "a" * 24, "alias": None, "is_namespace": False}, {"name": "b" * 60, "alias": None, "is_namespace": False}])
+        return rows.map(lambda r: render.specifiers(sets[int(r.split(":")[1])]).replace("{k}", r.split(":")[0]))
+
+    key = F.concat_ws(":", F.col("p_partkey").cast("string"), (F.col("p_size") % 3).cast("string"))
+    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.pandas_udf(text, "string")(key).alias("text"))
+
+
+CONFIG_FILES = [
+    ("package.json", True, "package.json"), ("tsconfig.base.json", True, "tsconfig"), ("data.json", False, "unknown"), (".eslintrc.yml", True, "eslint"), ("jest.config.json", True, "jest"), ("compose.yaml", True, "docker-compose"), ("webpack.config.js", True, "webpack"),
+    (".github/workflows/ci.yml", True, "github-actions"), ("notes.yaml", True, "unknown"), (".prettierrc", True, "prettier"), ("vite.config.ts", True, "vite"), (".babelrc", True, "babel"), ("pyproject.toml", True, "pyproject"), ("vitest.config.js", True, "vitest"), ("jsconfig.json", True, "tsconfig"),
+]
+
+
+@query("s10_config_types", f"SELECT p_partkey AS id, t.p AS path, t.o AS parsed, t.k AS config_type FROM part JOIN (VALUES {', '.join(f'({i}, {p!r}, {str(o).lower()}, {k!r})' for i, (p, o, k) in enumerate(CONFIG_FILES))}) AS t(i, p, o, k) ON t.i = p_size % {len(CONFIG_FILES)}")
+def config_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are configuration, and of what."""
+    rows = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _pick([p for p, _, _ in CONFIG_FILES], "p_size").alias("path"))
+    kind, ok = F.pandas_udf(lambda p: p.map(config_parser.config_type), "string"), F.pandas_udf(lambda p: p.map(config_parser.can_parse), "boolean")
+    return rows.select("id", "path", ok("path").alias("parsed"), kind("path").alias("config_type"))
+
+
+PAIRS = [("get", "load"), ("fetch", "get"), ("get", "remove"), ("red", "red"), ("tap", "press"), ("nothing", "nothing"), ("auth", "user")]
+
+
+@query("r12_synonym_pairs", f"SELECT * FROM (VALUES ('get', 'load', true), ('fetch', 'get', true), ('get', 'remove', false), ('red', 'red', true), ('tap', 'press', true), ('nothing', 'nothing', false), ('auth', 'user', false)) AS t(a, b, are_synonyms)")
+def synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share a canonical term."""
+    words, out = thesaurus(spark), None
+    for x, y in PAIRS:
+        one = search.synonyms(spark, words, x, y).select(F.lit(x).alias("a"), F.lit(y).alias("b"), "are_synonyms")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("c9_walk_by_name", f"WITH {WALK} SELECT state, round(score, 8) AS score, hops FROM walked")
+def walk_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first symbol of a name."""
+    symbols = b.symbols(spark, sf_dir)
+    name = symbols.filter(F.col("symbol_id") == PART).select("name").first()[0]
+    start = symbols.filter(F.col("name") == name).agg(F.min("symbol_id")).first()[0]
+    return markov.walk(flow(spark, sf_dir), start, least=LEAST).withColumn("score", F.round("score", 8))
+
+
+@query("x3_distinct_sources", f"WITH {IMPORTS} SELECT DISTINCT source FROM imps")
+def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.imports(spark, sf_dir).select("source").distinct()
