@@ -7,8 +7,10 @@ import difflib
 MOST_ROWS = 1000
 
 
-def _rows(df) -> list:
-    return df.limit(MOST_ROWS).collect()  # a report shows no more
+def _rows(df, most: int) -> tuple[list, list[str]]:
+    """At most so many rows, and a line that says so if there are more."""
+    rows = df.limit(most + 1).collect()
+    return rows[:most], [f"... only the first {most} rows are shown"] if len(rows) > most else []
 
 
 def shorten(text: str, most: int = 50) -> str:
@@ -21,34 +23,47 @@ def specifiers(names: list[dict]) -> str:
     return shorten(", ".join(map(one, names)))
 
 
-def tree(edges, root: str, external: set[str] = frozenset(), depth: int = 5) -> str:
-    """The tree below a root; a node that stands above itself is marked circular, an unresolved one external."""
+def tree(edges, root: str, external: set[str] = frozenset(), depth: int = 5, most: int = MOST_ROWS) -> str:
+    """The tree below a root; a node that stands above itself is marked circular, an unresolved one external (G3). Edges are read level by level, only those below the root."""
     children: dict[str, list[str]] = {}
-    for r in _rows(edges.select("src", "dst").distinct().orderBy("src", "dst")):
-        children.setdefault(r["src"], []).append(r["dst"])
+    front, n, note = [root], 0, []
+    for _ in range(depth + 1):
+        if not front:
+            break
+        rows, more = _rows(edges.filter(edges["src"].isin(front)).select("src", "dst").distinct().orderBy("src", "dst"), most)
+        for f in front:
+            children[f] = []
+        for r in rows:
+            children[r["src"]].append(r["dst"])
+        n, note = n + len(rows), note or more
+        front = sorted({r["dst"] for r in rows} - set(children))
+        if n > most or note:
+            note = note or [f"... only the first {n} edges are shown"]
+            break
     out = [root]
 
     def walk(node: str, above: tuple[str, ...]) -> None:
         for c in children.get(node, []) if len(above) <= depth else []:
-            note = " (circular)" if c in above else " [external]" if c in external else ""
-            out.append("  " * len(above) + c + note)
-            if not note:
+            mark = " (circular)" if c in above else " [external]" if c in external else ""
+            out.append("  " * len(above) + c + mark)
+            if not mark:
                 walk(c, (*above, c))
 
     walk(root, (root,))
-    return "\n".join(out)
+    return "\n".join(out + note)
 
 
-def hierarchy(levels, title: str) -> str:
+def hierarchy(levels, title: str, most: int = MOST_ROWS) -> str:
     """Nodes grouped by level."""
     out = [f"# {title}"]
     last = None
-    for r in _rows(levels.orderBy("depth", "node")):
+    rows, note = _rows(levels.orderBy("depth", "node"), most)
+    for r in rows:
         if r["depth"] != last:
             out.append(f"## Level {r['depth']}")
             last = r["depth"]
         out.append(f"- {r['node']}")
-    return "\n".join(out)
+    return "\n".join(out + note)
 
 
 def did_you_mean(name: str, known: list[str], most: int = 5) -> str:
@@ -57,10 +72,11 @@ def did_you_mean(name: str, known: list[str], most: int = 5) -> str:
     return f"{name} was not found." + (f" Did you mean {', '.join(close)}?" if close else "")
 
 
-def table(df, columns: list[str]) -> str:
+def table(df, columns: list[str], most: int = MOST_ROWS) -> str:
     """Tab-separated rows under a head line."""
     cell = lambda v: "" if v is None else str(v).replace("\t", "    ").replace("\r\n", "\\n").replace("\n", "\\n")
-    return "\n".join(["\t".join(columns), *("\t".join(cell(r[c]) for c in columns) for r in _rows(df.select(*columns)))])
+    rows, note = _rows(df.select(*columns), most)
+    return "\n".join(["\t".join(columns), *("\t".join(cell(r[c]) for c in columns) for r in rows), *note])
 
 
 def narrative(module: str, files: int, exports: list[str], topics: list[str]) -> str:

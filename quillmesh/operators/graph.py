@@ -37,12 +37,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """cycle: every simple cycle of up to `longest` nodes, as its nodes from the least one on, joined by arrows.
+def trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges less those that can't be on a cycle, as nothing leads to their start or away from their end, in some rounds."""
+    for _ in range(rounds):
+        edges = edges.join(edges.select(F.col("dst").alias("src")), "src", "left_semi").join(edges.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return edges
 
-    A path grows only over nodes greater than its first, so every cycle is found once, in one rotation.
+
+def simple_cycles(edges: DataFrame, longest: int, roots: DataFrame | None = None, depth: int = 10) -> DataFrame:
+    """cycle: every simple cycle of up to `longest` nodes, as its nodes from the least one on, joined by arrows; with roots, of nodes within `depth` levels of them.
+
+    A path grows only over nodes greater than its first, so every cycle is found once, in one rotation; nodes that can't be on a cycle go first.
     """
     e = edges.filter("src is not null and dst is not null").select("src", "dst").distinct()
+    if roots is not None:
+        near = reachable(e, roots, depth).select("node")
+        e = e.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    e = cut(trimmed(e))
     paths = e.filter("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     found = e.filter("src = dst").select(F.array("src").alias("path"))
     for size in range(2, longest + 1):

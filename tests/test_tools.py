@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import quillmesh
-from quillmesh.operators import imports, markov, search
+from quillmesh.functions import render
+from quillmesh.operators import graph, imports, markov, search
 from quillmesh.sources import ingest
 from quillmesh.sources.store import Store
 from quillmesh.streaming import awareness
@@ -145,3 +146,13 @@ def test_registry_and_exports():
     assert r is ingest.registry() and r.languages() == ["config", "javascript", "python", "typescript"] and r.by_language("python") is not None and r.by_language("cobol") is None
     assert r.can_parse("a/b.py") and r.can_parse("package.json") and not r.can_parse("data.json") and not r.can_parse("x.md")
     assert set(quillmesh.__all__) <= set(dir(quillmesh))
+
+
+def test_reports_say_what_they_leave_out(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("x", "y")], "src string, dst string")
+    assert render.tree(edges, "a") == "a\n  b\n    c\n      a (circular)\n  d"
+    assert render.tree(edges, "a", external={"d"}, depth=1) == "a\n  b\n  d [external]"
+    assert "only the first" in render.tree(edges, "a", most=1) and "only the first 2 rows" in render.table(edges, ["src"], most=2)
+    assert {r["cycle"] for r in graph.simple_cycles(edges.union(spark.createDataFrame([("y", "x")], edges.schema)), 4).collect()} == {"a -> b -> c", "x -> y"}
+    root = spark.createDataFrame([("b",)], "node string")
+    assert [r["cycle"] for r in graph.simple_cycles(edges.union(spark.createDataFrame([("y", "x")], edges.schema)), 4, root).collect()] == ["a -> b -> c"]
