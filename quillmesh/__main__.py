@@ -1,19 +1,59 @@
-"""python -m quillmesh index|query|stats|watch STORE ...."""
+"""python -m quillmesh index|query|serve|stats|watch STORE ..., or init FOLDER."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
-from quillmesh.sources.store import Store, find_config
+from quillmesh.sources.ingest import EXCLUDE, INCLUDE
+from quillmesh.sources.store import Store, find_config, validated
+from quillmesh.streaming import awareness
 from quillmesh.tools import Tools
 
 TOOLS = ("search_symbols", "get_function", "get_class", "list_functions", "list_files", "find_references", "trace_calls", "trace_types", "get_module_dependencies", "suggest_related", "get_related_context", "get_architecture_overview")
 
 
+def serve(tools: Tools, lines, write) -> None:
+    """Answer calls, a JSON object on each line: {"tool": ..., "input": {...}} -> {"rows": [...], "state": ...}. A repeated call is answered from the cache until the index is synchronised."""
+    session, cache = awareness.Session(), {}
+    for line in lines:
+        if not line.strip():
+            continue
+        try:
+            call = json.loads(line)
+            tool, given = call["tool"], call.get("input") or {}
+            if tool not in (*TOOLS, "sync_index"):
+                raise ValueError(f"there is no tool {tool}")
+            key = awareness.canonical_key(tool, given)
+            state = session.call(tool, awareness.target_of(tool, given), tool == "sync_index", key)
+            if tool == "sync_index":
+                cache.clear()
+            if state == "finalize":
+                answer = {"state": state, "rows": []}  # not executed, not cached
+            else:
+                rows = cache[key] if key in cache else [json.loads(r) for r in getattr(tools, tool)(**given).toJSON().toLocalIterator()]
+                if tool != "sync_index":
+                    cache[key] = rows
+                answer = {"state": state, "rows": rows}
+        except Exception as e:  # noqa: BLE001  a failed call must not end the service
+            answer = {"error": f"{type(e).__name__}: {e}"}
+        write(json.dumps(answer, default=str) + "\n")
+
+
+def init(folder: str) -> str:
+    """A project configuration with the defaults, unless there is one."""
+    path = os.path.join(folder, "quillmesh.config.json")
+    if not os.path.exists(path):
+        with open(path, "w") as f:
+            json.dump(validated({}) | {"include": list(INCLUDE), "exclude": list(EXCLUDE)}, f, indent=2)
+    return path
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quillmesh")
     sub = p.add_subparsers(dest="command", required=True)
@@ -29,7 +69,12 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("tool", choices=TOOLS)
     q.add_argument("name", nargs="?")
     sub.add_parser("stats").add_argument("store")
+    sub.add_parser("serve").add_argument("store")
+    sub.add_parser("init").add_argument("folder")
     a = p.parse_args(argv)
+    if a.command == "init":
+        print(init(a.folder))
+        return
     spark = SparkSession.builder.appName("quillmesh").getOrCreate()
     store = Store(spark, a.store)
     if a.command in ("index", "watch"):
@@ -44,6 +89,9 @@ def main(argv: list[str] | None = None) -> None:
             n += 1
     else:
         tools = Tools(store)
+        if a.command == "serve":
+            serve(tools, sys.stdin, lambda text: print(text, end="", flush=True))
+            return
         rows = tools.stats() if a.command == "stats" else getattr(tools, a.tool)(*([a.name] if a.name else []))
         for r in rows.toJSON().toLocalIterator():
             print(r)

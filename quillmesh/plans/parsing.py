@@ -330,6 +330,15 @@ source_query("s7i_python_calls", ".py", "calls", "caller_name callee_name call_c
         return self.other{k}()
 """, [("Box{k}.run{k}", "helper{k}", 2), ("Box{k}.run{k}", "other{k}", 1)])
 
+source_query("s7_python_errors", ".py", "symbols", "name line_start", """def good{k}(a):
+    return a
+
+def bad{k}(a:
+    return a
+
+LIMIT{k} = {s}
+""", [("good{k}", 1), ("LIMIT{k}", 7)], about="What has no error in its syntax is kept")
+
 _PACKAGE = '{\n  "name": "pkg{k}",\n  "scripts": {\n    "build": "make {s}"\n  },\n  "files": ["a", {s}],\n  "private": true\n}\n'
 source_query("s8_json_entries", "/package.json", "config_entries", "path value_type value depth parent_path line_number config_type description", _PACKAGE, [
     ("name", "string", "pkg{k}", 0, None, 2, "package.json", "Package name"), ("scripts", "object", '{"build": "make {s}"}', 0, None, 3, "package.json", "NPM scripts"), ("scripts.build", "string", "make {s}", 1, "scripts", 4, "package.json", None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from quillmesh.sources.model import collapse, parameter, symbol
 
@@ -116,10 +117,48 @@ class _File:
         return [{"file_path": self.path, "export_name": n, "is_default": False, "is_re_export": False, "re_export_source": None} for n in dict.fromkeys(names)]
 
 
+REPAIRS = 50
+
+
+def mended(content: str) -> str | None:
+    """The source without what has errors in its syntax, on the same lines: the innermost definition around each error becomes `pass`, or else its line goes. None if that doesn't help."""
+    lines = content.split("\n")
+    indent = lambda x: len(x) - len(x.lstrip())
+    for _ in range(REPAIRS):
+        try:
+            ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            at = min(max(0, (e.lineno or 1) - 1), len(lines) - 1)
+            while at and not lines[at].strip():
+                at -= 1
+            first, own = at, indent(lines[at])
+            while first >= 0 and not (re.match(r"\s*(async\s+def|def|class)\b", lines[first]) and (first == at or indent(lines[first]) < own)):
+                first -= 1
+            if first < 0:
+                first, last = at, at + 1
+            else:
+                last = first + 1
+                while last < len(lines) and (not lines[last].strip() or indent(lines[last]) > indent(lines[first])):
+                    last += 1
+                last = max(last, at + 1)
+            lines[first:last] = [" " * indent(lines[first]) + "pass"] + [""] * (last - first - 1)
+            continue
+        return "\n".join(lines)
+    return None
+
+
 def parse(path: str, content: str) -> dict[str, list[dict]]:
-    """Rows by relation; a file with an error in its syntax has none."""
+    """Rows by relation. Definitions with errors in their syntax are left out; a file in which nothing else is left has no rows."""
     try:
-        f = _File(path, content)
+        try:
+            f = _File(path, content)
+        except SyntaxError:
+            whole = mended(content)
+            if whole is None:
+                return {}
+            f = _File(path, whole)
+            if not f.tree.body or all(isinstance(x, ast.Pass) for x in f.tree.body):
+                return {}
     except (SyntaxError, ValueError, RecursionError):
         return {}
     for s in f.tree.body:

@@ -74,19 +74,21 @@ class Session:
     def __init__(self, total: int = 0, novel: int = 0, pairs: list[str] = (), cached: list[str] = (), ended: list[str] = ()):
         self.total, self.novel, self.pairs, self.cached, self.ended = total, novel, set(pairs), set(cached), set(ended)
 
-    def call(self, tool: str, target: str | None, is_sync: bool) -> str:
-        key = f"{tool}|{target or ''}"
+    def call(self, tool: str, target: str | None, is_sync: bool, key: str | None = None) -> str:
+        """key: what the cache knows the call by, if that is more than tool and target."""
+        pair = f"{tool}|{target or ''}"
+        key = key or pair
         if is_sync:
             self.cached, self.ended = set(), set()
-            self.pairs.add(key)
+            self.pairs.add(pair)
             return "sync"
         if key in self.cached:
             return "cache_hit"
         if key in self.ended:
             return "finalize"
         self.total += 1
-        if key not in self.pairs:
-            self.pairs.add(key)
+        if pair not in self.pairs:
+            self.pairs.add(pair)
             self.novel += target is not None
         if self.total > MOST_TOTAL or self.novel > MOST_NOVEL:
             self.ended.add(key)

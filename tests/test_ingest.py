@@ -89,7 +89,14 @@ def test_python():
     assert calls["Base.run", "helper"]["is_async"] and calls["Base.run", "helper"]["is_conditional"] and not calls["Base.run", "compute"]["is_conditional"]
     assert [e["export_name"] for e in o["exports"]] == ["LIMIT", "Base", "gen"]
     assert [e["export_name"] for e in python_parser.parse("m.py", "__all__ = ['b']\na = 1")["exports"]] == ["b"]
-    assert python_parser.parse("m.py", "def (") == {}
+    assert python_parser.parse("m.py", "def (") == {} and python_parser.parse("m.py", "") != {}
+
+
+def test_python_keeps_what_has_no_error():
+    broken = "import os\n\ndef good(a):\n    return other(a)\n\ndef bad(a:\n    return a\n\nclass Box:\n    def fine(self):\n        return 1\n\n    def worse(self):\n        return (1 +\n\nx = = 3\nLIMIT = 2\n"
+    o = python_parser.parse("m.py", broken)
+    assert {(s["name"], s["line_start"]) for s in o["symbols"]} == {("good", 3), ("Box", 9), ("fine", 10), ("LIMIT", 17)}
+    assert [i["import_source"] for i in o["imports"]] == ["os"] and [(c["caller_name"], c["callee_name"]) for c in o["calls"]] == [("good", "other")]
 
 
 @pytest.mark.parametrize("path,text", [("tsconfig.json", '{"compilerOptions": {"strict": true, "lib": ["a", {"b": null}]}}'), ("c.yaml", "compilerOptions:\n  strict: true\n  lib:\n    - a\n    - b: null\n"), ("c.toml", '[compilerOptions]\nstrict = true\nlib = ["a", {b = 1}]\n')])

@@ -1,13 +1,16 @@
 """The tool surface and the index at rest, over a small project."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 import quillmesh
+from quillmesh.__main__ import init, serve
 from quillmesh.functions import render
 from quillmesh.operators import graph, imports, markov, search
 from quillmesh.sources import ingest
-from quillmesh.sources.store import Store
+from quillmesh.sources.store import Store, find_config
 from quillmesh.streaming import awareness
 from quillmesh.tools import FOCUS, Tools
 
@@ -156,3 +159,13 @@ def test_reports_say_what_they_leave_out(spark):
     assert {r["cycle"] for r in graph.simple_cycles(edges.union(spark.createDataFrame([("y", "x")], edges.schema)), 4).collect()} == {"a -> b -> c", "x -> y"}
     root = spark.createDataFrame([("b",)], "node string")
     assert [r["cycle"] for r in graph.simple_cycles(edges.union(spark.createDataFrame([("y", "x")], edges.schema)), 4, root).collect()] == ["a -> b -> c"]
+
+
+def test_service_and_init(tools, tmp_path):
+    out, ask = [], lambda tool, **given: json.dumps({"tool": tool, "input": given})
+    calls = [ask("get_function", name="load"), ask("get_function", name="load"), "not json", ask("nothing"), "", ask("list_files", size=2), *[ask("get_class", name=f"C{i}", methods_only=bool(i % 2)) for i in range(2)]]
+    serve(tools, calls, lambda text: out.append(json.loads(text)))
+    assert [o.get("state", "error") for o in out] == ["explore", "cache_hit", "error", "error", "explore", "explore", "explore"]
+    assert out[0]["rows"] == out[1]["rows"] and out[0]["rows"][0]["name"] == "load" and len(out[4]["rows"]) == 2
+    path = init(str(tmp_path))
+    assert find_config(str(tmp_path))["exclude"] == list(ingest.EXCLUDE) and init(str(tmp_path)) == path
