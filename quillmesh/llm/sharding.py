@@ -1,6 +1,6 @@
 """Sharding by minimax contiguous partition.
 
-Groups of equal texts are atomic and stand in the order of a 64-bit hash of the text. The smallest capacity that
+Groups of equal texts are atomic and stand in the order of the first 64 bits of the text's MD5. The smallest capacity that
 lets a greedy scan cut the order into `n_shards` runs is found by binary search, and the cuts are those of the scan at
 that capacity. The scan runs on the driver over sums of ranges of the hash, at most a few hundred thousand of them; ranges in
 which a cut may still fall are split finer, and the search repeats, until the capacity and every cut are
@@ -139,12 +139,12 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, text_hash, shard, slot for every row of docs."""
+    """doc_id, size, text_crc32, text_hash, shard, slot (the rank of the id in the shard) for every row of docs."""
     scratch = Scratch(spark, "sharding")
     binary = body(text).cast("binary")
     rows = scratch.write(docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body(text)) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(binary).alias("text_crc32"), F.xxhash64(body(text)).alias("text_hash"),
+        F.crc32(binary).alias("text_crc32"), F.conv(F.substring(F.md5(binary), 1, 16), 16, -10).cast("long").alias("text_hash"),
     ), "rows")
 
     def sums(bits: int, parents: set[int] | None, parent_bits: int) -> list:
@@ -164,8 +164,10 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40, do
         for b in batches:
             yield b.assign(part=part, local=rank_in(b["shard"].to_numpy(), seen))
 
-    # doc_id keeps its nulls as it travels as a string of digits or none
-    plain = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    # ranges of shard and id, so that a slot is the rank of the id in its shard, and a hot shard is spread; doc_id keeps its nulls as it travels as a string or none
+    order_in = ["shard", "doc_id", "text_hash"]
+    ranges = dealt.repartitionByRange(*order_in).sortWithinPartitions(*order_in)
+    plain = ranges.withColumn("doc_id", F.col("doc_id").cast("string"))
     schema["doc_id"].dataType = T.StringType()
     numbered = scratch.write(plain.mapInPandas(number, schema), "numbered")
     from pyspark.sql import Window

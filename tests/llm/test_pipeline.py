@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -141,3 +142,15 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path, case):
         assert [k for k, _ in kept] == ["1", "2", "4", "7", "None"], kept
     packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == len(kept) and "sequence_id" in packed.columns
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, folder, name):
+    path = folder[0]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    got = queries.queries()[name](spark, path)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(found.fetchall())
