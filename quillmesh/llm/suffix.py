@@ -36,7 +36,7 @@ from quillmesh.llm.common import Scratch, body, integer_ids, tune
 
 LENGTH, K, STEP = 100, 32, 25
 CHUNK, SHARD_BYTES, MERGE_BYTES, HOT = 1 << 19, 14 << 10, 56 << 10, 4096
-LEAST_BITS, MOST_BITS = 20, 30
+LEAST_BITS, MOST_BITS, NUMBER_ROWS = 20, 30, 2048
 PLACE = 24  # bits of a key that hold the place in a chunk
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -342,24 +342,42 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of MET sorted by anchor, hash and place: intervals for all but the first of equal segments, marks for those with others at their anchor."""
     anchor, hashed, lone, first = None, None, None, None
     for b in batches:
-        out = []
-        for route, a, h, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if a is None:
-                out.append((*at, None))
-            elif (a, h) == (anchor, hashed):
-                if at[:3] != first:  # else a repeated row of the same document
-                    out.append((*at, None))
-            else:
-                marked = (*at, _mark(a, h, at[1], at[2]))
-                if a != anchor and route == a:
-                    lone = marked  # needs no comparison as long as it is the only one
+        if not b.num_rows:
+            continue
+        bare = b.column(1).is_null().to_numpy(zero_copy_only=False)
+        out = [pa.RecordBatch.from_arrays([*b.filter(pa.array(bare)).columns[3:], pa.nulls(int(bare.sum()), pa.int64())], schema=JUDGED)]
+        b = b.filter(pa.array(~bare))
+        if b.num_rows:
+            route, a, h, d, v, s, e = (c.to_numpy() for c in (c.fill_null(0) for c in b.columns))
+            same = np.r_[(a[0], h[0]) == (anchor, hashed), (a[1:] == a[:-1]) & (h[1:] == h[:-1])]
+            new = np.flatnonzero(~same)
+            group = np.cumsum(~same) - 1  # -1: goes on with the segment of the batch before
+            lead = np.array([first] if first else [(0, 0, 0)] * 1, np.int64)
+            firsts = np.concatenate([lead, np.stack([d[new], v[new].astype(np.int64), s[new]], 1)])
+            own = firsts[group + 1]
+            later = same & ((d != own[:, 0]) | (v != own[:, 1]) | (s != own[:, 2]))  # else a repeated row of the same document
+            keep = later.copy()
+            marks = np.zeros(len(a), np.int64)
+            extra = []
+            for i in new.tolist():
+                at = (int(d[i]), int(v[i]), int(s[i]), int(e[i]))
+                mark = _mark(int(a[i]), int(h[i]), at[1], at[2])
+                if a[i] != anchor and route[i] == a[i]:
+                    lone = (*at, mark)  # needs no comparison as long as it is the only one
                 else:
-                    if lone and a == anchor:
-                        out.append(lone)
+                    if lone and a[i] == anchor:
+                        extra.append(lone)
                     lone = None
-                    out.append(marked)
-                anchor, hashed, first = a, h, at[:3]
-        yield _table_of(out, JUDGED)
+                    keep[i], marks[i] = True, mark
+                anchor = a[i]
+            hashed = h[-1] if len(new) else hashed
+            first = tuple(own[-1].tolist())
+            some = np.flatnonzero(keep)
+            mark = pa.array(marks[some], mask=later[some])
+            out.append(pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(v[some].astype(np.int32)), pa.array(s[some]), pa.array(e[some]), mark], schema=JUDGED))
+            if extra:
+                out.append(_table_of(extra, JUDGED))
+        yield from out
 
 
 def _fetch(shared, marks, bits: int):
@@ -452,6 +470,7 @@ def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, ho
     shared = spark.sparkContext.broadcast((_bitmap(repeated, "anchor", bits), bits, _bitmap(busy, "anchor", busy_bits), busy_bits))
     scratch.drop("anchors")
     intervals, marks, mark_bits = [], None, 0
+    tune(spark, NUMBER_ROWS)  # rows of numbers are many and small; texts stay bounded by bytes
     if by_name:
         met = texts.mapInArrow(_meet(shared), _ddl(MET)).repartition("route").sortWithinPartitions("anchor", "hash", "id", "version", "start")
         judged = scratch.write(met.mapInArrow(_judge, _ddl(JUDGED)), "judged")
@@ -467,6 +486,7 @@ def removed_intervals(spark: SparkSession, docs: DataFrame, scratch: Scratch, ho
         later = windows.join(first, "w").filter(F.struct("id", "version", "start") != F.col("first"))
         intervals.append(scratch.write(later.select("id", "version", "start", (F.col("start") + LENGTH).alias("end")), "later"))
         fetched = fetched.filter("not hot")
+    tune(spark)
     merged = fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_tasks, _ddl(INTERVALS))
     return [*intervals, scratch.write(merged, "merged")]
 
