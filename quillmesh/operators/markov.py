@@ -17,12 +17,17 @@ def normalise(weights: DataFrame) -> DataFrame:
     return weights.withColumn("total", total).filter("total > 0").select("from_id", "to_id", "raw", (F.col("raw") / F.col("total")).alias("prob"))
 
 
-def paired(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> DataFrame:
-    """Every two rows of one key: their other columns as a_ and b_. Keys of over `block` rows are dealt in blocks, and every two blocks meet apart, so no task holds a hot key."""
+def hot_keys(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame | None:
+    """key, _size of keys with over `block` rows, or None if there is none."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("_size")).filter(F.col("_size") > block)
+    return hot if hot.limit(1).count() else None
+
+
+def paired(rows: DataFrame, key: str, item: str, hot: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """Every two rows of one key: their other columns as a_ and b_. Hot keys are dealt in blocks, and every two blocks meet apart, so no task holds a hot key."""
     others = [c for c in rows.columns if c != key]
     side = lambda df, x, *more: df.select(key, *more, *[F.col(c).alias(f"{x}_{c}") for c in others])
-    hot = rows.groupBy(key).agg(F.count("*").alias("_size")).filter(F.col("_size") > block)
-    if not hot.limit(1).count():
+    if hot is None:
         return side(rows, "a").join(side(rows, "b"), key).drop(key)
     dealt = rows.join(hot, key, "left").withColumn("_n", F.coalesce(F.ceil(F.col("_size") / block), F.lit(1)).cast("int")).withColumn("_block", F.pmod(F.xxhash64(item), "_n").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
@@ -33,8 +38,12 @@ def paired(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> DataFram
 def call_flow_weights(calls: DataFrame, geometric: bool = True, fan_out_norm: bool = True, least_calls: int = 1) -> DataFrame:
     """Parts called together: damped counts, less for wide callers, more for asynchronous and less for conditional targets."""
     edges = calls.filter(F.col("call_count") >= least_calls).select("caller", "callee", "call_count", "is_async", "is_conditional")
-    fans = edges.groupBy("caller").agg(F.count("*").alias("fan")).filter("fan >= 2")
-    both = paired(edges.join(fans, "caller"), "caller", "callee").filter("a_callee <> b_callee")
+    hot = hot_keys(edges, "caller")
+    if hot is None:  # then a window of a caller is small, and the join that follows needs no further shuffle
+        rated = edges.withColumn("fan", F.count("*").over(Window.partitionBy("caller")))
+    else:
+        rated = edges.join(edges.groupBy("caller").agg(F.count("*").alias("fan")), "caller")
+    both = paired(rated.filter("fan >= 2"), "caller", "callee", hot).filter("a_callee <> b_callee")
     damp = lambda c: F.log(F.col(c) + F.lit(1.0))
     w = F.sqrt(damp("a_call_count") * damp("b_call_count")) if geometric else F.least("a_call_count", "b_call_count").cast("double")
     w = w / F.sqrt((F.col("a_fan") - 1).cast("double")) if fan_out_norm else w
@@ -54,7 +63,7 @@ def cooccurrence_weights(occurrences: DataFrame) -> DataFrame:
     rated = occurrences.join(inverse_document_frequency(occurrences), "symbol").select("file", "symbol", "parent", "idf")
     scope = F.when(F.col("a_parent") == F.col("b_parent"), 2.0).otherwise(1.0)
     # both directions at once, so that a filter on one state reaches the scan
-    both = paired(rated, "file", "symbol").filter("a_symbol <> b_symbol").groupBy(F.col("a_symbol").alias("from_id"), F.col("b_symbol").alias("to_id"))
+    both = paired(rated, "file", "symbol", hot_keys(occurrences, "file")).filter("a_symbol <> b_symbol").groupBy(F.col("a_symbol").alias("from_id"), F.col("b_symbol").alias("to_id"))
     return both.agg(F.sum(scope * F.sqrt(F.col("a_idf") * F.col("b_idf"))).alias("raw"))
 
 
@@ -68,7 +77,7 @@ def type_affinity_weights(relations: DataFrame) -> DataFrame:
 def import_cluster_weights(imports: DataFrame, least_shared: int = 2) -> DataFrame:
     """Files that import the same sources, from least_shared on (C4)."""
     own = imports.select("file", "source").distinct()
-    both = paired(own, "source", "file").select(F.col("a_file").alias("from_id"), F.col("b_file").alias("to_id")).filter("from_id <> to_id")
+    both = paired(own, "source", "file", hot_keys(own, "source")).select(F.col("a_file").alias("from_id"), F.col("b_file").alias("to_id")).filter("from_id <> to_id")
     shared = both.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least_shared)
     return shared.select("from_id", "to_id", (F.col("n") * 0.5).alias("raw"))
 

@@ -218,7 +218,9 @@ def fuzzy(rows: DataFrame, key: str, fields: list[str], pattern: str, threshold:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [min((e for f in fields if (e := edits(r[f] or "")) is not None), default=None) for _, r in b.iterrows()]
+            texts = [b[f].fillna("") for f in fields]
+            known = {t: edits(t) for column in texts for t in column.unique()}  # a text that stands in several rows is matched once
+            found = [min((e for t in row if (e := known[t]) is not None), default=None) for row in zip(*texts, strict=True)]
             out = pd.DataFrame({key: b[key], "score": [None if e is None else 1 - e / max(1, len(pattern)) for e in found]})
             yield out[out["score"].notna()]
 

@@ -9,7 +9,7 @@ from quillmesh.operators import graph
 from quillmesh.operators import retrieval as r
 from quillmesh.plans.graph import LAYERS, bfs_sql
 from quillmesh.plans.markov import ALL, EVERY, chains
-from quillmesh.operators.markov import paired
+from quillmesh.operators.markov import hot_keys, paired
 from quillmesh.plans.registry import query
 from quillmesh.sources import bindings as b
 
@@ -146,4 +146,4 @@ def redistributed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def same_order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs i < j of one key (J10); keys of many rows are dealt in blocks."""
     d = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
-    return paired(d, "o", "s").select(F.col("a_s").alias("x"), F.col("b_s").alias("y")).filter("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    return paired(d, "o", "s", hot_keys(d, "o")).select(F.col("a_s").alias("x"), F.col("b_s").alias("y")).filter("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))

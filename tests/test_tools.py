@@ -131,7 +131,7 @@ def test_index_file_and_older_schemas(spark, tools, tmp_path):
 
 def test_pairs_in_blocks_are_all_pairs(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(40)] + [("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
-    plain, blocks = (sorted((r["x"], r["y"]) for r in markov.paired(rows, "k", "v", block).select(F.col("a_v").alias("x"), F.col("b_v").alias("y")).collect()) for block in (100, 7))
+    plain, blocks = (sorted((r["x"], r["y"]) for r in markov.paired(rows, "k", "v", markov.hot_keys(rows, "k", block), block).select(F.col("a_v").alias("x"), F.col("b_v").alias("y")).collect()) for block in (100, 7))
     assert plain == blocks and len(plain) == 1600 + 4 + 1
 
 
@@ -169,3 +169,13 @@ def test_service_and_init(tools, tmp_path):
     assert out[0]["rows"] == out[1]["rows"] and out[0]["rows"][0]["name"] == "load" and len(out[4]["rows"]) == 2
     path = init(str(tmp_path))
     assert find_config(str(tmp_path))["exclude"] == list(ingest.EXCLUDE) and init(str(tmp_path)) == path
+
+
+def test_call_flow_is_the_same_with_hot_callers(spark, monkeypatch):
+    rows = [(c, t, 1 + (c + t) % 3, t % 2 == 0, t % 3 == 0) for c in range(4) for t in range(3 + 9 * (c == 0))]
+    calls = spark.createDataFrame(rows, "caller int, callee int, call_count long, is_async boolean, is_conditional boolean")
+    real, out = markov.hot_keys, []
+    for block in (4096, 5):
+        monkeypatch.setattr(markov, "hot_keys", lambda df, key, block=block: real(df, key, block))
+        out.append(sorted((r["from_id"], r["to_id"], round(r["raw"], 9)) for r in markov.call_flow_weights(calls).collect()))
+    assert out[0] == out[1] and len(out[0]) == 12 * 11
