@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import decontam, licenses, lm, media, packing, pii, quality, sharding, simhash, suffix
+from quillmesh.llm import centroids, decontam, licenses, lm, media, packing, pii, quality, sharding, simhash, suffix
 from quillmesh.llm.common import fold
 
 N_SHARDS = 40
@@ -72,8 +72,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark, _table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_digest().alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash, op10_licenses, op11_centroids)}
 
 
 #: op4 by brute force: windows of 100 bytes as 200 hex digits, all but the first of equal ones, their unions, and what is left.
@@ -115,6 +120,21 @@ sh AS (SELECT g, CAST(sum(new) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, g) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM c JOIN sh USING (g)"""
 
 
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """op11 by all distances in every round."""
+    steps = [f"""q AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT k - 1 AS c, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) AS k FROM q) WHERE k <= {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, (n).c AS c, (n).d AS d FROM (SELECT r, any_value(vec_id) AS vec_id, any_value(q.v) AS v, min({{'d': d, 'c': c}}) AS n
+FROM (SELECT r, vec_id, q.v, c, list_sum(list_transform(list_zip(q.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM q, c{i} AS m) AS q GROUP BY r))""")
+        steps.append(f"""s{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m, v) AS v FROM c{i} LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS m FROM s{i} GROUP BY c) USING (c))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS m USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of the ten, op3's and op4's answers can be had from SQL: the others hash, tokenize or train by what DuckDB lacks."""
-    return {"op3_sharding": OP3_SQL, "op4_suffix_dedup": OP4_SQL}
+    """What SQL can answer: the other operators hash, tokenize or train by what DuckDB lacks."""
+    return {"op3_sharding": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op11_centroids": _op11_sql()}
