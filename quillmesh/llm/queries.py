@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import centroids, chats, decontam, licenses, lm, media, packing, pii, quality, sharding, simhash, suffix
+from quillmesh.llm import centroids, chats, decontam, licenses, lm, media, packing, pii, quality, sharding, simhash, suffix, tries
 from quillmesh.llm.common import fold
 
 N_SHARDS = 40
@@ -84,8 +84,12 @@ def op12_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.read_back(chats.format_chats(spark, turns))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.branched_trie(spark, _table(spark, sf_dir, "conversations")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash, op10_licenses, op11_centroids, op12_chats)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_sharding, op4_suffix_dedup, op5_language_model, op6_packing, op7_pii, op8_media, op9_simhash, op10_licenses, op11_centroids, op12_chats, op13_prefix_trie)}
 
 
 #: op4 by brute force: windows of 100 bytes as 200 hex digits, all but the first of equal ones, their unions, and what is left.
@@ -153,6 +157,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id"""
 
 
+#: op13: nodes by digests of all that was said up to them, subtrees by the paths of the smallest members of their nodes.
+OP13_SQL = """WITH crc_table AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+c AS MATERIALIZED (SELECT c, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT))), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crc_table),
+o AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT c.c, pos, role, text FROM c JOIN o ON o.c = c.c - c.c % 100 AND pos < h UNION ALL SELECT c.c, pos, role, text FROM c JOIN o ON o.c = c.c AND pos >= h),
+p AS MATERIALIZED (SELECT c, 0 AS depth, '' AS k, 0 AS chars FROM c
+  UNION ALL SELECT c, row_number() OVER w, md5(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER w), len(text) FROM b WINDOW w AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT c, max(depth) AS depth FROM p GROUP BY c),
+n AS MATERIALIZED (SELECT k, any_value(p.depth) AS depth, min(p.c) AS c, count(*) AS n, any_value(chars) AS chars, count(*) FILTER (p.depth = e.depth) AS ends, coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (p.depth = e.depth), '') AS ids FROM p JOIN e USING (c) GROUP BY k),
+above AS (SELECT p.k, n.k AS below, n.depth - p.depth AS apart, (n.n - 1) * n.chars AS saved, n.n = n.ends AS leaf FROM n JOIN p ON p.c = n.c AND p.depth <= n.depth),
+up AS (SELECT below, k FROM above WHERE apart = 1),
+s AS (SELECT k, count(*) FILTER (apart = 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM above GROUP BY k)
+SELECT n.c AS conv_id, CAST(n.depth AS BIGINT) AS depth, m.c AS parent_conv_id, n.n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN up ON up.below = n.k LEFT JOIN n AS m ON m.k = up.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can answer: the other operators hash, tokenize or train by what DuckDB lacks."""
-    return {"op3_sharding": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op11_centroids": _op11_sql(), "op12_chats": OP12_SQL}
+    return {"op3_sharding": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op11_centroids": _op11_sql(), "op12_chats": OP12_SQL, "op13_prefix_trie": OP13_SQL}
