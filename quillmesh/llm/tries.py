@@ -31,6 +31,8 @@ from quillmesh.llm.common import Scratch, as_batch, columns, integer_ids, tune
 MOST_NODES = 1 << 17
 RUN = 1 << 10
 FAN_IN = 32
+#: Shares of the paths through a node.
+SALTS = 64
 ROOT = bytes(16)
 
 
@@ -163,7 +165,10 @@ def rolled_up(nodes: DataFrame, walked: DataFrame) -> DataFrame:
     """depth, conv_id, n_convs, parent_conv_id, n_children, n_leaves and saved_tokens of each node, from nodes and the paths through them."""
     about = nodes.select("key", F.col("conv_id").alias("owner"), "n_convs", ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"), (F.col("n_convs") == F.col("n_ends")).cast("long").alias("leaf"))
     mine = F.col("owner") == F.col("conv_id")
-    steps = walked.select("conv_id", "depth", "key").join(about, "key").withColumn("mine", mine.cast("long"))
+    # a node on very many paths: its facts go to SALTS shares of them first, then each share meets its own copy
+    dealt = walked.select("conv_id", "depth", "key", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).alias("salt"))
+    facts = dealt.select("key", "salt").distinct().join(about, "key")
+    steps = dealt.join(facts, ["key", "salt"]).withColumn("mine", mine.cast("long"))
     path = Window.partitionBy("conv_id").orderBy("depth")
     below = Window.partitionBy("conv_id").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.select(
