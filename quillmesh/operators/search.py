@@ -22,10 +22,6 @@ def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
 
 
-def document_lengths(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    return rows.select(key, F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)).cast("long").alias("dl"))
-
-
 def bm25(rows: DataFrame, key: str, text: Column, prefixes: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """key, score of rows with a token that begins with some prefix; a prefix counts as one phrase.
 
@@ -103,12 +99,21 @@ def match(rows: DataFrame, key: str, columns: dict[str, float], query: str) -> D
     return counted.filter(hit).join(F.broadcast(stats)).select(key, score.alias("score"))  # stats: one row
 
 
-def by_name(rows: DataFrame, key: str, columns: dict[str, float], query: str, terms: list[tuple[str, float, str]], limit: int = 20) -> DataFrame:
-    """A search's best rows, more than asked for, scored anew by synonyms and cut to the limit (R16). rows: key, name, signature."""
-    some = match(rows, key, columns, query).orderBy(F.desc(F.round("score", 9)), key).limit(max(2 * limit, 50))
+def by_name(rows: DataFrame, key: str, columns: dict[str, float], query: str, terms: list[tuple[str, float, str]], limit: int = 20, hits: DataFrame | None = None) -> DataFrame:
+    """A search's best rows, more than asked for, scored anew by synonyms and cut to the limit (R16). rows: key, name, signature.
+
+    hits: key and score of what an inverted index found, of which rows are kept; else the rows themselves are searched.
+    """
+    found = match(rows, key, columns, query) if hits is None else hits.join(rows.select(key), key, "left_semi")
+    some = found.orderBy(F.desc(F.round("score", 9)), key).limit(over_fetch(limit))
     return rerank(some.join(rows, key), terms).orderBy(F.desc(F.round("combined", 9)), key).limit(limit)
 
 
+def over_fetch(limit: int) -> int:
+    """How many hits are scored anew for so many rows of an answer."""
+    return max(2 * limit, 50)
+
+
 def query_terms(query: str) -> list[str]:
     """Lower case first, then words of two letters and more."""
     return [t for t in query.lower().replace("_", " ").replace("-", " ").split() if len(t) > 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillmesh.operators.postings import LENGTHS, POSTINGS, TERMS
+
 FILES = "file_path string, relative_path string, language string, checksum string, last_modified timestamp, summary string, line_count int, file_size bigint, parse_status string"
 SYMBOLS = (
     "id string, file_path string, name string, fully_qualified_name string, kind string, signature string, language string, line_start int, line_end int, local_name string, parent_function string, parent_class string, nesting_depth int, "
@@ -17,10 +19,13 @@ TRANSITIONS = "chain string, from_id string, from_name string, to_id string, to_
 CHAINS = "chain_id string, chain string, total_states bigint, total_transitions bigint, updated_at timestamp"
 #: Tables that aren't replaced by file.
 DERIVED = {"transitions": TRANSITIONS, "chains": CHAINS}
+#: Relations whose rows are found by their words, and the columns that are searched.
+SEARCHED = {"symbols": ("name", "fully_qualified_name", "signature"), "config_entries": ("path", "value")}
 RELATIONS = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "calls": CALLS, "type_rels": TYPE_RELS, "imports": IMPORTS, "exports": EXPORTS, "config_entries": CONFIG}
 #: Column that names the file a row comes from.
-OWNER = {n: "referencing_file" if n == "refs" else "file_path" for n in RELATIONS}
-RELATIONS_AND_DERIVED = RELATIONS | DERIVED
+OWNER = {n: "referencing_file" if n == "refs" else "file_path" for n in RELATIONS} | {f"{n}_{part}": "file_path" for n in SEARCHED for part in ("postings", "lengths")}
+POSTED = {f"{n}_{part}": schema for n in SEARCHED for part, schema in (("postings", POSTINGS), ("terms", TERMS), ("lengths", LENGTHS))}
+RELATIONS_AND_DERIVED = RELATIONS | DERIVED | POSTED
 
 #: Language by file ending.
 LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".pyi": "python", ".json": "config", ".yaml": "config", ".yml": "config", ".toml": "config"}

@@ -5,24 +5,37 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scalars import parse_types_of
-from quillmesh.operators import markov
+from quillmesh.operators import markov, postings
 from quillmesh.operators.imports import resolve
+from quillmesh.operators.search import parse_match
 from quillmesh.sources import ingest
-from quillmesh.sources.model import OWNER, RELATIONS, RELATIONS_AND_DERIVED
+from quillmesh.sources.model import OWNER, RELATIONS, RELATIONS_AND_DERIVED, SEARCHED
+
+
+class Conflict(OSError):
+    """Another writer has committed since this one read the index."""
 
 
 class Store:
-    """A folder with one Parquet table for each relation; a small manifest names the versions in use.
+    """A folder of Parquet tables that are merged as they are read; small numbered manifests name what each version of the index consists of.
 
-    An update writes new versions beside the old ones and then swaps the manifest, so a reader sees either state and a failed job leaves the old one.
+    A table is a list of segments. An update writes the new rows as further segments and the replaced files as a deletion, so what it writes
+    follows the update and not the index; rows whose file was deleted after their segment was written are left out on reading. Segments are
+    compacted when there are many. A commit renames a manifest to the next number, which fails if another writer was first. Old manifests
+    and their files stay for a time, so a reader that has begun still finishes.
     """
 
+    #: Segments of a table from which on a commit compacts it; seconds that files outlive the version that last named them.
+    MOST_SEGMENTS = 8
+    KEEP_S = 3600
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -30,61 +43,189 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def manifest(self) -> dict[str, str]:
-        """Table versions by name: the last manifest that was written whole."""
+    def versions(self) -> list[int]:
+        """Numbers of the manifests there are, in order; the last is the present one."""
         fs, p = self._fs(self.root)
-        if not fs.exists(p):
-            return {}
-        numbers = [int(m[1]) for f in fs.listStatus(p) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))]
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/manifest-{max(numbers)}.json").first()[0]) if numbers else {}
-
-    def read(self, name: str) -> DataFrame:
-        """A table in the present schema; columns that an older version didn't have are null."""
-        at = self.manifest().get(name)
-        empty = self.spark.createDataFrame([], RELATIONS_AND_DERIVED[name])
-        return migrated(self.spark.read.parquet(f"{self.root}/{at}"), empty.schema) if at else empty
-
-    def migrate(self) -> list[str]:
-        """Rewrite the tables whose stored schema is older; their names."""
-        old = [n for n, at in self.manifest().items() if self.spark.read.parquet(f"{self.root}/{at}").columns != self.read(n).columns]
-        if old:
-            self._commit({n: self.read(n) for n in old})
-        return old
-
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        old, new = self.manifest(), {}
-        for name, df in tables.items():
-            new[name] = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{new[name]}")
-        fs, folder = self._fs(self.root)
-        taken = [int(m[1]) for f in fs.listStatus(folder) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))]
-        # written under another name and renamed, so that a crash leaves the manifest before
+        return sorted(int(m[1]) for f in fs.listStatus(p) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))) if fs.exists(p) else []
+
+    def manifest(self, version: int | None = None) -> dict:
+        """version; tables: segments by name as path, number of the version that wrote it, bytes; deletions: the same and the tables' names."""
+        version = version or max(self.versions(), default=0)
+        if not version:
+            return {"version": 0, "tables": {}, "deletions": []}
+        found = json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/manifest-{version}.json").first()[0])
+        if "tables" not in found:  # as written before tables had segments
+            found = {"tables": {n: [[at, 0, 0]] for n, at in found.items()}, "deletions": []}
+        return found | {"version": version}
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table in the present schema; columns that an older segment didn't have are null."""
+        held = self.manifest(version)
+        return self._merged(name, held["tables"].get(name, []), held["deletions"])
+
+    def _merged(self, name: str, segments: list, deletions: list) -> DataFrame:
+        schema = self.spark.createDataFrame([], RELATIONS_AND_DERIVED[name]).schema
+        first, out = min((s[1] for s in segments), default=0), None
+        later = [at for at, number, _, names in deletions if number > first and name in names]
+        for at, number, _ in segments:
+            rows = migrated(self.spark.read.parquet(f"{self.root}/{at}"), schema)
+            rows = rows.withColumn("_written", F.lit(number)) if later else rows
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return self.spark.createDataFrame([], schema)
+        if not later:
+            return out
+        gone = self.spark.read.parquet(*[f"{self.root}/{at}" for at in later]).groupBy(F.col("file_path").alias("_gone")).agg(F.max("number").alias("_number"))
+        return out.join(gone, (F.col(OWNER[name]) == F.col("_gone")) & (F.col("_written") < F.col("_number")), "left_anti").drop("_written")
+
+    def _write(self, df: DataFrame, name: str, number: int) -> list:
+        at = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{at}")
+        fs, p = self._fs(f"{self.root}/{at}")
+        return [at, number, fs.getContentSummary(p).getLength()]
+
+    def _put(self, base: dict, tables: dict[str, list], deletions: list) -> None:
+        """Commit as the version after base. The manifest is written under another name and renamed, so that a crash leaves the one before."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        half, whole = path(f"{self.root}/_manifest-{uuid.uuid4().hex}"), path(f"{self.root}/manifest-{max(taken, default=0) + 1}.json")
+        fs, _ = self._fs(self.root)
+        half, whole = path(f"{self.root}/_manifest-{uuid.uuid4().hex}"), path(f"{self.root}/manifest-{base['version'] + 1}.json")
         out = fs.create(half, True)
-        out.write(bytearray(json.dumps(old | new).encode()))
+        out.write(bytearray(json.dumps({"tables": tables, "deletions": deletions}).encode()))
         out.close()
-        if not fs.rename(half, whole):
-            raise OSError(f"{whole.toString()} could not be written")
-        for n in taken:
-            fs.delete(path(f"{self.root}/manifest-{n}.json"), False)
-        for name in new:
-            if name in old:
-                fs.delete(path(f"{self.root}/{old[name]}"), True)
+        if fs.exists(whole) or not fs.rename(half, whole):
+            fs.delete(half, False)
+            raise Conflict(f"{whole.toString()} was written by another")
+
+    def _commit(self, tables: dict[str, DataFrame]) -> None:
+        """Replace whole tables."""
+        base = self.manifest()
+        new = {n: [self._write(df, n, base["version"] + 1)] for n, df in tables.items()}
+        self._put(base, base["tables"] | new, [[*d[:3], [n for n in d[3] if n not in new]] for d in base["deletions"]])
 
     def save(self, tables: dict[str, DataFrame], replaced: DataFrame) -> None:
-        """Rows of the replaced files go, the tables' rows come (M1, M3, M5). replaced: file_path."""
-        gone = replaced.select("file_path").distinct()
-        kept = {n: self.read(n).join(gone.withColumnRenamed("file_path", OWNER[n]), OWNER[n], "left_anti").select(*df.columns).unionByName(df) for n, df in tables.items()}
-        self._commit(kept)
+        """Rows of the replaced files go from the tables that are given, and these tables' rows come (M1, M3, M5). replaced: file_path."""
+        base = self.manifest()
+        number, searched = base["version"] + 1, [n for n in SEARCHED if n in tables]
+        new = {n: self._write(df, n, number) for n, df in tables.items()}
+        for n in searched:
+            new |= self._post(n, self.spark.read.schema(RELATIONS[n]).parquet(f"{self.root}/{new[n][0]}"), number)
+        self._append(base, new, replaced)
+
+    def _post(self, name: str, rows: DataFrame, number: int) -> dict[str, list]:
+        """Segments of the inverted index of a searched relation's rows."""
+        columns = list(SEARCHED[name])
+        placed = self._write(postings.laid_out(postings.build(rows, "id", columns)), f"{name}_postings", number)
+        stored = self.spark.read.schema(postings.POSTINGS).parquet(f"{self.root}/{placed[0]}")
+        terms, lengths = postings.dictionary(stored, len(columns)), postings.lengths(rows, columns)
+        return {f"{name}_postings": placed, f"{name}_terms": self._write(terms, f"{name}_terms", number), f"{name}_lengths": self._write(lengths, f"{name}_lengths", number)}
+
+    def _append(self, base: dict, new: dict[str, list], replaced: DataFrame, names: list[str] | None = None) -> None:
+        number = base["version"] + 1
+        names = [n for n in (new if names is None else names) if n in OWNER and base["tables"].get(n)]
+        deletions = base["deletions"]
+        if names:
+            deletions = [*deletions, [*self._write(replaced.select("file_path").distinct().withColumn("number", F.lit(number)), "deletions", number), names]]
+        self._put(base, base["tables"] | {n: [*base["tables"].get(n, []), s] for n, s in new.items()}, deletions)
+        if any(len(s) > self.MOST_SEGMENTS for s in self.manifest()["tables"].values()) or len(deletions) > self.MOST_SEGMENTS:
+            self.compact()
 
     def delete(self, paths: list[str]) -> None:
-        """Files and all that belongs to them (M3)."""
-        self.save({n: self.spark.createDataFrame([], RELATIONS[n]) for n in RELATIONS}, self.spark.createDataFrame([(p,) for p in paths], "file_path string"))
+        """Files and all that belongs to them (M3): one deletion, no rows."""
+        self._append(self.manifest(), {}, self.spark.createDataFrame([(p,) for p in paths], "file_path string"), list(OWNER))
 
     def clear(self) -> None:
         """Everything (M4)."""
-        self._commit({n: self.spark.createDataFrame([], s) for n, s in RELATIONS_AND_DERIVED.items()})
+        self._put(self.manifest(), {}, [])
+
+    def compact(self, full: bool = False) -> None:
+        """Merge small segments, without deleted rows; with full, all of each table. A segment that is larger than all smaller ones together waits.
+
+        Postings, their dictionary and their lengths are merged in the same places, so the dictionary counts what is left.
+        """
+        base = self.manifest()
+        number, tables, done = base["version"] + 1, dict(base["tables"]), set()
+        for name in [*[n for n in tables if n in OWNER and not n.endswith(("_postings", "_lengths"))], *[f"{n}_postings" for n in SEARCHED if f"{n}_postings" in tables]]:
+            few = tables[name] if full else _small(tables[name])
+            if len(few) < (1 if full else 2) or (not full and len(tables[name]) <= self.MOST_SEGMENTS):
+                continue
+            written = {s[1] for s in few}
+            rest = lambda n: [s for s in tables[n] if s[1] not in written]  # noqa: B023, E731
+            merged = lambda n: self._merged(n, [s for s in base["tables"][n] if s[1] in written], base["deletions"])  # noqa: B023, E731
+            if name.endswith("_postings"):
+                relation = name.removesuffix("_postings")
+                placed = self._write(postings.laid_out(merged(name)), name, number)
+                stored = self.spark.read.schema(postings.POSTINGS).parquet(f"{self.root}/{placed[0]}")
+                fresh = {name: placed, f"{relation}_terms": self._write(postings.dictionary(stored, len(SEARCHED[relation])), f"{relation}_terms", number), f"{relation}_lengths": self._write(merged(f"{relation}_lengths"), f"{relation}_lengths", number)}
+            else:
+                fresh = {name: self._write(merged(name).repartitionByRange(OWNER[name]).sortWithinPartitions(OWNER[name]), name, number)}
+            tables |= {n: [*rest(n), s] for n, s in fresh.items()}
+            done |= set(fresh)
+        open_to = lambda d: [n for n in d[3] if any(s[1] < d[1] for s in tables.get(n, []))]
+        deletions = [[*d[:3], names] for d in base["deletions"] if (names := open_to(d))]
+        for names in {tuple(d[3]) for d in deletions} if len(deletions) > self.MOST_SEGMENTS else ():
+            same = [d for d in deletions if tuple(d[3]) == names]
+            if len(same) > 1:
+                rows = self.spark.read.parquet(*[f"{self.root}/{d[0]}" for d in same]).groupBy("file_path").agg(F.max("number").alias("number"))
+                one = [*self._write(rows, "deletions", number), list(names)]
+                one[1] = max(d[1] for d in same)
+                deletions = [d for d in deletions if d not in same] + [one]
+                done.add("deletions")
+        if done:
+            self._put(base, tables, deletions)
+        self.vacuum()
+
+    def vacuum(self, keep_s: float | None = None) -> int:
+        """Delete manifests that were replaced over keep_s seconds ago, and files that no manifest names and that are as old; how many of these."""
+        keep = self.KEEP_S if keep_s is None else keep_s
+        path, before = self.spark._jvm.org.apache.hadoop.fs.Path, (time.time() - keep) * 1000
+        fs, folder = self._fs(self.root)
+        numbers, when = self.versions(), {}
+        for n in numbers:
+            when[n] = fs.getFileStatus(path(f"{self.root}/manifest-{n}.json")).getModificationTime()
+        old = [n for n, following in zip(numbers, numbers[1:], strict=False) if when[following] < before]
+        for n in old:
+            fs.delete(path(f"{self.root}/manifest-{n}.json"), False)
+        used = {s[0] for n in numbers if n not in old for held in [self.manifest(n)] for s in [*[s for table in held["tables"].values() for s in table], *held["deletions"]]}
+        lost = 0
+        for table in fs.listStatus(folder):
+            for at in fs.listStatus(table.getPath()) if table.isDirectory() else ():
+                name = f"{table.getPath().getName()}/{at.getPath().getName()}"
+                if name not in used and at.getModificationTime() < before:
+                    fs.delete(at.getPath(), True)
+                    lost += 1
+        return lost
+
+    def migrate(self) -> list[str]:
+        """Rewrite the tables that have a segment of an older schema; their names."""
+        held = self.manifest()
+        old = [n for n, segments in held["tables"].items() if any(self.spark.read.parquet(f"{self.root}/{s[0]}").columns != self.read(n).columns for s in segments)]
+        if old:
+            self._commit({n: self.read(n) for n in old})
+        return old
+
+    def search(self, name: str, query: str, weights: tuple[float | None, ...] | None = None, k: int | None = None) -> DataFrame:
+        """id, score of rows of a searched relation that a full-text query matches, by its inverted index; the best k if asked."""
+        held = self.manifest()
+        if not held["tables"].get(f"{name}_postings") and held["tables"].get(name):  # written before there was an inverted index
+            new = self._post(name, self.read(name), held["version"] + 1)
+            self._put(held, held["tables"] | {n: [s] for n, s in new.items()}, held["deletions"])
+            held = self.manifest()
+        table = lambda part: self._merged(f"{name}_{part}", held["tables"].get(f"{name}_{part}", []), held["deletions"])
+        weights = list(weights or [1.0] * len(SEARCHED[name]))
+        if k is None:
+            return postings.search(table("postings"), table("lengths"), weights, query)
+        exact = not any(f"{name}_postings" in d[3] for d in held["deletions"])
+        return postings.best(table("postings"), table("terms"), table("lengths"), weights, query, k, exact)
+
+    def search_config(self, query: str, scope: str = "both", k: int = 20) -> DataFrame:
+        """The best k configuration entries by keys, values or both; a query without a word is sought as it stands, at a score of 1."""
+        entries = self.read("config_entries")
+        if not parse_match(query):
+            fields = {"keys": ["path"], "values": ["value"], "both": ["path", "value"]}[scope]
+            hits = entries.filter(F.greatest(*[F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(query.lower())) for f in fields], F.lit(False))).withColumn("score", F.lit(1.0))
+        else:
+            hits = entries.join(self.search("config_entries", query, {"keys": (1.0, None), "values": (None, 1.0), "both": (1.0, 1.0)}[scope], k), "id")
+        return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
     def index(self, folder: str, full: bool = False, keep_missing: bool = False, **scan) -> dict[str, int]:
         """Index what has changed in the folder, drop what is gone, and tell how much (M10-M12). keep_missing: deletions are not looked for."""
@@ -151,7 +292,7 @@ class Store:
 
     def chains(self) -> DataFrame:
         """The stored transitions; they are built at first use."""
-        if not self.manifest().get("transitions"):
+        if not self.manifest()["tables"].get("transitions"):
             self.build_chains()
         return self.read("transitions")
 
@@ -164,6 +305,17 @@ class Store:
         return type_tables(self.read("symbols"))
 
 
+def _small(segments: list) -> list:
+    """The segments worth merging: from the smallest on, as long as one isn't larger than all before it together."""
+    out, total = [], 0
+    for s in sorted(segments, key=lambda s: s[2]):
+        if len(out) > 1 and s[2] > total:
+            break
+        out.append(s)
+        total += s[2]
+    return out
+
+
 def migrated(table: DataFrame, schema) -> DataFrame:
     return table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 

@@ -42,10 +42,11 @@ class Tools:
         words = search.query_terms(query) or [query.lower()]
         asked = self.spark.createDataFrame([(query, w) for w in words], "query string, word string")
         terms = [(t["term"], t["weight"], t["source"]) for t in search.expand_terms(asked, thesaurus(self.spark)).collect()] if expand_synonyms else [(w, 1.0, "original") for w in words]  # at most MOST_TERMS
-        columns = {"name": 1.0, "fully_qualified_name": 1.0, "signature": 1.0}
         rows = symbols.select("id", "name", "kind", "signature", "file_path", "line_start", "fully_qualified_name")
         text = query if not expand_synonyms or re.search(r'[*"]|\sOR\s', query) else " OR ".join([query, *(f'"{t}"*' for t, _, s in terms if s != "original")])
-        hits = search.by_name(rows, "id", columns, text if text != query else query, terms, limit)
+        # without a filter the index itself finds the best; with one, all its hits are filtered first
+        found = self.store.search("symbols", text, k=search.over_fetch(limit) if kind in (None, "all") and language is None else None)
+        hits = search.by_name(rows, "id", {}, text, terms, limit, found)
         if not hits.limit(1).count():
             close = search.fuzzy(symbols, "id", ["name"], query)
             hits = search.rerank(close.join(rows, "id"), terms).orderBy(F.desc(F.round("combined", 9)), "id").limit(limit)
