@@ -67,10 +67,15 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]]
     return imports.join(found, ["file", "source"], "left").withColumn("kind", classify(F.col("source")))
 
 
+def relaxed(content: str) -> str:
+    """JSON without the comments and the commas at ends that compiler configurations may have."""
+    text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", content, flags=re.S)
+    return re.sub(r",(\s*[}\]])", r"\1", text)
+
+
 def load_tsconfig(content: str) -> tuple[list[tuple[str, list[str]]], str | None]:
     """Path aliases, in order, and the base URL of a compiler configuration; comments and commas at ends do no harm."""
-    text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", content, flags=re.S)
-    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", text)).get("compilerOptions", {})
+    options = json.loads(relaxed(content)).get("compilerOptions", {})
     return [(k, list(v)) for k, v in options.get("paths", {}).items()], options.get("baseUrl")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.scalars import parse_types_of
 from quillmesh.operators import markov, postings
-from quillmesh.operators.imports import resolve
+from quillmesh.operators.imports import resolve, resolve_aliases
 from quillmesh.operators.search import parse_match
 from quillmesh.sources import ingest
 from quillmesh.sources.model import OWNER, RELATIONS, RELATIONS_AND_DERIVED, SEARCHED
@@ -227,10 +227,16 @@ class Store:
             hits = entries.join(self.search("config_entries", query, {"keys": (1.0, None), "values": (None, 1.0), "both": (1.0, 1.0)}[scope], k), "id")
         return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
-    def index(self, folder: str, full: bool = False, keep_missing: bool = False, **scan) -> dict[str, int]:
-        """Index what has changed in the folder, drop what is gone, and tell how much (M10-M12). keep_missing: deletions are not looked for."""
-        scanned = ingest.scan(self.spark, folder, **scan)
+    def index(self, folder: str, full: bool = False, keep_missing: bool = False, paths: list[str] | None = None, **scan) -> dict[str, int]:
+        """Index what has changed in the folder, drop what is gone, and tell how much (M10-M12). keep_missing: deletions are not looked for.
+
+        paths: only these files; those that are no more go. Files that could not be read or parsed are among the indexed, and have their status.
+        """
         stored = self.read("files")
+        if paths is not None:
+            named = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
+            stored = stored.join(named, "file_path", "left_semi")
+        scanned = ingest.scan(self.spark, folder, only=paths, **scan)
         todo = scanned if full else ingest.changed(scanned, stored)
         todo, records = todo.repartition(max(1, min(10_000, todo.count() // 50 + 1)), "file_path").persist(), None
         try:
@@ -247,13 +253,36 @@ class Store:
             if records is not None:
                 records.unpersist()
 
+    def failed(self) -> DataFrame:
+        """Files that could not be parsed or were too large, with their status."""
+        return self.read("files").filter("parse_status <> 'complete'").select("file_path", "parse_status").orderBy("file_path")
+
     def resolved_calls(self) -> DataFrame:
         """Call edges with the least id of a symbol of the callee's name (M7)."""
         names = self.read("symbols").groupBy(F.col("local_name").alias("callee_name")).agg(F.min("id").alias("callee_symbol_id"))
         return self.read("calls").join(names, "callee_name", "left")
 
+    def aliases(self) -> tuple[list[tuple[str, list[str]]], str | None]:
+        """Path aliases and base folder of the compiler configuration with the shortest path, as its stored entries tell."""
+        held = self.read("config_entries").filter((F.col("config_type") == "tsconfig") & F.col("path").isin("compilerOptions.paths", "compilerOptions.baseUrl"))
+        entries = held.orderBy(F.length("file_path"), "file_path").select("file_path", "path", "value").limit(2).collect()  # of one file: two entries at most
+        own = {r["path"]: r["value"] for r in entries if r["file_path"] == entries[0]["file_path"]}
+        if not own:
+            return [], None
+        home = os.path.dirname(entries[0]["file_path"])
+        below = os.path.normpath(os.path.join(home, own.get("compilerOptions.baseUrl", "."))).removeprefix("./")
+        return [(k, list(v)) for k, v in json.loads(own.get("compilerOptions.paths", "{}")).items()], "" if below == "." else below
+
     def resolved_imports(self) -> DataFrame:
-        return resolve(self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"), "is_type_only", "specifiers"), self.read("files").select("file_path"))
+        """Imports with the stored file that each means: relative ones by their paths, others by the compiler's aliases."""
+        imports = self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"), "is_type_only", "specifiers")
+        files = self.read("files").select("file_path")
+        found, (aliases, base) = resolve(imports, files), self.aliases()
+        if base is None:
+            return found
+        other = resolve_aliases(imports.select("file", "source").distinct(), files, aliases, base).filter("resolved_path is not null").withColumnRenamed("resolved_path", "_aliased")
+        both = found.join(other, ["file", "source"], "left").withColumn("kind", F.when(F.col("_aliased").isNotNull() & F.col("resolved_path").isNull(), F.lit("internal")).otherwise(F.col("kind")))
+        return both.withColumn("resolved_path", F.coalesce("resolved_path", "_aliased")).drop("_aliased")
 
     def build_chains(self) -> DataFrame:
         """Build the four chains over what is stored, and store them."""
@@ -298,7 +327,7 @@ class Store:
 
     def index_file(self, folder: str, path: str) -> dict[str, int]:
         """Index one file of a folder, changed or not."""
-        return self.index(folder, full=True, keep_missing=True, include=(path,), exclude=("**/no such file/**",))
+        return self.index(folder, full=True, keep_missing=True, paths=[path])
 
     def types(self) -> tuple[DataFrame, DataFrame]:
         """Types of symbols and of their parameters."""

@@ -31,7 +31,11 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "file_path", c
     return old.join(new, key, "full").withColumn("change", change).filter("change is not null").select(key, "change")
 
 
-def rebuild_needed(changes: DataFrame, asked: bool = False, least: int = 5) -> DataFrame:
+#: Changes from which on chains are built anew.
+MANY_CHANGES = 5
+
+
+def rebuild_needed(changes: DataFrame, asked: bool = False, least: int = MANY_CHANGES) -> DataFrame:
     """Whether chains are built anew: when asked, or from five changes on, if there is any."""
     return changes.agg(F.count("*").alias("n")).select("n", ((F.col("n") > 0) & (F.lit(asked) | (F.col("n") >= least))).alias("rebuild"))
 

@@ -16,6 +16,7 @@ from quillmesh.operators.lookups import list_files as files_below
 from quillmesh.operators.retrieval import glob_regex, is_test_path, paginate, section, type_names, within_budget
 from quillmesh.sources.store import Store, type_tables
 from quillmesh.sources.ts_parser import TEST_CALLS
+from quillmesh.streaming.watch import MANY_CHANGES
 
 FOCUS = ("full", "modules", "core_classes", "dependencies", "entry_points", "public_api", "patterns", "key_types")
 
@@ -207,11 +208,13 @@ class Tools:
             out = rows if out is None else out.unionByName(rows)
         return out.orderBy("view", "name", "detail")
 
-    def sync_index(self, folder: str, full: bool = False) -> DataFrame:
-        report = self.store.index(folder, full)
-        if full or sum(report.values()) >= 5:  # chains follow larger changes
+    def sync_index(self, folder: str, full: bool = False, paths: list[str] | None = None) -> DataFrame:
+        """Bring the index up to date, or the files named (M12). Chains follow from MANY_CHANGES files on that were indexed or removed, or with full."""
+        report = self.store.index(folder, full, paths=paths)
+        rebuild = full or report["indexed"] - report["failed"] + report["removed"] >= MANY_CHANGES
+        if rebuild:
             self.store.build_chains()
-        return self.spark.createDataFrame([(report["indexed"], report["removed"], report["failed"], sum(report.values()) >= 5)], "indexed long, removed long, failed long, rebuild boolean")
+        return self.spark.createDataFrame([(report["indexed"], report["removed"], report["failed"], rebuild)], "indexed long, removed long, failed long, rebuild boolean")
 
     def stats(self) -> DataFrame:
         return self.store.read("symbols").groupBy("language", "kind").agg(F.count("*").alias("n")).orderBy("language", "kind")
