@@ -18,7 +18,11 @@ CONFIG = "id string, file_path string, name string, path string, value_type stri
 TRANSITIONS = "chain string, from_id string, from_name string, to_id string, to_name string, raw double, prob double"
 CHAINS = "chain_id string, chain string, total_states bigint, total_transitions bigint, updated_at timestamp"
 #: Tables that aren't replaced by file.
-DERIVED = {"transitions": TRANSITIONS, "chains": CHAINS}
+DERIVED = {
+    "transitions": TRANSITIONS, "chains": CHAINS,
+    "chain_states": "chain string, state string, key string, u double, v double", "chain_members": "chain string, key string, state string, v double", "chain_totals": "chain string, state string, keys bigint, total double",
+    "chain_links": "chain string, from_id string, to_id string, prob double",
+}
 #: Relations whose rows are found by their words, and the columns that are searched.
 SEARCHED = {"symbols": ("name", "fully_qualified_name", "signature"), "config_entries": ("path", "value")}
 RELATIONS = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "calls": CALLS, "type_rels": TYPE_RELS, "imports": IMPORTS, "exports": EXPORTS, "config_entries": CONFIG}

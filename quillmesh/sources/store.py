@@ -7,12 +7,15 @@ import os
 import re
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scalars import parse_types_of
-from quillmesh.operators import markov, postings
+from quillmesh.operators import factored, markov, postings
 from quillmesh.operators.imports import resolve, resolve_aliases
 from quillmesh.operators.search import parse_match
 from quillmesh.sources import ingest
@@ -49,7 +52,7 @@ class Store:
         return sorted(int(m[1]) for f in fs.listStatus(p) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))) if fs.exists(p) else []
 
     def manifest(self, version: int | None = None) -> dict:
-        """version; tables: segments by name as path, number of the version that wrote it, bytes; deletions: the same and the tables' names."""
+        """version; tables: segments by name as path, number of the version that wrote it, bytes, schema; deletions: path, number, bytes, the tables' names."""
         version = version or max(self.versions(), default=0)
         if not version:
             return {"version": 0, "tables": {}, "deletions": []}
@@ -67,8 +70,9 @@ class Store:
         schema = self.spark.createDataFrame([], RELATIONS_AND_DERIVED[name]).schema
         first, out = min((s[1] for s in segments), default=0), None
         later = [at for at, number, _, names in deletions if number > first and name in names]
-        for at, number, _ in segments:
-            rows = migrated(self.spark.read.parquet(f"{self.root}/{at}"), schema)
+        for at, number, _, *written in segments:
+            present = written == [schema.simpleString()]  # else its files tell
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{at}") if present else migrated(self.spark.read.parquet(f"{self.root}/{at}"), schema)
             rows = rows.withColumn("_written", F.lit(number)) if later else rows
             out = rows if out is None else out.unionByName(rows)
         if out is None:
@@ -82,7 +86,13 @@ class Store:
         at = f"{name}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{at}")
         fs, p = self._fs(f"{self.root}/{at}")
-        return [at, number, fs.getContentSummary(p).getLength()]
+        return [at, number, fs.getContentSummary(p).getLength(), df.schema.simpleString()]
+
+    def _write_all(self, tables: dict[str, DataFrame], number: int) -> dict[str, list]:
+        """Segments of several tables, written side by side: most are small, and a job of its own each."""
+        with ThreadPoolExecutor(8) as pool:
+            jobs = {n: pool.submit(inheritable_thread_target(self.spark)(self._write), df, n, number) for n, df in tables.items()}
+            return {n: job.result() for n, job in jobs.items()}
 
     def _put(self, base: dict, tables: dict[str, list], deletions: list) -> None:
         """Commit as the version after base. The manifest is written under another name and renamed, so that a crash leaves the one before."""
@@ -99,32 +109,33 @@ class Store:
     def _commit(self, tables: dict[str, DataFrame]) -> None:
         """Replace whole tables."""
         base = self.manifest()
-        new = {n: [self._write(df, n, base["version"] + 1)] for n, df in tables.items()}
+        new = {n: [s] for n, s in self._write_all(tables, base["version"] + 1).items()}
         self._put(base, base["tables"] | new, [[*d[:3], [n for n in d[3] if n not in new]] for d in base["deletions"]])
 
     def save(self, tables: dict[str, DataFrame], replaced: DataFrame) -> None:
         """Rows of the replaced files go from the tables that are given, and these tables' rows come (M1, M3, M5). replaced: file_path."""
         base = self.manifest()
         number, searched = base["version"] + 1, [n for n in SEARCHED if n in tables]
-        new = {n: self._write(df, n, number) for n, df in tables.items()}
-        for n in searched:
-            new |= self._post(n, self.spark.read.schema(RELATIONS[n]).parquet(f"{self.root}/{new[n][0]}"), number)
+        new = self._write_all(tables, number)
+        new |= self._post({n: self.spark.read.schema(RELATIONS[n]).parquet(f"{self.root}/{new[n][0]}") for n in searched}, number)
         self._append(base, new, replaced)
 
-    def _post(self, name: str, rows: DataFrame, number: int) -> dict[str, list]:
-        """Segments of the inverted index of a searched relation's rows."""
-        columns = list(SEARCHED[name])
-        placed = self._write(postings.laid_out(postings.build(rows, "id", columns)), f"{name}_postings", number)
-        stored = self.spark.read.schema(postings.POSTINGS).parquet(f"{self.root}/{placed[0]}")
-        terms, lengths = postings.dictionary(stored, len(columns)), postings.lengths(rows, columns)
-        return {f"{name}_postings": placed, f"{name}_terms": self._write(terms, f"{name}_terms", number), f"{name}_lengths": self._write(lengths, f"{name}_lengths", number)}
+    def _post(self, relations: dict[str, DataFrame], number: int) -> dict[str, list]:
+        """Segments of the inverted index of searched relations' rows."""
+        built = {f"{n}_postings": postings.laid_out(postings.build(rows, "id", list(SEARCHED[n]))) for n, rows in relations.items()}
+        sized = {f"{n}_lengths": postings.lengths(rows, list(SEARCHED[n])) for n, rows in relations.items()}
+        new = self._write_all(built | sized, number)
+        return new | self._write_all({f"{n}_terms": self._dictionary(n, new[f"{n}_postings"]) for n in relations}, number)
+
+    def _dictionary(self, name: str, segment: list) -> DataFrame:
+        return postings.dictionary(self.spark.read.schema(postings.POSTINGS).parquet(f"{self.root}/{segment[0]}"), len(SEARCHED[name]))
 
     def _append(self, base: dict, new: dict[str, list], replaced: DataFrame, names: list[str] | None = None) -> None:
         number = base["version"] + 1
         names = [n for n in (new if names is None else names) if n in OWNER and base["tables"].get(n)]
         deletions = base["deletions"]
         if names:
-            deletions = [*deletions, [*self._write(replaced.select("file_path").distinct().withColumn("number", F.lit(number)), "deletions", number), names]]
+            deletions = [*deletions, [*self._write(replaced.select("file_path").distinct().withColumn("number", F.lit(number)), "deletions", number)[:3], names]]
         self._put(base, base["tables"] | {n: [*base["tables"].get(n, []), s] for n, s in new.items()}, deletions)
         if any(len(s) > self.MOST_SEGMENTS for s in self.manifest()["tables"].values()) or len(deletions) > self.MOST_SEGMENTS:
             self.compact()
@@ -153,9 +164,8 @@ class Store:
             merged = lambda n: self._merged(n, [s for s in base["tables"][n] if s[1] in written], base["deletions"])  # noqa: B023, E731
             if name.endswith("_postings"):
                 relation = name.removesuffix("_postings")
-                placed = self._write(postings.laid_out(merged(name)), name, number)
-                stored = self.spark.read.schema(postings.POSTINGS).parquet(f"{self.root}/{placed[0]}")
-                fresh = {name: placed, f"{relation}_terms": self._write(postings.dictionary(stored, len(SEARCHED[relation])), f"{relation}_terms", number), f"{relation}_lengths": self._write(merged(f"{relation}_lengths"), f"{relation}_lengths", number)}
+                fresh = self._write_all({name: postings.laid_out(merged(name)), f"{relation}_lengths": merged(f"{relation}_lengths")}, number)
+                fresh |= {f"{relation}_terms": self._write(self._dictionary(relation, fresh[name]), f"{relation}_terms", number)}
             else:
                 fresh = {name: self._write(merged(name).repartitionByRange(OWNER[name]).sortWithinPartitions(OWNER[name]), name, number)}
             tables |= {n: [*rest(n), s] for n, s in fresh.items()}
@@ -166,8 +176,7 @@ class Store:
             same = [d for d in deletions if tuple(d[3]) == names]
             if len(same) > 1:
                 rows = self.spark.read.parquet(*[f"{self.root}/{d[0]}" for d in same]).groupBy("file_path").agg(F.max("number").alias("number"))
-                one = [*self._write(rows, "deletions", number), list(names)]
-                one[1] = max(d[1] for d in same)
+                one = [self._write(rows, "deletions", number)[0], max(d[1] for d in same), sum(d[2] for d in same), list(names)]
                 deletions = [d for d in deletions if d not in same] + [one]
                 done.add("deletions")
         if done:
@@ -198,7 +207,7 @@ class Store:
     def migrate(self) -> list[str]:
         """Rewrite the tables that have a segment of an older schema; their names."""
         held = self.manifest()
-        old = [n for n, segments in held["tables"].items() if any(self.spark.read.parquet(f"{self.root}/{s[0]}").columns != self.read(n).columns for s in segments)]
+        old = [n for n, segments in held["tables"].items() if any(s[3:] != [self.read(n).schema.simpleString()] and self.spark.read.parquet(f"{self.root}/{s[0]}").columns != self.read(n).columns for s in segments)]
         if old:
             self._commit({n: self.read(n) for n in old})
         return old
@@ -207,7 +216,7 @@ class Store:
         """id, score of rows of a searched relation that a full-text query matches, by its inverted index; the best k if asked."""
         held = self.manifest()
         if not held["tables"].get(f"{name}_postings") and held["tables"].get(name):  # written before there was an inverted index
-            new = self._post(name, self.read(name), held["version"] + 1)
+            new = self._post({name: self.read(name)}, held["version"] + 1)
             self._put(held, held["tables"] | {n: [s] for n, s in new.items()}, held["deletions"])
             held = self.manifest()
         table = lambda part: self._merged(f"{name}_{part}", held["tables"].get(f"{name}_{part}", []), held["deletions"])
@@ -284,16 +293,50 @@ class Store:
         both = found.join(other, ["file", "source"], "left").withColumn("kind", F.when(F.col("_aliased").isNotNull() & F.col("resolved_path").isNull(), F.lit("internal")).otherwise(F.col("kind")))
         return both.withColumn("resolved_path", F.coalesce("resolved_path", "_aliased")).drop("_aliased")
 
-    def build_chains(self) -> DataFrame:
-        """Build the four chains over what is stored, and store them."""
+    def _relations(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """What the four chains are made of: calls, symbols in files, type relations, imports."""
         calls = self.resolved_calls().select(F.col("caller_symbol_id").alias("caller"), F.coalesce("callee_symbol_id", "callee_name").alias("callee"), "call_count", "is_async", "is_conditional")
         symbols = self.read("symbols").select(F.col("file_path").alias("file"), F.col("id").alias("symbol"), F.col("parent_class").alias("parent"))
         types = self.read("type_rels").select(F.col("source_symbol_id").alias("source"), F.col("target_name").alias("target"), F.col("relationship_kind").alias("kind"))
-        imports = self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"))
+        return calls, symbols, types, self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"))
+
+    def build_chains(self) -> DataFrame:
+        """Build the four chains as tables of transitions over what is stored, and store them (C5, M8, M9). Walks don't need them, see build_factors."""
+        calls, symbols, types, imports = self._relations()
         built = markov.build_chains(call_flow=markov.call_flow_weights(calls), cooccurrence=markov.cooccurrence_weights(symbols), type_affinity=markov.type_affinity_weights(types), import_cluster=markov.import_cluster_weights(imports))
         names = self.read("symbols").groupBy("id").agg(F.min("name").alias("name"))
         return self.save_transitions(markov.name_states(built, names), replace=True)
 
+    def build_factors(self) -> None:
+        """Store the factors of the four chains: a row for each key and state, none for pairs.
+
+        They lie in the order of states and once more of keys, the heaviest members first; relations between types are links as they are.
+        """
+        calls, symbols, types, imports = self._relations()
+        factors = {"call_flow": factored.call_flow_factors(calls), "cooccurrence": factored.cooccurrence_factors(symbols), "import_cluster": factored.import_cluster_factors(imports)}
+        named = [df.select(F.lit(chain).alias("chain"), "*") for chain, df in factors.items()]
+        rows = named[0].unionByName(named[1]).unionByName(named[2])
+        base = self.manifest()
+        number = base["version"] + 1
+        states = self._write(rows.select("chain", "state", "key", "u", "v").repartitionByRange("chain", "state").sortWithinPartitions("chain", "state"), "chain_states", number)
+        stored = self.spark.read.parquet(f"{self.root}/{states[0]}")
+        sums = [factored.totals(stored.filter(F.col("chain") == c)).select(F.lit(c).alias("chain"), "state", "keys", "total") for c in ("call_flow", "cooccurrence")]
+        parts = {
+            "chain_members": stored.select("chain", "key", "state", "v").repartitionByRange("chain", "key", F.desc("v")).sortWithinPartitions("chain", "key", F.desc("v")),
+            "chain_totals": sums[0].unionByName(sums[1]).repartitionByRange("chain", "state").sortWithinPartitions("chain", "state"),
+            "chain_links": markov.build_chains(type_affinity=markov.type_affinity_weights(types)).select("chain", "from_id", "to_id", "prob").repartitionByRange("from_id").sortWithinPartitions("from_id"),
+        }
+        self._put(base, base["tables"] | {"chain_states": [states]} | {n: [s] for n, s in self._write_all(parts, number).items()}, base["deletions"])
+
+    def walks(self) -> dict[str, Callable]:
+        """For each chain the step that a walk takes, over stored factors; these are built at first use."""
+        if "chain_states" not in self.manifest()["tables"]:
+            self.build_factors()
+        of = lambda name, chain: self.read(name).filter(F.col("chain") == chain)
+        sides = lambda chain: (of("chain_states", chain), of("chain_members", chain))
+        keyed = {c: factored.through(*sides(c), of("chain_totals", c)) for c in ("call_flow", "cooccurrence")}
+        return keyed | {"type_affinity": factored.along(self.read("chain_links")), "import_cluster": factored.through_clusters(*sides("import_cluster"))}
+
     def save_transitions(self, transitions: DataFrame, replace: bool = False) -> DataFrame:
         """Store transitions; chains among them, or all with replace, are replaced. Refreshes and returns the chains' registry (M8, M9).
 

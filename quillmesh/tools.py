@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.thesaurus import thesaurus
-from quillmesh.operators import graph, lookups, markov, search
+from quillmesh.operators import factored, graph, lookups, markov, search
 from quillmesh.operators.aggregates import fan_out, module_name
 from quillmesh.operators.imports import entry_points, excluded, package_name
 from quillmesh.operators.lookups import FUNCTION_KINDS
@@ -134,14 +134,14 @@ class Tools:
         return out
 
     def suggest_related(self, name: str, limit: int = 10, chains: tuple[str, ...] | None = None) -> DataFrame:
-        """Walks over the stored chains from the first symbol of that name, merged by weight; without support callers, callees and neighbours."""
+        """Walks over the stored factors of the chains from the first symbol of that name, merged by weight; without support callers, callees and neighbours."""
         symbols = self.store.read("symbols")
         start = symbols.filter((F.col("name") == name) | (F.col("local_name") == name)).agg(F.min("id")).first()[0]
         if start is None:
             return self.spark.createDataFrame([], "state string, score double, hops int, chains array<string>, reason string")
-        stored, walked = self.store.chains(), None
+        step, walked = self.store.walks(), None
         for chain in chains or markov.CHAIN_WEIGHTS:
-            one = markov.walk(stored.filter(F.col("chain") == chain), start).withColumn("chain", F.lit(chain))
+            one = factored.walk(self.spark, start, step[chain]).withColumn("chain", F.lit(chain))
             walked = one if walked is None else walked.unionByName(one)
         found = markov.merge_chains(walked).orderBy(F.desc(F.round("score", 9)), "state").limit(limit).withColumn("reason", F.lit("chains"))
         if found.limit(1).count():
@@ -213,7 +213,7 @@ class Tools:
         report = self.store.index(folder, full, paths=paths)
         rebuild = full or report["indexed"] - report["failed"] + report["removed"] >= MANY_CHANGES
         if rebuild:
-            self.store.build_chains()
+            self.store.build_factors()
         return self.spark.createDataFrame([(report["indexed"], report["removed"], report["failed"], rebuild)], "indexed long, removed long, failed long, rebuild boolean")
 
     def stats(self) -> DataFrame:
