@@ -16,8 +16,8 @@ _WALK = WALK.replace(*_TEXT_ORDER)
 
 def _kept(incidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The incidence and its totals as a store would keep them."""
-    rows = lineage.cut(incidence)
-    return rows, lineage.cut(factored.totals(rows))
+    rows = lineage.stored(incidence)
+    return rows, lineage.stored(factored.totals(rows))
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

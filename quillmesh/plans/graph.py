@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators import cycles as scc
 from quillmesh.operators import graph as g
 from quillmesh.plans.markov import RELS
 from quillmesh.plans.registry import query
@@ -92,3 +93,24 @@ def reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = orders.select(name(key).alias("file"), F.concat(F.lit("x"), (key % 10).cast("string")).alias("name"), F.when((key % 10 != 0) & (key % 3 > 0), name(key - 10)).alias("source"))
     every = orders.filter(key % 4 == 1).select(name(key).alias("file"), F.lit("*").alias("name"), name(key - 20).alias("source"))
     return g.resolve_reexports(own.unionByName(every), own, 4)
+
+
+_STEPS = """st AS (SELECT DISTINCT u || ':' || k AS src, u || ':' || lead(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, u FROM (SELECT *, user_id % 100 AS u, json_extract_string(props, '$.k') AS k FROM events)),
+ed AS (SELECT DISTINCT src, dst, u FROM st WHERE src IS NOT NULL AND dst IS NOT NULL)"""
+
+
+def step_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users of one hundredth go on to from each thing they use: a hundred graphs with cycles of any length."""
+    events = b.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("user_id") % 100).cast("string").alias("u"), F.get_json_object("props", "$.k").alias("k"))
+    after = F.lead("k").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    named = lambda c: F.concat("u", F.lit(":"), c)
+    return events.select(named("k").alias("src"), named(after).alias("dst")).filter("src is not null and dst is not null").distinct()
+
+
+@query("g2_components", f"""WITH RECURSIVE {_STEPS}, reach(src, dst) AS (SELECT src, dst FROM ed UNION SELECT r.src, e.dst FROM reach r JOIN ed e ON r.dst = e.src),
+nodes AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed), c AS (SELECT a.src AS node, min(a.dst) AS other FROM reach a JOIN reach z ON a.src = z.dst AND a.dst = z.src GROUP BY 1),
+n AS (SELECT node, least(coalesce(other, node), node) AS component FROM nodes LEFT JOIN c USING (node)), s AS (SELECT component, count(*) AS size FROM n GROUP BY 1)
+SELECT node, component, size, node IN (SELECT src FROM reach WHERE src = dst) AS on_cycle FROM n JOIN s USING (component)""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nodes lie on a cycle, of whatever length, and with which others."""
+    return scc.strong_components(step_edges(spark, sf_dir))

@@ -83,7 +83,7 @@ def language_of(path: Column) -> Column:
 
 def taken(path: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> Column:
     """Whether a path is among the included globs and none of the excluded ones; empty lists mean the defaults."""
-    some = lambda globs: F.greatest(*[path.rlike(glob_regex(g)) for g in globs], F.lit(False))
+    some = lambda globs: path.rlike("|".join(glob_regex(g) for g in globs))
     return some(include or INCLUDE) & ~some(exclude or EXCLUDE)
 
 
