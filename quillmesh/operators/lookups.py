@@ -76,16 +76,38 @@ def path_score(query: Column, path: Column) -> Column:
     return name + place + 15.0 * overlap(base, q_base) + F.when((q_dir != "") & (directory != ""), 10.0 * overlap(directory, q_dir)).otherwise(0.0)
 
 
+def _parts(text: Column, lengths: list[int]) -> Column:
+    """All distinct parts of a text that have one of the lengths."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(empty, *[F.when(F.length(text) >= n, of(n)).otherwise(empty) for n in lengths])))
+
+
+def path_candidates(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """query, file_path: every file that path_score can give more than 60, found by equal parts of names, never by holding each request against each file.
+
+    More than 60 takes one of four: equal base names, a base name within the other, in either way, or the request within the path. A request
+    that ends with a slash has an empty base name, which lies within all; it takes a folder that holds the request's to pass 60.
+    """
+    base = lambda c: F.lower(F.substring_index(c, "/", -1))
+    folder = lambda c: F.lower(F.regexp_extract(c, "^(.*)/[^/]*$", 1))
+    asked = queries.select("query", base("query").alias("q_base"), F.lower("query").alias("q"), F.when(base("query") == "", folder("query")).otherwise("").alias("q_dir"))
+    sizes = asked.agg(*[F.sort_array(F.collect_set(F.length(c))).alias(c) for c in ("q_base", "q", "q_dir")]).first()  # one row: lengths of names
+    own = files.select("file_path", base("file_path").alias("base"), F.lower("file_path").alias("path"), folder("file_path").alias("folder"))
+    at = lambda column, part: asked.select("query", F.col(column).alias("part")).filter("part <> ''").join(part, "part").select("query", "file_path")
+    parted = lambda column, of: own.select("file_path", F.explode(_parts(F.col(of), [n for n in sizes[column] if n])).alias("part"))
+    above, within, inside = (at(column, parted(column, of)) for column, of in (("q_base", "base"), ("q", "path"), ("q_dir", "folder")))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length("q_base")), lambda n: F.transform(F.sequence(F.lit(1), F.length("q_base") - n + 1), lambda i: F.substring(F.col("q_base"), i, n))))
+    below = asked.filter("q_base <> ''").select("query", F.explode(F.array_distinct(every)).alias("base")).join(own, "base").select("query", "file_path")
+    return above.unionByName(within).unionByName(inside).unionByName(below).distinct()
+
+
 def resolve_paths(queries: DataFrame, files: DataFrame, least: float = 80, lead: float = 20) -> DataFrame:
     """query -> status and path: exact, a single suffix, ambiguous, a clear fuzzy winner, or not found."""
-    # a file that ends with the request has its last part, so this is an equi join
-    last = lambda c: F.substring_index(c, "/", -1)
-    own, wanted = files.select("file_path", last("file_path").alias("base")), queries.select("query", last("query").alias("base"))
-    suffix = own.join(wanted, "base").filter(F.col("file_path").endswith(F.concat(F.lit("/"), F.col("query"))) | (F.col("file_path") == F.col("query")))
-    found = suffix.groupBy("query").agg(F.count("*").alias("n"), F.min("file_path").alias("path"), F.max((F.col("file_path") == F.col("query")).cast("int")).alias("exact"))
-    # only requests that no file ends with are held against all files
+    found = _suffixes(queries, files).groupBy("query").agg(F.count("*").alias("n"), F.min("file_path").alias("path"), F.max((F.col("file_path") == F.col("query")).cast("int")).alias("exact"))
+    # only requests that no file ends with are sought further; what isn't a candidate is 30 below any winner
     rest = queries.join(found, "query", "left_anti")
-    scored = files.join(rest).withColumn("score", path_score(F.col("query"), F.col("file_path"))).filter("score > 10")
+    scored = path_candidates(rest, files).withColumn("score", path_score(F.col("query"), F.col("file_path")))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "file_path")
     best = scored.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("query").agg(F.max(F.when(F.col("r") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("s2"), F.min(F.when(F.col("r") == 1, F.col("file_path"))).alias("fuzzy"))
     clear = (F.col("s1") >= least) & (F.col("s1") - F.coalesce("s2", F.lit(0.0)) >= lead)
@@ -94,6 +116,21 @@ def resolve_paths(queries: DataFrame, files: DataFrame, least: float = 80, lead:
     return joined.select("query", "status", F.when(F.col("status") == "exact", F.col("query")).when(F.col("status") == "suffix", F.col("path")).when(F.col("status") == "fuzzy", F.col("fuzzy")).alias("path"))
 
 
+def _suffixes(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """query, file_path of files that end with the request; these have its last part, so it is an equi join."""
+    last = lambda c: F.substring_index(c, "/", -1)
+    own, wanted = files.select("file_path", last("file_path").alias("base")), queries.select("query", last("query").alias("base"))
+    return own.join(wanted, "base").filter(F.col("file_path").endswith(F.concat(F.lit("/"), F.col("query"))) | (F.col("file_path") == F.col("query"))).select("query", "file_path")
+
+
+def path_suggestions(queries: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
+    """query, rank, file_path: the first files that an ambiguous request may mean."""
+    w = Window.partitionBy("query").orderBy("file_path")
+    ends = _suffixes(queries, files)
+    several = ends.groupBy("query").agg(F.count("*").alias("n"), F.max((F.col("file_path") == F.col("query")).cast("int")).alias("exact")).filter("n > 1 and exact = 0").select("query")
+    return ends.join(several, "query", "left_semi").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query", "rank", "file_path")
+
+
 def nearest_directory(files: DataFrame, part: str, most_files: int = 15) -> DataFrame:
     """The directory with most files whose path holds the part, and its first files."""
     hits = files.filter(F.contains(F.lower("directory"), F.lit(part.lower())))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -200,10 +201,14 @@ def by_types(types: DataFrame, params: DataFrame, returns: str | None = None, ta
 def fuzzy(rows: DataFrame, key: str, fields: list[str], pattern: str, threshold: float = 0.4) -> DataFrame:
     """key, score: 1 less the share of edits of the best approximate substring of any field (R2).
 
-    Approximate matching is by bits: one state word for each number of edits, advanced character by character.
+    Edits cannot touch all of one piece more than there are edits, so a text without any of these pieces is left out by built-in functions.
+    What is left is matched by bits: one state word for each number of edits, advanced character by character.
     """
     pattern = pattern.lower()
     most = int(threshold * len(pattern))
+    cuts = [i * len(pattern) // (most + 1) for i in range(most + 2)]
+    pieces = sorted({pattern[a:b] for a, b in zip(cuts, cuts[1:], strict=False)})
+    likely = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(p)) for f in fields for p in pieces])
 
     def edits(text: str) -> int | None:
         masks: dict[str, int] = {}
@@ -230,7 +235,7 @@ def fuzzy(rows: DataFrame, key: str, fields: list[str], pattern: str, threshold:
             yield out[out["score"].notna()]
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *fields).mapInPandas(run, f"{key} {kind}, score double")
+    return rows.select(key, *fields).filter(likely).mapInPandas(run, f"{key} {kind}, score double")
 
 
 def synonyms(spark: SparkSession, thesaurus: DataFrame, a: str, b: str) -> DataFrame:

@@ -126,6 +126,20 @@ def resolve_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.resolve_paths(spark.createDataFrame([(p,) for p in PATHS], "query string"), b.files(spark, sf_dir).select("file_path"))
 
 
+AMBIGUOUS = ["1.txt", "en/7.txt", "7.txt", "19.txt", "nothing.txt"]
+
+
+@query("l19_path_suggestions", f"""WITH f AS (SELECT DISTINCT source || '/' || lang || '/' || (doc_id % 20) || '.txt' AS file_path FROM documents), q AS (SELECT unnest({AMBIGUOUS}) AS query),
+x AS (SELECT query, file_path, row_number() OVER (PARTITION BY query ORDER BY file_path) AS rank, count(*) OVER (PARTITION BY query) AS n FROM f, q WHERE ends_with(file_path, '/' || query))
+SELECT query, rank, file_path FROM x WHERE n > 1 AND rank <= 5""")
+def path_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most five files that an ambiguous name may mean (the report's limit); twenty names recur in all folders."""
+    name = F.concat((F.col("doc_id") % 20).cast("string"), F.lit(".txt"))
+    files = b.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", name).alias("file_path")).distinct()
+    found = k.path_suggestions(spark.createDataFrame([(p,) for p in AMBIGUOUS], "query string"), files)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("l21_nearest_directory", f"""WITH {FILES}, h AS (SELECT * FROM files WHERE contains(lower(directory), 'src1')), t AS (SELECT directory FROM h GROUP BY 1 ORDER BY count(*) DESC, directory LIMIT 1)
 SELECT directory, file_path FROM h JOIN t USING (directory) ORDER BY file_path LIMIT 15""")
 def nearest_directory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ class Tools:
         found = self.store.search("symbols", text, k=search.over_fetch(limit) if kind in (None, "all") and language is None else None)
         hits = search.by_name(rows, "id", {}, text, terms, limit, found)
         if not hits.limit(1).count():
-            close = search.fuzzy(symbols, "id", ["name"], query)
+            close = search.fuzzy(symbols, "id", ["name", "fully_qualified_name", "signature"], query)
             hits = search.rerank(close.join(rows, "id"), terms).orderBy(F.desc(F.round("combined", 9)), "id").limit(limit)
         return hits.drop("fully_qualified_name")
 
