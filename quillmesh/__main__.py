@@ -85,7 +85,8 @@ def main(argv: list[str] | None = None) -> None:
         while not looks or n < looks:
             if n:
                 time.sleep(a.every)
-            print(json.dumps(store.index(a.folder, a.full, **globs)), flush=True)
+            look = store.follow(a.folder, **globs) if a.command == "watch" and not a.full else store.index(a.folder, a.full, **globs)
+            print(json.dumps(look), flush=True)
             n += 1
     else:
         tools = Tools(store)

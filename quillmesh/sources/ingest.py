@@ -87,31 +87,41 @@ def taken(path: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[str,
     return some(include or INCLUDE) & ~some(exclude or EXCLUDE)
 
 
+def _below(path: Column, root: str) -> Column:
+    """A path without the root it lies below."""
+    prefix = root.removeprefix("file://").rstrip("/") + "/"
+    base = F.regexp_replace(path, "^file:/+", "/")
+    return F.when(base.startswith(prefix), F.substring(base, len(prefix) + 1, 1 << 20)).otherwise(base)
+
+
+def _listed(spark: SparkSession, root: str, include: tuple[str, ...], exclude: tuple[str, ...], config_gate: bool, only: list[str] | None) -> DataFrame:
+    """The binary source, with files that aren't wanted dropped from its listing."""
+    # metadata paths are encoded as in URLs, where a plus sign is one; a filter of metadata alone prunes the listing
+    path = _below(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), root)
+    wanted = taken(path, include, exclude) if only is None else path.isin(only)
+    if config_gate:
+        wanted = wanted & (~path.endswith(".json") | path.rlike(config_parser.GATED.pattern.replace("(^|/)", "(?i)(^|/)")))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(wanted)
+
+
+def listing(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, config_gate: bool = True) -> DataFrame:
+    """file_path, file_size and last_modified of the files to index; no body is read."""
+    return _listed(spark, root, include, exclude, config_gate, None).select(_below(F.col("path"), root).alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified"))
+
+
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, config_gate: bool = True, limit: int = MAX_BYTES, only: list[str] | None = None) -> DataFrame:
     """file_path (below the root), content, checksum, file_size, last_modified, language of the files to index.
 
     Files that the globs leave out are dropped from the listing; bodies above the limit (0: none) are not read, so these files have no
     content, and their size and time stand in for a checksum. only: these paths instead of globs.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = root.removeprefix("file://").rstrip("/") + "/"
-
-    def below(path: Column) -> Column:
-        base = F.regexp_replace(path, "^file:/+", "/")
-        return F.when(base.startswith(prefix), F.substring(base, len(prefix) + 1, 1 << 20)).otherwise(base)
-
-    def wanted(path: Column) -> Column:
-        own = taken(path, include, exclude) if only is None else path.isin(only)
-        return own & (~path.endswith(".json") | path.rlike(config_parser.GATED.pattern.replace("(^|/)", "(?i)(^|/)"))) if config_gate else own
-
-    # metadata paths are encoded as in URLs, where a plus sign is one; a filter of metadata alone prunes the listing
-    listed = raw.filter(wanted(below(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))))
-    about = (F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified"))
+    listed = _listed(spark, root, include, exclude, config_gate, only)
+    path, about = _below(F.col("path"), root).alias("file_path"), (F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified"))
     small = listed.filter(F.col("length") <= limit) if limit else listed
-    rows = small.select(below(F.col("path")).alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.sha2(F.col("content"), 256).alias("checksum"), *about)
+    rows = small.select(path, F.decode("content", "UTF-8").alias("content"), F.sha2(F.col("content"), 256).alias("checksum"), *about)
     if limit:
         stamp = F.concat_ws(":", F.lit("size"), F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
-        rows = rows.unionByName(listed.filter(F.col("length") > limit).select(below(F.col("path")).alias("file_path"), F.lit(None).cast("string").alias("content"), stamp.alias("checksum"), *about))
+        rows = rows.unionByName(listed.filter(F.col("length") > limit).select(path, F.lit(None).cast("string").alias("content"), stamp.alias("checksum"), *about))
     return rows.withColumn("language", language_of(F.col("file_path")))
 
 

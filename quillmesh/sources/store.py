@@ -20,6 +20,11 @@ from quillmesh.operators.imports import resolve, resolve_aliases
 from quillmesh.operators.search import parse_match
 from quillmesh.sources import ingest
 from quillmesh.sources.model import OWNER, RELATIONS, RELATIONS_AND_DERIVED, SEARCHED
+from quillmesh.streaming.watch import snapshot_diff
+
+
+#: Files that are named one by one when they are read again.
+MOST_NAMED = 1000
 
 
 class Conflict(OSError):
@@ -262,6 +267,18 @@ class Store:
             if records is not None:
                 records.unpersist()
 
+    def changes(self, folder: str, **scan) -> DataFrame:
+        """file_path, change: what was added, changed or removed since it was indexed, by sizes and times alone; no body is read."""
+        stamp = lambda df: df.select("file_path", F.concat_ws(":", F.col("file_size").cast("string"), F.unix_micros("last_modified").cast("string")).alias("checksum"))
+        return snapshot_diff(stamp(self.read("files")), stamp(ingest.listing(self.spark, folder, **scan)))
+
+    def follow(self, folder: str, **scan) -> dict[str, int]:
+        """Index what changes tells, reading these files' bodies only; where that is very much, the folder."""
+        paths = [r["file_path"] for r in self.changes(folder, **scan).select("file_path").limit(MOST_NAMED + 1).collect()]
+        if not paths:
+            return {"indexed": 0, "removed": 0, "failed": 0}
+        return self.index(folder, full=True, paths=paths) if len(paths) <= MOST_NAMED else self.index(folder, **scan)
+
     def failed(self) -> DataFrame:
         """Files that could not be parsed or were too large, with their status."""
         return self.read("files").filter("parse_status <> 'complete'").select("file_path", "parse_status").orderBy("file_path")

@@ -171,6 +171,7 @@ def test_left_out_and_oversize_files_are_not_read(spark, tmp_path):
     rows = {r["file_path"]: r for r in ingest.scan(spark, str(tmp_path), limit=200).collect()}
     assert set(rows) == {"a+b c%20.ts", "big.ts"} and rows["a+b c%20.ts"]["content"] == "const x = 1;"
     assert rows["big.ts"]["content"] is None and rows["big.ts"]["checksum"].startswith("size:300:") and rows["big.ts"]["file_size"] == 300
+    assert {(r["file_path"], r["file_size"]) for r in ingest.listing(spark, str(tmp_path)).collect()} == {("a+b c%20.ts", 12), ("big.ts", 300)}
     plan = ingest.scan(spark, str(tmp_path), limit=200)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,200)" in plan
     read = [line for line in plan.split("\n") if "FileScan binaryFile" in line or "BatchScan" in line]
@@ -197,4 +198,10 @@ def test_broken_configuration_is_partial_and_values_stay_whole(spark, tmp_path):
     tools = Tools(store)
     done = tools.sync_index(str(tmp_path), paths=["src/b.ts", "src/a.ts"]).first()
     assert (done["indexed"], done["removed"], done["failed"], done["rebuild"]) == (1, 1, 0, False)  # nothing but what was named
+    assert sorted(tuple(r) for r in store.changes(str(tmp_path), include=("**/*.ts", "*.json")).collect()) == [("package.json", "changed")]
     assert {r["name"] for r in store.read("symbols").collect()} == {"c"} and store.read("config_entries").filter("path = 'name'").count() == 1
+    (tmp_path / "src/d.ts").write_text("export const d = 1;\n")
+    globs = {"include": ("**/*.ts", "*.json")}
+    assert store.follow(str(tmp_path), **globs) == {"indexed": 2, "removed": 0, "failed": 0}
+    assert store.follow(str(tmp_path), **globs) == {"indexed": 0, "removed": 0, "failed": 0}
+    assert {r["name"] for r in store.read("symbols").collect()} == {"c", "d"}
