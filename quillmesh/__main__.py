@@ -17,6 +17,9 @@ from quillmesh.tools import Tools
 
 TOOLS = ("search_symbols", "get_function", "get_class", "list_functions", "list_files", "find_references", "trace_calls", "trace_types", "get_module_dependencies", "suggest_related", "get_related_context", "get_architecture_overview")
 
+#: Answers that the service keeps.
+MOST_ANSWERS = 64
+
 
 def serve(tools: Tools, lines, write) -> None:
     """Answer calls, a JSON object on each line: {"tool": ..., "input": {...}} -> {"rows": [...], "state": ...}. A repeated call is answered from the cache until the index is synchronised."""
@@ -39,6 +42,8 @@ def serve(tools: Tools, lines, write) -> None:
                 rows = cache[key] if key in cache else [json.loads(r) for r in getattr(tools, tool)(**given).toJSON().toLocalIterator()]
                 if tool != "sync_index":
                     cache[key] = rows
+                    if len(cache) > MOST_ANSWERS:  # the oldest goes; asked again it is answered anew
+                        cache.pop(next(iter(cache)))
                 answer = {"state": state, "rows": rows}
         except Exception as e:  # noqa: BLE001  a failed call must not end the service
             answer = {"error": f"{type(e).__name__}: {e}"}

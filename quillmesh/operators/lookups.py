@@ -61,6 +61,13 @@ def config_value(entries: DataFrame, path: str, file: str | None = None, strict:
     return kept.withColumn("n", F.sum(exact.cast("int")).over(Window.partitionBy("file_path"))).filter((F.col("n") == 0) | exact).drop("n")
 
 
+def config_children(entries: DataFrame, parent: str | None, file: str | None = None) -> DataFrame:
+    """Entries right below a path, or the top ones for no path, in order of file and path."""
+    of_file = F.lit(True) if file is None else F.col("file_path") == file
+    at = F.col("parent_path").isNull() if parent is None else F.col("parent_path") == parent
+    return entries.filter(at & of_file).orderBy("file_path", "path")
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Characters in common over those of the richer one."""
     x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))

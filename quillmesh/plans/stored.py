@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators import lineage
+from quillmesh.operators import lineage, lookups
 from quillmesh.plans.index import _SCORE, MATCHED
 from quillmesh.plans.registry import query
 from quillmesh.plans.search import bm25_sql
@@ -104,3 +104,33 @@ def earlier_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.delete(["Brand#22"])
     store.compact(full=True)
     return store.read("symbols", version=1).select("id", "name")
+
+
+_TREE = """en AS (SELECT CAST(o_orderkey AS VARCHAR) AS file, unnest([
+  {p: 'status', parent: NULL, v: o_orderstatus}, {p: CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'detail' END, parent: NULL, v: '{}'}, {p: 'detail.priority', parent: 'detail', v: o_orderpriority}, {p: 'detail.key', parent: 'detail', v: CAST(o_custkey AS VARCHAR)}]) AS e FROM orders),
+c AS (SELECT file, e.p AS path, e.parent AS parent, e.v AS value FROM en WHERE e.p IS NOT NULL)"""
+
+
+def _orders_as_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as configuration files; in a third of them nothing is stored at the path of the folder itself."""
+    entry = lambda p, parent, v: F.struct(p.alias("path"), parent.cast("string").alias("parent_path"), v.cast("string").alias("value"))
+    none, detail = F.lit(None), F.lit("detail")
+    rows = [entry(F.lit("status"), none, F.col("o_orderstatus")), entry(F.when(F.col("o_orderkey") % 3 != 0, "detail"), none, F.lit("{}")), entry(F.lit("detail.priority"), detail, F.col("o_orderpriority")), entry(F.lit("detail.key"), detail, F.col("o_custkey"))]
+    orders = b.table(spark, sf_dir, "orders")
+    return _whole(spark, orders.select(F.col("o_orderkey").cast("string").alias("file_path"), F.explode(F.array(*rows)).alias("e")).select("file_path", "e.*").filter("path is not null"), "config_entries")
+
+
+@query("l14_config_rungs", f"WITH {_TREE}, x AS (SELECT *, count(*) FILTER (path = 'detail') OVER (PARTITION BY file) AS n FROM c WHERE path = 'detail' OR starts_with(path, 'detail.')) SELECT file AS file_path, path, value FROM x WHERE n = 0 OR path = 'detail'")
+def config_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry at a path, or where a file has none, those below it."""
+    return lookups.config_value(_orders_as_config(spark, sf_dir), "detail").select("file_path", "path", "value")
+
+
+@query("l15_children_of_entries", f"WITH {_TREE} SELECT file AS file_path, path, value FROM c WHERE parent = 'detail'")
+def children_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.config_children(_orders_as_config(spark, sf_dir), "detail").select("file_path", "path", "value")
+
+
+@query("l15_top_entries", f"WITH {_TREE} SELECT path, count(*) AS n FROM c WHERE parent IS NULL GROUP BY 1")
+def top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.config_children(_orders_as_config(spark, sf_dir), None).groupBy("path").agg(F.count("*").alias("n"))
