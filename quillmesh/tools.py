@@ -14,7 +14,8 @@ from quillmesh.operators.imports import entry_points, excluded, package_name
 from quillmesh.operators.lookups import FUNCTION_KINDS
 from quillmesh.operators.lookups import list_files as files_below
 from quillmesh.operators.retrieval import glob_regex, is_test_path, paginate, section, type_names, within_budget
-from quillmesh.sources.store import Store, type_tables
+from quillmesh.sources.ingest import scan, source_slice
+from quillmesh.sources.store import MOST_NAMED, Store, type_tables
 from quillmesh.sources.ts_parser import TEST_CALLS
 from quillmesh.streaming.watch import MANY_CHANGES
 
@@ -60,22 +61,46 @@ class Tools:
         best = found.agg(F.min("how").alias("how"))
         return found.join(F.broadcast(best), "how").drop("how").orderBy("file_path", "line_start")  # best: one row
 
-    def get_function(self, name: str, path: str | None = None) -> DataFrame:
-        """All rows of the first rung that has any; more than one means the name is ambiguous (L4, L5, Q8). With a path, functions of the files that end with it."""
+    def get_function(self, name: str, path: str | None = None, folder: str | None = None, context: int = 0) -> DataFrame:
+        """All rows of the first rung that has any; more than one means the name is ambiguous (L4, L5, Q8). With a path, functions of the files that end with it.
+
+        With the folder of the sources, their lines too, and some around them.
+        """
         found = self._symbol(name, FUNCTION_KINDS)
-        return found if path is None else found.filter(F.col("file_path").endswith(path))
+        found = found if path is None else found.filter(F.col("file_path").endswith(path))
+        return found if folder is None else self._with_source(found, folder, context).orderBy("file_path", "line_start")
+
+    def _with_source(self, rows: DataFrame, folder: str, context: int) -> DataFrame:
+        """Rows with the lines they stand on, as the files are now; only files of these rows are read."""
+        paths = [r[0] for r in rows.select("file_path").distinct().limit(MOST_NAMED + 1).collect()]
+        if len(paths) > MOST_NAMED:
+            raise ValueError(f"over {MOST_NAMED} files have that name; give a path")
+        text = scan(self.spark, folder, only=paths).select("file_path", "content")
+        return rows.join(text, "file_path", "left").withColumn("source", source_slice(F.col("content"), F.col("line_start"), F.col("line_end"), context)).drop("content")
 
     def suggestions(self, name: str) -> list[str]:
         """Names that are meant by an ambiguous one, in order."""
         found = lookups.function_details(self.store.read("symbols"), self.spark.createDataFrame([(name,)], "query string"))
         return found.first()["suggestions"]
 
-    def get_class(self, name: str, methods_only: bool = False) -> DataFrame:
-        """A class, or else an interface, with its members."""
+    def get_class(self, name: str, methods_only: bool = False, inherited: bool = False, folder: str | None = None) -> DataFrame:
+        """A class, or else an interface, with its members (L6, L7, Q9); inherited: also those of what it extends, unless it has its own of that name.
+
+        inherited_from tells whose they are. With the folder of the sources, their lines too.
+        """
         own = self._symbol(name, ("class", "interface"))
-        members = self.store.read("symbols").filter(F.col("parent_class") == name)
-        members = members.filter(F.col("kind").isin("method", "constructor")) if methods_only else members
-        return own.unionByName(members).orderBy("file_path", "line_start")
+        symbols = self.store.read("symbols")
+        members = symbols.filter(F.col("parent_class") == name)
+        rows = own.unionByName(members).withColumn("inherited_from", F.lit(None).cast("string"))
+        if inherited:
+            up = self.store.read("type_rels").filter("relationship_kind = 'extends'").select(F.col("source_name").alias("src"), F.col("target_name_base").alias("dst")).distinct()
+            above = graph.reachable(up, self.spark.createDataFrame([(name,)], "node string"), 10).filter("depth > 0").select(F.col("node").alias("parent_class"), "depth")
+            theirs = symbols.join(above, "parent_class").join(members.select("local_name"), "local_name", "left_anti").filter(F.col("kind") != "constructor")
+            nearest = theirs.groupBy("local_name").agg(F.min("depth").alias("depth"))
+            rows = rows.unionByName(theirs.join(nearest, ["local_name", "depth"]).withColumn("inherited_from", F.col("parent_class")).select(*rows.columns))
+        rows = rows.filter(F.col("kind").isin("class", "interface", "method", "constructor")) if methods_only else rows
+        rows = rows if folder is None else self._with_source(rows, folder, 0)
+        return rows.orderBy("file_path", "line_start")
 
     def get_alias(self, name: str) -> DataFrame:
         return self._symbol(name, ("type",))

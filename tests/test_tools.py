@@ -62,6 +62,11 @@ def test_lookups(tools):
     assert {r["name"] for r in tools.get_class("User", methods_only=True).collect()} == {"User", "save"}
     assert {(r["section"], r["name"]) for r in tools.list_functions("load.test.ts").collect()} == {("test callback", "loading"), ("test callback", "loads_one")}
     assert [r["section"] for r in tools.list_functions("core/user.ts").collect()] == ["interface", "class", "class", "class"]
+    above = {(r["name"], r["inherited_from"]) for r in tools.get_class("Admin", inherited=True).collect()}
+    assert above == {("Admin", None), ("save", "User"), ("name", "User")}
+    one = tools.get_function("load", folder=tools.folder).collect()
+    assert [r["source"] for r in one] == [FILES["src/core/load.ts"].split("\n")[4]]
+    assert "class User" in {r["name"]: r["source"] for r in tools.get_class("User", folder=tools.folder).collect()}["User"]
     assert tools.suggestions("nothing") == []
     found = {r["id"].split(":")[1] for r in tools.get_related_context("load", include_tests=True).collect()}
     assert {"load", "parse", "User", "Opt", "loading"} <= found
