@@ -133,3 +133,30 @@ def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text holds every word of the filter."""
     words = F.array(*[F.lit(w) for w in "RED economy".lower().split()])
     return b.symbols(spark, sf_dir).filter(F.forall(words, lambda w: F.contains(F.lower("signature"), w))).select("symbol_id")
+
+
+def _name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all names, as query_terms makes them of a request."""
+    words = F.split(F.regexp_replace(F.lower("p_name"), "[_-]", " "), "\\s+")
+    return b.table(spark, sf_dir, "part").select(F.col("p_name").alias("query"), F.explode(words).alias("word")).filter("length(word) > 1").distinct()
+
+
+_NAMES = EXPANDED.replace(f"SELECT unnest({QUERIES}) AS query", "SELECT DISTINCT p_name AS query FROM part")
+
+
+@query("r10_expand_names", f"WITH {_NAMES} SELECT query, term, round(weight, 6) AS weight, source, rank FROM ranked WHERE rank <= 15")
+def expand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that every name of a symbol leads to."""
+    found = s.expand_terms(_name_words(spark, sf_dir), thesaurus(spark))
+    return found.select("query", "term", F.round("weight", 6).alias("weight"), "source", F.col("rank").cast("long").alias("rank"))
+
+
+@query("r9_names_by_canonical", f"""WITH {THESAURUS}, w AS (SELECT DISTINCT p_partkey, unnest(string_split_regex(regexp_replace(lower(p_name), '[_-]', ' ', 'g'), '\\s+')) AS word FROM part),
+m AS (SELECT DISTINCT canonical, term AS word FROM th UNION SELECT canonical, canonical FROM th) SELECT canonical, count(DISTINCT p_partkey) AS parts FROM m JOIN w USING (word) GROUP BY 1""")
+def names_by_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many symbols a canonical term stands for, by any of its synonyms in their names."""
+    th = thesaurus(spark)
+    members = th.select("canonical", F.col("term").alias("word")).union(th.select("canonical", F.col("canonical"))).distinct()
+    parts = b.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("query"))
+    hits = parts.join(_name_words(spark, sf_dir), "query").join(members, "word")
+    return hits.groupBy("canonical").agg(F.countDistinct("p_partkey").alias("parts"))
