@@ -29,22 +29,26 @@ def _tag(*parts: Column | str) -> Column:
     return F.concat_ws("", *[F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in named])
 
 
-def call_flow_factors(calls: DataFrame, fan_out_norm: bool = True, least_calls: int = 1) -> DataFrame:
-    """Incidence of callees in callers (C1): damped counts on both sides, the caller's width on the first, the target's kind on the second."""
-    edges = calls.filter(F.col("call_count") >= least_calls).select("caller", "callee", "call_count", "is_async", "is_conditional")
+def call_flow_factors(calls: DataFrame, fan_out_norm: bool = True, least_calls: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Incidence of callees in callers (C1): damped counts on both sides, the caller's width on the first, the target's kind on the second. keep: columns to carry along."""
+    edges = calls.filter(F.col("call_count") >= least_calls).select("caller", "callee", "call_count", "is_async", "is_conditional", *keep)
     wide = edges.groupBy("caller").agg(F.count("*").alias("fan")).filter("fan >= 2")
     damped = F.sqrt(F.log(F.col("call_count") + F.lit(1.0)))
     u = damped / F.sqrt((F.col("fan") - 1).cast("double")) if fan_out_norm else damped
     v = damped * F.when(F.col("is_async"), 1.1).otherwise(1.0) * F.when(F.col("is_conditional"), 0.8).otherwise(1.0)
-    return edges.join(wide, "caller").select(_tag("caller").alias("key"), F.col("callee").cast("string").alias("state"), u.alias("u"), v.alias("v"))
+    return edges.join(wide, "caller").select(_tag("caller").alias("key"), F.col("callee").cast("string").alias("state"), u.alias("u"), v.alias("v"), *keep)
 
 
 def cooccurrence_factors(occurrences: DataFrame) -> DataFrame:
     """Incidence of symbols in files, and once more in their classes there, which gives these twice the weight."""
     rated = occurrences.join(inverse_document_frequency(occurrences), "symbol").select("file", "symbol", "parent", F.sqrt("idf").alias("w"))
+    return cooccurrence_keys(rated, "w").groupBy("key", "state").agg(F.sum("w").alias("u"), F.sum("w").alias("v"))
+
+
+def cooccurrence_keys(occurrences: DataFrame, *keep: Column | str) -> DataFrame:
+    """key, state of each occurrence: its file, and its class there if it has one; with the columns to carry along."""
     keys = F.when(F.col("parent").isNull(), F.array(_tag("file"))).otherwise(F.array(_tag("file"), _tag("file", "parent")))
-    rows = rated.select(F.explode(keys).alias("key"), F.col("symbol").cast("string").alias("state"), "w")
-    return rows.groupBy("key", "state").agg(F.sum("w").alias("u"), F.sum("w").alias("v"))
+    return occurrences.select(F.explode(keys).alias("key"), F.col("symbol").cast("string").alias("state"), *keep)
 
 
 def import_cluster_factors(imports: DataFrame) -> DataFrame:

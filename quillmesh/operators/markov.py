@@ -67,11 +67,11 @@ def cooccurrence_weights(occurrences: DataFrame) -> DataFrame:
     return both.agg(F.sum(scope * F.sqrt(F.col("a_idf") * F.col("b_idf"))).alias("raw"))
 
 
-def type_affinity_weights(relations: DataFrame) -> DataFrame:
-    """Related types, weaker from target to source."""
+def type_affinity_weights(relations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Related types, weaker from target to source (C3); apart by further columns, if asked."""
     w = F.when(F.col("kind") == "extends", 1.0).when(F.col("kind") == "implements", 0.9).when(F.col("kind") == "mixin", 0.7).otherwise(0.5)
-    both = relations.select(F.explode(F.array(F.struct(F.col("source").alias("from_id"), F.col("target").alias("to_id"), w.alias("raw")), F.struct(F.col("target").alias("from_id"), F.col("source").alias("to_id"), (w * 0.8).alias("raw")))).alias("e")).select("e.*")
-    return both.groupBy("from_id", "to_id").agg(F.sum("raw").alias("raw"))
+    both = relations.select(*by, F.explode(F.array(F.struct(F.col("source").alias("from_id"), F.col("target").alias("to_id"), w.alias("raw")), F.struct(F.col("target").alias("from_id"), F.col("source").alias("to_id"), (w * 0.8).alias("raw")))).alias("e")).select(*by, "e.*")
+    return both.groupBy(*by, "from_id", "to_id").agg(F.sum("raw").alias("raw"))
 
 
 def import_cluster_weights(imports: DataFrame, least_shared: int = 2) -> DataFrame:

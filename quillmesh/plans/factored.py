@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from quillmesh.operators import factored, lineage, markov
 from quillmesh.plans.markov import CLUSTER, COOC, FLOW, LEAST, PART, TYPE, WALK
 from quillmesh.plans.registry import query
 from quillmesh.sources import bindings as b
+from quillmesh.sources.model import RELATIONS
+from quillmesh.sources.store import Store, migrated
 
 _TEXT_ORDER = ("round(prob, 9) DESC, to_id)", "round(prob, 9) DESC, CAST(to_id AS VARCHAR))")  # states are text here, and ties go by it
 _WALK = WALK.replace(*_TEXT_ORDER)
@@ -90,3 +94,20 @@ def factored_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops from a nation along relations of types, each hop a filter of the links."""
     links = markov.build_chains(type_affinity=markov.type_affinity_weights(b.type_relations(spark, sf_dir)))
     return factored.walk(spark, "n:3", factored.along(links), least=LEAST).withColumn("score", F.round("score", 8))
+
+
+_EDITED = FLOW.replace("FROM calls)", "FROM calls WHERE caller % 50 <> 13 AND (caller % 50 NOT IN (7, 21) OR callee % 2 = 0))")
+
+
+@query("c5_maintained_totals", f"WITH {_EDITED} SELECT CAST(from_id AS VARCHAR) AS state, round(sum(raw), 6) AS total FROM flow GROUP BY 1")
+def maintained_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored factors after two files lost half of their calls and one was deleted, brought up to date by the rows of these alone."""
+    store = Store(spark, f"{lineage.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    calls = b.calls(spark, sf_dir).select((F.col("caller") % 50).cast("string").alias("file_path"), F.col("caller").cast("string").alias("caller_symbol_id"), F.col("callee").cast("string").alias("callee_name"), "call_count", "is_async", "is_conditional")
+    save = lambda rows: store.save({"calls": migrated(rows, spark.createDataFrame([], RELATIONS["calls"]).schema)}, rows.select("file_path"))
+    save(calls)
+    store.build_factors()
+    save(calls.filter("file_path in ('7', '21') and cast(callee_name as bigint) % 2 = 0"))
+    store.delete(["13"])
+    store.update_factors()
+    return store.chain_factors()["call_flow"][2].select("state", F.round("total", 6).alias("total"))

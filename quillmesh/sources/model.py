@@ -20,14 +20,17 @@ CHAINS = "chain_id string, chain string, total_states bigint, total_transitions
 #: Tables that aren't replaced by file.
 DERIVED = {
     "transitions": TRANSITIONS, "chains": CHAINS,
-    "chain_states": "chain string, state string, key string, u double, v double", "chain_members": "chain string, key string, state string, v double", "chain_totals": "chain string, state string, keys bigint, total double",
-    "chain_links": "chain string, from_id string, to_id string, prob double",
+    "chain_states": "chain string, owner string, state string, key string, u double, v double, df bigint", "chain_members": "chain string, owner string, key string, state string, v double, df bigint",
+    "chain_sums": "chain string, owner string, key string, df bigint, n bigint, whole double", "chain_links": "owner string, from_id string, to_id string, raw double", "chain_names": "owner string, name string, id string", "chain_counts": "files bigint",
 }
 #: Relations whose rows are found by their words, and the columns that are searched.
 SEARCHED = {"symbols": ("name", "fully_qualified_name", "signature"), "config_entries": ("path", "value")}
 RELATIONS = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "calls": CALLS, "type_rels": TYPE_RELS, "imports": IMPORTS, "exports": EXPORTS, "config_entries": CONFIG}
 #: Column that names the file a row comes from.
 OWNER = {n: "referencing_file" if n == "refs" else "file_path" for n in RELATIONS} | {f"{n}_{part}": "file_path" for n in SEARCHED for part in ("postings", "lengths")}
+#: Tables of the chains' factors that are replaced by file, not with the relations but when factors are brought up to date, and the order they lie in.
+CHAINED = {"chain_states": ("chain", "state"), "chain_members": ("chain", "key"), "chain_sums": ("chain", "key"), "chain_links": ("from_id",), "chain_names": ("name",)}
+OWNED = OWNER | dict.fromkeys(CHAINED, "owner")
 POSTED = {f"{n}_{part}": schema for n in SEARCHED for part, schema in (("postings", POSTINGS), ("terms", TERMS), ("lengths", LENGTHS))}
 RELATIONS_AND_DERIVED = RELATIONS | DERIVED | POSTED
 

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scalars import parse_types_of
-from quillmesh.operators import factored, markov, postings
+from quillmesh.operators import factored, maintained, markov, postings
 from quillmesh.operators.imports import resolve, resolve_aliases
 from quillmesh.operators.search import parse_match
 from quillmesh.sources import ingest
-from quillmesh.sources.model import OWNER, RELATIONS, RELATIONS_AND_DERIVED, SEARCHED
+from quillmesh.sources.model import CHAINED, OWNED, OWNER, RELATIONS, RELATIONS_AND_DERIVED, SEARCHED
 from quillmesh.streaming.watch import snapshot_diff
 
 
@@ -57,7 +57,7 @@ class Store:
         return sorted(int(m[1]) for f in fs.listStatus(p) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))) if fs.exists(p) else []
 
     def manifest(self, version: int | None = None) -> dict:
-        """version; tables: segments by name as path, number of the version that wrote it, bytes, schema; deletions: path, number, bytes, the tables' names."""
+        """version; tables: segments by name as path, number of the version that wrote it, bytes, schema; deletions: path, number, bytes, the tables' names; touched: paths of the deletions that factors of chains don't follow yet."""
         version = version or max(self.versions(), default=0)
         if not version:
             return {"version": 0, "tables": {}, "deletions": []}
@@ -85,7 +85,7 @@ class Store:
         if not later:
             return out
         gone = self.spark.read.parquet(*[f"{self.root}/{at}" for at in later]).groupBy(F.col("file_path").alias("_gone")).agg(F.max("number").alias("_number"))
-        return out.join(gone, (F.col(OWNER[name]) == F.col("_gone")) & (F.col("_written") < F.col("_number")), "left_anti").drop("_written")
+        return out.join(gone, (F.col(OWNED[name]) == F.col("_gone")) & (F.col("_written") < F.col("_number")), "left_anti").drop("_written")
 
     def _write(self, df: DataFrame, name: str, number: int) -> list:
         at = f"{name}/{uuid.uuid4().hex}"
@@ -99,13 +99,13 @@ class Store:
             jobs = {n: pool.submit(inheritable_thread_target(self.spark)(self._write), df, n, number) for n, df in tables.items()}
             return {n: job.result() for n, job in jobs.items()}
 
-    def _put(self, base: dict, tables: dict[str, list], deletions: list) -> None:
-        """Commit as the version after base. The manifest is written under another name and renamed, so that a crash leaves the one before."""
+    def _put(self, base: dict, tables: dict[str, list], deletions: list, touched: list[str] | None = None) -> None:
+        """Commit as the version after base; what is touched stays as it was unless given. The manifest is written under another name and renamed, so that a crash leaves the one before."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs, _ = self._fs(self.root)
         half, whole = path(f"{self.root}/_manifest-{uuid.uuid4().hex}"), path(f"{self.root}/manifest-{base['version'] + 1}.json")
         out = fs.create(half, True)
-        out.write(bytearray(json.dumps({"tables": tables, "deletions": deletions}).encode()))
+        out.write(bytearray(json.dumps({"tables": tables, "deletions": deletions, "touched": base.get("touched", []) if touched is None else touched}).encode()))
         out.close()
         if fs.exists(whole) or not fs.rename(half, whole):
             fs.delete(half, False)
@@ -118,7 +118,7 @@ class Store:
         self._put(base, base["tables"] | new, [[*d[:3], [n for n in d[3] if n not in new]] for d in base["deletions"]])
 
     def save(self, tables: dict[str, DataFrame], replaced: DataFrame) -> None:
-        """Rows of the replaced files go from the tables that are given, and these tables' rows come (M1, M3, M5). replaced: file_path."""
+        """Rows of the replaced files go from the tables that are given, and these tables' rows come (M1, M3, M5). replaced: file_path, of all files that rows come from or go."""
         base = self.manifest()
         number, searched = base["version"] + 1, [n for n in SEARCHED if n in tables]
         new = self._write_all(tables, number)
@@ -138,11 +138,17 @@ class Store:
     def _append(self, base: dict, new: dict[str, list], replaced: DataFrame, names: list[str] | None = None) -> None:
         number = base["version"] + 1
         names = [n for n in (new if names is None else names) if n in OWNER and base["tables"].get(n)]
-        deletions = base["deletions"]
-        if names:
-            deletions = [*deletions, [*self._write(replaced.select("file_path").distinct().withColumn("number", F.lit(number)), "deletions", number)[:3], names]]
-        self._put(base, base["tables"] | {n: [*base["tables"].get(n, []), s] for n, s in new.items()}, deletions)
-        if any(len(s) > self.MOST_SEGMENTS for s in self.manifest()["tables"].values()) or len(deletions) > self.MOST_SEGMENTS:
+        deletions, touched, followed = base["deletions"], base.get("touched", []), bool(base["tables"].get("chain_states"))
+        if names or followed:
+            gone = self._write(replaced.select("file_path").distinct().withColumn("number", F.lit(number)), "deletions", number)
+            deletions = [*deletions, [*gone[:3], names]] if names else deletions
+            touched = [*touched, gone[0]] if followed else touched
+        self._put(base, base["tables"] | {n: [*base["tables"].get(n, []), s] for n, s in new.items()}, deletions, touched)
+        self._compact_if_many()
+
+    def _compact_if_many(self) -> None:
+        held = self.manifest()
+        if any(len(s) > self.MOST_SEGMENTS for s in held["tables"].values()) or len(held["deletions"]) > self.MOST_SEGMENTS:
             self.compact()
 
     def delete(self, paths: list[str]) -> None:
@@ -151,7 +157,7 @@ class Store:
 
     def clear(self) -> None:
         """Everything (M4)."""
-        self._put(self.manifest(), {}, [])
+        self._put(self.manifest(), {}, [], [])
 
     def compact(self, full: bool = False) -> None:
         """Merge small segments, without deleted rows; with full, all of each table. A segment that is larger than all smaller ones together waits.
@@ -160,7 +166,7 @@ class Store:
         """
         base = self.manifest()
         number, tables, done = base["version"] + 1, dict(base["tables"]), set()
-        for name in [*[n for n in tables if n in OWNER and not n.endswith(("_postings", "_lengths"))], *[f"{n}_postings" for n in SEARCHED if f"{n}_postings" in tables]]:
+        for name in [*[n for n in tables if n in OWNED and not n.endswith(("_postings", "_lengths"))], *[f"{n}_postings" for n in SEARCHED if f"{n}_postings" in tables]]:
             few = tables[name] if full else _small(tables[name])
             if len(few) < (1 if full else 2) or (not full and len(tables[name]) <= self.MOST_SEGMENTS):
                 continue
@@ -172,7 +178,7 @@ class Store:
                 fresh = self._write_all({name: postings.laid_out(merged(name)), f"{relation}_lengths": merged(f"{relation}_lengths")}, number)
                 fresh |= {f"{relation}_terms": self._write(self._dictionary(relation, fresh[name]), f"{relation}_terms", number)}
             else:
-                fresh = {name: self._write(merged(name).repartitionByRange(OWNER[name]).sortWithinPartitions(OWNER[name]), name, number)}
+                fresh = {name: self._write(_laid_out(merged(name), CHAINED.get(name, (OWNED[name],))), name, number)}
             tables |= {n: [*rest(n), s] for n, s in fresh.items()}
             done |= set(fresh)
         open_to = lambda d: [n for n in d[3] if any(s[1] < d[1] for s in tables.get(n, []))]
@@ -199,7 +205,7 @@ class Store:
         old = [n for n, following in zip(numbers, numbers[1:], strict=False) if when[following] < before]
         for n in old:
             fs.delete(path(f"{self.root}/manifest-{n}.json"), False)
-        used = {s[0] for n in numbers if n not in old for held in [self.manifest(n)] for s in [*[s for table in held["tables"].values() for s in table], *held["deletions"]]}
+        used = {s[0] for n in numbers if n not in old for held in [self.manifest(n)] for s in [*[s for table in held["tables"].values() for s in table], *held["deletions"], *[[at] for at in held.get("touched", [])]]}
         lost = 0
         for table in fs.listStatus(folder):
             for at in fs.listStatus(table.getPath()) if table.isDirectory() else ():
@@ -283,10 +289,13 @@ class Store:
         """Files that could not be parsed or were too large, with their status."""
         return self.read("files").filter("parse_status <> 'complete'").select("file_path", "parse_status").orderBy("file_path")
 
-    def resolved_calls(self) -> DataFrame:
-        """Call edges with the least id of a symbol of the callee's name (M7)."""
-        names = self.read("symbols").groupBy(F.col("local_name").alias("callee_name")).agg(F.min("id").alias("callee_symbol_id"))
-        return self.read("calls").join(names, "callee_name", "left")
+    def resolved_calls(self, calls: DataFrame | None = None) -> DataFrame:
+        """Call edges, all or some, with the least id of a symbol of the callee's name (M7)."""
+        symbols = self.read("symbols")
+        if calls is not None:
+            symbols = symbols.join(calls.select(F.col("callee_name").alias("local_name")).distinct(), "local_name", "left_semi")
+        names = symbols.groupBy(F.col("local_name").alias("callee_name")).agg(F.min("id").alias("callee_symbol_id"))
+        return (self.read("calls") if calls is None else calls).join(names, "callee_name", "left")
 
     def aliases(self) -> tuple[list[tuple[str, list[str]]], str | None]:
         """Path aliases and base folder of the compiler configuration with the shortest path, as its stored entries tell."""
@@ -310,12 +319,14 @@ class Store:
         both = found.join(other, ["file", "source"], "left").withColumn("kind", F.when(F.col("_aliased").isNotNull() & F.col("resolved_path").isNull(), F.lit("internal")).otherwise(F.col("kind")))
         return both.withColumn("resolved_path", F.coalesce("resolved_path", "_aliased")).drop("_aliased")
 
-    def _relations(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """What the four chains are made of: calls, symbols in files, type relations, imports."""
-        calls = self.resolved_calls().select(F.col("caller_symbol_id").alias("caller"), F.coalesce("callee_symbol_id", "callee_name").alias("callee"), "call_count", "is_async", "is_conditional")
-        symbols = self.read("symbols").select(F.col("file_path").alias("file"), F.col("id").alias("symbol"), F.col("parent_class").alias("parent"))
-        types = self.read("type_rels").select(F.col("source_symbol_id").alias("source"), F.col("target_name").alias("target"), F.col("relationship_kind").alias("kind"))
-        return calls, symbols, types, self.read("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"))
+    def _relations(self, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """What the four chains are made of: calls, symbols in files, type relations, imports; of all files, or of some (file_path). owner: the file a row comes from."""
+        of = lambda name: self.read(name) if files is None else self.read(name).join(files, "file_path", "left_semi")
+        owner = F.col("file_path").alias("owner")
+        calls = self.resolved_calls(None if files is None else of("calls")).select(owner, F.col("caller_symbol_id").alias("caller"), F.coalesce("callee_symbol_id", "callee_name").alias("callee"), "call_count", "is_async", "is_conditional")
+        symbols = of("symbols").select(F.col("file_path").alias("file"), F.col("id").alias("symbol"), F.col("parent_class").alias("parent"), F.col("local_name").alias("name"))
+        types = of("type_rels").select(owner, F.col("source_symbol_id").alias("source"), F.col("target_name").alias("target"), F.col("relationship_kind").alias("kind"))
+        return calls, symbols, types, of("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"))
 
     def build_chains(self) -> DataFrame:
         """Build the four chains as tables of transitions over what is stored, and store them (C5, M8, M9). Walks don't need them, see build_factors."""
@@ -329,30 +340,70 @@ class Store:
 
         They lie in the order of states and once more of keys, the heaviest members first; relations between types are links as they are.
         """
-        calls, symbols, types, imports = self._relations()
-        factors = {"call_flow": factored.call_flow_factors(calls), "cooccurrence": factored.cooccurrence_factors(symbols), "import_cluster": factored.import_cluster_factors(imports)}
-        named = [df.select(F.lit(chain).alias("chain"), "*") for chain, df in factors.items()]
-        rows = named[0].unionByName(named[1]).unionByName(named[2])
-        base = self.manifest()
-        number = base["version"] + 1
-        states = self._write(rows.select("chain", "state", "key", "u", "v").repartitionByRange("chain", "state").sortWithinPartitions("chain", "state"), "chain_states", number)
-        stored = self.spark.read.parquet(f"{self.root}/{states[0]}")
-        sums = [factored.totals(stored.filter(F.col("chain") == c)).select(F.lit(c).alias("chain"), "state", "keys", "total") for c in ("call_flow", "cooccurrence")]
+        base, whole = self.manifest(), self._relations()
+        number, symbols = base["version"] + 1, whole[1]
+        new = self._factors(whole, maintained.frequencies(symbols), number) | {"chain_counts": self._write(symbols.agg(F.countDistinct("file").alias("files")), "chain_counts", number)}
+        known = {n: s for n, s in base["tables"].items() if n in RELATIONS_AND_DERIVED}
+        self._put(base, known | {n: [s] for n, s in new.items()}, [[*d[:3], kept] for d in base["deletions"] if (kept := [n for n in d[3] if n not in CHAINED])], [])
+
+    def _factors(self, relations: tuple[DataFrame, ...], found: DataFrame, number: int) -> dict[str, list]:
+        """Segments of the factors of these relations. found: in how many files their symbols stand."""
+        calls, symbols, types, imports = relations
+        states = self._write(_laid_out(maintained.rows(calls, symbols, found, imports).select("chain", "owner", "state", "key", "u", "v", "df"), CHAINED["chain_states"]), "chain_states", number)
+        stored = self.spark.read.schema(RELATIONS_AND_DERIVED["chain_states"]).parquet(f"{self.root}/{states[0]}")
         parts = {
-            "chain_members": stored.select("chain", "key", "state", "v").repartitionByRange("chain", "key", F.desc("v")).sortWithinPartitions("chain", "key", F.desc("v")),
-            "chain_totals": sums[0].unionByName(sums[1]).repartitionByRange("chain", "state").sortWithinPartitions("chain", "state"),
-            "chain_links": markov.build_chains(type_affinity=markov.type_affinity_weights(types)).select("chain", "from_id", "to_id", "prob").repartitionByRange("from_id").sortWithinPartitions("from_id"),
+            "chain_members": _laid_out(stored.select("chain", "owner", "key", "state", "v", "df"), (*CHAINED["chain_members"], F.desc("v"))), "chain_sums": _laid_out(maintained.sums(stored), CHAINED["chain_sums"]),
+            "chain_links": _laid_out(maintained.links(types), CHAINED["chain_links"]), "chain_names": _laid_out(symbols.select(F.col("file").alias("owner"), "name", F.col("symbol").alias("id")).distinct(), CHAINED["chain_names"]),
         }
-        self._put(base, base["tables"] | {"chain_states": [states]} | {n: [s] for n, s in self._write_all(parts, number).items()}, base["deletions"])
+        return {"chain_states": states} | self._write_all(parts, number)
 
-    def walks(self) -> dict[str, Callable]:
-        """For each chain the step that a walk takes, over stored factors; these are built at first use."""
-        if "chain_states" not in self.manifest()["tables"]:
+    def update_factors(self) -> int:
+        """Bring stored factors up to what is stored of files; how many files' rows were made anew.
+
+        From the files that were saved or deleted since follow those whose rows they change: callers of a name that now means another symbol,
+        and holders of symbols that stand in more or fewer files. The rows of these are replaced as any file's are, so what is written follows
+        the change. Equal to build_factors.
+        """
+        base = self.manifest()
+        if not base["tables"].get("chain_counts"):
+            self.build_factors()
+            return self.read("files").count()
+        if not base.get("touched"):
+            return 0
+        number, names = base["version"] + 1, self.read("chain_names")
+        touched = self.spark.read.parquet(*[f"{self.root}/{at}" for at in base["touched"]]).select("file_path").distinct()
+        symbols = self.read("symbols").select(F.col("file_path").alias("owner"), F.col("local_name").alias("name"), "id")
+        stale = maintained.stale_owners(touched, names, self.read("chain_states").filter("chain = 'cooccurrence'"), symbols, self.read("calls").select("file_path", "callee_name"))
+        gone = self._write(stale.withColumn("number", F.lit(number)), "deletions", number)
+        files = self.spark.read.parquet(f"{self.root}/{gone[0]}").select("file_path")
+        some = self._relations(files)
+        everywhere = symbols.join(some[1].select(F.col("symbol").alias("id")).distinct(), "id", "left_semi")
+        new = self._factors(some, maintained.frequencies(everywhere.select(F.col("owner").alias("file"), F.col("id").alias("symbol"))), number)
+        now = self.spark.read.schema(RELATIONS_AND_DERIVED["chain_names"]).parquet(f"{self.root}/{new['chain_names'][0]}").agg(F.countDistinct("owner").alias("now"))
+        was = names.join(files.withColumnRenamed("file_path", "owner"), "owner", "left_semi").agg(F.countDistinct("owner").alias("was"))
+        counted = self.read("chain_counts").join(now).join(was).select((F.col("files") + F.col("now") - F.col("was")).alias("files"))  # one row each
+        tables = base["tables"] | {n: [*base["tables"].get(n, []), s] for n, s in new.items()} | {"chain_counts": [self._write(counted, "chain_counts", number)]}
+        self._put(base, tables, [*base["deletions"], [*gone[:3], list(CHAINED)]], [])
+        self._compact_if_many()
+        return files.count()
+
+    def chain_factors(self) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
+        """Of the two chains whose transitions sums tell: states, members and totals, as factored.steps takes them; built at first use."""
+        if not self.manifest()["tables"].get("chain_counts"):
             self.build_factors()
+        files = self.read("chain_counts").first()[0]
         of = lambda name, chain: self.read(name).filter(F.col("chain") == chain)
-        sides = lambda chain: (of("chain_states", chain), of("chain_members", chain))
-        keyed = {c: factored.through(*sides(c), of("chain_totals", c)) for c in ("call_flow", "cooccurrence")}
-        return keyed | {"type_affinity": factored.along(self.read("chain_links")), "import_cluster": factored.through_clusters(*sides("import_cluster"))}
+        out = {}
+        for c in ("call_flow", "cooccurrence"):
+            states = maintained.weighed(of("chain_states", c), files)
+            out[c] = states, maintained.weighed(of("chain_members", c), files), maintained.totals(states, of("chain_sums", c), files)
+        return out
+
+    def walks(self) -> dict[str, Callable]:
+        """For each chain the step that a walk takes, over stored factors; these are built at first use."""
+        keyed = {c: factored.through(*tables) for c, tables in self.chain_factors().items()}
+        clusters = [self.read(n).filter("chain = 'import_cluster'") for n in ("chain_states", "chain_members")]
+        return keyed | {"type_affinity": factored.along(maintained.linked(self.read("chain_links"))), "import_cluster": factored.through_clusters(*clusters)}
 
     def save_transitions(self, transitions: DataFrame, replace: bool = False) -> DataFrame:
         """Store transitions; chains among them, or all with replace, are replaced. Refreshes and returns the chains' registry (M8, M9).
@@ -394,6 +445,10 @@ class Store:
         return type_tables(self.read("symbols"))
 
 
+def _laid_out(rows: DataFrame, order: tuple) -> DataFrame:
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def _small(segments: list) -> list:
     """The segments worth merging: from the smallest on, as long as one isn't larger than all before it together."""
     out, total = [], 0

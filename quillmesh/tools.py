@@ -237,8 +237,10 @@ class Tools:
         """Bring the index up to date, or the files named (M12). Chains follow from MANY_CHANGES files on that were indexed or removed, or with full."""
         report = self.store.index(folder, full, paths=paths)
         rebuild = full or report["indexed"] - report["failed"] + report["removed"] >= MANY_CHANGES
-        if rebuild:
+        if full:
             self.store.build_factors()
+        elif rebuild:
+            self.store.update_factors()
         return self.spark.createDataFrame([(report["indexed"], report["removed"], report["failed"], rebuild)], "indexed long, removed long, failed long, rebuild boolean")
 
     def stats(self) -> DataFrame:
