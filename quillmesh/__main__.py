@@ -69,6 +69,7 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("--full", action="store_true")
         c.add_argument("--every", type=float, default=2.0, help="seconds between looks, for watch")
         c.add_argument("--times", type=int, default=0, help="looks in all, for watch; 0: no end")
+        c.add_argument("--checkpoint", help="for watch: a streaming query that goes on from this shared folder")
     q = sub.add_parser("query")
     q.add_argument("store")
     q.add_argument("tool", choices=TOOLS)
@@ -85,6 +86,10 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in ("index", "watch"):
         config = find_config(a.folder.removeprefix("file://")) or {}
         globs = {k: tuple(config[k]) for k in ("include", "exclude") if config.get(k)}
+        if a.command == "watch" and a.checkpoint:
+            every = None if a.times == 1 else f"{a.every} seconds"
+            store.watching(a.folder, a.checkpoint, every, told=lambda report: print(json.dumps(report), flush=True), **globs).awaitTermination()
+            return
         looks = 1 if a.command == "index" else a.times
         n = 0
         while not looks or n < looks:

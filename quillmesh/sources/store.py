@@ -18,7 +18,7 @@ from quillmesh.functions.scalars import parse_types_of
 from quillmesh.operators import factored, maintained, markov, postings
 from quillmesh.operators.imports import resolve, resolve_aliases
 from quillmesh.operators.search import parse_match
-from quillmesh.sources import ingest
+from quillmesh.sources import feed, ingest
 from quillmesh.sources.model import CHAINED, OWNED, OWNER, RELATIONS, RELATIONS_AND_DERIVED, SEARCHED
 from quillmesh.streaming.watch import snapshot_diff
 
@@ -280,10 +280,33 @@ class Store:
 
     def follow(self, folder: str, **scan) -> dict[str, int]:
         """Index what changes tells, reading these files' bodies only; where that is very much, the folder."""
-        paths = [r["file_path"] for r in self.changes(folder, **scan).select("file_path").limit(MOST_NAMED + 1).collect()]
-        if not paths:
-            return {"indexed": 0, "removed": 0, "failed": 0}
-        return self.index(folder, full=True, paths=paths) if len(paths) <= MOST_NAMED else self.index(folder, **scan)
+        return self.take(folder, self.changes(folder, **scan), **scan)
+
+    def take(self, folder: str, changes: DataFrame, chains: bool = False, **scan) -> dict[str, int]:
+        """Index the files that a feed's rows (file_path) name, reading no other body; where they are very many, the folder (W5, M12). chains: let these follow, too."""
+        paths = [r["file_path"] for r in changes.select("file_path").distinct().limit(MOST_NAMED + 1).collect()]
+        report = {"indexed": 0, "removed": 0, "failed": 0}
+        if paths:
+            report = self.index(folder, full=True, paths=paths) if len(paths) <= MOST_NAMED else self.index(folder, **scan)
+        if chains and paths:
+            self.update_factors()
+        return report
+
+    def watching(self, folder: str, checkpoint: str, every: str | None = None, settle_seconds: float = 0.3, chains: bool = False, told: Callable[[dict], None] | None = None, **scan):
+        """A running query that indexes what changes in the folder, from the first look on (W1-W5). checkpoint: a shared folder, from which a later one goes on.
+
+        every: time between looks, or None for one look. settle_seconds: how long a file must have rested. told: is given each report.
+        A batch that is done again after a failure indexes the same files once more, which changes nothing.
+        """
+        changes = feed.changes_stream(self.spark, folder, f"{checkpoint}/looks", initial=True, settle_seconds=settle_seconds, **scan)
+
+        def batch(rows: DataFrame, number: int) -> None:
+            report = self.take(folder, rows, chains, **scan)
+            if told:
+                told(report)
+
+        trigger = {"availableNow": True} if every is None else {"processingTime": every}
+        return changes.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/query").trigger(**trigger).start()
 
     def failed(self) -> DataFrame:
         """Files that could not be parsed or were too large, with their status."""
