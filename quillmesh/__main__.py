@@ -15,7 +15,7 @@ from quillmesh.sources.store import Store, find_config, validated
 from quillmesh.streaming import awareness
 from quillmesh.tools import Tools
 
-TOOLS = ("search_symbols", "get_function", "get_class", "list_functions", "list_files", "find_references", "trace_calls", "trace_types", "get_module_dependencies", "suggest_related", "get_related_context", "get_architecture_overview")
+TOOLS = ("search_symbols", "get_function", "get_class", "list_functions", "list_files", "find_references", "trace_calls", "trace_types", "get_module_dependencies", "suggest_related", "get_related_context", "get_context_bundle", "get_architecture_overview")
 
 #: Answers that the service keeps.
 MOST_ANSWERS = 64

@@ -16,7 +16,7 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
-def truncate_lines(text: Column, most: int, marker: str = "...") -> Column:
+def truncate_lines(text: Column, most: Column | int, marker: str = "...") -> Column:
     """Whole lines as long as they fit in `most` characters, then a marker."""
     lines = F.split(text, "\n")
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full"))
@@ -38,6 +38,8 @@ def cut_bytes(text: str | None, most: int, marker: str = "...") -> str | None:
 
 
 def cut_bytes_column(most: int, marker: str = "..."):
+    """The same as an Arrow function, to be called by name in SQL."""
+
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: cut_bytes(t, most, marker))
@@ -45,6 +47,13 @@ def cut_bytes_column(most: int, marker: str = "..."):
     return cut
 
 
+def bytes_within(text: Column, most: int, marker: str = "...") -> Column:
+    """The same by built-in functions: of the bytes that fit, up to three that begin a character are left out."""
+    room, data = max(0, most - len(marker.encode())), text.cast("binary")
+    whole = [F.try_validate_utf8(F.substring(data, 1, max(0, room - less)).cast("string")) for less in range(4)]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.coalesce(*whole), F.lit(marker)))
+
+
 def tsv_cell(value: Column) -> Column:
     """Tabs as four blanks, line ends as a backslash and n, null as nothing."""
     text = F.coalesce(value.cast("string"), F.lit(""))

@@ -28,7 +28,7 @@ def truncate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f3_cut_bytes", "SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE substring(text, 1, coalesce(list_max(list_filter(range(1, 298), lambda i: strlen(substring(text, 1, i)) <= 297)), 0)) || '...' END AS cut FROM documents")
 def cut_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole characters of at most 300 bytes, the mark included."""
-    return b.table(spark, sf_dir, "documents").select("doc_id", f.cut_bytes_column(300)("text").alias("cut"))
+    return b.table(spark, sf_dir, "documents").select("doc_id", f.bytes_within(F.col("text"), 300).alias("cut"))
 
 
 @query("f4_tsv", "SELECT conv_id, turn, conv_id || chr(9) || turn || chr(9) || regexp_replace(regexp_replace(text, '\\t', '    ', 'g'), '\\r?\\n', '\\\\n', 'g') AS line FROM conversations")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import render
 from quillmesh.functions.thesaurus import thesaurus
-from quillmesh.operators import aggregates, imports, lineage, lookups, markov, retrieval, search
+from quillmesh.operators import aggregates, bundles, imports, lineage, lookups, markov, retrieval, search
 from quillmesh.plans.markov import CLUSTER, FLOW, IMPORTS, LEAST, PART, TYPE, WALK, chains, flow
 from quillmesh.plans.registry import query
 from quillmesh.plans.search import bm25_sql
@@ -374,9 +374,8 @@ def _counts(store: Store, names: tuple[str, ...]) -> DataFrame:
 @query("q18_test_blocks", "SELECT p_partkey AS id, 'it(() => {' || chr(10) || ' x(' || p_size || ')' || chr(10) || '})' AS block FROM part")
 def test_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block from its first line until its brackets are closed."""
-    block = F.pandas_udf(lambda texts: texts.map(lambda t: retrieval.block_of(t, 1)), "string")
     text = F.concat(F.lit("a\nit(() => {\n x("), F.col("p_size").cast("string"), F.lit(")\n})\nmore()"))
-    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), block(text).alias("block"))
+    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), bundles.block_at(F.split(text, "\n"), 1).alias("block"))
 
 
 @query("f14_values_at_paths", "SELECT p_partkey AS id, CAST(p_size AS VARCHAR) AS hit, CAST(NULL AS VARCHAR) AS miss FROM part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.operators import graph
+from quillmesh.operators import bundles, graph
 from quillmesh.operators import retrieval as r
 from quillmesh.plans.graph import LAYERS, bfs_sql
 from quillmesh.plans.markov import ALL, EVERY, chains
@@ -72,8 +72,35 @@ def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q17_first_tests", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS k FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)) WHERE k <= 5")
 def first_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five of each role, each place once (Q17; a top-k report)."""
-    rows = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").dropDuplicates(["conv_id", "turn"])
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn"))).filter("k <= 5").drop("k")
+    return bundles.first_places(b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["role"], ["conv_id", "turn"])
+
+
+_FILE = """ln AS (SELECT conv_id, role = 'user' AS head, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS line FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)),
+placed AS (SELECT *, max(CASE WHEN head THEN line END) OVER (PARTITION BY conv_id ORDER BY line) AS head_at FROM ln)"""
+
+
+@query("q16_tests_of_symbols", f"""WITH {_FILE} SELECT DISTINCT 'x' || (a.turn % 3) AS symbol_name, 'tests/' || a.conv_id || '.test.ts' AS file_path, CAST(a.head_at AS BIGINT) AS line_number, 'turn ' || h.turn AS name, 'vitest' AS framework
+FROM placed a JOIN ln h ON h.conv_id = a.conv_id AND h.line = a.head_at WHERE NOT a.head""")
+def tests_of_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q11, Q15-Q17: conversations as test files; users' turns begin tests, the others refer to symbols."""
+    turns = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
+    files = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    path = F.concat(F.lit("tests/"), F.col("conv_id").cast("string"), F.lit(".test.ts")).alias("file_path")
+    line = lambda t: F.when(t["role"] == "user", F.concat(F.lit("it('turn "), t["turn"].cast("string"), F.lit("', () => {"))).otherwise(F.concat(F.lit("  x"), (t["turn"] % 3).cast("string"), F.lit("()")))
+    texts = files.select(path, F.array_join(F.transform("turns", line), "\n").alias("content"))
+    refs = files.select(path, F.posexplode("turns").alias("at", "t")).filter("t.role <> 'user'")
+    refs = refs.select(F.concat(F.lit("x"), (F.col("t.turn") % 3).cast("string")).alias("symbol_name"), "file_path", (F.col("at") + 1).alias("line_number"))
+    return bundles.enclosing_tests(refs, texts).withColumn("line_number", F.col("line_number").cast("long"))
+
+
+@query("q20_even_shares", """WITH i AS (SELECT o_orderkey AS id, o_custkey AS symbol, CASE WHEN o_orderkey % 4 = 0 THEN 'types' WHEN o_orderkey % 4 = 1 THEN 'tests' WHEN o_orderkey % 4 = 2 THEN 'symbol' ELSE 'callees' END AS section FROM orders)
+SELECT id, section, CAST(floor(floor(8000 * CASE section WHEN 'symbol' THEN CAST(0.4 AS DOUBLE) WHEN 'tests' THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END + CAST(1e-9 AS DOUBLE)) / count(*) OVER (PARTITION BY symbol, section)) AS BIGINT) AS tokens FROM i""")
+def even_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q20: customers as symbols, their orders as what belongs to them."""
+    n = F.col("o_orderkey") % 4
+    section = F.when(n == 0, "types").when(n == 1, "tests").when(n == 2, "symbol").otherwise("callees")
+    items = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("symbol"), section.alias("section"))
+    return bundles.shared_out(items, ["symbol"], F.lit(8000), True).select("id", "section", "tokens")
 
 
 @query("q31_public_api", """WITH d AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 40), re AS (SELECT DISTINCT p_name AS name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R'),

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.thesaurus import thesaurus
-from quillmesh.operators import factored, graph, lookups, markov, search
+from quillmesh.operators import bundles, factored, graph, lookups, markov, search
 from quillmesh.operators.aggregates import fan_out, module_name
 from quillmesh.operators.imports import entry_points, excluded, package_name
 from quillmesh.operators.lookups import FUNCTION_KINDS
 from quillmesh.operators.lookups import list_files as files_below
-from quillmesh.operators.retrieval import glob_regex, is_test_path, paginate, section, type_names, within_budget
+from quillmesh.operators.retrieval import callee_package, glob_regex, is_test_path, paginate, resolve_types, section, type_names, within_budget
 from quillmesh.sources.ingest import scan, source_slice
 from quillmesh.sources.store import MOST_NAMED, Store, type_tables
 from quillmesh.sources.ts_parser import TEST_CALLS
@@ -194,6 +194,52 @@ class Tools:
         once = parts.groupBy("id").agg(F.min_by(F.struct(*parts.columns), "rank").alias("x")).select("x.*")
         return within_budget(once, [], [F.col("rank").asc(), F.col("id").asc()], "size", budget)
 
+    def get_context_bundle(
+        self, name: str, folder: str, path: str | None = None, max_tokens: int = 8000, include_types: bool = True, include_callees: bool = True, include_tests: bool = False, callee_depth: int = 1,
+    ) -> DataFrame:
+        """A function with its source, the types its signature names, what it calls to two levels, and the first five tests around references to it (Q11-Q20).
+
+        section, place, name, file_path, line_start, package (that the name of a callee tells of), framework (of a test), source, tokens,
+        estimated_tokens: each section has its share of the tokens, and each item an equal part of it. folder: of the sources; a file that
+        is there no more leaves the signature. Of an ambiguous name the first function in order of files is taken. No row if there is none.
+        """
+        symbols = self.store.read("symbols")
+        own = self.get_function(name, path).orderBy("file_path", "line_start").limit(1)
+        head = own.select("id", "signature").first()
+        columns = ("section", "place", "name", "file_path", "line_start", "line_end", "signature", "package", "framework")
+        rows = lambda df, part, place: df.select(F.lit(part).alias("section"), place.cast("long").alias("place"), *[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns[2:]])
+        found = rows(own, "symbol", F.lit(0))
+        if head is not None and include_types:
+            named = own.select(F.explode(type_names(F.col("signature"), ["Promise", "Array", "Map", "Set", "Record"])).alias("type_name"))
+            first = resolve_types(named, symbols).filter("kind is not null")
+            types = symbols.join(first.select(F.col("type_name").alias("name"), "kind", "file_path", "line_start"), ["name", "kind", "file_path", "line_start"], "left_semi")
+            found = found.unionByName(rows(types, "types", F.lit(0)))
+        if head is not None and include_callees:
+            calls = self.store.resolved_calls()
+            near, seen = calls.filter(F.col("caller_symbol_id") == head["id"]), None
+            for depth in range(1, min(2, max(1, callee_depth)) + 1):
+                level = near.select("callee_name", "callee_symbol_id", F.lit(depth).alias("depth"))
+                seen = level if seen is None else seen.unionByName(level)
+                near = calls.join(level.filter("callee_symbol_id is not null").select(F.col("callee_symbol_id").alias("caller_symbol_id")).distinct(), "caller_symbol_id", "left_semi")
+            once = seen.groupBy("callee_name", "callee_symbol_id").agg(F.min("depth").alias("depth"))
+            about = symbols.select(F.col("id").alias("callee_symbol_id"), "file_path", "line_start", "line_end", "signature")
+            callees = once.join(about, "callee_symbol_id", "left").withColumn("name", F.col("callee_name")).withColumn("package", F.when(F.col("callee_symbol_id").isNull(), callee_package(F.col("callee_name"))))
+            found = found.unionByName(rows(callees, "callees", F.col("depth")))
+        wanted = found.filter("file_path is not null").select("file_path")
+        refs = self.store.read("refs").filter((F.col("symbol_name") == name) & is_test_path(F.col("referencing_file"))).select("symbol_name", F.col("referencing_file").alias("file_path"), "line_number")
+        wanted = (wanted.union(refs.select("file_path")) if include_tests else wanted).distinct()
+        paths = [r[0] for r in wanted.limit(MOST_NAMED + 1).collect()]
+        if len(paths) > MOST_NAMED:
+            raise ValueError(f"over {MOST_NAMED} files belong to that name; give a path, or leave tests out")
+        texts = scan(self.spark, folder, only=paths).select("file_path", "content")
+        lined = found.join(texts, "file_path", "left").withColumn("source", F.coalesce(source_slice(F.col("content"), F.col("line_start"), F.col("line_end")), "signature")).drop("content", "line_end", "signature")
+        if include_tests and head is not None:
+            tests = bundles.first_places(bundles.enclosing_tests(refs, texts), ["symbol_name"], ["file_path", "line_number"]).join(texts, "file_path")
+            block = bundles.block_at(F.split("content", "\n"), F.col("line_number") - 1)
+            tests = tests.select(F.lit("tests").alias("section"), F.lit(0).cast("long").alias("place"), "name", "file_path", F.col("line_number").alias("line_start"), F.lit(None).cast("string").alias("package"), "framework", block.alias("source"))
+            lined = lined.unionByName(tests)
+        return bundles.fitted(bundles.shared_out(lined, [], F.lit(max_tokens), include_tests), "source").orderBy("section", "place", "name", "file_path", "line_start")
+
     def get_architecture_overview(self, focus: str = "modules", entry_file: str | None = None) -> DataFrame:
         """One of the views of FOCUS (Q21): modules (also core_classes), dependencies, entry_points, public_api, patterns, key_types, or full, all sections of these as name, detail and n."""
         if focus not in FOCUS:
