@@ -35,6 +35,19 @@ def test_degrees_equal_pairs(spark, monkeypatch, block, everywhere):
     links.unpersist()
 
 
+def test_import_clusters_by_classes_equal_pairs(spark):
+    r = random.Random(5)
+    sets = [[f"m{r.randrange(6)}" for _ in range(r.randrange(1, 5))] for _ in range(9)] + [["x"], ["y", "z"]]
+    imports = [(f, s) for f in range(40) for s in sets[f % len(sets)]] + [(99, "y"), (99, "z"), (98, None)]
+    own = {f: {s for g, s in imports if g == f and s} for f, _ in imports}
+    raw = {(f, g): len(own[f] & own[g]) * 0.5 for f in own for g in own if f != g and len(own[f] & own[g]) >= 2}
+    df = spark.createDataFrame(imports, "file int, source string")
+    found = {(x["from_id"], x["to_id"]): (x["raw"], x["prob"]) for x in markov.import_cluster(df).collect()}
+    assert {k: v[0] for k, v in found.items()} == raw
+    assert all(abs(p - w / sum(x for k, x in raw.items() if k[0] == f)) < 1e-12 for (f, _), (w, p) in found.items())
+    assert {x["from_id"]: x["d"] for x in markov.import_cluster_degrees(df).collect()} == {f: sum(k[0] == f for k in raw) for f in own if any(k[0] == f for k in raw)}
+
+
 @pytest.mark.parametrize("name", ["a2_chain_stats"])
 def test_counts_of_chains_weigh_no_pairs(spark, monkeypatch, name):
     def unwanted(*args, **more):
