@@ -48,7 +48,7 @@ def test_import_clusters_by_classes_equal_pairs(spark):
     assert {x["from_id"]: x["d"] for x in markov.import_cluster_degrees(df).collect()} == {f: sum(k[0] == f for k in raw) for f in own if any(k[0] == f for k in raw)}
 
 
-@pytest.mark.parametrize("name", ["a2_chain_stats"])
+@pytest.mark.parametrize("name", ["a2_chain_stats", "m9_chain_registry"])
 def test_counts_of_chains_weigh_no_pairs(spark, monkeypatch, name):
     def unwanted(*args, **more):
         raise AssertionError("a table of pairs")
