@@ -58,6 +58,17 @@ def test_counts_of_chains_weigh_no_pairs(spark, monkeypatch, name):
     assert QUERIES[name](spark, SF).count() == 4
 
 
+def test_named_transitions_pair_only_what_is_asked(spark, monkeypatch):
+    from quillmesh.operators import lineage
+
+    written = []
+    real = lineage.stored
+    for how in ("stored", "cut"):
+        monkeypatch.setattr(lineage, how, lambda df: (written.append(real(df)), written[-1])[1])
+    QUERIES["m9_named_transitions"](spark, SF).collect()
+    assert written and all(df.filter("cast(from_id as long) % 50 <> 1").isEmpty() for df in written)
+
+
 def test_hot_keys_by_hashes(spark, monkeypatch):
     """Keys of one hash are told apart."""
     monkeypatch.setattr(markov, "HASHES", 1)
