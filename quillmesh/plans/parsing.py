@@ -21,14 +21,24 @@ def _filled(text: str):
     return out
 
 
+FILES_PER_TASK, LEAST_PER_TASK = 4096, 512
+
+
+def dealt(parts: DataFrame) -> DataFrame:
+    """Parts in tasks of so many: a key and a size take few bytes and become a file to parse, so the size of the input is no measure of the work."""
+    count = parts.count()
+    n = max(-(-count // FILES_PER_TASK), min(parts.sparkSession.sparkContext.defaultParallelism, -(-count // LEAST_PER_TASK)))
+    return parts.repartition(n, "p_partkey") if n > 1 else parts
+
+
 def written(spark: SparkSession, sf_dir: str, template: str, ending: str, stem: str = "src/f{k}") -> DataFrame:
     """A file for each part: file_path, content, file_size."""
-    rows = b.table(spark, sf_dir, "part").select(_filled(stem + ending).alias("file_path"), _filled(template).alias("content"))
+    rows = dealt(b.table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(_filled(stem + ending).alias("file_path"), _filled(template).alias("content"))
     return rows.withColumn("file_size", F.octet_length("content").cast("long"))
 
 
 def parsed(spark: SparkSession, sf_dir: str, template: str, ending: str, relation: str, stem: str = "src/f{k}") -> DataFrame:
-    records = ingest.parse_files(written(spark, sf_dir, template, ending, stem))
+    records = ingest.parse_files(written(spark, sf_dir, template, ending, stem), only=(relation,))
     return records.filter(F.col("relation") == relation).select(F.from_json("payload", ingest.RELATIONS[relation]).alias("r")).select("r.*")
 
 
@@ -354,7 +364,7 @@ source_query("s8_toml_entries", "/pyproject.toml", "config_entries", "path value
 @query("s12_size_limit", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'skipped' ELSE 'complete' END AS parse_status, CASE WHEN p_size > 25 THEN 0 ELSE 1 END AS n FROM part")
 def size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files over the limit are recorded, not parsed."""
-    rows = b.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("x = 1\n#"), F.expr("repeat('.', p_size)")).alias("content"))
+    rows = dealt(b.table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("x = 1\n#"), F.expr("repeat('.', p_size)")).alias("content"))
     found = ingest.parse_files(rows.withColumn("file_size", F.octet_length("content").cast("long")), limit=32)
     n = found.groupBy("file_path").agg(F.max(F.when(F.col("relation") == "files", F.get_json_object("payload", "$.parse_status"))).alias("parse_status"), F.sum((F.col("relation") == "symbols").cast("int")).cast("int").alias("n"))
     return rows.select("p_partkey", "file_path").join(n, "file_path").select("p_partkey", "parse_status", "n")

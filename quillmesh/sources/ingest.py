@@ -38,7 +38,11 @@ class Parsers:
 
     @staticmethod
     def _script(language: str):
-        return lambda path, content: ts_parser.parse(path, content, language)
+        def parse(path: str, content: str, wanted: frozenset[str] | None = None) -> dict[str, list[dict]]:
+            return ts_parser.parse(path, content, language, wanted)
+
+        parse.prunes = True
+        return parse
 
     def register(self, ending: str, parse) -> None:
         self.by_ending[ending.lower()] = parse
@@ -130,15 +134,18 @@ def changed(scanned: DataFrame, files: DataFrame) -> DataFrame:
     return scanned.join(files.select("file_path", "checksum"), ["file_path", "checksum"], "left_anti")
 
 
-def _records(path: str, content: str | None, size: int, parsers: Parsers, limit: int) -> Iterator[tuple[str, dict]]:
+def _records(path: str, content: str | None, size: int, parsers: Parsers, limit: int, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, dict]]:
     parse, status, found = parsers.find(path), "complete", {}
     if content is None or size > limit > 0:
         status = "skipped"
     elif parse:
         try:
-            found = parse(path, content)
+            found = parse(path, content, wanted) if wanted is not None and getattr(parse, "prunes", False) else parse(path, content)
         except Exception:  # noqa: BLE001  one file must not end the job; its status tells
             status = "partial"
+    if wanted is not None:
+        yield from ((relation, r) for relation, rows in found.items() if relation in wanted for r in rows)
+        return
     counts = {k: len(v) for k, v in found.items() if v}
     yield "files", {"file_path": path, "summary": ", ".join(f"{n} {k}" for k, n in sorted(counts.items())), "parse_status": status, "line_count": (content or "").count("\n") + 1}
     for relation, rows in found.items():
@@ -146,13 +153,15 @@ def _records(path: str, content: str | None, size: int, parsers: Parsers, limit:
             yield relation, r
 
 
-def parse_files(scanned: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
-    """file_path, relation, payload: all records of the files (S6-S8, S12). limit 0: no limit."""
+def parse_files(scanned: DataFrame, limit: int = MAX_BYTES, only: tuple[str, ...] | None = None) -> DataFrame:
+    """file_path, relation, payload: all records of the files (S6-S8, S12), or those of some relations, which spares the work for others. limit 0: no limit."""
+    kept = frozenset(RELATIONS if only is None else only)
+    wanted = None if "files" in kept else kept  # a file's row counts its other records
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsers = registry()
         for b in batches:
-            rows = [(p, rel, json.dumps(r)) for p, c, n in zip(b["file_path"], b["content"], b["file_size"], strict=True) for rel, r in _records(p, c, n, parsers, limit)]
+            rows = [(p, rel, json.dumps(r)) for p, c, n in zip(b["file_path"], b["content"], b["file_size"], strict=True) for rel, r in _records(p, c, n, parsers, limit, wanted) if only is None or rel in kept]
             yield pd.DataFrame(rows, columns=["file_path", "relation", "payload"])
 
     return scanned.select("file_path", "content", "file_size").mapInPandas(run, "file_path string, relation string, payload string")

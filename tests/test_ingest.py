@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.__main__ import main
 from quillmesh.sources import config_parser, ingest, python_parser, ts_parser
@@ -205,3 +206,28 @@ def test_broken_configuration_is_partial_and_values_stay_whole(spark, tmp_path):
     assert store.follow(str(tmp_path), **globs) == {"indexed": 2, "removed": 0, "failed": 0}
     assert store.follow(str(tmp_path), **globs) == {"indexed": 0, "removed": 0, "failed": 0}
     assert {r["name"] for r in store.read("symbols").collect()} == {"c", "d"}
+
+
+def test_relations_that_are_not_asked_for_cost_nothing(spark, monkeypatch):
+    """Parsing for one relation gives its rows as parsing for all does, without looking for calls and references."""
+    sources = [("a.ts", "import { b } from './b';\nexport class A extends B { go(): void { run(); } }\n", 90), ("b.py", "import os\n\nclass C(D):\n    def go(self):\n        return run(1)\n\nx = 1\n", 80), ("c.json", "{}", 2), ("d.py", "y = 2", 5)]
+    scanned = spark.createDataFrame(sources, "file_path string, content string, file_size long")
+    every = sorted(tuple(r) for r in ingest.parse_files(scanned).collect())
+    for relation in ingest.RELATIONS:
+        assert sorted(tuple(r) for r in ingest.parse_files(scanned, only=(relation,)).collect()) == [r for r in every if r[1] == relation]
+    parsers = ingest.Parsers()
+    for module, method in ((ingest.ts_parser, "uses"), (ingest.python_parser, "references"), (ingest.python_parser, "_calls")):
+        monkeypatch.setattr(module._File, method, None)
+    found = [rel for p, c, n in sources[:2] for rel, _ in ingest._records(p, c, n, parsers, 0, frozenset(["symbols"]))]
+    assert found == ["symbols"] * 5
+    parsers.register(".ts", lambda path, content: {"symbols": [{"name": "own"}], "refs": [{}]})
+    assert list(ingest._records("a.ts", "", 1, parsers, 0, frozenset(["symbols"]))) == [("symbols", {"name": "own"})]
+
+
+def test_parts_are_dealt_by_their_number(spark):
+    """A small table of keys becomes many files to parse."""
+    from quillmesh.plans import parsing
+
+    rows = spark.range(10_000).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).coalesce(1)
+    sizes = [r["n"] for r in parsing.dealt(rows).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 and len(sizes) >= 3 and max(sizes) < 2 * parsing.FILES_PER_TASK
