@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmesh.llm import lm
@@ -154,3 +155,89 @@ def test_few_texts_extra_columns_and_text_ids(spark):
     docs = spark.createDataFrame([("x1", "alpha", 1, 2, "z"), (None, None, 3, 4, "z")], "doc_id string, text string, n_tokens int, row int, tail string")
     got = lm.score(spark, docs)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and got.count() == 2
+
+
+def test_few_exponentials_for_each_token(monkeypatch):
+    """Groups, classes and words are told apart step by step, so a token takes far fewer exponentials than there are classes."""
+    rows = [(f"w{i}".encode(), 100_000 // (i + 1)) for i in range(lm.MODEL_WORDS)]
+    rare = _rare(dict(rows))
+    v = lm.Vocabulary(rows, 2 * sum(c for _, c in rows), len(rows), {b: (2 * n, k) for b, (n, k) in rare.items()})
+    r = np.random.default_rng(3)
+    target = np.r_[r.choice(lm.MODEL_WORDS, 2000, p=v.counts / v.counts.sum()), lm.MODEL_WORDS + r.integers(0, lm.RARE, 1000)]
+    done, real = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: done.append(np.size(x)) or real(x, *a, **k))
+    lm._output(lm.initial(v), v, np.zeros((lm.HIDDEN, 3000), np.float32), target)
+    assert 0 < sum(done) < 3000 * 64
+
+
+def test_averaged_shares_keep_what_one_share_learns(spark, monkeypatch):
+    texts = _corpus(random.Random(8), 2500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gains = []
+    for n in (1 << 30, 15_000):
+        monkeypatch.setattr(lm, "SHARE_TOKENS", n)
+        out = lm.score(spark, docs).filter("held_out").toPandas()
+        gains.append(out.score.sum() - out.base_score.sum())
+    assert gains[1] > 0.8 * gains[0] > 0
+
+
+def test_many_texts_are_encoded_as_one_by_one():
+    texts = [*_corpus(random.Random(9), 80), "", " ", "\t a\x0bb \r", "x\x1cy É\x85Ab　c", "zz ZZ q zz", "".join(f"a{chr(i)}B" for i in range(300))]
+    counts = Counter(w for t in texts[:60] for w in lm.tokens(t))
+    rows = sorted(counts.items(), key=lambda r: (-r[1], r[0]))[1:20]  # without the ends, which may be beyond the head
+    ids = {w: i for i, (w, _) in enumerate(rows)}
+    v = lm.Vocabulary(rows, sum(counts.values()), len(counts), _rare(counts))
+    n, head, net, tail, of = v.encode_all(pa.array(texts))
+    words = [lm.tokens(t) for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    flat = [w for some in words for w in some]
+    assert head.tolist() == [ids.get(w, -1) for w in flat]
+    assert net.tolist() == [ids[w] if w in ids else lm.MODEL_WORDS + lm.bucket(w) for w in flat]
+    assert [(int(i), w) for i, w in zip(of, tail.to_pylist(), strict=True)] == [(i, w) for i, some in enumerate(words) for w in some if w not in ids]
+
+
+def test_sums_of_rows_by_id():
+    r = np.random.default_rng(4)
+    ids, rows = np.minimum(r.geometric(0.02, 3000), 60), r.standard_normal((3000, 5))
+    want = np.zeros((61, 5))
+    np.add.at(want, ids, rows)
+    found, sums = lm._sums(ids, rows)
+    assert found.tolist() == sorted(set(ids.tolist())) and np.allclose(sums, want[found])
+
+
+def test_scores_equal_a_plain_evaluation_token_by_token(spark, monkeypatch):
+    texts = _corpus(random.Random(10), 150)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    counts = Counter(w for d, t in enumerate(texts) if not held(d) for w in lm.tokens(t))
+    r, kept = np.random.default_rng(5), []
+
+    def fit(spark, encoded, v):
+        kept.append((v, {k: (x + 0.3 * r.standard_normal(x.shape)).astype(np.float32) for k, x in lm.initial(v).items()}))
+        return kept[0][1]
+
+    monkeypatch.setattr(lm, "HEAD", 12)  # so that known words are rare, too
+    monkeypatch.setattr(lm, "fit", fit)
+    got = {x.doc_id: x.score for x in lm.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    v, p = kept[0][0], {k: x.astype(float) for k, x in kept[0][1].items()}
+    model = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:12]
+    h, per, sigmoid = lm.HIDDEN, lm.CLASSES // lm.GROUPS, lambda x: 1 / (1 + np.exp(-x))
+    among = lambda logits, i: logits[i] - np.log(np.exp(logits).sum())
+    for d, t in enumerate(texts):
+        state, before, total = np.zeros(h), lm.START, 0.0
+        for w in lm.tokens(t):
+            x, g = p["x"][before] + p["b"], state @ p["u"]
+            z, reset = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+            m = np.tanh(x[2 * h :] + reset * g[2 * h :])
+            state = z * state + (1 - z) * m
+            groups, classes = state @ p["g"] + p["gb"], state @ p["c"] + p["cb"]
+            if w in model:
+                before = model.index(w)
+                c = int(v.word_class[before])
+                own = [i for i in range(12) if v.word_class[i] == c]
+                total += among(groups, c // per) + among(classes[c - c % per : c - c % per + per], c % per) + among(p["w"][own] @ state + p["wb"][own], own.index(before))
+            else:
+                b = lm.bucket(w)
+                before = lm.MODEL_WORDS + b
+                others = [n for k, n in counts.items() if lm.bucket(k) == b and k not in model]
+                total += among(groups, lm.GROUPS) + among(classes[lm.CLASSES :], b) + np.log((counts[w] + 0.5) / (sum(others) + 0.5 * (len(others) + 1)))
+        assert got[d] == pytest.approx(total / np.log(10), rel=1e-4)
