@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import markov
-from quillmesh.plans import QUERIES
+from quillmesh.operators import factored, markov
+from quillmesh.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,41 @@ def test_hot_keys_by_hashes(spark, monkeypatch):
     rows = spark.createDataFrame([(k, v) for k in range(5) for v in range(10 if k == 3 else 2)], "k int, v int")
     assert [tuple(x) for x in markov.hot_keys(rows, "k", 4).collect()] == [(3, 10)]
     assert markov.hot_keys(rows, "k", 10) is None
+
+
+@pytest.mark.parametrize("wide", [65_536, 2])
+@pytest.mark.parametrize("strange", [False, True])
+def test_support_on_odd_rows_equals_sql(spark, monkeypatch, tmp_path, wide, strange):
+    """Without incidence and totals: repeated lines, missing keys, parts told twice, callees that are no parts, parts of every file, wide keys."""
+    duckdb = pytest.importorskip("duckdb")
+
+    def unwanted(*args, **more):
+        raise AssertionError("an incidence of all rows")
+
+    for name in ("call_flow_factors", "cooccurrence_factors", "totals"):
+        monkeypatch.setattr(factored, name, unwanted)
+    monkeypatch.setattr(markov.most_shared, "__defaults__", (wide,))
+    r = random.Random(wide)
+    pairs = [(o, r.randrange(12)) for o in range(9) for _ in range(r.randrange(4))] * 2 + [(o, 50) for o in range(-5, 9)] + [(-5, 51), (-4, None), (-3, -3), (None, 52), (None, 53), (20, 50), (20, 54), (21, 50)]
+    pairs += [(-2, 900), (30, 901), (30, 55)] if strange else []  # 900 and 901 are no parts
+    lines = [(o, p, 1, i, 1.0, "R", "O", None) for i, (o, p) in enumerate(pairs) if not (o is None and p is None)]
+    # without strange rows every file holds part 50
+    lines = lines if strange else [x for x in lines if x[0] is not None]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [*range(12), 50, 51, 52, 53, 54, 55, 56, -3, 3, None]
+    spark.createDataFrame([(p, "b") for p in parts], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(SQL["l13_factored_support"]).fetchall()
+    found = QUERIES["l13_factored_support"](spark, str(tmp_path)).select("state", "by_calls", "by_files").collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in found)
+    assert len({x[1:] for x in want}) >= 3
+
+
+def test_support_where_nothing_is_linked(spark, tmp_path):
+    """A part without a key is in no empty list."""
+    spark.createDataFrame([(1, 1), (2, 2)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (None,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["l13_factored_support"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, found))) == ["('1', False, False)", "(None, False, False)"]
