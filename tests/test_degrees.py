@@ -48,6 +48,39 @@ def test_import_clusters_by_classes_equal_pairs(spark):
     assert {x["from_id"]: x["d"] for x in markov.import_cluster_degrees(df).collect()} == {f: sum(k[0] == f for k in raw) for f in own if any(k[0] == f for k in raw)}
 
 
+@pytest.mark.parametrize("length", [1, 3, 256])
+@pytest.mark.parametrize("small", [0, 20, 500_000])
+def test_import_clusters_by_lists_equal_pairs(spark, monkeypatch, length, small):
+    """By lists of several lengths, where links or members, both or neither are too many to be sent."""
+    monkeypatch.setattr(markov, "LIST", length)
+    monkeypatch.setattr(markov, "SMALL", small)
+    sets = [["a", "b"], ["a", "b", "c"], ["c", "d"], ["x"], ["a", "b", "c", "d"]]
+    own = {f: set(sets[f % 5]) for f in range(31)}
+    df = spark.createDataFrame([(f, s) for f in own for s in own[f]] * 2, "file int, source string")
+    raw = {(f, g): len(own[f] & own[g]) * 0.5 for f in own for g in own if f != g and len(own[f] & own[g]) >= 2}
+    total = {f: sum(w for (x, _), w in raw.items() if x == f) for f in own}
+    found = sorted(tuple(x) for x in markov.import_cluster(df, digits=6).collect())
+    assert [(f, g, w) for f, g, w, _ in found] == sorted((*k, w) for k, w in raw.items())
+    assert all(abs(p - w / total[f]) < 1e-6 for f, _, w, p in found)
+    only = markov.import_cluster_weights(df).filter("from_id in (1, 7)").collect()
+    assert sorted(tuple(x) for x in only) == sorted((*k, w) for k, w in raw.items() if k[0] in (1, 7))
+
+
+def test_import_clusters_come_list_by_list(spark, tmp_path):
+    """Millions of pairs of a few files are runs and short repeats, so a column file of them is small."""
+    imports = spark.range(4000).select((F.xxhash64("id") % 10**12).alias("file"), F.explode(F.array(F.concat(F.lit("m"), F.col("id") % 4), F.concat(F.lit("n"), F.col("id") % 4))).alias("source"))
+    markov.import_cluster(imports).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 4 * 1000 * 999
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4 * 1000 * 999
+
+
+def test_a_filter_of_states_comes_before_pairs(spark):
+    """Only the files that are asked for meet lists."""
+    imports = spark.createDataFrame([(f, s) for f in range(9) for s in ("a", "b")], "file int, source string")
+    plan = markov.import_cluster_weights(imports).filter("from_id = 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert "= 3)" in plan.split("Generate explode(files")[1]
+
+
 @pytest.mark.parametrize("name", ["a2_chain_stats", "m9_chain_registry"])
 def test_counts_of_chains_weigh_no_pairs(spark, monkeypatch, name):
     def unwanted(*args, **more):
