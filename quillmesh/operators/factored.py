@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.operators import lineage
 from quillmesh.operators.markov import DECAY, DEPTH, FAN_OUT, LEAST, best_transitions, inverse_document_frequency
 
 INCIDENCE = "key string, state string, u double, v double"
@@ -77,14 +78,16 @@ def steps(front: DataFrame, states: DataFrame, members: DataFrame, found: DataFr
     """at, state, prob, rank: transitions of the front's states with front.score * prob >= least, the likeliest fan_out of each.
 
     states: state, key, u; members: key, state, v: both the incidence, or its copies in either order. found: what totals gave. front: state, score.
+    The front's own rows and the members of its keys are stored, so that found, states and members are read once each; by their sizes joins are chosen.
     """
     near = front.join(found.select("state", "keys", "total"), "state").select(F.col("state").alias("at"), "keys", "total", (F.col("total") * least / F.col("score")).alias("asked"))
-    own = near.join(states.select(F.col("state").alias("at"), "key", "u"), "at")
+    own = lineage.stored(near.join(states.select(F.col("state").alias("at"), "key", "u"), "at"))
+    met = lineage.stored(members.select("key", "state", "v").join(own.select("key"), "key", "left_semi"))
     share = F.try_divide(F.col("asked") * (1 - SLACK), F.col("keys") * F.col("u"))
     # u of nothing reaches nothing; a partner reaches its share through one common key at least
-    asked = own.filter("u > 0").withColumn("share", share).join(members.select("key", "state", "v"), "key")
+    asked = own.filter("u > 0").withColumn("share", share).join(met, "key")
     candidates = asked.filter((F.col("v") >= F.col("share")) & (F.col("state") != F.col("at"))).select("at", "state").distinct()
-    pairs = candidates.join(own, "at").join(members.select("key", "state", "v"), ["key", "state"])
+    pairs = candidates.join(own, "at").join(met, ["key", "state"])
     weighed = pairs.groupBy("at", "state").agg((F.sum(F.col("u") * F.col("v")) / F.first("total")).alias("prob"))
     return _best(weighed, fan_out)
 

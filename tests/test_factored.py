@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import factored, markov
+from quillmesh.operators import factored, lineage, markov
 
 CALLS = "caller string, callee string, call_count long, is_async boolean, is_conditional boolean"
 
@@ -72,3 +72,31 @@ def test_a_hot_key_costs_its_rows(spark):
     assert best == pytest.approx({s: w / one["total"] for s, w in raw.items() if w / one["total"] >= 0.001})
     rows.unpersist()
     found.unpersist()
+
+
+def test_a_hop_reads_each_table_once(spark, tmp_path, monkeypatch):
+    """Totals, states and members are scanned once each by all that a hop plans; rows that repeat and rows without key, state or weight count as they did."""
+    odd = [(None, "s0", 1.0, 1.0), ("7:k", None, 1.0, 1.0), ("7:k", "s1", None, 1.0), ("7:k", "s2", 1.0, None)]
+    rows = factored.call_flow_factors(_calls(spark, random.Random(4), 30, 20))
+    rows = rows.union(rows.limit(9)).union(spark.createDataFrame(odd, factored.INCIDENCE))
+    for name, df in {"rows": rows, "found": factored.totals(rows)}.items():
+        df.write.parquet(str(tmp_path / name))
+    rows, found = (spark.read.parquet(str(tmp_path / name)) for name in ("rows", "found"))
+    states, members = (rows.select(*c).write.parquet(str(tmp_path / n)) or spark.read.parquet(str(tmp_path / n)) for n, c in {"states": ("state", "key", "u"), "members": ("key", "state", "v")}.items())
+    plans, stored = [], lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda df: plans.append(df) or stored(df))
+    front = spark.createDataFrame([("s0", 1.0), ("s1", 0.5), ("s2", 1.0), ("alone", 1.0)], "state string, score double")
+    got = factored.steps(front, states, members, found, 0.01)
+    read = [leaf.relation().location().rootPaths().head().getName() for df in [*plans, got] for leaf in _scans(df)]
+    assert [read.count(name) for name in ("found", "states", "members")] == [1, 1, 1]
+    a, b = rows.select(F.col("state").alias("at"), "key", "u"), rows.select("key", "state", "v")
+    weighed = a.join(b, "key").filter("state <> at").groupBy("at", "state").agg(F.sum(F.col("u") * F.col("v")).alias("raw"))
+    want = weighed.join(front.withColumnRenamed("state", "at"), "at").join(found.withColumnRenamed("state", "at"), "at").filter("score * raw / total >= 0.01")
+    plain = lambda df: {(x["at"], x["state"]): round(x["prob"], 9) for x in df.collect()}
+    assert (mine := plain(got)) and all(mine.get(k) == p for k, p in plain(want.withColumn("prob", F.col("raw") / F.col("total"))).items())
+
+
+def _scans(df):
+    """The scans of files in a plan."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    return [leaf for i in range(leaves.size()) if (leaf := leaves.apply(i)).getClass().getSimpleName() == "FileSourceScanExec"]
