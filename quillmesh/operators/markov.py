c1_call_flow makes pairs and totals in every partition of its shuffles

Symptom: c1_call_flow spills while it makes and adds up pairs, and while it sorts them for the totals of states.
Evidence: over lineitem at 10 times sf0.1 (6 cores, 1.5 GB, 64 partitions) adaptive reads put the edges' partitions together to 7 tasks by their few bytes, and each task then makes 3.4 million pairs; that stage spills 374 of 1250 MB, the window over states 196 MB, also in 7 tasks.
Fix: edges are dealt by caller, and the transitions of all states by state, in a given number of partitions, which adaptive reads leave alone; the shuffles there were before are replaced, none is added. Walks, which ask for few states, keep their totals as they were.
Effect: at 1 GB of input CPU 1257 -> 980 s, shuffle 7.28 -> 7.37 GB, spill 1.97 -> 0.00 GB, read 1.53 -> 1.53 GB, longest task 27 -> 10 s, most memory of a task 1544 -> 537 MB; at 6 GB of input CPU 5757 -> 4863 s, shuffle 45.68 -> 45.90 GB, spill 7.53 -> 0.04 GB, read 10.29 -> 10.29 GB, longest task 27 -> 15 s, most memory of a task 1544 -> 805 MB.

@@ -17,8 +17,14 @@ SMALL = 500_000
 LIST = 256
 
 
-def normalise(weights: DataFrame) -> DataFrame:
-    """from_id, to_id, raw -> the same with prob; states without weight are dropped."""
+def _partitions(df: DataFrame) -> int:
+    """How many partitions a shuffle has before adaptive reads put small ones together, which go by the bytes that come in and not by the rows that a task makes of them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def normalise(weights: DataFrame, whole: bool = False) -> DataFrame:
+    """from_id, to_id, raw -> the same with prob; states without weight are dropped (A7). whole: all states are asked for, so that every partition of the shuffle is a task and sorts its own rows only."""
+    weights = weights.repartition(_partitions(weights), "from_id") if whole else weights
     total = F.sum("raw").over(Window.partitionBy("from_id"))
     return weights.withColumn("total", total).filter("total > 0").select("from_id", "to_id", "raw", (F.col("raw") / F.col("total")).alias("prob"))
 
@@ -56,7 +62,8 @@ def call_flow_weights(calls: DataFrame, geometric: bool = True, fan_out_norm: bo
     edges = calls.filter(F.col("call_count") >= least_calls).select("caller", "callee", "call_count", "is_async", "is_conditional")
     hot = hot_keys(edges, "caller")
     if hot is None:  # then a window of a caller is small, and the join that follows needs no further shuffle
-        rated = edges.withColumn("fan", F.count("*").over(Window.partitionBy("caller")))
+        # a fixed number of partitions, as edges are much fewer than the pairs that a task makes and adds up of them
+        rated = edges.repartition(_partitions(edges), "caller").withColumn("fan", F.count("*").over(Window.partitionBy("caller")))
     else:
         rated = edges.join(edges.groupBy("caller").agg(F.count("*").alias("fan")), "caller")
     both = paired(rated.filter("fan >= 2"), "caller", "callee", hot).filter("a_callee <> b_callee")
