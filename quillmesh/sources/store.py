@@ -25,6 +25,8 @@ from quillmesh.streaming.watch import snapshot_diff
 
 #: Files that are named one by one when they are read again.
 MOST_NAMED = 1000
+#: What the chain of calls is made of.
+CALLED = ("file_path", "caller_symbol_id", "callee_name", "call_count", "is_async", "is_conditional")
 
 
 class Conflict(OSError):
@@ -61,7 +63,12 @@ class Store:
         version = version or max(self.versions(), default=0)
         if not version:
             return {"version": 0, "tables": {}, "deletions": []}
-        found = json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/manifest-{version}.json").first()[0])
+        fs, p = self._fs(f"{self.root}/manifest-{version}.json")
+        stream = fs.open(p)  # as _put wrote it; a job for each table that is read would cost more than the table
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         if "tables" not in found:  # as written before tables had segments
             found = {"tables": {n: [[at, 0, 0]] for n, at in found.items()}, "deletions": []}
         return found | {"version": version}
@@ -93,6 +100,10 @@ class Store:
         fs, p = self._fs(f"{self.root}/{at}")
         return [at, number, fs.getContentSummary(p).getLength(), df.schema.simpleString()]
 
+    def _apart(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written beside the tables and read back, for few rows of a table that are used several times. No manifest names it, so it goes as what is left of a crash does (vacuum)."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self._write(df, name, 0)[0]}")
+
     def _write_all(self, tables: dict[str, DataFrame], number: int) -> dict[str, list]:
         """Segments of several tables, written side by side: most are small, and a job of its own each."""
         with ThreadPoolExecutor(8) as pool:
@@ -346,7 +357,8 @@ class Store:
         """What the four chains are made of: calls, symbols in files, type relations, imports; of all files, or of some (file_path). owner: the file a row comes from."""
         of = lambda name: self.read(name) if files is None else self.read(name).join(files, "file_path", "left_semi")
         owner = F.col("file_path").alias("owner")
-        calls = self.resolved_calls(None if files is None else of("calls")).select(owner, F.col("caller_symbol_id").alias("caller"), F.coalesce("callee_symbol_id", "callee_name").alias("callee"), "call_count", "is_async", "is_conditional")
+        calls = None if files is None else self._apart(of("calls").select(*CALLED), "stale_calls")
+        calls = self.resolved_calls(calls).select(owner, F.col("caller_symbol_id").alias("caller"), F.coalesce("callee_symbol_id", "callee_name").alias("callee"), "call_count", "is_async", "is_conditional")
         symbols = of("symbols").select(F.col("file_path").alias("file"), F.col("id").alias("symbol"), F.col("parent_class").alias("parent"), F.col("local_name").alias("name"))
         types = of("type_rels").select(owner, F.col("source_symbol_id").alias("source"), F.col("target_name").alias("target"), F.col("relationship_kind").alias("kind"))
         return calls, symbols, types, of("imports").select(F.col("file_path").alias("file"), F.col("import_source").alias("source"))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillmesh.operators import factored, maintained
 from quillmesh.sources.model import RELATIONS
 from quillmesh.sources.store import Store, migrated
@@ -91,3 +93,29 @@ def test_only_changed_keys_without_shared_names(spark, tmp_path):
     assert spark.read.parquet(f"{store.root}/{store.manifest()['tables']['chain_states'][-1][0]}").count() == 2 and store.read("chain_counts").first()[0] == 50
     store.delete(["f4"])
     assert store.update_factors() == 1 and store.read("chain_counts").first()[0] == 49 and store.read("chain_states").count() == 48 * 4 + 2
+
+
+def test_an_update_reads_calls_once(spark, tmp_path):
+    """Calls of the files to be made anew are kept apart, and a manifest is read without a job; rows that repeat or lack a caller, a name, a count or flags give what a rebuild gives."""
+    store, r = Store(spark, str(tmp_path / "s")), random.Random(3)
+    _save(store, r, [f"f{i}" for i in range(6)])
+    store.build_factors()
+    odd = [("f2", "f2:c0", "get", 2, True, False)] * 2 + [("f2", None, "get", 1, False, False), ("f2", "f2:c0", None, 1, None, None), ("f2", "f2:c0", "out", None, True, True), ("f2", "f2:c1", "load", 3, None, True), ("f2", "f2:c0", "set", 1, False, False)]
+    rows = migrated(spark.createDataFrame(odd, COLUMNS["calls"]), spark.createDataFrame([], RELATIONS["calls"]).schema)
+    store.save({"calls": rows}, spark.createDataFrame([("f2",)], "file_path string"))
+    calls = store._relations(spark.createDataFrame([("f2",), (None,)], "file_path string"))[0]
+    assert calls.count() == len(odd) and not any("/calls/" in f for f in calls.inputFiles())
+    spark.sparkContext.setJobGroup("manifests", "")
+    try:
+        held = store.manifest()
+        assert held["tables"]["calls"] and not spark.sparkContext.statusTracker().getJobIdsForGroup("manifests")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert store.update_factors() > 0
+    plain = lambda: {c: [sorted(map(str, df.withColumns({n: F.round(n, 9) for n, t in df.dtypes if t == "double"}).collect())) for df in tables] for c, tables in store.chain_factors().items()}
+    mine = plain()
+    store.build_factors()
+    assert mine == plain()
+    apart = tmp_path / "s" / "stale_calls"
+    assert len(list(apart.iterdir())) == 2 and store.vacuum(keep_s=0) >= 2 and not list(apart.iterdir())
+    assert mine == plain()
